@@ -1,0 +1,79 @@
+"""Replay of a log against lot capacities: preferred lot, else another lot of the campus, else turned away."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lotflow.domain import CAMPUS_LOTS, LOT_WEIGHTS
+
+OUT = "campus string, date date, session_id string, event_id bigint, event_ts timestamp, event_type string, lot_id string"
+
+
+def _shares(campus_lots: dict, weights: dict) -> dict[str, list[tuple[str, int, float]]]:
+    """Per campus: lot, spots and the upper end of its share of [0, 1)."""
+    table = {}
+    for campus, lots in campus_lots.items():
+        parts = weights.get(campus) or [1 / len(lots)] * len(lots)
+        ends = pd.Series(parts).cumsum().tolist()
+        table[campus] = [(lot, spots, end) for (lot, spots), end in zip(lots.items(), ends)]
+    return table
+
+
+def _assign(table: dict):
+    """Walk the sorted log; the state is one campus-day's taken spots, so it never exceeds the campus capacity."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        today, parked, taken = None, {}, {}
+        for batch in batches:
+            lots = []
+            for campus, day, session, kind, draw in zip(
+                batch["campus"], batch["date"], batch["session_id"], batch["event_type"], batch["draw"]
+            ):
+                if (campus, day) != today:
+                    today, parked, taken = (campus, day), {}, {}
+                if kind == "DEPARTURE":
+                    lot = parked.pop(session, None)
+                    if lot is not None:
+                        taken[lot] -= 1
+                else:
+                    offers = table.get(campus, [])
+                    wish = next((i for i, o in enumerate(offers) if draw < o[2]), len(offers) - 1)
+                    # The wished lot first, then the others in turn from there.
+                    turns = [offers[(wish + i) % len(offers)] for i in range(len(offers))]
+                    lot = next((name for name, spots, _ in turns if taken.get(name, 0) < spots), None)
+                    if lot is not None and session not in parked:
+                        parked[session] = lot
+                        taken[lot] = taken.get(lot, 0) + 1
+                lots.append(lot)
+            yield batch.assign(lot_id=lots)[
+                ["campus", "date", "session_id", "event_id", "event_ts", "event_type", "lot_id"]]
+
+    return walk
+
+
+def _replayed(events: DataFrame, campus_lots: dict, weights: dict) -> DataFrame:
+    draw = F.conv(F.substring(F.md5("session_id"), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    rows = events.select("campus", "date", "session_id", "event_id", "event_ts", "event_type", draw.alias("draw"))
+    sorted_days = rows.repartition("campus", "date").sortWithinPartitions("campus", "date", "event_ts", "event_id")
+    return sorted_days.mapInPandas(_assign(_shares(campus_lots, weights)), OUT)
+
+
+def capacity_replay(events: DataFrame, campus_lots: dict = CAMPUS_LOTS, weights: dict = LOT_WEIGHTS) -> DataFrame:
+    """Events with the lot each session got; sessions that found none are left out with their departures.
+
+    Which lot is free depends on all earlier events of the campus-day, so a day is walked in order; days and
+    campuses run in parallel, counters restart every day, and the walk streams sorted batches.  The wish comes from
+    a hash of the session id, shared out by the lot weights.
+    """
+    return _replayed(events, campus_lots, weights).filter(F.col("lot_id").isNotNull())
+
+
+def rejections_by_day(events: DataFrame, campus_lots: dict = CAMPUS_LOTS, weights: dict = LOT_WEIGHTS) -> DataFrame:
+    """Turned-away arrivals per campus and day."""
+    replayed = _replayed(events, campus_lots, weights)
+    turned_away = F.count_if((F.col("event_type") == "ARRIVAL") & F.col("lot_id").isNull())
+    return replayed.groupBy("campus", "date").agg(turned_away.alias("rejected"))
