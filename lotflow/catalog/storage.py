@@ -39,7 +39,7 @@ def cleaned(g) -> str:
 
 def exported(g) -> str:
     rows = g.historical.select(*HISTORICAL.fieldNames())
-    return _once(g, "export", lambda path: rows.write.option("header", "true").csv(path))
+    return _once(g, "export", lambda path: K.write_export(rows, path))
 
 
 @query("scan_day", "select session_id, timestamp, event_type, upper(lot_id) as lot_id, campus from raw where date = date '2024-01-17'")

@@ -46,6 +46,7 @@ LOT_WEIGHTS = {"BURNABY": [0.35, 0.30, 0.15, 0.10, 0.10], "SURREY": [0.60, 0.40]
 PEAK_SHARE = 0.80
 LOCAL_ZONE = "America/Vancouver"
 STRICT_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+EXPORT_TS = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 WINDOW = "15 minutes"
 GRACE_HOURS = 4
 KEEP_PER_LOT = 5

@@ -37,10 +37,6 @@ SEMESTERS = [("Spring 2024", "2024-01-02", "2024-01-20", "2024-01-27")]
 CALENDAR = {"semesters": SEMESTERS, "holidays": HOLIDAYS}
 
 
-def _every(n: int) -> Column:
-    return F.col("event_id") % n == 0
-
-
 class Given:
     """The driver's tables and the frames derived from them; every property is lazy."""
 
@@ -51,30 +47,35 @@ class Given:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _parked(self, source: DataFrame) -> DataFrame:
+    def _parked(self, source: DataFrame, fields) -> DataFrame:
+        """``fields(event_id, event_ts, event_type)`` gives the columns of one event from its source row."""
         ts = F.col("ts").cast("timestamp")
         stay = F.floor(F.col("value") * F.lit(240.0))
         left = F.timestamp_micros(F.unix_micros(ts) + stay * F.lit(1_000_000))
         kind = F.when(F.col("event_type") == "error", "ERROR").otherwise("ARRIVAL")
-        first = F.struct((F.col("event_id") * 2).alias("event_id"), ts.alias("event_ts"), kind.alias("event_type"))
-        second = F.struct((F.col("event_id") * 2 + 1).alias("event_id"), left.alias("event_ts"),
-                          F.lit("DEPARTURE").alias("event_type"))
+        first = F.struct(*fields(F.col("event_id") * 2, ts, kind))
+        second = F.struct(*fields(F.col("event_id") * 2 + 1, left, F.lit("DEPARTURE")))
         both = F.when(F.col("event_type").isin("click", "view", "purchase"), F.array(first, second)).otherwise(F.array(first))
+        return source.select(F.explode(both).alias("e")).select("e.*")
+
+    @staticmethod
+    def _whose(event_id: Column, event_ts: Column, event_type: Column) -> dict[str, Column]:
         place = (F.col("user_id") % 7).cast("int")
-        return source.select(
-            F.concat(F.lit("S"), F.col("event_id").cast("string")).alias("session_id"),
-            F.element_at(F.array(*[F.lit(x) for x in LOTS]), place + 1).alias("lot_id"),
-            F.when(place < 5, "BURNABY").otherwise("SURREY").alias("campus"),
-            F.col("user_id").cast("string").alias("student_id"),
-            F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("plate_number"),
-            F.explode(both).alias("e"),
-        ).select("e.*", "session_id", "lot_id", "campus", "student_id", "plate_number")
+        return {
+            "event_id": event_id, "event_ts": event_ts, "event_type": event_type,
+            "session_id": F.concat(F.lit("S"), F.col("event_id").cast("string")),
+            "lot_id": F.element_at(F.array(*[F.lit(x) for x in LOTS]), place + 1),
+            "campus": F.when(place < 5, "BURNABY").otherwise("SURREY"),
+            "student_id": F.col("user_id").cast("string"),
+            "plate_number": F.concat(F.lit("P"), F.col("user_id").cast("string")),
+            "date": F.to_date(event_ts),
+        }
 
     @property
     def pe(self) -> DataFrame:
         """Clean events with their own date."""
         source = self.table("events").filter(F.col("event_type") != "error")
-        return self._parked(source).withColumn("date", F.to_date("event_ts"))
+        return self._parked(source, lambda *event: [c.alias(n) for n, c in self._whose(*event).items()])
 
     @property
     def pe_min(self) -> DataFrame:
@@ -89,19 +90,24 @@ class Given:
 
     @property
     def raw(self) -> DataFrame:
-        """Events as sent: text, untidy names, and some broken fields."""
-        text = F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-        campus = F.concat(F.lower("campus"), F.lit(" "))
-        return self._parked(self.table("events")).select(
-            "event_id", "session_id",
-            F.when(_every(83), "not-a-time").otherwise(text).alias("timestamp"),
-            F.concat(F.lit(" "), F.lower("event_type")).alias("event_type"),
-            F.lower("lot_id").alias("lot_id"),
-            F.when(_every(89), "surrey").when(_every(101), "victoria").otherwise(campus).alias("campus"),
-            "student_id",
-            F.when(_every(97), "").otherwise(F.col("plate_number")).alias("plate_number"),
-            F.to_date("event_ts").alias("date"),
-        )
+        """Events as sent: text, untidy names, and some fields broken on the way.  No event is left out."""
+
+        def as_sent(event_id: Column, event_ts: Column, event_type: Column) -> list[Column]:
+            who = self._whose(event_id, event_ts, event_type)
+            text = F.date_format(event_ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+            campus = F.concat(F.lower(who["campus"]), F.lit(" "))
+            broken = lambda n: event_id % n == 0
+            sent = {
+                "event_id": event_id, "session_id": who["session_id"],
+                "timestamp": F.when(broken(83), "not-a-time").otherwise(text),
+                "event_type": F.concat(F.lit(" "), F.lower(event_type)), "lot_id": F.lower(who["lot_id"]),
+                "campus": F.when(broken(89), "surrey").when(broken(101), "victoria").otherwise(campus),
+                "student_id": who["student_id"],
+                "plate_number": F.when(broken(97), "").otherwise(who["plate_number"]), "date": who["date"],
+            }
+            return [c.alias(n) for n, c in sent.items()]
+
+        return self._parked(self.table("events"), as_sent)
 
     @property
     def checked(self) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lotflow.domain import HOLIDAYS, SEMESTERS, SPECIAL_DAYS, as_dates
 from lotflow.functions.timeparts import in_days, is_weekend
 from lotflow.operators.ordered import global_rank
+from lotflow.schemas import SEMESTER
+from lotflow.session import literal_rows
 
 FLAG_NAMES = ("is_holiday", "is_weekend", "is_exam_week", "is_first_2_weeks", "is_special_day")
 BUSY_DAYS = 14
@@ -22,11 +24,8 @@ def semester_dates(spark: SparkSession, semesters: list[tuple] = SEMESTERS, holi
     A weekend or holiday is an ``off_day``; other days are ``busy`` for two weeks, ``regular`` until classes end,
     then ``exam``.
     """
-    terms = spark.createDataFrame(semesters, "semester string, start string, class_end string, sem_end string")
-    dates = terms.select(
-        "semester", F.to_date("start").alias("start"), F.to_date("class_end").alias("class_end"),
-        F.explode(F.sequence(F.to_date("start"), F.to_date("sem_end"))).alias("date"),
-    )
+    terms = literal_rows(spark, semesters, SEMESTER)
+    dates = terms.select("semester", "start", "class_end", F.explode(F.sequence("start", "sem_end")).alias("date"))
     day = F.col("date")
     period = (
         F.when(is_weekend(day) | in_days(day, as_dates(holidays)), "off_day")

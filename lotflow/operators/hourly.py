@@ -10,7 +10,6 @@ from lotflow.domain import PEAK_SHARE
 from lotflow.functions.numbers import is_peak
 from lotflow.functions.timeparts import weekday_name
 from lotflow.operators.occupancy import with_delta
-from lotflow.operators.ordered import with_slice
 from lotflow.operators.sessions import attach_duration
 
 
@@ -34,7 +33,7 @@ def hourly_metrics(events: DataFrame, capacity: DataFrame) -> DataFrame:
     )
     in_second = W.partitionBy("lot_id", "date", "_slice").orderBy("event_ts").rowsBetween(W.unboundedPreceding, 0)
     seconds = (
-        with_slice(instants)
+        instants.withColumn("_slice", F.date_trunc("second", "event_ts"))
         .withColumn("inside", F.sum("net").over(in_second))
         .groupBy("lot_id", "date", "_slice")
         .agg(

@@ -81,11 +81,13 @@ def _coarser(runs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def _day_runs(pieces: DataFrame) -> DataFrame:
-    """Pieces to instants, seconds, hours and days: every step gathers a bounded number of triples."""
-    instants = _coarser(pieces, ["lot_id", "_slice", "_instant"], ["_block"])
-    seconds = _coarser(instants, ["lot_id", "_slice"], ["_instant"])
-    hours = _coarser(seconds.withColumn("_hour", F.date_trunc("hour", "_slice")), ["lot_id", "_hour"], ["_slice"])
-    return _coarser(hours.withColumn("_day", F.to_date("_hour")), ["lot_id", "_day"], ["_hour"])
+    """Pieces to slices, slices to days.
+
+    A slice that was cut has at most 10^6 instants and one more piece per FOLD_ROWS events; a day has at most 86,400
+    slices.  So every step gathers few triples however many events there are.
+    """
+    slices = _coarser(pieces, ["lot_id", "_slice"], ["_instant", "_block"])
+    return _coarser(slices.withColumn("_day", F.to_date("_slice")), ["lot_id", "_day"], ["_slice"])
 
 
 def lot_runs(events: DataFrame, capacity: DataFrame, **limits: int) -> DataFrame:
@@ -153,7 +155,7 @@ def clamped_occupancy(events: DataFrame, capacity: DataFrame, **limits: int) ->
     day_start = days.select("lot_id", "_day", F.col("_at_day").alias("_start"))
     starts = _walk(dated.join(day_start, ["lot_id", "_day"]), "_at_piece", ["lot_id", "_day"], PIECE, after=False)
     piece_start = starts.select("lot_id", *PIECE, F.col("_at_piece").alias("_start"))
-    rows = steps.drop("_hot").join(piece_start, ["lot_id", *PIECE])
+    rows = steps.drop("_split").join(piece_start, ["lot_id", *PIECE])
     walked = _walk(rows, "occupancy", ["lot_id", *PIECE], ["event_ts", "event_id"], after=True)
     return walked.select("lot_id", "event_ts", "event_id", "occupancy")
 

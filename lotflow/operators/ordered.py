@@ -1,14 +1,14 @@
 """Running values over few, very large, time-ordered keys.
 
-A window over (lot, date) would sort a whole lot-day in one task.  Here each key is cut into pieces:
+A window over (lot, date) would sort a whole lot-day in one task.  Here each key is cut into pieces by size:
 
-* a *slice* is one second of a key.  A day has at most 86,400 of them, so a prefix sum over slice totals is
-  small however many events there are;
-* a slice with more than ``hot_rows`` events is cut again, by instant (a second has at most 10^6 microseconds)
-  and by block of event ids, so not even one instant holding a third of all rows lands in one task.
+* an hour of a key with at most ``hot_rows`` events is one piece;
+* a larger hour is cut into seconds, so a day has at most 86,400 of them;
+* a larger second is cut by instant (at most 10^6 microseconds) and by block of event ids, so not even one instant
+  holding a third of all rows lands in one task.
 
-Pieces are worked on in parallel; the totals of earlier pieces are added afterwards.  The list of hot slices has
-at most ``rows / hot_rows`` entries (10^6 for 10^12 rows), which bounds its broadcast.
+Pieces are worked on in parallel; the totals of earlier pieces are added afterwards.  The list of large hours and
+the seconds named in it have at most ``rows / hot_rows`` entries (10^6 for 10^12 rows), which bounds its broadcast.
 """
 
 from __future__ import annotations
@@ -23,26 +23,33 @@ BLOCK_IDS = 1 << 20
 PIECE = ["_slice", "_instant", "_block"]
 
 
-def with_slice(events: DataFrame, ts: str = "event_ts") -> DataFrame:
-    return events.withColumn("_slice", F.date_trunc("second", F.col(ts)))
-
-
-def hot_slices(sliced: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.filter(F.col("_n") > hot_rows).select(*keys, "_slice", F.lit(True).alias("_hot"))
+def large_hours(events: DataFrame, keys: list[str], ts: str, hot_rows: int) -> DataFrame:
+    """Hours with more than ``hot_rows`` events, each with its seconds that alone have more."""
+    seconds = events.groupBy(*keys, F.date_trunc("second", F.col(ts)).alias("_second")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    hours = seconds.groupBy(*keys, F.date_trunc("hour", "_second").alias("_hour")).agg(
+        F.sum("_n").alias("_n"), F.collect_list(F.when(F.col("_n") > hot_rows, F.col("_second"))).alias("_hot"))
+    return hours.filter(F.col("_n") > hot_rows).drop("_n")
 
 
 def with_pieces(events: DataFrame, keys: list[str], *, ts: str = "event_ts", tie: str = "event_id",
                 hot_rows: int = HOT_ROWS, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Add the piece columns; ordering by (``ts``, ``tie``) is the order of pieces, then the order inside them.
 
-    ``keys``, ``ts`` and ``tie`` must not be null, and ``tie`` must be unique within an instant.
+    ``keys``, ``ts`` and ``tie`` must not be null, and ``tie`` must be unique within an instant.  ``_split`` tells
+    rows of a second that was cut by instant.
     """
-    sliced = with_slice(events, ts)
-    marked = sliced.join(F.broadcast(hot_slices(sliced, keys, hot_rows)), [*keys, "_slice"], "left")
-    return marked.withColumns({
-        "_instant": F.when(F.col("_hot"), F.col(ts)).otherwise(F.col("_slice")),
-        "_block": F.when(F.col("_hot"), F.floor(F.col(tie) / F.lit(block_ids))).otherwise(F.lit(0).cast("bigint")),
+    time = F.col(ts)
+    hourly = events.withColumn("_hour", F.date_trunc("hour", time))
+    marked = hourly.join(F.broadcast(large_hours(events, keys, ts, hot_rows)), [*keys, "_hour"], "left")
+    second = F.date_trunc("second", time)
+    split = F.coalesce(F.array_contains("_hot", second), F.lit(False))
+    sliced = marked.withColumns({
+        "_split": split, "_slice": F.when(F.col("_hot").isNull(), F.col("_hour")).otherwise(second),
+    }).drop("_hour", "_hot")
+    return sliced.withColumns({
+        "_instant": F.when(F.col("_split"), time).otherwise(F.col("_slice")),
+        "_block": F.when(F.col("_split"), F.floor(F.col(tie) / F.lit(block_ids))).otherwise(F.lit(0).cast("bigint")),
     })
 
 
@@ -64,7 +71,7 @@ def running_sum(events: DataFrame, delta: str, out: str, *, keys: list[str], ts:
     inside = W.partitionBy(*keys, *PIECE)
     if ties_share:
         frame = inside.orderBy(ts).rangeBetween(W.unboundedPreceding, 0)
-        value = F.when(F.col("_hot"), F.col("_through")).otherwise(F.col("_before") + F.col("_inside"))
+        value = F.when(F.col("_split"), F.col("_through")).otherwise(F.col("_before") + F.col("_inside"))
     else:
         frame = inside.orderBy(ts, tie).rowsBetween(W.unboundedPreceding, 0)
         value = F.col("_before") + F.col("_inside")

@@ -14,7 +14,7 @@ from lotflow.functions.timeparts import iso_ts, strict_ts
 
 def missing_field(fields: tuple[str, ...] = REQUIRED) -> Column:
     """``missing:<name>`` of the first null or empty field, else null."""
-    return F.coalesce(*[F.when(F.col(f).isNull() | (F.col(f) == ""), F.lit(f"missing:{f}")) for f in fields])
+    return F.coalesce(*[F.when(F.coalesce(F.col(f), F.lit("")) == "", F.lit(f"missing:{f}")) for f in fields])
 
 
 def standardise_names(events: DataFrame, *names: str) -> DataFrame:
@@ -38,7 +38,7 @@ def lot_on_campus(campus_lots: dict = CAMPUS_LOTS) -> Column:
 
 def acceptable_time(ts: Column, as_of: str) -> Column:
     """A readable instant at most one minute after ``as_of``."""
-    return ts.isNotNull() & (ts <= F.lit(as_of).cast("timestamp") + F.expr("INTERVAL 1 MINUTE"))
+    return F.coalesce(ts <= F.lit(as_of).cast("timestamp") + F.expr("INTERVAL 1 MINUTE"), F.lit(False))
 
 
 def validate(raw: DataFrame, as_of: str, campus_lots: dict = CAMPUS_LOTS) -> DataFrame:

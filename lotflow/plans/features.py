@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lotflow.domain import HOLIDAYS, as_dates
 from lotflow.functions.timeparts import day_of_week, hour_of_day, in_days, is_weekend
 from lotflow.operators.calendar import backfill_flags, calendar_of
-from lotflow.operators.grid import fill_grid, forward_fill, next_window_value
+from lotflow.operators.grid import dense_grid
 from lotflow.operators.occupancy import window_state
 from lotflow.operators.validate import drop_untimed
 from lotflow.sources.events import union_sources, unify_historical, unify_realtime
@@ -38,14 +38,10 @@ def training_features(events: DataFrame, holidays: list[str] = HOLIDAYS) -> Data
     cells = window_state(events)
     if "is_exam_week" not in cells.columns:
         cells = cells.withColumn("is_exam_week", F.lit(None).cast("boolean"))
-    filled = forward_fill(fill_grid(cells), "occupancy_now", "is_exam_week")
-    state = filled.fillna(0, subset=["occupancy_now", "departures"])
-    labelled = next_window_value(state, "occupancy_now", "occupancy_plus_15m")
     day = F.to_date("window_start")
-    return labelled.select(
+    return dense_grid(cells).select(
         "lot_id", "campus", F.col("window_start").alias("timestamp"), "occupancy_now",
         day_of_week(day).alias("day_of_week"), hour_of_day(F.col("window_start")).alias("hour_of_day"),
         in_days(day, as_dates(holidays)).alias("is_holiday"), is_weekend(day).alias("is_weekend"), "is_exam_week",
-        F.coalesce("occupancy_plus_15m", F.lit(0)).alias("occupancy_plus_15m"),
-        F.col("departures").alias("departures_in_15m"),
+        F.col("occupancy_next").alias("occupancy_plus_15m"), F.col("departures").alias("departures_in_15m"),
     )

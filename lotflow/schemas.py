@@ -40,6 +40,13 @@ CAPACITY = T.StructType([
     T.StructField("capacity", T.LongType(), False),
 ])
 
+SEMESTER = T.StructType([
+    T.StructField("semester", T.StringType(), False),
+    T.StructField("start", T.DateType(), False),
+    T.StructField("class_end", T.DateType(), False),
+    T.StructField("sem_end", T.DateType(), False),
+])
+
 CURRENT = T.StructType([
     T.StructField("lot_id", T.StringType()),
     T.StructField("campus_name", T.StringType()),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def local_session(app: str = "lotflow", cores: int | str = 8) -> SparkSession:
@@ -17,6 +18,7 @@ def local_session(app: str = "lotflow", cores: int | str = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.streaming.metricsEnabled", "false")
         .getOrCreate()
     )
@@ -26,11 +28,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options the operators rely on.
 
     All event times are UTC instants, so the session zone is pinned.  Adaptive execution coalesces small
-    shuffle partitions and splits skewed join partitions.
+    shuffle partitions and splits skewed join partitions.  Generated methods beyond 8,000 bytes are not compiled by
+    the JVM, so longer ones (the validation rules) run as separate operators instead.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
@@ -53,3 +57,11 @@ def use_checkpoints(spark: SparkSession) -> None:
     """Give ``DataFrame.checkpoint`` a reliable folder if the cluster has not done so."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small dimension as a VALUES list: planned as local data of known size, with no job to read it."""
+    names = ", ".join(f.name for f in schema.fields)
+    values = ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in rows)
+    typed = ", ".join(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields)
+    return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({names})")

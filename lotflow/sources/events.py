@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotflow.domain import capacity_rows
+from lotflow.domain import EXPORT_TS, capacity_rows
 from lotflow.functions.text import day_in_path, decode_record, standard_name
 from lotflow.functions.timeparts import strict_ts
 from lotflow.operators.calendar import FLAG_NAMES
 from lotflow.schemas import CAPACITY, CLEAN, FLAGS, HISTORICAL, WIRE
+from lotflow.session import literal_rows
 
 #: Landed events: wire fields with the folder columns ``lot_id`` and ``date``.
 LANDED = T.StructType([*[f for f in WIRE.fields if f.name != "lot_id"], T.StructField("lot_id", T.StringType()),
@@ -89,7 +90,7 @@ def union_sources(history: DataFrame, live: DataFrame) -> DataFrame:
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """CSV export of the historical log with a header line."""
-    return spark.read.schema(HISTORICAL).option("header", "true").csv(path)
+    return spark.read.schema(HISTORICAL).option("header", "true").option("timestampFormat", EXPORT_TS).csv(path)
 
 
 def decode_events(records: DataFrame, data: str = "data", schema: T.StructType = WIRE) -> DataFrame:
@@ -101,4 +102,4 @@ def decode_events(records: DataFrame, data: str = "data", schema: T.StructType =
 def capacity_table(spark: SparkSession, campus_lots: dict | None = None) -> DataFrame:
     """The lot dimension, one row per lot."""
     rows = capacity_rows(campus_lots) if campus_lots else capacity_rows()
-    return spark.createDataFrame(rows, CAPACITY)
+    return literal_rows(spark, rows, CAPACITY)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotflow.domain import EXPORT_TS
 from lotflow.functions.text import to_record
 
 
@@ -37,6 +38,11 @@ def export_training_csv(rows: DataFrame, label: str, features: list[str], path:
     rows.select(*numbers).write.mode("overwrite").option("header", "false").csv(path)
 
 
+def write_export(rows: DataFrame, path: str) -> None:
+    """CSV with a header line and times to the microsecond."""
+    rows.write.mode("overwrite").option("header", "true").option("timestampFormat", EXPORT_TS).csv(path)
+
+
 def convert_export(rows: DataFrame, path: str) -> None:
     """Historical rows as Parquet by campus and date."""
     dated = rows.withColumn("date", F.to_date("timestamp"))
