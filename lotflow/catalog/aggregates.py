@@ -43,7 +43,7 @@ def _(g):
 @query("history_rollup", """select lot_id, day_of_week, hour_of_day, average_occupancy_lot,
     average_occupancy_lot * cast(100 as double) / cast(lot_capacity as double) as average_occupancy_pct from hours""")
 def _(g):
-    return H.history_rollup(g.hours)
+    return H.history_rollup(g.stored("hours"))
 
 
 @query("window_state_15m", """select lot_id, campus, w as window_start, occ as occupancy_now, cast(exam as varchar) as is_exam_week, dep as departures
@@ -104,43 +104,43 @@ def _(g):
 
 @query("avg_by_hour", "select hour_of_day, avg(occupancy_now) as avg_occupancy_now from features group by 1")
 def _(g):
-    return X.mean_by(g.features, "hour_of_day")
+    return X.mean_by(g.stored("features"), "hour_of_day")
 
 
 @query("avg_by_weekday", "select day_of_week, avg(occupancy_now) as avg_occupancy_now from features group by 1")
 def _(g):
-    return X.mean_by(g.features, "day_of_week")
+    return X.mean_by(g.stored("features"), "day_of_week")
 
 
 @query("median_by_time", "select timestamp, median(occupancy_now) as median_occupancy from features group by 1")
 def _(g):
-    return X.median_by_time(g.features)
+    return X.median_by_time(g.stored("features"))
 
 
 @query("capacity_check", """select lot_id, max_occupancy, capacity, cast(max_occupancy > capacity as varchar) as over_capacity from
     (select lot_id, max(occupancy_now) as max_occupancy from features group by 1) left join (select lot_id, capacity from capacity) using (lot_id)""")
 def _(g):
-    return X.capacity_check(g.features, g.capacity)
+    return X.capacity_check(g.stored("features"), g.capacity)
 
 
 @query("over_capacity", """select lot_id, max_occupancy, capacity, 'true' as over_capacity from
     (select lot_id, max(occupancy_now) as max_occupancy from features group by 1)
     join (select lot_id, capacity from capacity) using (lot_id) where max_occupancy > capacity""")
 def _(g):
-    return X.over_capacity(g.features, g.capacity)
+    return X.over_capacity(g.stored("features"), g.capacity)
 
 
 @query("max_departures", """select lot_id, max(departures_in_15m) as max_departures from features group by 1
     union all select 'ALL', max(departures_in_15m) from features""")
 def _(g):
-    return X.max_departures(g.features)
+    return X.max_departures(g.stored("features"))
 
 
 @query("avg_by_flag", """select 'is_holiday' as flag, cast(is_holiday as varchar) as value, avg(occupancy_now) as avg_occupancy_now from features group by 2
     union all select 'is_weekend', cast(is_weekend as varchar), avg(occupancy_now) from features group by 2""")
 def _(g):
     def part(flag):
-        return X.mean_by(g.features, flag).select(F.lit(flag).alias("flag"), F.col(flag).cast("string").alias("value"), "avg_occupancy_now")
+        return X.mean_by(g.stored("features"), flag).select(F.lit(flag).alias("flag"), F.col(flag).cast("string").alias("value"), "avg_occupancy_now")
 
     return part("is_holiday").unionByName(part("is_weekend"))
 
@@ -149,7 +149,7 @@ def _(g):
     f"select '{f}' as flag, coalesce(cast({f} as varchar), 'null') as value, count(*) as n from features group by 2"
     for f in X.FLAGS))
 def _(g):
-    return X.flag_value_counts(g.features)
+    return X.flag_value_counts(g.stored("features"))
 
 
 COLUMNS = ["lot_id", "campus", "timestamp", "occupancy_now", "day_of_week", "hour_of_day", "is_holiday", "is_weekend",
@@ -160,20 +160,20 @@ COLUMNS = ["lot_id", "campus", "timestamp", "occupancy_now", "day_of_week", "hou
     f"select count(*) as n_rows, '{c}' as column_name, count(*) - count({c}) as nulls, 11 as n_columns from features"
     for c in COLUMNS))
 def _(g):
-    return X.null_counts(g.features)
+    return X.null_counts(g.stored("features"))
 
 
 @query("describe_holiday", """select count(occupancy_now) as n, round(avg(occupancy_now), 6) as mean, round(stddev(occupancy_now), 6) as std,
     min(occupancy_now) as min, quantile_cont(occupancy_now, 0.25) as p25, quantile_cont(occupancy_now, 0.5) as p50,
     quantile_cont(occupancy_now, 0.75) as p75, max(occupancy_now) as max from features where is_holiday""")
 def _(g):
-    rows = X.describe(g.features.filter("is_holiday"), "occupancy_now")
+    rows = X.describe(g.stored("features").filter("is_holiday"), "occupancy_now")
     return rows.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 @query("conditional_count", "select count(*) filter (where occupancy_now > 0) as n_positive from features where is_holiday")
 def _(g):
-    return X.positive_count(g.features.filter("is_holiday"), "occupancy_now")
+    return X.positive_count(g.stored("features").filter("is_holiday"), "occupancy_now")
 
 
 def _histogram_sql(value: str, bins: int) -> str:
@@ -184,18 +184,18 @@ def _histogram_sql(value: str, bins: int) -> str:
 
 @query("histogram_occupancy", _histogram_sql("occupancy_now", 50))
 def _(g):
-    return X.histogram(g.features, "occupancy_now", 50)
+    return X.histogram(g.stored("features"), "occupancy_now", 50)
 
 
 @query("histogram_departures", _histogram_sql("departures_in_15m", 30))
 def _(g):
-    return X.histogram(g.features, "departures_in_15m", 30)
+    return X.histogram(g.stored("features"), "departures_in_15m", 30)
 
 
 @query("boxplot_stats", """select lot_id, min(occupancy_now) as min, quantile_cont(occupancy_now, 0.25) as p25,
     quantile_cont(occupancy_now, 0.5) as p50, quantile_cont(occupancy_now, 0.75) as p75, max(occupancy_now) as max from features group by 1""")
 def _(g):
-    return X.boxplot_stats(g.features)
+    return X.boxplot_stats(g.stored("features"))
 
 
 CORR = [*X.NUMERIC, *X.FLAGS]
@@ -205,4 +205,4 @@ CORR = [*X.NUMERIC, *X.FLAGS]
     f"select '{a}' as a, '{b}' as b, round(corr(cast(cast({a} as int) as double), cast(cast({b} as int) as double)), 6) as r from features"
     for i, a in enumerate(CORR) for b in CORR[i:]))
 def _(g):
-    return X.correlation_matrix(g.features)
+    return X.correlation_matrix(g.stored("features"))

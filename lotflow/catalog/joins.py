@@ -60,7 +60,7 @@ def _(g):
 
 
 def _grid(g):
-    return g.features.select("lot_id", "campus", F.col("timestamp").alias("window_start"), "occupancy_now")
+    return g.stored("features").select("lot_id", "campus", F.col("timestamp").alias("window_start"), "occupancy_now")
 
 
 @query("label_occupancy_next", """select f.lot_id, f.campus, f.w as window_start, f.occ as occupancy_now, coalesce(n.occ, 0) as occupancy_plus_15m
@@ -135,7 +135,7 @@ def _(g):
         from recent group by 1) a using (lot_id)
     left join (select * from forecasts qualify row_number() over (partition by lot_id order by forecast_time desc) = 1) f using (lot_id)""")
 def _(g):
-    details = serving.lot_details(g.current, g.history, g.recent, g.forecasts, F.lit("Mon"), F.lit(9))
+    details = serving.lot_details(g.stored("current"), g.stored("history"), g.stored("recent"), g.stored("forecasts"), F.lit("Mon"), F.lit(9))
     thousandths = F.transform("chart", lambda p: F.round(p["pct"] * 1000).cast("bigint"))
     return details.select(
         "lot_id", "campus_name", "capacity", "current_occupancy", "avg_occ", "avg_dur",

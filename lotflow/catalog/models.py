@@ -8,7 +8,6 @@ from lotflow.operators.replay import capacity_replay, rejections_by_day
 from lotflow.plans import forecast as P
 from lotflow.schemas import FORECAST
 from lotflow.session import shared_dir, use_checkpoints
-from lotflow.sources.sinks import write_training_set
 from lotflow.sources.versions import read_latest
 
 FEATURES_SQL = """select lot_id, campus, timestamp, occupancy_now, day_of_week, hour_of_day, cast(is_holiday as varchar) as is_holiday,
@@ -27,13 +26,13 @@ ONE_HOT_SQL = ", ".join([f"cast(lot_id = '{v}' as int) as lot_id_{v}" for v in P
 @query("one_hot", f"select lot_id, timestamp, {ONE_HOT_SQL} from features")
 def _(g):
     names = [f"lot_id_{v}" for v in P.LOTS] + [f"campus_{v}" for v in P.CAMPUSES]
-    return P.one_hot(g.features).select("lot_id", "timestamp", *names)
+    return P.one_hot(g.stored("features")).select("lot_id", "timestamp", *names)
 
 
 @query("train_val_split", """select lot_id, timestamp, case when substr(md5(lot_id || '|' || strftime(timestamp, '%Y-%m-%d %H:%M')), 1, 4) < 'cccd'
     then 'train' else 'validation' end as part from features""")
 def _(g):
-    train, validation = P.split(g.features)
+    train, validation = P.split(g.stored("features"))
     keep = lambda rows, part: rows.select("lot_id", "timestamp", F.lit(part).alias("part"))
     return keep(train, "train").unionByName(keep(validation, "validation"))
 
@@ -44,14 +43,14 @@ SCORE_SQL = f"""select lot_id, campus_name as campus, capacity, current_occupanc
 
 @query("score_current", SCORE_SQL)
 def _(g):
-    return P.scoring_rows(g.current, AS_OF, **CALENDAR)
+    return P.scoring_rows(g.stored("current"), AS_OF, **CALENDAR)
 
 
 @query("feature_csv_row", "select lot_id, current_occupancy || ',3,0,0,0,0,' || "
        + " || ',' || ".join([f"cast(lot_id = '{v}' as int)" for v in P.LOTS] + [f"cast(campus_name = '{v}' as int)" for v in P.CAMPUSES])
        + " as payload from current")
 def _(g):
-    return P.scoring_csv(P.scoring_rows(g.current, AS_OF, **CALENDAR))
+    return P.scoring_csv(P.scoring_rows(g.stored("current"), AS_OF, **CALENDAR))
 
 
 #: Models fitted once per session and table set, and shared by the queries below.
@@ -59,14 +58,11 @@ _fitted: dict[tuple[str, str], tuple] = {}
 
 
 def _models(g):
-    """Both models on training rows written once, so that every round reads files and not the whole lineage."""
+    """Both models on the stored feature table, so that every round reads files and not the whole lineage."""
     key = (g.spark.sparkContext.applicationId, g.dir)
     if key not in _fitted:
         use_checkpoints(g.spark)
-        path = shared_dir(g.spark, "training")
-        features = g.features
-        write_training_set(features, path)
-        train, validation = P.split(g.spark.read.schema(features.schema).parquet(path))
+        train, validation = P.split(g.stored("features"))
         _fitted[key] = P.train_occupancy(train), P.train_departures(train), validation
     return _fitted[key]
 
@@ -74,7 +70,7 @@ def _models(g):
 @query("forecast")
 def _(g):
     occupancy, departures, _ = _models(g)
-    return P.forecast(g.current, occupancy, departures, AS_OF, **CALENDAR)
+    return P.forecast(g.stored("current"), occupancy, departures, AS_OF, **CALENDAR)
 
 
 @query("forecast_cycle")
@@ -83,7 +79,7 @@ def _(g):
     root = shared_dir(g.spark, "forecasts")
     for minute in ("00:02:00", "00:15:30", "00:31:00", "00:44:00"):
         as_of = f"2024-01-30 {minute}"
-        P.forecast_cycle(g.current, occupancy, departures, as_of, root, **CALENDAR)
+        P.forecast_cycle(g.stored("current"), occupancy, departures, as_of, root, **CALENDAR)
     return read_latest(g.spark, root, FORECAST)
 
 

@@ -24,37 +24,37 @@ def _(g):
 @query("lots_by_campus", """select *, cast(round_even(occupancy_rate * cast(100 as double), 2) as double) as occupancy_rate_pct
     from snapshot order by lot_id""")
 def _(g):
-    return V.lots_by_campus(g.current)
+    return V.lots_by_campus(g.stored("current"))
 
 
 @query("lots_of_one_campus", """select *, cast(round_even(occupancy_rate * cast(100 as double), 2) as double) as occupancy_rate_pct
     from snapshot where campus_name = 'SURREY' order by lot_id""")
 def _(g):
-    return V.lots_by_campus(g.current, "surrey")
+    return V.lots_by_campus(g.stored("current"), "surrey")
 
 
 @query("recent_activity", """select event_id, lot_id, campus_name, event_type, event_timestamp, strftime(event_timestamp, '%Y-%m-%d') as date,
     strftime(event_timestamp, '%H:%M:%S') as time, event_type as event from recent where lot_id = 'NORTH'
     order by event_timestamp desc, event_id desc limit 10""")
 def _(g):
-    return V.recent_activity(g.recent, "NORTH")
+    return V.recent_activity(g.stored("recent"), "NORTH")
 
 
 @query("history_for_weekday", """select hour_of_day, average_occupancy_lot, peak_spikes_count from history
     where lot_id = 'NORTH' and day_of_week = 'Wed' order by hour_of_day""")
 def _(g):
-    return V.history_for_weekday(g.history, "NORTH", "Wed")
+    return V.history_for_weekday(g.stored("history"), "NORTH", "Wed")
 
 
 @query("latest_forecast", "select * from forecasts qualify row_number() over (partition by lot_id order by forecast_time desc) = 1")
 def _(g):
-    return V.latest_forecast(g.forecasts)
+    return V.latest_forecast(g.stored("forecasts"))
 
 
 @query("current_hour_metrics", """select c.lot_id, coalesce(average_occupancy_lot, 0) as avg_occ, coalesce(average_duration_minutes, 0) as avg_dur
     from capacity c left join (select * from history where day_of_week = 'Sat' and hour_of_day = 4) h using (lot_id)""")
 def _(g):
-    return V.current_hour_metrics(g.capacity, g.history, F.lit("Sat"), F.lit(4))
+    return V.current_hour_metrics(g.capacity, g.stored("history"), F.lit("Sat"), F.lit(4))
 
 
 KEY_SQL = "lot_id || '|' || strftime(timestamp, '%Y-%m-%d %H:%M')"
@@ -63,12 +63,12 @@ KEY_SQL = "lot_id || '|' || strftime(timestamp, '%Y-%m-%d %H:%M')"
 @query("sample_rows", f"select lot_id, timestamp, occupancy_now, occupancy_plus_15m from features order by md5({KEY_SQL}) limit 5000")
 def _(g):
     key = F.concat_ws("|", F.col("lot_id"), F.date_format("timestamp", "yyyy-MM-dd HH:mm"))
-    return X.sample_rows(g.features.select("lot_id", "timestamp", "occupancy_now", "occupancy_plus_15m"), key, 5000)
+    return X.sample_rows(g.stored("features").select("lot_id", "timestamp", "occupancy_now", "occupancy_plus_15m"), key, 5000)
 
 
 @query("lot_timeline", "select timestamp, occupancy_now from features where lot_id = 'EAST' order by 1")
 def _(g):
-    return X.lot_timeline(g.features, "EAST").select("timestamp", "occupancy_now")
+    return X.lot_timeline(g.stored("features"), "EAST").select("timestamp", "occupancy_now")
 
 
 @query("due_events", f"select event_id, event_ts from pe where event_ts <= timestamp '{AS_OF}' order by event_ts, event_id limit 50")
@@ -134,15 +134,15 @@ MERGED_FORECAST_SQL = f"""(select * replace (case when run_time >= timestamp '{S
 
 def _rerun(g):
     """Later runs made again with other numbers."""
-    later = g.forecasts.filter(F.col("run_time") >= F.lit(SWITCH).cast("timestamp"))
+    later = g.stored("forecasts").filter(F.col("run_time") >= F.lit(SWITCH).cast("timestamp"))
     return later.withColumn("predicted_num_departures", F.col("predicted_num_departures") + 1)
 
 
 @query("merge_forecast", f"select * from {MERGED_FORECAST_SQL}")
 def _(g):
-    return M.merge_forecast(g.forecasts, _rerun(g))
+    return M.merge_forecast(g.stored("forecasts"), _rerun(g))
 
 
 @query("save_forecast", f"select * from {MERGED_FORECAST_SQL} qualify row_number() over (partition by lot_id order by run_time desc) <= 5")
 def _(g):
-    return M.merge_forecast(g.forecasts, _rerun(g), keep=5)
+    return M.merge_forecast(g.stored("forecasts"), _rerun(g), keep=5)

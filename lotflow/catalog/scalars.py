@@ -37,7 +37,7 @@ def _(g):
 @query("occupancy_ratios", """select lot_id, timestamp, cast(occupancy_now as double) / cast(capacity as double) as occupancy_rate,
     capacity - occupancy_now as free_spots from features join capacity using (lot_id)""")
 def _(g):
-    rows = g.features.join(F.broadcast(g.capacity.select("lot_id", "capacity")), "lot_id")
+    rows = g.stored("features").join(F.broadcast(g.capacity.select("lot_id", "capacity")), "lot_id")
     occupied, capacity = F.col("occupancy_now"), F.col("capacity")
     return rows.select("lot_id", "timestamp", N.occupancy_rate(occupied, capacity).alias("occupancy_rate"),
                        N.free_spots(occupied, capacity).alias("free_spots"))
@@ -46,7 +46,7 @@ def _(g):
 @query("occupancy_rate_pct", """select lot_id, timestamp, cast(round_even(cast(occupancy_now as double) / cast(capacity as double)
     * cast(100 as double), 2) as double) as occupancy_rate_pct from features join capacity using (lot_id)""")
 def _(g):
-    rows = g.features.join(F.broadcast(g.capacity.select("lot_id", "capacity")), "lot_id")
+    rows = g.stored("features").join(F.broadcast(g.capacity.select("lot_id", "capacity")), "lot_id")
     rate = N.occupancy_rate(F.col("occupancy_now"), F.col("capacity"))
     return rows.select("lot_id", "timestamp", N.rate_pct(rate).alias("occupancy_rate_pct"))
 
@@ -62,7 +62,7 @@ def _(g):
 
 @query("hour_label", "select lot_id, day_of_week, hour_of_day, printf('%02d:00', hour_of_day) as label from history")
 def _(g):
-    return g.history.select("lot_id", "day_of_week", "hour_of_day", X.hour_label(F.col("hour_of_day")).alias("label"))
+    return g.stored("history").select("lot_id", "day_of_week", "hour_of_day", X.hour_label(F.col("hour_of_day")).alias("label"))
 
 
 @query("event_time_text", "select event_id, strftime(event_ts, '%Y-%m-%d') as date, strftime(event_ts, '%H:%M:%S') as time from pe")
@@ -77,7 +77,7 @@ PCT = "case when capacity > 0 then greatest(cast(0 as double), least(cast(100 as
     when pct >= 70 then 'BUSY' when pct >= 40 then 'MODERATE' when pct >= 10 then 'LIGHT' when pct > 0 then 'VERY LIGHT' else 'EMPTY' end as judgement
     from (select lot_id, timestamp, {PCT} as pct from features join capacity using (lot_id))""")
 def _(g):
-    rows = g.features.join(F.broadcast(g.capacity.select("lot_id", "capacity")), "lot_id")
+    rows = g.stored("features").join(F.broadcast(g.capacity.select("lot_id", "capacity")), "lot_id")
     pct = N.fill_pct(F.col("occupancy_now"), F.col("capacity"))
     return rows.select("lot_id", "timestamp", pct.alias("pct"), N.judgement(pct).alias("judgement"))
 
@@ -88,14 +88,14 @@ def _(g):
     when current_occupancy >= 0.4 * capacity then 'MODERATE' when current_occupancy >= 0.1 * capacity then 'LIGHT'
     when current_occupancy > 0 then 'VERY LIGHT' else 'EMPTY' end as judgement from current""")
 def _(g):
-    return serving.live_status(g.current)
+    return serving.live_status(g.stored("current"))
 
 
 @query("display_text", """select lot_id, day_of_week, hour_of_day, (m // 60) || 'h ' || (m % 60) || 'm' as stay,
     cast(floor(average_occupancy_lot + 0.5) as bigint) || '%' as occupancy, greatest(cast(0 as double), least(cast(100 as double), average_occupancy_lot)) as chart_value
     from (select *, cast(floor(coalesce(average_duration_minutes, 0) + 0.5) as bigint) as m from history)""")
 def _(g):
-    return g.history.select(
+    return g.stored("history").select(
         "lot_id", "day_of_week", "hour_of_day", X.stay_text(F.col("average_duration_minutes")).alias("stay"),
         X.pct_text(F.col("average_occupancy_lot")).alias("occupancy"),
         N.clamp(F.col("average_occupancy_lot"), F.lit(0.0), F.lit(100.0)).alias("chart_value"),
@@ -126,5 +126,5 @@ def _(g):
 
 @query("peak_ratio", "select lot_id, day_of_week, hour_of_day, cast(max_occupancy_hourly as double) / cast(lot_capacity as double) as ratio from hours")
 def _(g):
-    return g.hours.select("lot_id", "day_of_week", "hour_of_day",
+    return g.stored("hours").select("lot_id", "day_of_week", "hour_of_day",
                           N.peak_ratio(F.col("max_occupancy_hourly"), F.col("lot_capacity")).alias("ratio"))

@@ -15,31 +15,18 @@ from lotflow.sources import events as E
 from lotflow.sources import sinks as K
 from lotflow.sources import versions as R
 
-#: Folders written once per session and table set, and shared by the read queries.
-_written: dict[tuple[str, str, str], str] = {}
-
-
-def _once(g, kind: str, write) -> str:
-    key = (g.spark.sparkContext.applicationId, g.dir, kind)
-    if key not in _written:
-        path = shared_dir(g.spark, kind)
-        write(path)
-        _written[key] = path
-    return _written[key]
-
-
 def landed(g) -> str:
     tidy = g.raw.withColumn("lot_id", F.upper("lot_id"))
-    return _once(g, "landed", lambda path: K.write_landed(tidy.select(*WIRE.fieldNames(), "date"), path))
+    return g.once("landed", lambda path: K.write_landed(tidy.select(*WIRE.fieldNames(), "date"), path))
 
 
 def cleaned(g) -> str:
-    return _once(g, "cleaned", lambda path: K.write_clean(g.clean, path))
+    return g.once("cleaned", lambda path: K.write_clean(g.clean, path))
 
 
 def exported(g) -> str:
     rows = g.historical.select(*HISTORICAL.fieldNames())
-    return _once(g, "export", lambda path: K.write_export(rows, path))
+    return g.once("export", lambda path: K.write_export(rows, path))
 
 
 @query("scan_day", "select session_id, timestamp, event_type, upper(lot_id) as lot_id, campus from raw where date = date '2024-01-17'")
@@ -83,7 +70,7 @@ def _(g):
     cast(date as varchar) as date, cast(is_holiday as varchar) as is_holiday from pe join histdays using (date)
     where event_ts < timestamp '2024-01-23 12:00:00'""")
 def _(g):
-    path = _once(g, "historical", lambda p: K.convert_export(E.read_export(g.spark, exported(g)), p))
+    path = g.once("historical", lambda p: K.convert_export(E.read_export(g.spark, exported(g)), p))
     rows = E.scan_historical(g.spark, path)
     return rows.select("session_id", F.col("event_ts").alias("timestamp"), "student_id", "campus", "date", "is_holiday")
 
@@ -91,7 +78,7 @@ def _(g):
 @query("scan_historical", """select session_id, event_ts, lot_id, campus, event_type, cast(student_id as int) as student_id
     from pe where event_ts < timestamp '2024-01-23 12:00:00'""")
 def _(g):
-    path = _once(g, "historical", lambda p: K.convert_export(E.read_export(g.spark, exported(g)), p))
+    path = g.once("historical", lambda p: K.convert_export(E.read_export(g.spark, exported(g)), p))
     return E.scan_historical(g.spark, path).select("session_id", "event_ts", "lot_id", "campus", "event_type", "student_id")
 
 

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from lotflow.catalog.base import query
-from lotflow.catalog.storage import _once
 from lotflow.fixtures import AS_OF
 from lotflow.schemas import CURRENT, FORECAST, RECENT, WIRE
 from lotflow.session import shared_dir
@@ -26,7 +25,7 @@ def day_files(g) -> str:
             for part in fs.listStatus(jvm.Path(folder)):
                 fs.setTimes(part.getPath(), 1_700_000_000_000 + i * 60_000, -1)
 
-    return _once(g, "records", write)
+    return g.once("records", write)
 
 
 def _records(g):

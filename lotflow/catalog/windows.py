@@ -36,7 +36,7 @@ def _(g):
 
 @query("forecast_retention", "select * from forecasts qualify row_number() over (partition by lot_id order by run_time desc) <= 5")
 def _(g):
-    return newest_per_lot(g.forecasts, "run_time", 5)
+    return newest_per_lot(g.stored("forecasts"), "run_time", 5)
 
 
 @query("clamped_occupancy", """select lot_id, event_ts, event_id, occupancy from (select lot_id, unnest(ts) as event_ts, unnest(ids) as event_id,
@@ -63,5 +63,5 @@ def _(g):
 @query("next_window_value", """select lot_id, campus, w as window_start, occ as occupancy_now,
     coalesce(lead(occ) over (partition by lot_id, campus order by w), -1) as next_value from filled""")
 def _(g):
-    grid = g.features.select("lot_id", "campus", F.col("timestamp").alias("window_start"), "occupancy_now")
+    grid = g.stored("features").select("lot_id", "campus", F.col("timestamp").alias("window_start"), "occupancy_now")
     return G.next_window_value(grid, "occupancy_now", "next_value").withColumn("next_value", F.coalesce("next_value", F.lit(-1)))

@@ -22,6 +22,7 @@ from lotflow.operators.sessions import impute_departures
 from lotflow.operators.validate import accepted, validate
 from lotflow.plans.features import training_features, unified_log
 from lotflow.schemas import FLAGS
+from lotflow.session import shared_dir
 from lotflow.sources.events import capacity_table
 
 AS_OF = "2024-01-30 00:00:00"
@@ -37,6 +38,10 @@ SEMESTERS = [("Spring 2024", "2024-01-02", "2024-01-20", "2024-01-27")]
 CALENDAR = {"semesters": SEMESTERS, "holidays": HOLIDAYS}
 
 
+#: Folders written so far, per session, table set and kind.
+_written: dict[tuple[str, str, str], str] = {}
+
+
 class Given:
     """The driver's tables and the frames derived from them; every property is lazy."""
 
@@ -44,6 +49,21 @@ class Given:
         self.spark = spark
         self.dir = sf_dir
 
+    def once(self, kind: str, write) -> str:
+        """A shared folder filled by ``write(path)`` the first time it is asked for."""
+        key = (self.spark.sparkContext.applicationId, self.dir, kind)
+        if key not in _written:
+            path = shared_dir(self.spark, kind)
+            write(path)
+            _written[key] = path
+        return _written[key]
+
+    def stored(self, name: str) -> DataFrame:
+        """The named frame as a stored table: what the serving and exploration queries read."""
+        frame = getattr(self, name)
+        path = self.once(f"table-{name}", frame.write.parquet)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -173,7 +193,7 @@ class Given:
     @property
     def forecasts(self) -> DataFrame:
         """A "no change" forecast from every feature row."""
-        rows = self.features.join(F.broadcast(self.capacity.select("lot_id", "capacity")), "lot_id")
+        rows = self.stored("features").join(F.broadcast(self.capacity.select("lot_id", "capacity")), "lot_id")
         count = F.greatest(F.lit(0), F.least(F.col("occupancy_now"), F.col("capacity")))
         return rows.select(
             "lot_id", shift(F.col("timestamp"), minutes=15).alias("forecast_time"), F.col("timestamp").alias("run_time"),

@@ -42,6 +42,13 @@ def write_version(table: DataFrame, root: str, version: int) -> None:
     table.write.mode("overwrite").parquet(_folder(root, version))
 
 
+def expire(spark: SparkSession, root: str, keep: int = 20) -> None:
+    """Remove all but the newest ``keep`` finished versions."""
+    fs, _ = _files(spark, root)
+    for version in finished(spark, root)[:-keep]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(_folder(root, version)), True)
+
+
 def add_version(table: DataFrame, root: str) -> int:
     """Write the next version after the newest finished one."""
     known = finished(table.sparkSession, root)

@@ -19,7 +19,7 @@ from lotflow.operators.occupancy import day_runs, lot_runs
 from lotflow.operators.serving import newest_per_lot, recent_events
 from lotflow.operators.validate import accepted, validate
 from lotflow.schemas import CURRENT, RECENT, WIRE
-from lotflow.sources.versions import finished, read_latest, write_version
+from lotflow.sources.versions import expire, finished, read_latest, write_version
 
 #: Stream records: wire fields and the position the stream gave them.
 RECORD = T.StructType([*WIRE.fields, T.StructField("event_id", T.LongType())])
@@ -72,6 +72,7 @@ def _versioned(root: str, merge: Callable[[DataFrame, int], DataFrame]) -> Calla
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if batch_id not in finished(batch.sparkSession, root):
             write_version(merge(batch, batch_id), root, batch_id)
+            expire(batch.sparkSession, root)
 
     return on_batch
 
