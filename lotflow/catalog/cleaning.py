@@ -159,7 +159,7 @@ def _(g):
     where lot_id = 'EAST' and day_of_week = 'Tue' and hour_of_day = 10""")
 def _(g):
     wanted = (F.col("lot_id") == "EAST") & (F.col("day_of_week") == "Tue") & (F.col("hour_of_day") == 10)
-    return g.history.filter(wanted).drop("peak_spikes_count")
+    return g.stored("history").filter(wanted).drop("peak_spikes_count")
 
 
 @query("local_time", "select event_id, timezone('America/Vancouver', timezone('UTC', event_ts)) as local_ts from pe")

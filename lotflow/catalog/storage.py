@@ -128,7 +128,7 @@ def _(g):
     peak_spikes_count from history""")
 def _(g):
     staging, root = shared_dir(g.spark, "staging"), shared_dir(g.spark, "history")
-    new = stored_history(g.history)
+    new = stored_history(g.stored("history"))
     new.write.mode("overwrite").parquet(staging)
     staged = g.spark.read.schema(new.schema).parquet(staging)
     # The second merge replaces every row by itself.
@@ -144,7 +144,7 @@ def _(g):
     name = "hourly_" + location[-8:]
     R.declare_table(g.spark, name, HISTORY, location)
     R.declare_table(g.spark, name, HISTORY, location)
-    stored_history(g.history).write.insertInto(name)
+    stored_history(g.stored("history")).write.insertInto(name)
     return g.spark.table(name).select("lot_id", "day_of_week", "hour_of_day", "peak_spikes_count")
 
 
@@ -152,7 +152,7 @@ def _(g):
     substr(md5(lot_id || '|' || strftime(timestamp, '%Y-%m-%d %H:%M')), 1, 4) < 'cccd'""")
 def _(g):
     path = shared_dir(g.spark, "csv")
-    rows = model_matrix(g.features).filter(in_training(row_key()))
+    rows = model_matrix(g.stored("features")).filter(in_training(row_key()))
     K.export_training_csv(rows, "occupancy_plus_15m", MODEL_FEATURES, path)
     names = ["label", *MODEL_FEATURES]
     back = g.spark.read.schema(", ".join(f"{n} bigint" for n in names)).csv(path)

@@ -28,6 +28,7 @@ from lotflow.sources.events import capacity_table
 AS_OF = "2024-01-30 00:00:00"
 SWITCH = "2024-01-23 12:00:00"
 LOTS = ["NORTH", "EAST", "CENTRAL", "WEST", "SOUTH", "SRYC", "SRYE"]
+WHO = ["session_id", "lot_id", "campus", "student_id", "plate_number"]
 #: Lots of a size that the fixture fills.
 SMALL_LOTS = {
     "BURNABY": {"NORTH": 20, "EAST": 15, "CENTRAL": 6, "WEST": 5, "SOUTH": 4}, "SURREY": {"SRYC": 5, "SRYE": 5},
@@ -67,8 +68,9 @@ class Given:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _parked(self, source: DataFrame, fields) -> DataFrame:
-        """``fields(event_id, event_ts, event_type)`` gives the columns of one event from its source row."""
+    @staticmethod
+    def _rows(source: DataFrame, fields, *kept: Column) -> DataFrame:
+        """One row per event; ``fields(event_id, event_ts, event_type)`` gives the columns that differ by event."""
         ts = F.col("ts").cast("timestamp")
         stay = F.floor(F.col("value") * F.lit(240.0))
         left = F.timestamp_micros(F.unix_micros(ts) + stay * F.lit(1_000_000))
@@ -76,26 +78,26 @@ class Given:
         first = F.struct(*fields(F.col("event_id") * 2, ts, kind))
         second = F.struct(*fields(F.col("event_id") * 2 + 1, left, F.lit("DEPARTURE")))
         both = F.when(F.col("event_type").isin("click", "view", "purchase"), F.array(first, second)).otherwise(F.array(first))
-        return source.select(F.explode(both).alias("e")).select("e.*")
+        return source.select(*kept, F.explode(both).alias("e")).select("e.*", *WHO[: len(kept)])
 
     @staticmethod
-    def _whose(event_id: Column, event_ts: Column, event_type: Column) -> dict[str, Column]:
+    def _who() -> list[Column]:
         place = (F.col("user_id") % 7).cast("int")
-        return {
-            "event_id": event_id, "event_ts": event_ts, "event_type": event_type,
-            "session_id": F.concat(F.lit("S"), F.col("event_id").cast("string")),
-            "lot_id": F.element_at(F.array(*[F.lit(x) for x in LOTS]), place + 1),
-            "campus": F.when(place < 5, "BURNABY").otherwise("SURREY"),
-            "student_id": F.col("user_id").cast("string"),
-            "plate_number": F.concat(F.lit("P"), F.col("user_id").cast("string")),
-            "date": F.to_date(event_ts),
-        }
+        return [
+            F.concat(F.lit("S"), F.col("event_id").cast("string")).alias("session_id"),
+            F.element_at(F.array(*[F.lit(x) for x in LOTS]), place + 1).alias("lot_id"),
+            F.when(place < 5, "BURNABY").otherwise("SURREY").alias("campus"),
+            F.col("user_id").cast("string").alias("student_id"),
+            F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("plate_number"),
+        ]
 
     @property
     def pe(self) -> DataFrame:
         """Clean events with their own date."""
         source = self.table("events").filter(F.col("event_type") != "error")
-        return self._parked(source, lambda *event: [c.alias(n) for n, c in self._whose(*event).items()])
+        event = lambda event_id, event_ts, event_type: [
+            event_id.alias("event_id"), event_ts.alias("event_ts"), event_type.alias("event_type")]
+        return self._rows(source, event, *self._who()).withColumn("date", F.to_date("event_ts"))
 
     @property
     def pe_min(self) -> DataFrame:
@@ -113,21 +115,19 @@ class Given:
         """Events as sent: text, untidy names, and some fields broken on the way.  No event is left out."""
 
         def as_sent(event_id: Column, event_ts: Column, event_type: Column) -> list[Column]:
-            who = self._whose(event_id, event_ts, event_type)
+            session, lot, campus, student, plate = self._who()
             text = F.date_format(event_ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-            campus = F.concat(F.lower(who["campus"]), F.lit(" "))
             broken = lambda n: event_id % n == 0
-            sent = {
-                "event_id": event_id, "session_id": who["session_id"],
-                "timestamp": F.when(broken(83), "not-a-time").otherwise(text),
-                "event_type": F.concat(F.lit(" "), F.lower(event_type)), "lot_id": F.lower(who["lot_id"]),
-                "campus": F.when(broken(89), "surrey").when(broken(101), "victoria").otherwise(campus),
-                "student_id": who["student_id"],
-                "plate_number": F.when(broken(97), "").otherwise(who["plate_number"]), "date": who["date"],
-            }
-            return [c.alias(n) for n, c in sent.items()]
-
-        return self._parked(self.table("events"), as_sent)
+            names = F.when(broken(89), "surrey").when(broken(101), "victoria").otherwise(F.concat(F.lower(campus), F.lit(" ")))
+            return [
+                event_id.alias("event_id"), session.alias("session_id"),
+                F.when(broken(83), "not-a-time").otherwise(text).alias("timestamp"),
+                F.concat(F.lit(" "), F.lower(event_type)).alias("event_type"), F.lower(lot).alias("lot_id"),
+                names.alias("campus"), student.alias("student_id"),
+                F.when(broken(97), "").otherwise(plate).alias("plate_number"), F.to_date(event_ts).alias("date"),
+            ]
+
+        return self._rows(self.table("events"), as_sent)
 
     @property
     def checked(self) -> DataFrame:

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotflow.domain import HOLIDAYS, KEEP_PER_LOT, MODEL_FEATURES, SEMESTERS
+from lotflow.domain import HOLIDAYS, KEEP_PER_LOT, MODEL_FEATURES, SEMESTERS, as_dates
 from lotflow.functions.numbers import predicted_count, predicted_share
 from lotflow.functions.text import csv_row
-from lotflow.functions.timeparts import day_of_week, grid_floor, hour_of_day, shift
-from lotflow.operators.calendar import with_day_flags
+from lotflow.functions.timeparts import day_of_week, grid_floor, hour_of_day, in_days, is_weekend, shift
+from lotflow.operators.calendar import semester_dates
 from lotflow.operators.merge import merge_forecast
+from lotflow.plans.poisson_trees import PoissonTrees, fit_poisson_trees
 from lotflow.schemas import FORECAST
 from lotflow.sources.versions import add_version, read_latest
 
@@ -66,15 +66,22 @@ def train_occupancy(features: DataFrame, rounds: int = ROUNDS) -> PipelineModel:
     return Pipeline(stages=[_assembler(), trees]).fit(model_matrix(features))
 
 
-def train_departures(features: DataFrame) -> PipelineModel:
-    """Poisson regression with a log link: a count model for departures."""
+def train_departures(features: DataFrame, rounds: int = ROUNDS) -> PoissonTrees:
+    """Boosted trees on the Poisson likelihood, with the settings of the occupancy model."""
+    return fit_poisson_trees(model_matrix(features), ["lot_id", "timestamp"], MODEL_FEATURES, "departures_in_15m",
+                             "departures_raw", rounds=rounds, depth=DEPTH, step=STEP, subsample=SUBSAMPLE,
+                             min_rows=MIN_CHILD)
+
+
+def train_departures_linear(features: DataFrame) -> PipelineModel:
+    """Poisson regression with a log link: a quick count model to compare with."""
     poisson = GeneralizedLinearRegression(featuresCol="inputs", labelCol="departures_in_15m",
                                           predictionCol="departures_raw", family="poisson", link="log",
                                           regParam=0.01, maxIter=25)
     return Pipeline(stages=[_assembler(), poisson]).fit(model_matrix(features))
 
 
-def evaluate(model: PipelineModel, rows: DataFrame, label: str, prediction: str) -> dict[str, float]:
+def evaluate(model: PipelineModel | PoissonTrees, rows: DataFrame, label: str, prediction: str) -> dict[str, float]:
     scored = model.transform(model_matrix(rows)).select(label, prediction)
     return {m: RegressionEvaluator(labelCol=label, predictionCol=prediction, metricName=m).evaluate(scored)
             for m in ("rmse", "mae")}
@@ -84,11 +91,16 @@ def scoring_rows(current: DataFrame, as_of: str, semesters: list[tuple] = SEMEST
                  holidays: list[str] = HOLIDAYS) -> DataFrame:
     """One input row per lot of the live snapshot, with the calendar functions used for training."""
     ts = F.lit(as_of).cast("timestamp")
+    day = F.to_date(ts)
+    # One date for all lots: its period is a scalar, not a join.
+    period = semester_dates(current.sparkSession, semesters, holidays).filter(F.col("date") == day).select("period").scalar()
     rows = current.select("lot_id", F.col("campus_name").alias("campus"), "capacity",
-                          F.col("current_occupancy").alias("occupancy_now"), F.to_date(ts).alias("date"))
-    flagged = with_day_flags(rows, semesters, holidays)
-    timed = flagged.withColumns({"day_of_week": day_of_week(F.col("date")), "hour_of_day": hour_of_day(ts)})
-    return model_matrix(timed).select("lot_id", "campus", "capacity", *[c for c in MODEL_FEATURES])
+                          F.col("current_occupancy").alias("occupancy_now"))
+    timed = rows.withColumns({
+        "day_of_week": day_of_week(day), "hour_of_day": hour_of_day(ts), "is_holiday": in_days(day, as_dates(holidays)),
+        "is_weekend": is_weekend(day), "is_exam_week": period == "exam",
+    })
+    return model_matrix(timed).select("lot_id", "campus", "capacity", *MODEL_FEATURES)
 
 
 def scoring_csv(rows: DataFrame) -> DataFrame:
@@ -107,14 +119,14 @@ def finish(scored: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def forecast(current: DataFrame, occupancy: PipelineModel, departures: PipelineModel, as_of: str, **calendar) -> DataFrame:
+def forecast(current: DataFrame, occupancy: PipelineModel, departures: PipelineModel | PoissonTrees, as_of: str, **calendar) -> DataFrame:
     """Both predictions for every lot, 15 minutes ahead; one frame runs through both models, so rows keep their key."""
     rows = scoring_rows(current, as_of, **calendar)
     with_occupancy = occupancy.transform(rows).drop("inputs")
     return finish(departures.transform(with_occupancy), as_of)
 
 
-def forecast_cycle(current: DataFrame, occupancy: PipelineModel, departures: PipelineModel, as_of: str, root: str,
+def forecast_cycle(current: DataFrame, occupancy: PipelineModel, departures: PipelineModel | PoissonTrees, as_of: str, root: str,
                    **calendar) -> None:
     """One scheduled run: score, replace by (lot, target time), keep the newest runs per lot."""
     new = forecast(current, occupancy, departures, as_of, **calendar)
