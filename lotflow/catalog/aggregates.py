@@ -21,7 +21,7 @@ def _(g):
 
 @query("session_durations", "select session_id, duration_seconds, duration_seconds / cast(60 as double) as duration_minutes from durations")
 def _(g):
-    return S.session_durations(g.clean)
+    return S.session_durations(g.stored("clean"))
 
 
 @query("first_of_each", """select session_id, event_type, event_ts, event_id from pe_dup

@@ -28,7 +28,7 @@ def _(g):
 
 @query("attach_duration", "select c.session_id, event_type, event_ts, duration_seconds from clean c left join durations using (session_id)")
 def _(g):
-    return S.attach_duration(g.clean).select("session_id", "event_type", "event_ts", "duration_seconds")
+    return S.attach_duration(g.stored("clean")).select("session_id", "event_type", "event_ts", "duration_seconds")
 
 
 @query("attach_capacity", "select event_id, n.lot_id, coalesce(capacity, -1) as capacity from named n left join capacity using (lot_id)")

@@ -102,7 +102,7 @@ def _(g):
 
 def _half(g, early: bool):
     day = F.col("date") < F.lit(BREAK).cast("date")
-    return peak_spikes(hourly_metrics(g.clean.filter(day if early else ~day), g.capacity))
+    return peak_spikes(hourly_metrics(g.stored("clean").filter(day if early else ~day), g.capacity))
 
 
 def _history_sql(part: str) -> str:

@@ -82,6 +82,11 @@ def _(g):
     return E.scan_historical(g.spark, path).select("session_id", "event_ts", "lot_id", "campus", "event_type", "student_id")
 
 
+@query("land_events", "select session_id, timestamp, event_type, upper(lot_id) as lot_id, campus, cast(date as varchar) as date from raw")
+def _(g):
+    return g.spark.read.schema(E.LANDED).parquet(landed(g)).select("session_id", "timestamp", "event_type", "lot_id", "campus", "date")
+
+
 @query("decode_events", """select event_id, case when event_id % 83 = 0 then null else session_id end as session_id,
     case when event_id % 83 = 0 then null else timestamp end as timestamp, cast(event_id % 83 = 0 as varchar) as bad from raw""")
 def _(g):

@@ -97,7 +97,7 @@ def _(g):
 
 @query("stream_window_15m", """select lot_id, w as window_start, count(*) as departures_in_15m from
     (select lot_id, time_bucket(interval 15 minutes, event_ts) as w from valid where event_type = 'DEPARTURE')
-    where w + interval 15 minutes <= (select max(event_ts) - interval 10 minutes from valid) group by 1, 2""")
+    where w + interval 15 minutes <= (select max(event_ts) - interval 10 minutes from valid where event_type = 'DEPARTURE') group by 1, 2""")
 def _(g):
     path, checkpoint = _dirs(g, "windows", "checkpoint")
     J.departures_per_window(J.accepted_events(_records(g), AS_OF), path, checkpoint).awaitTermination()

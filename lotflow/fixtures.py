@@ -176,7 +176,7 @@ class Given:
 
     @property
     def hours(self) -> DataFrame:
-        return hourly_metrics(self.clean, self.capacity)
+        return hourly_metrics(self.stored("clean"), self.capacity)
 
     @property
     def history(self) -> DataFrame:

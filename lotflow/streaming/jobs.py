@@ -117,7 +117,7 @@ def land(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def departures_per_window(events: DataFrame, path: str, checkpoint: str, delay: str = DELAY) -> StreamingQuery:
     """Departures per lot and 15-minute window, each window once, when the watermark has passed its end."""
-    left = events.withWatermark("event_ts", delay).filter(F.col("event_type") == "DEPARTURE")
+    left = events.filter(F.col("event_type") == "DEPARTURE").withWatermark("event_ts", delay)
     counts = left.groupBy("lot_id", F.window("event_ts", "15 minutes").alias("w")).agg(
         F.count(F.lit(1)).alias("departures_in_15m"))
     flat = counts.select("lot_id", F.col("w.start").alias("window_start"), "departures_in_15m")
