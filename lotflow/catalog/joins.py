@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lotflow.catalog.base import PERIOD_SQL, days, query
-from lotflow.fixtures import AS_OF, CALENDAR, HOLIDAYS
+from lotflow.catalog.base import PERIOD_SQL, query
+from lotflow.fixtures import CALENDAR
 from lotflow.operators import calendar as C
 from lotflow.operators import grid as G
 from lotflow.operators import serving
@@ -119,10 +119,11 @@ def _(g):
     return C.weekend_slots(g.pe, *TERM, until="2024-01-21")
 
 
-@query("split_population", """select student_id, case when row_number() over (order by md5(student_id)) <= 90 then 1 else 2 end as population
+@query("split_population", """select student_id, case when row_number() over (order by md5(student_id))
+    <= floor(count(*) over () * cast(0.9 as double)) then 1 else 2 end as population
     from (select distinct student_id from pe)""")
 def _(g):
-    return C.split_population(g.pe, "student_id", 90)
+    return C.split_population(g.pe, "student_id", 0.9)
 
 
 @query("lot_details", f"""select c.lot_id, c.campus_name, c.capacity, c.current_occupancy, coalesce(h.average_occupancy_lot, 0) as avg_occ,

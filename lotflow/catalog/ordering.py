@@ -33,17 +33,31 @@ def _(g):
     return V.lots_by_campus(g.stored("current"), "surrey")
 
 
-@query("recent_activity", """select event_id, lot_id, campus_name, event_type, event_timestamp, strftime(event_timestamp, '%Y-%m-%d') as date,
-    strftime(event_timestamp, '%H:%M:%S') as time, event_type as event from recent where lot_id = 'NORTH'
-    order by event_timestamp desc, event_id desc limit 10""")
+ACTIVITY_SQL = """select event_id, lot_id, campus_name, event_type, event_timestamp, strftime(event_timestamp, '%Y-%m-%d') as date,
+    strftime(event_timestamp, '%H:%M:%S') as time, event_type as event from recent"""
+
+
+@query("recent_activity", ACTIVITY_SQL)
+def _(g):
+    return V.recent_activity(g.stored("recent"))
+
+
+@query("recent_activity_of_lot", ACTIVITY_SQL + " where lot_id = 'NORTH'")
 def _(g):
     return V.recent_activity(g.stored("recent"), "NORTH")
 
 
-@query("history_for_weekday", """select hour_of_day, average_occupancy_lot, peak_spikes_count from history
-    where lot_id = 'NORTH' and day_of_week = 'Wed' order by hour_of_day""")
+HISTORY_SQL = "select lot_id, hour_of_day, average_occupancy_lot, peak_spikes_count from history where day_of_week = 'Wed'"
+
+
+@query("history_for_weekday", HISTORY_SQL)
 def _(g):
-    return V.history_for_weekday(g.stored("history"), "NORTH", "Wed")
+    return V.history_for_weekday(g.stored("history"), "Wed")
+
+
+@query("history_of_lot", HISTORY_SQL + " and lot_id = 'NORTH'")
+def _(g):
+    return V.history_for_weekday(g.stored("history"), "Wed", "NORTH")
 
 
 @query("latest_forecast", "select * from forecasts qualify row_number() over (partition by lot_id order by forecast_time desc) = 1")
@@ -66,7 +80,12 @@ def _(g):
     return X.sample_rows(g.stored("features").select("lot_id", "timestamp", "occupancy_now", "occupancy_plus_15m"), key, 5000)
 
 
-@query("lot_timeline", "select timestamp, occupancy_now from features where lot_id = 'EAST' order by 1")
+@query("lot_timeline", "select lot_id, timestamp, occupancy_now from features order by 1, 2")
+def _(g):
+    return X.lot_timeline(g.stored("features")).select("lot_id", "timestamp", "occupancy_now")
+
+
+@query("timeline_of_lot", "select timestamp, occupancy_now from features where lot_id = 'EAST' order by 1")
 def _(g):
     return X.lot_timeline(g.stored("features"), "EAST").select("timestamp", "occupancy_now")
 

@@ -6,7 +6,6 @@ from lotflow.catalog.base import query
 from lotflow.domain import MODEL_FEATURES
 from lotflow.functions.text import encode_record
 from lotflow.operators.merge import merge_history
-from lotflow.plans.features import training_features
 from lotflow.plans.forecast import in_training, model_matrix, row_key
 from lotflow.plans.nightly import clean_log, stored_history
 from lotflow.schemas import HISTORICAL, HISTORY, WIRE

@@ -118,16 +118,19 @@ def ranked_ids(rows: DataFrame, id_column: str) -> DataFrame:
     return global_rank(ids, "_hash").drop("_hash")
 
 
+def _share_of_ids(rows: DataFrame, id_column: str, share: float):
+    """How many ids the share comes to, as a scalar in the plan."""
+    return F.floor(rows.select(F.count_distinct(id_column)).scalar() * F.lit(share))
+
+
 def sample_entities(rows: DataFrame, id_column: str, share: float) -> DataFrame:
     """All rows of a fixed-size sample of ids: the first ``share`` of the ids by hash, at least one."""
-    ranked = ranked_ids(rows, id_column)
-    total = rows.select(F.count_distinct(id_column)).scalar()
-    wanted = F.greatest(F.lit(1).cast("bigint"), F.floor(total * F.lit(share)))
-    chosen = ranked.filter(F.col("_rank") <= wanted).select(id_column)
+    wanted = F.greatest(F.lit(1).cast("bigint"), _share_of_ids(rows, id_column, share))
+    chosen = ranked_ids(rows, id_column).filter(F.col("_rank") <= wanted).select(id_column)
     return rows.join(chosen, id_column, "left_semi")
 
 
-def split_population(rows: DataFrame, id_column: str, first_size: int) -> DataFrame:
-    """Every id with its group: the first ``first_size`` ids by hash are 1, the rest 2."""
-    ranked = ranked_ids(rows, id_column)
-    return ranked.select(id_column, F.when(F.col("_rank") <= first_size, 1).otherwise(2).alias("population"))
+def split_population(rows: DataFrame, id_column: str, first_share: float) -> DataFrame:
+    """Every id with its group: the first ``first_share`` of the ids by hash are 1, the rest 2."""
+    first = F.col("_rank") <= _share_of_ids(rows, id_column, first_share)
+    return ranked_ids(rows, id_column).select(id_column, F.when(first, 1).otherwise(2).alias("population"))

@@ -112,15 +112,10 @@ def correlation_matrix(features: DataFrame, columns: tuple[str, ...] = (*NUMERIC
     """Pearson correlation of every pair in long form, all pairs in one aggregate."""
     pairs = list(combinations_with_replacement(columns, 2))
     number = {c: F.col(c).cast("int").cast("double") for c in columns}
-    wide = features.agg(*[_corr(number[a], number[b]).alias(f"{a}|{b}") for a, b in pairs])
+    wide = features.agg(*[F.corr(number[a], number[b]).alias(f"{a}|{b}") for a, b in pairs])
     long = wide.unpivot([], wide.columns, "pair", "r")
     split = F.split("pair", r"\|")
-    upper = long.select(split.getItem(0).alias("a"), split.getItem(1).alias("b"), F.round("r", 6).alias("r"))
-    return upper
-
-
-def _corr(a: Column, b: Column) -> Column:
-    return F.corr(a, b)
+    return long.select(split.getItem(0).alias("a"), split.getItem(1).alias("b"), F.round("r", 6).alias("r"))
 
 
 def sample_rows(rows: DataFrame, key: Column, n: int) -> DataFrame:
@@ -129,5 +124,7 @@ def sample_rows(rows: DataFrame, key: Column, n: int) -> DataFrame:
     return hashed.orderBy("_hash").limit(n).drop("_hash")
 
 
-def lot_timeline(features: DataFrame, lot: str) -> DataFrame:
-    return features.filter(F.col("lot_id") == lot).orderBy("timestamp")
+def lot_timeline(features: DataFrame, lot: str | None = None) -> DataFrame:
+    """A lot's rows, or every lot's, in time order."""
+    rows = features if lot is None else features.filter(F.col("lot_id") == lot)
+    return rows.orderBy("lot_id", "timestamp")

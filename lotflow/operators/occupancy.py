@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lotflow.functions.numbers import event_delta, free_spots, occupancy_rate
-from lotflow.operators.ordered import BLOCK_IDS, PIECE, running_sum, with_pieces
+from lotflow.operators.ordered import PIECE, running_sum, with_pieces
 from lotflow.operators.validate import known_lots, only_types
 
 #: Rows gathered into one array when a piece is folded.

@@ -38,16 +38,23 @@ def live_status(current: DataFrame) -> DataFrame:
     )
 
 
-def recent_activity(recent: DataFrame, lot: str, n: int = 10) -> DataFrame:
-    """The newest ``n`` events of a lot with date and time text."""
-    newest = recent.filter(F.col("lot_id") == lot).orderBy(F.desc("event_timestamp"), F.desc("event_id")).limit(n)
-    return newest.withColumns({"date": date_text(F.col("event_timestamp")), "time": time_text(F.col("event_timestamp")),
-                               "event": F.col("event_type")})
+def _of_lot(rows: DataFrame, lot: str | None) -> DataFrame:
+    """One lot's rows, or all rows when no lot is named."""
+    return rows if lot is None else rows.filter(F.col("lot_id") == lot)
 
 
-def history_for_weekday(history: DataFrame, lot: str, weekday: str) -> DataFrame:
-    rows = history.filter((F.col("lot_id") == lot) & (F.col("day_of_week") == weekday))
-    return rows.select("hour_of_day", "average_occupancy_lot", "peak_spikes_count").orderBy("hour_of_day")
+def recent_activity(recent: DataFrame, lot: str | None = None, n: int = 10) -> DataFrame:
+    """The newest ``n`` events of a lot, or of every lot, with date and time text."""
+    newest = newest_per_lot(_of_lot(recent, lot), "event_timestamp", n, "event_id")
+    shown = newest.withColumns({"date": date_text(F.col("event_timestamp")), "time": time_text(F.col("event_timestamp")),
+                                "event": F.col("event_type")})
+    return shown.orderBy("lot_id", F.desc("event_timestamp"), F.desc("event_id"))
+
+
+def history_for_weekday(history: DataFrame, weekday: str, lot: str | None = None) -> DataFrame:
+    """The hours of a weekday for a lot, or for every lot."""
+    rows = _of_lot(history, lot).filter(F.col("day_of_week") == weekday)
+    return rows.select("lot_id", "hour_of_day", "average_occupancy_lot", "peak_spikes_count").orderBy("lot_id", "hour_of_day")
 
 
 def latest_forecast(forecasts: DataFrame) -> DataFrame:

@@ -46,12 +46,17 @@ def without_repeats(events: DataFrame, delay: str = DELAY) -> DataFrame:
     return events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["session_id", "event_type"])
 
 
-def _start(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def _trigger(every: str | None) -> dict:
+    """Run at the given interval, or once over all that is there."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def _start(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
     return (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**_trigger(every)).start())
 
 
-def split_valid(records: DataFrame, as_of: str, good: str, bad: str, checkpoint: str) -> StreamingQuery:
+def split_valid(records: DataFrame, as_of: str, good: str, bad: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Accepted events to ``good``, the others with their reason to ``bad``, a folder per batch.
 
     The batch is written once, by outcome; a repeated batch overwrites its own folders.
@@ -65,7 +70,7 @@ def split_valid(records: DataFrame, as_of: str, good: str, bad: str, checkpoint:
         finally:
             rows.unpersist()
 
-    return _start(checked(records, as_of), on_batch, checkpoint)
+    return _start(checked(records, as_of), on_batch, checkpoint, every)
 
 
 def _versioned(root: str, merge: Callable[[DataFrame, int], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -77,7 +82,7 @@ def _versioned(root: str, merge: Callable[[DataFrame, int], DataFrame]) -> Calla
     return on_batch
 
 
-def keep_current(events: DataFrame, capacity: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def keep_current(events: DataFrame, capacity: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """The live snapshot: every batch is folded to one triple per lot and applied to the stored counts."""
 
     def merge(batch: DataFrame, batch_id: int) -> DataFrame:
@@ -85,47 +90,47 @@ def keep_current(events: DataFrame, capacity: DataFrame, root: str, checkpoint:
         old = read_latest(spark, root, CURRENT, before=batch_id)
         return merge_current(old, lot_runs(batch, capacity), capacity)
 
-    return _start(events, _versioned(root, merge), checkpoint)
+    return _start(events, _versioned(root, merge), checkpoint, every)
 
 
-def keep_recent(events: DataFrame, root: str, checkpoint: str, k: int = KEEP_PER_LOT) -> StreamingQuery:
+def keep_recent(events: DataFrame, root: str, checkpoint: str, k: int = KEEP_PER_LOT, every: str | None = None) -> StreamingQuery:
     """The newest ``k`` events per lot."""
 
     def merge(batch: DataFrame, batch_id: int) -> DataFrame:
         old = read_latest(batch.sparkSession, root, RECENT, before=batch_id)
         return newest_per_lot(old.unionByName(recent_events(batch, k)), "event_timestamp", k, "event_id")
 
-    return _start(events, _versioned(root, merge), checkpoint)
+    return _start(events, _versioned(root, merge), checkpoint, every)
 
 
-def keep_daily(events: DataFrame, capacity: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def keep_daily(events: DataFrame, capacity: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Counts that restart every day: the state is keyed by lot and date."""
 
     def merge(batch: DataFrame, batch_id: int) -> DataFrame:
         old = read_latest(batch.sparkSession, root, DAYS, before=batch_id)
         return merge_days(old, day_runs(batch, capacity))
 
-    return _start(events, _versioned(root, merge), checkpoint)
+    return _start(events, _versioned(root, merge), checkpoint, every)
 
 
-def land(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def land(records: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Raw records to Parquet folders by lot and day."""
     dated = records.withColumn("date", F.to_date(F.substring("timestamp", 1, 10).try_cast("date")))
     return (dated.writeStream.format("parquet").partitionBy("lot_id", "date").option("path", path)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start())
 
 
-def departures_per_window(events: DataFrame, path: str, checkpoint: str, delay: str = DELAY) -> StreamingQuery:
+def departures_per_window(events: DataFrame, path: str, checkpoint: str, delay: str = DELAY, every: str | None = None) -> StreamingQuery:
     """Departures per lot and 15-minute window, each window once, when the watermark has passed its end."""
     left = events.filter(F.col("event_type") == "DEPARTURE").withWatermark("event_ts", delay)
     counts = left.groupBy("lot_id", F.window("event_ts", "15 minutes").alias("w")).agg(
         F.count(F.lit(1)).alias("departures_in_15m"))
     flat = counts.select("lot_id", F.col("w.start").alias("window_start"), "departures_in_15m")
     return (flat.writeStream.outputMode("append").format("parquet").option("path", path)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start())
 
 
-def count_batches(records: DataFrame, as_of: str, root: str, checkpoint: str) -> StreamingQuery:
+def count_batches(records: DataFrame, as_of: str, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Per batch: accepted records, failed records and records of unknown lots, observed while the batch is landed."""
     lots = [lot for campus in CAMPUS_LOTS.values() for lot in campus]
 
@@ -142,7 +147,7 @@ def count_batches(records: DataFrame, as_of: str, root: str, checkpoint: str) ->
         row = [(batch_id, numbers["processed"], numbers["failed"], numbers["unknown_lot"])]
         write_version(batch.sparkSession.createDataFrame(row, COUNTS), f"{root}/counts", batch_id)
 
-    return _start(checked(records, as_of), on_batch, checkpoint)
+    return _start(checked(records, as_of), on_batch, checkpoint, every)
 
 
 def accepted_events(records: DataFrame, as_of: str) -> DataFrame:

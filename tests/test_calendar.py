@@ -41,7 +41,7 @@ def test_sample_and_split_sizes(spark):
     rows = spark.range(1000).select((F.col("id") % 50).cast("string").alias("student_id"))
     assert C.sample_entities(rows, "student_id", 0.12).select("student_id").distinct().count() == 6
     assert C.sample_entities(rows, "student_id", 0.001).select("student_id").distinct().count() == 1
-    sizes = C.split_population(rows, "student_id", 20).groupBy("population").count().collect()
+    sizes = C.split_population(rows, "student_id", 0.4).groupBy("population").count().collect()
     assert {r["population"]: r["count"] for r in sizes} == {1: 20, 2: 30}
 
 

@@ -1,4 +1,3 @@
-from datetime import date
 
 from lotflow.operators import explore as X
 

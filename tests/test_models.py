@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lotflow.domain import MODEL_FEATURES
-from lotflow.fixtures import AS_OF, CALENDAR
+from lotflow.fixtures import CALENDAR
 from lotflow.plans import forecast as P
 from lotflow.plans.poisson_trees import PoissonTrees
 from lotflow.schemas import FORECAST

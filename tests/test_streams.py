@@ -2,7 +2,6 @@ import json
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from lotflow.schemas import CURRENT
 from lotflow.session import shared_dir
