@@ -1,5 +1,6 @@
 """op1 and op2: near-duplicate documents and embeddings."""
 
+from lotflow.llm.cover_tree import near_duplicate_vectors
 from lotflow.llm.minhash import near_duplicates
 from lotflow.llm.registry import LOWER, UPPER, WORDS_SQL, components_sql, query, table
 
@@ -25,3 +26,15 @@ def near_dup_sql(width: int, percent: int, docs: str = "documents") -> str:
     select doc_id, n_shingles, component as component_id, doc_id = component as kept from sizes join named on doc_id = node""")
 def _(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, rows=3, collections=10)
+
+
+@query("op2_cover_tree_near_dedup", f"""with recursive units as (select vec_id, cast(embedding as double[]) as v from embeddings),
+    links as (select a.vec_id as x, b.vec_id as y from units a join units b on a.vec_id < b.vec_id
+        where list_cosine_similarity(a.v, b.v) >= 0.95),
+    nodes as (select vec_id as node from embeddings),
+    {components_sql("links", "nodes")},
+    degrees as (select x, count(*) as n from both_ways group by x)
+    select vec_id, coalesce(n, 0) as n_links, component as component_id, vec_id = component as kept
+    from embeddings join named on vec_id = node left join degrees on vec_id = x""")
+def _(spark, sf_dir):
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
