@@ -32,28 +32,29 @@ def without_boilerplate(docs: DataFrame, site: str = "source", ratio: float = 0.
     only 128-bit keys of lines are shuffled; texts move once, by row.
 
     A null text stays null, with no lines; an empty one has one line, which is blank; a text that loses all its lines
-    becomes empty.  Repeated rows are pages of their own, and equal rows lose the same lines.  No rows give no rows.
+    becomes empty.  Columns named n_lines or n_dropped are replaced.  Repeated rows are pages of their own, and equal rows lose the same lines.  No rows give no rows.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop("n_lines", "n_dropped")
     columns = docs.columns
     drop = stored(boilerplate(docs, site, ratio, least), "boilerplate")
-    row = [F.col("doc_id").alias("_id"), F.xxhash64("text", F.lit(1)).alias("_text"), F.xxhash64("text", F.lit(2)).alias("_again")]
-    key = ["_id", "_text", "_again"]
-    lines = docs.select(*row, F.col(site).cast("string").alias("_site"), F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
-    hits = lines.select(*key, "_site", _line_key(F.col("line")).alias("_line")).join(
-        drop, F.col("_site").eqNullSafe(F.col("site")) & (F.col("_line") == F.col("line")))
-    cut = hits.groupBy(*key, "_site").agg(F.collect_set("_line").alias("_cut"))
-    cut = cut.select(*[F.col(k).alias(f"r{k}") for k in key], F.col("_site").alias("r_site"), "_cut")
+    row = [F.col("doc_id").alias("__cut_id"), F.xxhash64("text", F.lit(1)).alias("__cut_text"), F.xxhash64("text", F.lit(2)).alias("__cut_again")]
+    key = ["__cut_id", "__cut_text", "__cut_again"]
+    lines = docs.select(*row, F.col(site).cast("string").alias("__cut_site"), F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
+    hits = lines.select(*key, "__cut_site", _line_key(F.col("line")).alias("__cut_line")).join(
+        drop, F.col("__cut_site").eqNullSafe(F.col("site")) & (F.col("__cut_line") == F.col("line")))
+    cut = hits.groupBy(*key, "__cut_site").agg(F.collect_set("__cut_line").alias("__cut_cut"))
+    cut = cut.select(*[F.col(k).alias(f"right{k}") for k in key], F.col("__cut_site").alias("right_site"), "__cut_cut")
     rows = docs.select("*", *row)
-    on = F.col("_site").eqNullSafe(F.col("r_site"))
-    rows = rows.withColumn("_site", F.col(site).cast("string"))
+    on = F.col("__cut_site").eqNullSafe(F.col("right_site"))
+    rows = rows.withColumn("__cut_site", F.col(site).cast("string"))
     for k in key:
-        on = on & F.col(k).eqNullSafe(F.col(f"r{k}"))
-    rows = rows.join(cut, on, "left").withColumn("_lines", F.split("text", "\n", -1))
-    stay = F.filter("_lines", lambda line: ~F.array_contains("_cut", F.unhex(F.md5(line))))
-    kept = F.when(F.col("_cut").isNull(), F.col("_lines")).otherwise(stay)
-    rows = rows.withColumn("_kept", kept)
+        on = on & F.col(k).eqNullSafe(F.col(f"right{k}"))
+    rows = rows.join(cut, on, "left").withColumn("__cut_lines", F.split("text", "\n", -1))
+    stay = F.filter("__cut_lines", lambda line: ~F.array_contains("__cut_cut", F.unhex(F.md5(line))))
+    kept = F.when(F.col("__cut_cut").isNull(), F.col("__cut_lines")).otherwise(stay)
+    rows = rows.withColumn("__cut_kept", kept)
     n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], n("_lines").alias("n_lines"),
-                       (n("_lines") - n("_kept")).alias("n_dropped"))
+    text = F.when(F.col("__cut_cut").isNull(), F.col("text")).otherwise(F.array_join("__cut_kept", "\n"))
+    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], n("__cut_lines").alias("n_lines"),
+                       (n("__cut_lines") - n("__cut_kept")).alias("n_dropped"))

@@ -112,6 +112,7 @@ def mixed_documents(docs: DataFrame, weight: Column | None = None, share: tuple[
     rows = stored(_ranked(narrow, seed).withColumn("size", n_words(F.col("text"))).drop("text", "doc_id"), "mix-rows")
     decided = plan(rows, weight, share, epochs)
     discard(rows)
-    out = _times(_ranked(docs, seed), decided)
-    copies = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("times"), F.lit(1)).cast("int")))).filter("times > 0")
-    return copies.select(*docs.columns)
+    # The row travels as one value, so that no column of it can clash.
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.col("source").cast("string").alias("source"), "text")
+    out = _times(_ranked(whole, seed), decided).filter("times > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("_row.*")

@@ -152,9 +152,10 @@ def score(docs: DataFrame, voter: Voter) -> DataFrame:
     """The documents, all columns, with ``quality_score`` (0 to 1, higher: label 1 likelier).
 
     Null and empty texts have no terms and get the share of label 1 among the labelled rows (0.5 if there are none).
-    Nothing but the text enters the score.
+    Nothing but the text enters the score.  A column of that name is replaced.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop("quality_score")
     columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(voter)
 
