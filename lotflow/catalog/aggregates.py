@@ -40,8 +40,8 @@ def _(g):
     return g.history
 
 
-@query("history_rollup", """select lot_id, day_of_week, hour_of_day, average_occupancy_lot,
-    average_occupancy_lot * cast(100 as double) / cast(lot_capacity as double) as average_occupancy_pct from hours""")
+@query("history_rollup", """select lot_id, hour_of_day, count(*) as weekdays, avg(average_occupancy_lot) as average_occupancy_lot,
+    avg(average_occupancy_lot) * cast(100 as double) / cast(max(lot_capacity) as double) as average_occupancy_pct from hours group by 1, 2""")
 def _(g):
     return H.history_rollup(g.stored("hours"))
 
@@ -60,17 +60,17 @@ def _(g):
 
 @query("time_bounds", "select min(w) as min_ts, max(w) as max_ts from cells")
 def _(g):
-    return G.time_bounds(window_state(g.unified))
+    return G.time_bounds(g.stored("cells"))
 
 
-@query("distinct_lots", "select distinct lot_id, campus from pe")
+@query("distinct_lots", "select distinct lot_id, campus from ev")
 def _(g):
-    return g.pe.select("lot_id", "campus").distinct()
+    return g.ev.select("lot_id", "campus").distinct()
 
 
-@query("distinct_students", "select distinct student_id from pe")
+@query("distinct_students", "select distinct student_id from ev")
 def _(g):
-    return g.pe.select("student_id").distinct()
+    return g.ev.select("student_id").distinct()
 
 
 @query("calendar_dim", """select cast(date as varchar) as date, cast(is_holiday as varchar) as is_holiday, cast(is_weekend as varchar) as is_weekend,

@@ -53,6 +53,7 @@ TABLES = {
         union all select 2 * event_id + 1, ts + to_seconds(cast(floor(value * 240) as bigint)), 'DEPARTURE', {_PLACE}
         from events where event_type in ('click', 'view', 'purchase')""",
     "pe": "select *, cast(event_ts as date) as date from parked where event_type <> 'ERROR'",
+    "ev": "select *, cast(event_ts as date) as date from parked",
     "pe_min": "select * replace (date_trunc('minute', event_ts) as event_ts) from pe",
     "pe_dup": """select * from pe union all
         select * replace (-event_id - 1 as event_id, event_ts + interval 1 minute as event_ts) from pe""",

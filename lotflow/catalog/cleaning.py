@@ -113,9 +113,8 @@ def _(g):
     from skeleton left join cells using (lot_id, campus, w)""")
 def _(g):
     from lotflow.operators.grid import fill_grid
-    from lotflow.operators.occupancy import window_state
 
-    grid = fill_grid(window_state(g.unified)).fillna(0, subset=["occupancy_now", "departures"])
+    grid = fill_grid(g.stored("cells")).fillna(0, subset=["occupancy_now", "departures"])
     return grid.select("lot_id", "campus", "window_start", "occupancy_now", "departures")
 
 
@@ -126,15 +125,15 @@ def _(g):
     return complete_only(pair_sessions(g.valid)).select("session_id", "arrival_ts", "departure_ts")
 
 
-@query("cutoff_date", "select event_id, event_ts from pe where cast(event_ts as date) <= date '2024-01-20'")
+@query("cutoff_date", "select event_id, event_ts from ev where cast(event_ts as date) <= date '2024-01-20'")
 def _(g):
-    return g.pe.filter(F.to_date("event_ts") <= F.lit("2024-01-20").cast("date")).select("event_id", "event_ts")
+    return g.ev.filter(F.to_date("event_ts") <= F.lit("2024-01-20").cast("date")).select("event_id", "event_ts")
 
 
 @query("previous_local_day", """select event_id, cast(cast(timezone('America/Vancouver', timezone('UTC', event_ts)) as date) - 1 as varchar)
-    as processing_day from pe""")
+    as processing_day from ev""")
 def _(g):
-    return g.pe.select("event_id", previous_local_day(F.col("event_ts")).alias("processing_day"))
+    return g.ev.select("event_id", previous_local_day(F.col("event_ts")).alias("processing_day"))
 
 
 @query("cap_departure_at_day_end", """select session_id, arrival_ts, least(departure_ts, date_trunc('day', arrival_ts)
@@ -148,11 +147,10 @@ def _(g):
 
 
 @query("off_day_split", f"""select event_id, case when dayofweek(date) in (0, 6) or date in {days(HOLIDAYS)} then 'off_day' else 'active' end
-    as day_kind from pe""")
+    as day_kind from ev""")
 def _(g):
-    off = off_day(F.col("date"), HOLIDAYS)
-    active = g.pe.filter(~off).select("event_id", F.lit("active").alias("day_kind"))
-    return active.unionByName(g.pe.filter(off).select("event_id", F.lit("off_day").alias("day_kind")))
+    kind = F.when(off_day(F.col("date"), HOLIDAYS), "off_day").otherwise("active")
+    return g.ev.select("event_id", kind.alias("day_kind"))
 
 
 @query("serving_filters", """select lot_id, day_of_week, hour_of_day, average_occupancy_lot, average_duration_minutes from history
@@ -162,14 +160,14 @@ def _(g):
     return g.stored("history").filter(wanted).drop("peak_spikes_count")
 
 
-@query("local_time", "select event_id, timezone('America/Vancouver', timezone('UTC', event_ts)) as local_ts from pe")
+@query("local_time", "select event_id, timezone('America/Vancouver', timezone('UTC', event_ts)) as local_ts from ev")
 def _(g):
-    return g.pe.select("event_id", local_time(F.col("event_ts")).alias("local_ts"))
+    return g.ev.select("event_id", local_time(F.col("event_ts")).alias("local_ts"))
 
 
 @query("interval_shift", """select event_id, event_ts + interval 4 hours as plus_4h, event_ts - interval 15 minutes as minus_15m,
-    event_ts + interval 15 minutes as plus_15m from pe""")
+    event_ts + interval 15 minutes as plus_15m from ev""")
 def _(g):
     ts = F.col("event_ts")
-    return g.pe.select("event_id", shift(ts, hours=4).alias("plus_4h"), shift(ts, minutes=-15).alias("minus_15m"),
+    return g.ev.select("event_id", shift(ts, hours=4).alias("plus_4h"), shift(ts, minutes=-15).alias("minus_15m"),
                        shift(ts, minutes=15).alias("plus_15m"))

@@ -8,7 +8,7 @@ from lotflow.operators import calendar as C
 from lotflow.operators import grid as G
 from lotflow.operators import serving
 from lotflow.operators import sessions as S
-from lotflow.operators.occupancy import departures_per_window, window_state
+from lotflow.operators.occupancy import departures_per_window
 from lotflow.operators.validate import with_capacity
 from lotflow.sources.events import unify_historical, unify_realtime
 
@@ -49,12 +49,12 @@ def _(g):
 
 @query("time_skeleton", "select lot_id, campus, w as window_start from skeleton")
 def _(g):
-    return G.time_skeleton(window_state(g.unified))
+    return G.time_skeleton(g.stored("cells"))
 
 
 @query("fill_grid", "select lot_id, campus, w as window_start, coalesce(occ, -99) as occupancy_now, occ is not null as observed from skeleton left join cells using (lot_id, campus, w)")
 def _(g):
-    grid = G.fill_grid(window_state(g.unified))
+    grid = G.fill_grid(g.stored("cells"))
     return grid.select("lot_id", "campus", "window_start", F.coalesce("occupancy_now", F.lit(-99)).alias("occupancy_now"),
                        F.col("occupancy_now").isNotNull().alias("observed"))
 
@@ -86,11 +86,11 @@ def _(g):
     return S.without_arrival(g.valid).select("event_id", "session_id")
 
 
-@query("sample_entities_semi", """select event_id, student_id from pe where student_id in (
+@query("sample_entities_semi", """select event_id, student_id from ev where student_id in (
     select student_id from (select student_id, row_number() over (order by md5(student_id)) as rn, count(*) over () as n
-    from (select distinct student_id from pe)) where rn <= greatest(1, cast(floor(n * cast(0.12 as double)) as bigint)))""")
+    from (select distinct student_id from ev)) where rn <= greatest(1, cast(floor(n * cast(0.12 as double)) as bigint)))""")
 def _(g):
-    return C.sample_entities(g.pe, "student_id", 0.12).select("event_id", "student_id")
+    return C.sample_entities(g.ev, "student_id", 0.12).select("event_id", "student_id")
 
 
 @query("expand_weekly_template", f"""select student_id, campus, weekday, day, start_time, end_time, cast(cast(date as date) as varchar) as date
@@ -105,25 +105,16 @@ def _(g):
     return C.expand_weekly_template(g.template, *TERM, by_letter=True)
 
 
-@query("classify_period", f"select event_id, cast(date as varchar) as date, {PERIOD_SQL} as period from pe")
+@query("classify_period", f"select event_id, cast(date as varchar) as date, {PERIOD_SQL} as period from ev")
 def _(g):
-    return C.classify_period(g.pe, **CALENDAR).select("event_id", "date", "period")
-
-
-@query("students_by_weekend", f"""select student_id, campus, cast(cast(date as date) as varchar) as date, 540 + s * 30 as start_minute,
-    660 + s * 30 as end_minute from (select student_id, campus, date,
-    cast(('0x' || substr(md5(student_id || '|' || strftime(date, '%Y-%m-%d')), 1, 6)) as bigint) % 12 as s
-    from (select distinct student_id, campus from pe) join {DATES_SQL}
-    on dayofweek(date) in (0, 6) and date <= date '2024-01-21')""")
-def _(g):
-    return C.weekend_slots(g.pe, *TERM, until="2024-01-21")
+    return C.classify_period(g.ev, **CALENDAR).select("event_id", "date", "period")
 
 
 @query("split_population", """select student_id, case when row_number() over (order by md5(student_id))
     <= floor(count(*) over () * cast(0.9 as double)) then 1 else 2 end as population
-    from (select distinct student_id from pe)""")
+    from (select distinct student_id from ev)""")
 def _(g):
-    return C.split_population(g.pe, "student_id", 0.9)
+    return C.split_population(g.ev, "student_id", 0.9)
 
 
 @query("lot_details", f"""select c.lot_id, c.campus_name, c.capacity, c.current_occupancy, coalesce(h.average_occupancy_lot, 0) as avg_occ,

@@ -1,13 +1,16 @@
-"""Features, models, forecasts and the capacity replay."""
+"""Features, models and forecasts."""
 
 from pyspark.sql import functions as F
 
 from lotflow.catalog.base import query
-from lotflow.fixtures import AS_OF, CALENDAR, SMALL_LOTS
-from lotflow.operators.replay import capacity_replay, rejections_by_day
+from lotflow.catalog.storage import exported
+from lotflow.fixtures import AS_OF, CALENDAR, HOLIDAYS
 from lotflow.plans import forecast as P
-from lotflow.schemas import FORECAST
+from lotflow.plans.features import run_features
+from lotflow.schemas import FORECAST, WIRE
 from lotflow.session import shared_dir, use_checkpoints
+from lotflow.sources import events as E
+from lotflow.sources import sinks as K
 from lotflow.sources.versions import read_latest
 
 FEATURES_SQL = """select lot_id, campus, timestamp, occupancy_now, day_of_week, hour_of_day, cast(is_holiday as varchar) as is_holiday,
@@ -16,7 +19,12 @@ FEATURES_SQL = """select lot_id, campus, timestamp, occupancy_now, day_of_week,
 
 @query("training_features", FEATURES_SQL)
 def _(g):
-    return g.features
+    """From the stored logs, which carry no event ids, to the stored feature table."""
+    history = g.once("historical", lambda p: K.convert_export(E.read_export(g.spark, exported(g)), p))
+    day = F.to_date(F.substring("timestamp", 1, 10))
+    landed = g.once("landed-live", lambda p: K.write_landed(g.live.select(*WIRE.fieldNames()).withColumn("date", day), p))
+    out = g.once("feature-table", lambda p: run_features(g.spark, history, landed, p, HOLIDAYS))
+    return g.spark.read.parquet(out)
 
 
 ONE_HOT_SQL = ", ".join([f"cast(lot_id = '{v}' as int) as lot_id_{v}" for v in P.LOTS]
@@ -53,8 +61,6 @@ def _(g):
     return P.scoring_csv(P.scoring_rows(g.stored("current"), AS_OF, **CALENDAR))
 
 
-#: Rounds of the count model here; its error has settled by then.  The job's default is the full number.
-DEPARTURE_ROUNDS = 25
 #: Models fitted once per session and table set, and shared by the queries below.
 _fitted: dict[tuple[str, str], tuple] = {}
 
@@ -65,47 +71,86 @@ def _models(g):
     if key not in _fitted:
         use_checkpoints(g.spark)
         train, validation = P.split(g.stored("features"))
-        _fitted[key] = P.train_occupancy(train), P.train_departures(train, DEPARTURE_ROUNDS), validation
+        _fitted[key] = P.train_occupancy(train), P.train_departures(train), validation
     return _fitted[key]
 
 
-@query("forecast")
+def _bounds(rows):
+    """What is determined of a forecast: its key and times, and that its numbers are within their bounds."""
+    count, capacity = F.col("predicted_occupancy_count"), F.col("capacity")
+    share = F.bround(count.cast("double") / capacity.cast("double"), 2)
+    return rows.select("lot_id", "forecast_time", "run_time", count.between(0, capacity).alias("count_in_bounds"),
+                       (F.abs(F.col("predicted_occupancy_pct") - share) < 1e-9).alias("share_of_capacity"),
+                       (F.col("predicted_num_departures") >= 0).alias("departures_counted"))
+
+
+BOUNDS_SQL = "'true' as count_in_bounds, 'true' as share_of_capacity, 'true' as departures_counted"
+
+
+@query("forecast", f"""select lot_id, timestamp '2024-01-30 00:15:00' as forecast_time, timestamp '2024-01-30 00:00:00' as run_time,
+    {BOUNDS_SQL} from current""")
 def _(g):
     occupancy, departures, _ = _models(g)
-    return P.forecast(g.stored("current"), occupancy, departures, AS_OF, **CALENDAR)
+    rows = P.forecast(g.stored("current"), occupancy, departures, AS_OF, **CALENDAR)
+    return _bounds(rows.join(g.capacity.select("lot_id", "capacity"), "lot_id"))
 
 
-@query("forecast_cycle")
+@query("forecast_cycle", f"""select lot_id, run_time + interval 15 minutes as forecast_time, run_time, {BOUNDS_SQL} from current,
+    (values (timestamp '2024-01-30 00:00:00'), (timestamp '2024-01-30 00:15:00'), (timestamp '2024-01-30 00:30:00')) r(run_time)""")
 def _(g):
+    # The last two runs fall on the same grid time; for the last one both models are stored and loaded again.
     occupancy, departures, _ = _models(g)
-    root = shared_dir(g.spark, "forecasts")
-    for minute in ("00:02:00", "00:15:30", "00:31:00", "00:44:00"):
-        as_of = f"2024-01-30 {minute}"
-        P.forecast_cycle(g.stored("current"), occupancy, departures, as_of, root, **CALENDAR)
-    return read_latest(g.spark, root, FORECAST)
+    models, root = shared_dir(g.spark, "models"), shared_dir(g.spark, "forecasts")
+    for minute in ("00:02:00", "00:15:30", "00:31:00"):
+        P.forecast_cycle(g.stored("current"), occupancy, departures, f"2024-01-30 {minute}", root, **CALENDAR)
+    P.store_models(g.spark, occupancy, departures, models)
+    P.run_forecast(g.spark, g.stored("current"), models, "2024-01-30 00:44:00", root, **CALENDAR)
+    rows = read_latest(g.spark, root, FORECAST)
+    return _bounds(rows.join(g.capacity.select("lot_id", "capacity"), "lot_id"))
+
 
+#: The rows that no model has learned from.
+VALIDATION_SQL = "from features where substr(md5(lot_id || '|' || strftime(timestamp, '%Y-%m-%d %H:%M')), 1, 4) >= 'cccd'"
 
-@query("train_occupancy")
+
+def _finite(name: str):
+    x = F.col(name)
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+
+@query("train_occupancy", f"select lot_id, timestamp, occupancy_plus_15m, 'true' as finite {VALIDATION_SQL}")
 def _(g):
     occupancy, _, validation = _models(g)
-    return occupancy.transform(P.model_matrix(validation)).select("lot_id", "timestamp", "occupancy_plus_15m", "occupancy_raw")
+    scored = occupancy.transform(P.model_matrix(validation))
+    return scored.select("lot_id", "timestamp", "occupancy_plus_15m", _finite("occupancy_raw").alias("finite"))
+
 
+COUNT_SQL = f"select lot_id, timestamp, departures_in_15m, 'true' as finite, 'true' as not_negative {VALIDATION_SQL}"
 
-@query("train_departures")
+
+def _counts(scored):
+    return scored.select("lot_id", "timestamp", "departures_in_15m", _finite("departures_raw").alias("finite"),
+                         (F.col("departures_raw") >= 0).alias("not_negative"))
+
+
+@query("train_departures", COUNT_SQL)
 def _(g):
     _, departures, validation = _models(g)
-    return departures.transform(P.model_matrix(validation)).select("lot_id", "timestamp", "departures_in_15m", "departures_raw")
+    return _counts(departures.transform(P.model_matrix(validation)))
 
 
-@query("train_departures_linear")
+@query("train_departures_linear", COUNT_SQL)
 def _(g):
     train, validation = P.split(g.stored("features"))
-    scored = P.train_departures_linear(train).transform(P.model_matrix(validation))
-    return scored.select("lot_id", "timestamp", "departures_in_15m", "departures_raw")
+    return _counts(P.train_departures_linear(train).transform(P.model_matrix(validation)))
 
 
-@query("evaluate")
+@query("evaluate", f"""select model, metric, case when model = 'no change' then case metric when 'rmse' then rmse else mae end end as value,
+    'true' as finite, n_rows from (select count(*) as n_rows, sqrt(avg(gap * gap)) as rmse, avg(gap) as mae
+        from (select cast(abs(occupancy_plus_15m - occupancy_now) as double) as gap {VALIDATION_SQL})),
+    (values ('no change'), ('occupancy'), ('departures')) m(model), (values ('rmse'), ('mae')) k(metric)""")
 def _(g):
+    """The errors of "no change" as they are; of the models' errors, that they are numbers from 0 on."""
     occupancy, departures, validation = _models(g)
     scores = {
         "occupancy": P.evaluate(occupancy, validation, "occupancy_plus_15m", "occupancy_raw"),
@@ -123,14 +168,6 @@ def _(g):
         return wide.unpivot(["n_rows"], names, "name", "value").select(
             split.getItem(0).alias("model"), split.getItem(1).alias("metric"), "value", "n_rows")
 
-    return long(learned).unionByName(long(naive))
-
-
-@query("capacity_replay")
-def _(g):
-    return capacity_replay(g.pe, SMALL_LOTS)
-
-
-@query("rejections_by_day")
-def _(g):
-    return rejections_by_day(g.pe, SMALL_LOTS)
+    rows = long(learned).unionByName(long(naive))
+    return rows.select("model", "metric", F.when(F.col("model") == "no change", F.col("value")).alias("value"),
+                       (_finite("value") & (F.col("value") >= 0)).alias("finite"), "n_rows")

@@ -37,7 +37,7 @@ def _(g):
 @query("occupancy_ratios", """select lot_id, timestamp, cast(occupancy_now as double) / cast(capacity as double) as occupancy_rate,
     capacity - occupancy_now as free_spots from features join capacity using (lot_id)""")
 def _(g):
-    rows = g.stored("features").join(F.broadcast(g.capacity.select("lot_id", "capacity")), "lot_id")
+    rows = g.stored("features").join(g.capacity.select("lot_id", "capacity"), "lot_id")
     occupied, capacity = F.col("occupancy_now"), F.col("capacity")
     return rows.select("lot_id", "timestamp", N.occupancy_rate(occupied, capacity).alias("occupancy_rate"),
                        N.free_spots(occupied, capacity).alias("free_spots"))
@@ -46,7 +46,7 @@ def _(g):
 @query("occupancy_rate_pct", """select lot_id, timestamp, cast(round_even(cast(occupancy_now as double) / cast(capacity as double)
     * cast(100 as double), 2) as double) as occupancy_rate_pct from features join capacity using (lot_id)""")
 def _(g):
-    rows = g.stored("features").join(F.broadcast(g.capacity.select("lot_id", "capacity")), "lot_id")
+    rows = g.stored("features").join(g.capacity.select("lot_id", "capacity"), "lot_id")
     rate = N.occupancy_rate(F.col("occupancy_now"), F.col("capacity"))
     return rows.select("lot_id", "timestamp", N.rate_pct(rate).alias("occupancy_rate_pct"))
 
@@ -65,9 +65,9 @@ def _(g):
     return g.stored("history").select("lot_id", "day_of_week", "hour_of_day", X.hour_label(F.col("hour_of_day")).alias("label"))
 
 
-@query("event_time_text", "select event_id, strftime(event_ts, '%Y-%m-%d') as date, strftime(event_ts, '%H:%M:%S') as time from pe")
+@query("event_time_text", "select event_id, strftime(event_ts, '%Y-%m-%d') as date, strftime(event_ts, '%H:%M:%S') as time from ev")
 def _(g):
-    return g.pe.select("event_id", X.date_text(F.col("event_ts")).alias("date"), X.time_text(F.col("event_ts")).alias("time"))
+    return g.ev.select("event_id", X.date_text(F.col("event_ts")).alias("date"), X.time_text(F.col("event_ts")).alias("time"))
 
 
 PCT = "case when capacity > 0 then greatest(cast(0 as double), least(cast(100 as double), occupancy_now * cast(100 as double) / cast(capacity as double))) else 0 end"
@@ -77,7 +77,7 @@ PCT = "case when capacity > 0 then greatest(cast(0 as double), least(cast(100 as
     when pct >= 70 then 'BUSY' when pct >= 40 then 'MODERATE' when pct >= 10 then 'LIGHT' when pct > 0 then 'VERY LIGHT' else 'EMPTY' end as judgement
     from (select lot_id, timestamp, {PCT} as pct from features join capacity using (lot_id))""")
 def _(g):
-    rows = g.stored("features").join(F.broadcast(g.capacity.select("lot_id", "capacity")), "lot_id")
+    rows = g.stored("features").join(g.capacity.select("lot_id", "capacity"), "lot_id")
     pct = N.fill_pct(F.col("occupancy_now"), F.col("capacity"))
     return rows.select("lot_id", "timestamp", pct.alias("pct"), N.judgement(pct).alias("judgement"))
 

@@ -6,7 +6,8 @@ from lotflow.catalog.base import query
 from lotflow.domain import MODEL_FEATURES
 from lotflow.functions.text import encode_record
 from lotflow.operators.merge import merge_history
-from lotflow.plans.forecast import in_training, model_matrix, row_key
+from lotflow.operators.calendar import FLAG_NAMES
+from lotflow.plans.forecast import CAMPUSES, LOTS, in_training, model_matrix, row_key
 from lotflow.plans.nightly import clean_log, stored_history
 from lotflow.schemas import HISTORICAL, HISTORY, WIRE
 from lotflow.session import shared_dir
@@ -55,9 +56,9 @@ def _(g):
     return parts[0].unionByName(parts[1])
 
 
-@query("scan_realtime", "select session_id, timestamp, event_type, campus, student_id, plate_number from raw")
+@query("scan_realtime", "select session_id, timestamp, event_type, upper(lot_id) as lot_id, campus, student_id, plate_number from raw")
 def _(g):
-    return E.scan_realtime(g.spark, landed(g)).drop("lot_id")
+    return E.scan_realtime(g.spark, landed(g))
 
 
 @query("date_from_path", "select session_id, event_type, cast(date as varchar) as date from raw")
@@ -66,12 +67,14 @@ def _(g):
 
 
 @query("csv_to_parquet", """select session_id, event_ts as timestamp, cast(student_id as int) as student_id, upper(campus) as campus,
-    cast(date as varchar) as date, cast(is_holiday as varchar) as is_holiday from pe join histdays using (date)
+    cast(date as varchar) as date, cast(is_holiday as varchar) as is_holiday, cast(is_weekend as varchar) as is_weekend,
+    cast(is_exam_week as varchar) as is_exam_week, cast(is_first_2_weeks as varchar) as is_first_2_weeks,
+    cast(is_special_day as varchar) as is_special_day from pe join histdays using (date)
     where event_ts < timestamp '2024-01-23 12:00:00'""")
 def _(g):
     path = g.once("historical", lambda p: K.convert_export(E.read_export(g.spark, exported(g)), p))
     rows = E.scan_historical(g.spark, path)
-    return rows.select("session_id", F.col("event_ts").alias("timestamp"), "student_id", "campus", "date", "is_holiday")
+    return rows.select("session_id", F.col("event_ts").alias("timestamp"), "student_id", "campus", "date", *FLAG_NAMES)
 
 
 @query("scan_historical", """select session_id, event_ts, lot_id, campus, event_type, cast(student_id as int) as student_id
@@ -113,13 +116,13 @@ def _(g):
     return clean_log(accepted(g.checked).drop("event_ts")).select("session_id", "event_type", "event_ts", "lot_id")
 
 
-@query("write_training_set", """select lot_id, timestamp, occupancy_now, occupancy_plus_15m, departures_in_15m from features""")
+@query("write_training_set", """select lot_id, campus, timestamp, occupancy_now, day_of_week, hour_of_day, cast(is_holiday as varchar) as is_holiday,
+    cast(is_weekend as varchar) as is_weekend, cast(is_exam_week as varchar) as is_exam_week, occupancy_plus_15m, departures_in_15m from features""")
 def _(g):
     path = shared_dir(g.spark, "training")
     features = g.features
     K.write_training_set(features, path)
-    back = g.spark.read.schema(features.schema).parquet(path)
-    return back.select("lot_id", "timestamp", "occupancy_now", "occupancy_plus_15m", "departures_in_15m")
+    return g.spark.read.schema(features.schema).parquet(path)
 
 
 @query("publish_validated", """select lot_id as key, '{"session_id":"' || session_id || '","event_type":"' || event_type || '","lot_id":"' || lot_id ||
@@ -129,7 +132,7 @@ def _(g):
 
 
 @query("stage_then_merge", """select lot_id, day_of_week, hour_of_day, cast(round(average_occupancy_lot, 4) as double) as average_occupancy_lot,
-    peak_spikes_count from history""")
+    cast(cast(cast(average_duration_minutes as varchar) as decimal(10, 2)) as double) as average_duration_minutes, peak_spikes_count from history""")
 def _(g):
     staging, root = shared_dir(g.spark, "staging"), shared_dir(g.spark, "history")
     new = stored_history(g.stored("history"))
@@ -138,29 +141,32 @@ def _(g):
     # The second merge replaces every row by itself.
     for _ in range(2):
         R.add_version(merge_history(R.read_latest(g.spark, root, HISTORY), staged), root)
-    merged = R.read_latest(g.spark, root, HISTORY)
-    return merged.select("lot_id", "day_of_week", "hour_of_day", "average_occupancy_lot", "peak_spikes_count")
+    return R.read_latest(g.spark, root, HISTORY)
 
 
-@query("declare_table", """select lot_id, day_of_week, hour_of_day, peak_spikes_count from history""")
+@query("declare_table", """select lot_id, day_of_week, hour_of_day, cast(round(average_occupancy_lot, 4) as double) as average_occupancy_lot,
+    cast(cast(cast(average_duration_minutes as varchar) as decimal(10, 2)) as double) as average_duration_minutes, peak_spikes_count from history""")
 def _(g):
     location = shared_dir(g.spark, "metrics")
     name = "hourly_" + location[-8:]
     R.declare_table(g.spark, name, HISTORY, location)
     R.declare_table(g.spark, name, HISTORY, location)
     stored_history(g.stored("history")).write.insertInto(name)
-    return g.spark.table(name).select("lot_id", "day_of_week", "hour_of_day", "peak_spikes_count")
+    return g.spark.table(name)
 
 
-@query("export_training_csv", """select occupancy_plus_15m as label, occupancy_now, hour_of_day from features where
+LOT_SQL = ", ".join([f"cast(lot_id = '{v}' as int) as lot_id_{v}" for v in LOTS] + [f"cast(campus = '{v}' as int) as campus_{v}" for v in CAMPUSES])
+
+
+@query("export_training_csv", f"""select occupancy_plus_15m as label, occupancy_now, day_of_week, hour_of_day, cast(is_holiday as int) as is_holiday,
+    cast(is_weekend as int) as is_weekend, cast(coalesce(is_exam_week, false) as int) as is_exam_week, {LOT_SQL} from features where
     substr(md5(lot_id || '|' || strftime(timestamp, '%Y-%m-%d %H:%M')), 1, 4) < 'cccd'""")
 def _(g):
     path = shared_dir(g.spark, "csv")
     rows = model_matrix(g.stored("features")).filter(in_training(row_key()))
     K.export_training_csv(rows, "occupancy_plus_15m", MODEL_FEATURES, path)
     names = ["label", *MODEL_FEATURES]
-    back = g.spark.read.schema(", ".join(f"{n} bigint" for n in names)).csv(path)
-    return back.select("label", "occupancy_now", "hour_of_day")
+    return g.spark.read.schema(", ".join(f"{n} bigint" for n in names)).csv(path)
 
 
 @query("dim_capacity", "select t.campus, t.lot_id, t.capacity, count(p.event_id) as n_events from capacity t left join pe p using (lot_id) group by all")

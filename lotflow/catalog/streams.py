@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from lotflow.catalog.base import query
 from lotflow.fixtures import AS_OF
+from lotflow.functions.text import encode_record
 from lotflow.schemas import CURRENT, RECENT, WIRE
 from lotflow.session import shared_dir
-from lotflow.sources.versions import finished, read_latest
+from lotflow.sources.versions import read_latest
 from lotflow.streaming import jobs as J
 
 
@@ -37,25 +38,66 @@ def _dirs(g, *names: str) -> list[str]:
     return [f"{root}/{n}" for n in names]
 
 
-@query("stream_validate", """select coalesce(reason, 'ok') as reason, count(*) as n from checked group by 1""")
-def _(g):
-    good, bad, checkpoint = _dirs(g, "good", "bad", "checkpoint")
-    J.split_valid(_records(g), AS_OF, good, bad, checkpoint).awaitTermination()
-    accepted = g.spark.read.parquet(good).select(F.lit("ok").alias("reason"))
-    rejected = g.spark.read.parquet(bad).select("reason")
-    return accepted.unionByName(rejected).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+def sent_files(g) -> str:
+    """The raw records as sent: base64 JSON, one in 79 of them sent a second time in a file of its own, one in 211 broken."""
+
+    def write(path: str) -> None:
+        data = F.when(F.col("event_id") % 211 == 0, F.concat(F.lit("{not json "), F.col("event_id").cast("string"))).otherwise(
+            encode_record(*WIRE.fieldNames()))
+        rows = g.raw.select("event_id", data.alias("data"))
+        again = rows.filter("event_id % 79 = 0").withColumn("part", F.lit("z"))
+        rows.withColumn("part", F.lit("a")).unionByName(again).write.partitionBy("part").json(path)
 
+    return g.once("sent", write)
 
-CURRENT_SQL = """select s.lot_id, c.campus as campus_name, c.capacity, list_reduce(s.d, lambda a, x: greatest(0, least(c.capacity, a + x)), 0)
+
+@query("stream_validate", """select why as reason, text, sum(times) as n from (select case when event_id % 211 = 0 then 'bad_json'
+        else coalesce(reason, 'ok') end as why, case when event_id % 211 = 0 then '{not json ' || event_id end as text,
+        case when event_id % 79 = 0 then 2 else 1 end as times from checked) group by 1, 2""")
+def _(g):
+    good, bad, checkpoint = _dirs(g, "good", "bad", "checkpoint")
+    J.split_valid(J.read_sent(g.spark, sent_files(g)), AS_OF, good, bad, checkpoint).awaitTermination()
+    accepted = g.spark.read.parquet(good).select(F.lit("ok").alias("reason"), F.lit(None).cast("string").alias("text"))
+    rejected = g.spark.read.parquet(bad).select("reason", F.col("_corrupt").alias("text"))
+    return accepted.unionByName(rejected).groupBy("reason", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_live", """select 'current' as part, lot_id, cast(current_occupancy as bigint) as a, cast(free_spots as bigint) as b, strftime(last_updated_ts, '%Y-%m-%d %H:%M:%S.%f') as c
+    from (select s.lot_id, list_reduce(s.d, lambda a, x: greatest(0, least(c.capacity, a + x)), 0) as current_occupancy,
+        c.capacity - list_reduce(s.d, lambda a, x: greatest(0, least(c.capacity, a + x)), 0) as free_spots, s.last_updated_ts
+        from (select lot_id, list(case when event_type = 'ARRIVAL' then 1 else -1 end order by event_ts, event_id) as d, max(event_ts) as last_updated_ts
+            from valid where event_id % 211 <> 0 group by 1) s join capacity c using (lot_id))
+    union all select 'recent', lot_id, event_id, 0, strftime(event_ts, '%Y-%m-%d %H:%M:%S.%f') from (select * from valid where event_id % 211 <> 0)
+        qualify row_number() over (partition by lot_id order by event_ts desc, event_id desc) <= 5
+    union all select 'counts', '', sum(case when event_id % 211 <> 0 and reason is null then times else 0 end)::bigint,
+        sum(case when event_id % 211 = 0 or reason is not null then times else 0 end)::bigint, ''
+        from (select *, case when event_id % 79 = 0 then 2 else 1 end as times from checked)""")
+def _(g):
+    """The one live job over all records as sent, in one batch; those sent again count once."""
+    root, checkpoint = _dirs(g, "live", "checkpoint")
+    records = J.read_sent(g.spark, sent_files(g), files_per_batch=10_000)
+    J.live(records, g.capacity, AS_OF, root, checkpoint).awaitTermination()
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("c")
+    current = read_latest(g.spark, f"{root}/current", CURRENT).select(
+        F.lit("current").alias("part"), "lot_id", F.col("current_occupancy").alias("a"), F.col("free_spots").alias("b"), at("last_updated_ts"))
+    recent = read_latest(g.spark, f"{root}/recent", RECENT).select(
+        F.lit("recent").alias("part"), "lot_id", F.col("event_id").alias("a"), F.lit(0).cast("bigint").alias("b"), at("event_timestamp"))
+    counts = g.spark.read.schema(J.COUNTS).parquet(f"{root}/counts").agg(F.sum("processed").alias("a"), F.sum("failed").alias("b")).select(
+        F.lit("counts").alias("part"), F.lit("").alias("lot_id"), "a", "b", F.lit("").alias("c"))
+    return current.unionByName(recent).unionByName(counts)
+
+
+CURRENT_SQL = """select lot_id, campus_name, capacity, current_occupancy, capacity - current_occupancy as free_spots,
+    cast(current_occupancy as double) / cast(capacity as double) as occupancy_rate, last_updated_ts from (
+    select s.lot_id, c.campus as campus_name, c.capacity, list_reduce(s.d, lambda a, x: greatest(0, least(c.capacity, a + x)), 0)
     as current_occupancy, s.last_updated_ts from (select lot_id, list(case when event_type = 'ARRIVAL' then 1 else -1 end order by event_ts, event_id) as d,
-    max(event_ts) as last_updated_ts from valid group by 1) s join capacity c using (lot_id)"""
+    max(event_ts) as last_updated_ts from valid group by 1) s join capacity c using (lot_id))"""
 
 
 def _current(g, events):
     root, checkpoint = _dirs(g, "current", "checkpoint")
     J.keep_current(events, g.capacity, root, checkpoint).awaitTermination()
-    state = read_latest(g.spark, root, CURRENT)
-    return state.select("lot_id", "campus_name", "capacity", "current_occupancy", "last_updated_ts")
+    return read_latest(g.spark, root, CURRENT)
 
 
 @query("stream_current_occupancy", CURRENT_SQL)
@@ -65,7 +107,7 @@ def _(g):
 
 @query("stream_dedup", CURRENT_SQL)
 def _(g):
-    # Every record is sent twice; the repeats must not count.
+    # Every record is sent twice; the repeats must not count, however late they come.
     events = J.accepted_events(_records(g), AS_OF)
     twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     return _current(g, J.without_repeats(twice))
@@ -95,22 +137,19 @@ def _(g):
     return g.spark.read.parquet(path).select("session_id", "timestamp", "event_type", "lot_id", "campus")
 
 
-@query("stream_window_15m", """select lot_id, w as window_start, count(*) as departures_in_15m from
-    (select lot_id, time_bucket(interval 15 minutes, event_ts) as w from valid where event_type = 'DEPARTURE')
-    where w + interval 15 minutes <= (select max(event_ts) - interval 10 minutes from valid where event_type = 'DEPARTURE') group by 1, 2""")
+@query("stream_window_15m", """select lot_id, time_bucket(interval 15 minutes, event_ts) as window_start, count(*) as departures_in_15m
+    from valid where event_type = 'DEPARTURE' group by 1, 2""")
 def _(g):
-    path, checkpoint = _dirs(g, "windows", "checkpoint")
-    J.departures_per_window(J.accepted_events(_records(g), AS_OF), path, checkpoint).awaitTermination()
-    return g.spark.read.parquet(path)
+    root, checkpoint = _dirs(g, "windows", "checkpoint")
+    J.keep_windows(J.accepted_events(_records(g), AS_OF), root, checkpoint).awaitTermination()
+    return read_latest(g.spark, root, J.WINDOWS)
 
 
-@query("batch_metrics", """select count(*) filter (where reason is null) as processed, count(*) filter (where reason is not null) as failed,
-    count(*) filter (where lot_id not in ('NORTH','EAST','CENTRAL','WEST','SOUTH','SRYC','SRYE')) as unknown_lot from checked""")
+@query("batch_metrics", """select sum(times) filter (where ok)::bigint as processed, sum(times) filter (where not ok)::bigint as failed,
+    sum(times) filter (where bad or lot_id is null or lot_id not in ('NORTH','EAST','CENTRAL','WEST','SOUTH','SRYC','SRYE'))::bigint as unknown_lot
+    from (select lot_id, event_id % 211 = 0 as bad, event_id % 211 <> 0 and reason is null as ok, case when event_id % 79 = 0 then 2 else 1 end as times from checked)""")
 def _(g):
     root, checkpoint = _dirs(g, "metrics", "checkpoint")
-    J.count_batches(_records(g), AS_OF, root, checkpoint).awaitTermination()
-    parts = [g.spark.read.schema(J.COUNTS).parquet(f"{root}/counts/version-{v:012d}") for v in finished(g.spark, f"{root}/counts")]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"), F.sum("unknown_lot").alias("unknown_lot"))
+    J.count_batches(J.read_sent(g.spark, sent_files(g)), AS_OF, root, checkpoint).awaitTermination()
+    batches = g.spark.read.schema(J.COUNTS).parquet(f"{root}/counts")
+    return batches.agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"), F.sum("unknown_lot").alias("unknown_lot"))

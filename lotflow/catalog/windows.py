@@ -25,7 +25,7 @@ def _(g):
 
 @query("forward_fill", "select lot_id, campus, w as window_start, occ as occupancy_now, cast(exam as varchar) as is_exam_week from filled")
 def _(g):
-    filled = G.forward_fill(G.fill_grid(O.window_state(g.unified)), "occupancy_now", "is_exam_week")
+    filled = G.forward_fill(G.fill_grid(g.stored("cells")), "occupancy_now", "is_exam_week")
     return filled.fillna(0, subset=["occupancy_now"]).select("lot_id", "campus", "window_start", "occupancy_now", "is_exam_week")
 
 

@@ -39,9 +39,6 @@ SEMESTERS = [
     ("Fall 2025", "2025-09-02", "2025-12-05", "2025-12-19"),
 ]
 
-# Lot choice weights of the historical log, per campus in lot order.
-LOT_WEIGHTS = {"BURNABY": [0.35, 0.30, 0.15, 0.10, 0.10], "SURREY": [0.60, 0.40]}
-
 # Thresholds and zones.
 PEAK_SHARE = 0.80
 LOCAL_ZONE = "America/Vancouver"

@@ -16,7 +16,7 @@ from lotflow.functions.numbers import predicted_share
 from lotflow.functions.timeparts import shift
 from lotflow.operators.calendar import with_day_flags
 from lotflow.operators.hourly import hourly_metrics, peak_spikes
-from lotflow.operators.occupancy import current_occupancy
+from lotflow.operators.occupancy import current_occupancy, window_state
 from lotflow.operators.serving import recent_events
 from lotflow.operators.sessions import impute_departures
 from lotflow.operators.validate import accepted, validate
@@ -99,6 +99,13 @@ class Given:
             event_id.alias("event_id"), event_ts.alias("event_ts"), event_type.alias("event_type")]
         return self._rows(source, event, *self._who()).withColumn("date", F.to_date("event_ts"))
 
+    @property
+    def ev(self) -> DataFrame:
+        """All events, those of an invalid type included."""
+        event = lambda event_id, event_ts, event_type: [
+            event_id.alias("event_id"), event_ts.alias("event_ts"), event_type.alias("event_type")]
+        return self._rows(self.table("events"), event, *self._who()).withColumn("date", F.to_date("event_ts"))
+
     @property
     def pe_min(self) -> DataFrame:
         """Times cut to minutes, so that events share an instant."""
@@ -170,6 +177,11 @@ class Given:
     def unified(self) -> DataFrame:
         return unified_log(self.historical, self.live)
 
+    @property
+    def cells(self) -> DataFrame:
+        """The state of every non-empty window: all that the grid needs of the log."""
+        return window_state(self.unified)
+
     @property
     def features(self) -> DataFrame:
         return training_features(self.unified, HOLIDAYS)
@@ -193,7 +205,7 @@ class Given:
     @property
     def forecasts(self) -> DataFrame:
         """A "no change" forecast from every feature row."""
-        rows = self.stored("features").join(F.broadcast(self.capacity.select("lot_id", "capacity")), "lot_id")
+        rows = self.stored("features").join(self.capacity.select("lot_id", "capacity"), "lot_id")
         count = F.greatest(F.lit(0), F.least(F.col("occupancy_now"), F.col("capacity")))
         return rows.select(
             "lot_id", shift(F.col("timestamp"), minutes=15).alias("forecast_time"), F.col("timestamp").alias("run_time"),

@@ -39,7 +39,7 @@ def semester_dates(spark: SparkSession, semesters: list[tuple] = SEMESTERS, holi
 def classify_period(rows: DataFrame, semesters: list[tuple] = SEMESTERS, holidays: list[str] = HOLIDAYS) -> DataFrame:
     """Add semester and period by ``date``; ``out`` outside all semesters."""
     dates = semester_dates(rows.sparkSession, semesters, holidays)
-    joined = rows.join(F.broadcast(dates), "date", "left")
+    joined = rows.join(dates, "date", "left")
     return joined.withColumn("period", F.coalesce("period", F.lit("out")))
 
 
@@ -64,7 +64,7 @@ def backfill_flags(events: DataFrame, calendar: DataFrame) -> DataFrame:
     """Fill null flags from the date; ``calendar`` has one row per date, so its size is the number of days."""
     known = calendar.select("date", *[F.col(f).alias(f"_{f}") for f in FLAG_NAMES])
     filled = {f: F.coalesce(F.col(f), F.col(f"_{f}")) for f in FLAG_NAMES}
-    joined = events.join(F.broadcast(known), "date", "left").withColumns(filled)
+    joined = events.join(known, "date", "left").withColumns(filled)
     return joined.select(*events.columns)
 
 
@@ -98,21 +98,6 @@ def daily_summary(schedule: DataFrame) -> DataFrame:
     )
 
 
-def weekend_slots(students: DataFrame, start: str, end: str, until: str) -> DataFrame:
-    """Every student on every weekend date up to ``until``, at a slot fixed by the pair.
-
-    Each student row carries its dates, so nothing is joined.  The slot comes from a hash: start 9:00 to 14:30 on
-    the half hour, length two hours.
-    """
-    last = F.lit(until).cast("date")
-    days = term_days(start, end, lambda d: F.dayofweek(d).isin(1, 7) & (d <= last))
-    rows = students.select("student_id", "campus").distinct().withColumn("date", F.explode(days))
-    digest = F.md5(F.concat_ws("|", "student_id", F.date_format("date", "yyyy-MM-dd")))
-    slot = F.conv(F.substring(digest, 1, 6), 16, 10).cast("bigint") % 12
-    begins = F.lit(9 * 60) + slot * 30
-    return rows.select("student_id", "campus", "date", begins.alias("start_minute"), (begins + 120).alias("end_minute"))
-
-
 def ranked_ids(rows: DataFrame, id_column: str) -> DataFrame:
     ids = rows.select(id_column).distinct().withColumn("_hash", F.md5(F.col(id_column)))
     return global_rank(ids, "_hash").drop("_hash")

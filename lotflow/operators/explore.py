@@ -38,7 +38,7 @@ def capacity_check(features: DataFrame, capacity: DataFrame) -> DataFrame:
     tops = features.groupBy("lot_id").agg(F.max("occupancy_now").alias("max_occupancy"))
     dim = capacity.select("lot_id", "capacity")
     over = F.coalesce(F.col("max_occupancy") > F.col("capacity"), F.lit(False))
-    return tops.join(F.broadcast(dim), "lot_id", "left").withColumn("over_capacity", over)
+    return tops.join(dim, "lot_id", "left").withColumn("over_capacity", over)
 
 
 def over_capacity(features: DataFrame, capacity: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def hourly_metrics(events: DataFrame, capacity: DataFrame) -> DataFrame:
         F.sum("stay").alias("stay"), F.sum("stays").alias("stays"),
     )
     dim = capacity.select("lot_id", F.col("capacity").alias("lot_capacity"))
-    return hours.join(F.broadcast(dim), "lot_id", "left").select(
+    return hours.join(dim, "lot_id", "left").select(
         "lot_id", "day_of_week", "hour_of_day",
         (F.try_divide(F.col("stay").cast("double"), F.col("stays").cast("double")) / F.lit(60.0)).alias("average_duration_minutes"),
         (F.col("area").cast("double") / F.col("n").cast("double")).alias("average_occupancy_lot"),
@@ -68,7 +68,11 @@ def peak_spikes(hours: DataFrame, share: float = PEAK_SHARE) -> DataFrame:
 
 
 def history_rollup(hours: DataFrame) -> DataFrame:
-    """Mean count per lot and hour as a count and as a percentage of the capacity."""
-    pct = F.try_divide(F.col("average_occupancy_lot") * F.lit(100.0), F.col("lot_capacity").cast("double"))
-    return hours.select("lot_id", "day_of_week", "hour_of_day", "average_occupancy_lot",
-                        pct.alias("average_occupancy_pct"))
+    """Over all weekdays, per lot and hour: the mean of their average counts, as a count and as a share of capacity.
+
+    A lot has at most seven rows per hour.
+    """
+    mean = F.avg("average_occupancy_lot")
+    pct = F.try_divide(mean * F.lit(100.0), F.max("lot_capacity").cast("double"))
+    return hours.groupBy("lot_id", "hour_of_day").agg(
+        F.count(F.lit(1)).alias("weekdays"), mean.alias("average_occupancy_lot"), pct.alias("average_occupancy_pct"))

@@ -41,6 +41,11 @@ def merge_current(old: DataFrame, runs: DataFrame, capacity: DataFrame) -> DataF
     return snapshot(rows, capacity, held)
 
 
+def add_counts(old: DataFrame, new: DataFrame, key: list[str], count: str) -> DataFrame:
+    """Counts per key, added up; nulls in the key are equal."""
+    return old.unionByName(new.select(*old.columns)).groupBy(*key).agg(F.sum(count).alias(count))
+
+
 def merge_days(old: DataFrame, runs: DataFrame) -> DataFrame:
     """Move counts kept per lot and date on by one triple each; a new date starts empty."""
     both = old.withColumnRenamed("occupancy", "_old").join(runs, ["lot_id", "date"], "full")

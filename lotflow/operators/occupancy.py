@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lotflow.functions.numbers import event_delta, free_spots, occupancy_rate
-from lotflow.operators.ordered import PIECE, running_sum, with_pieces
+from lotflow.operators.ordered import PIECE, join_nulls, running_sum, with_pieces
 from lotflow.operators.validate import known_lots, only_types
 
 #: Rows gathered into one array when a piece is folded.
@@ -61,7 +62,7 @@ def _fold(order: list[str]) -> list[Column]:
 
 
 def _steps(events: DataFrame, capacity: DataFrame, **limits: int) -> DataFrame:
-    limits = {"hot_rows": FOLD_ROWS, "block_ids": FOLD_ROWS, **limits}
+    limits = {"hot_rows": FOLD_ROWS, **limits}
     steps = known_lots(with_delta(events), capacity).select(
         "lot_id", "event_ts", "event_id", F.col("delta").alias("s"), F.lit(0).cast("bigint").alias("lo"),
         F.col("capacity").alias("hi"),
@@ -72,7 +73,7 @@ def _steps(events: DataFrame, capacity: DataFrame, **limits: int) -> DataFrame:
 def _piece_runs(steps: DataFrame) -> DataFrame:
     """One triple per piece; a piece has at most FOLD_ROWS events."""
     with_last = steps.withColumn("last", F.struct("event_ts", "event_id"))
-    folded = with_last.groupBy("lot_id", *PIECE).agg(*_fold(["event_ts", "event_id"]))
+    folded = with_last.groupBy("lot_id", *PIECE).agg(*_fold(["event_ts", "event_id", "_spread"]))
     return folded.select("lot_id", *PIECE, "run.*", "last")
 
 
@@ -105,7 +106,7 @@ def snapshot(lots: DataFrame, capacity: DataFrame, occupied: Column) -> DataFram
     """Snapshot rows from per-lot state; ``capacity`` is the lot dimension."""
     dim = capacity.select("lot_id", F.col("campus").alias("campus_name"), "capacity")
     held = lots.withColumn("current_occupancy", occupied)
-    return held.join(F.broadcast(dim), "lot_id").select(
+    return held.join(dim, "lot_id").select(
         "lot_id", "campus_name", "capacity", "current_occupancy",
         free_spots(F.col("current_occupancy"), F.col("capacity")).alias("free_spots"),
         occupancy_rate(F.col("current_occupancy"), F.col("capacity")).alias("occupancy_rate"), "last_updated_ts",
@@ -117,19 +118,58 @@ def current_occupancy(events: DataFrame, capacity: DataFrame, **limits: int) ->
     return snapshot(lot_runs(events, capacity, **limits), capacity, apply_run(F.lit(0).cast("bigint")))
 
 
+def _segment_starts(keys: pd.DataFrame) -> np.ndarray:
+    """Whether a row's key differs from the one before; nulls are equal."""
+    changed = np.zeros(len(keys), bool)
+    for name in keys.columns:
+        codes = pd.factorize(keys[name], use_na_sentinel=False)[0]
+        changed[1:] |= codes[1:] != codes[:-1]
+    return changed
+
+
+def _scan(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triples of the runs from each segment's begin through each row, doubling the reach step by step."""
+    s, lo, hi = s.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64)
+    rows = np.arange(len(s))
+    first = np.maximum.accumulate(np.where(begins, rows, 0))
+    reach = 1
+    while reach < len(s):
+        far = np.flatnonzero(rows - reach >= first)
+        if not len(far):
+            break
+        near = far - reach
+        lo2, hi2, s2 = lo[far], hi[far], s[far]
+        new_lo = np.maximum(lo2, np.minimum(hi2, lo[near] + s2))
+        new_hi = np.maximum(lo2, np.minimum(hi2, hi[near] + s2))
+        s[far], lo[far], hi[far] = s[near] + s2, new_lo, new_hi
+        reach *= 2
+    return s, lo, hi
+
+
 def _replay(out: str, group: list[str], after: bool):
-    """Walk sorted rows batch by batch, carrying one number; a new group starts from its ``_start``."""
+    """Go through sorted rows batch by batch, carrying one number; a new group starts from its ``_start``.
+
+    Within a batch the triples are combined for all rows at once, in as many array steps as the logarithm of
+    its size.
+    """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, x = None, 0
+        last_key, x = None, 0
         for batch in batches:
-            keys = list(batch[group].itertuples(index=False, name=None))
-            values = []
-            for k, start, s, lo, hi in zip(keys, batch["_start"], batch["s"], batch["lo"], batch["hi"]):
-                if k != key:
-                    key, x = k, start
-                before, x = x, max(lo, min(hi, x + s))
-                values.append(x if after else before)
+            if not len(batch):
+                continue
+            begins = _segment_starts(batch[group])
+            first_key = tuple(None if pd.isna(v) else v for v in batch[group].iloc[0])
+            begins[0] = True
+            start = batch["_start"].to_numpy(np.int64).copy()
+            if first_key == last_key:
+                rest = np.flatnonzero(begins)
+                start[: rest[1] if len(rest) > 1 else len(batch)] = x
+            s, lo, hi = _scan(batch["s"].to_numpy(), batch["lo"].to_numpy(), batch["hi"].to_numpy(), begins)
+            values = np.maximum(lo, np.minimum(hi, start + s))
+            last_key, x = tuple(None if pd.isna(v) else v for v in batch[group].iloc[-1]), int(values[-1])
+            if not after:
+                values = np.where(begins, start, np.concatenate(([0], values[:-1])))
             yield batch.assign(**{out: values})
 
     return walk
@@ -145,7 +185,8 @@ def clamped_occupancy(events: DataFrame, capacity: DataFrame, **limits: int) ->
     """The held count after every event, per lot, in (event_ts, event_id) order, starting empty.
 
     Start values go down the levels: days of a lot (one row per day), pieces of a lot-day, events of a piece.
-    Each walk streams sorted rows and carries one number, so no group is held in memory.
+    Each walk streams sorted rows and carries one number, so no group is held in memory; rows of a batch are handled as
+    arrays, not one by one.
     """
     steps = _steps(events, capacity, **limits)
     pieces = _piece_runs(steps)
@@ -153,10 +194,10 @@ def clamped_occupancy(events: DataFrame, capacity: DataFrame, **limits: int) ->
     days = _walk(_day_runs(pieces).drop("last").withColumn("_start", zero), "_at_day", ["lot_id"], ["_day"], after=False)
     dated = pieces.drop("last").withColumn("_day", F.to_date("_slice"))
     day_start = days.select("lot_id", "_day", F.col("_at_day").alias("_start"))
-    starts = _walk(dated.join(day_start, ["lot_id", "_day"]), "_at_piece", ["lot_id", "_day"], PIECE, after=False)
+    starts = _walk(join_nulls(dated, day_start, ["lot_id", "_day"]), "_at_piece", ["lot_id", "_day"], PIECE, after=False)
     piece_start = starts.select("lot_id", *PIECE, F.col("_at_piece").alias("_start"))
-    rows = steps.drop("_split").join(piece_start, ["lot_id", *PIECE])
-    walked = _walk(rows, "occupancy", ["lot_id", *PIECE], ["event_ts", "event_id"], after=True)
+    rows = join_nulls(steps.drop("_split"), piece_start, ["lot_id", *PIECE])
+    walked = _walk(rows, "occupancy", ["lot_id", *PIECE], ["event_ts", "event_id", "_spread"], after=True)
     return walked.select("lot_id", "event_ts", "event_id", "occupancy")
 
 

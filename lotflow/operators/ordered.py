@@ -4,64 +4,78 @@ A window over (lot, date) would sort a whole lot-day in one task.  Here each key
 
 * an hour of a key with at most ``hot_rows`` events is one piece;
 * a larger hour is cut into seconds, so a day has at most 86,400 of them;
-* a larger second is cut by instant (at most 10^6 microseconds) and by block of event ids, so not even one instant
-  holding a third of all rows lands in one task.
+* a larger second is cut by instant (at most 10^6 microseconds) and by equal ranges of event ids, as many as the
+  second has times ``hot_rows`` events, so not even one instant holding a third of all rows lands in one task.
 
-Pieces are worked on in parallel; the totals of earlier pieces are added afterwards.  The list of large hours and
-the seconds named in it have at most ``rows / hot_rows`` entries (10^6 for 10^12 rows), which bounds its broadcast.
+Pieces are worked on in parallel; the totals of earlier pieces are added afterwards.  All joins take nulls for equal:
+rows with a null key, time or id are kept, in the order nulls first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-BLOCK_IDS = 1 << 20
 
 PIECE = ["_slice", "_instant", "_block"]
 
 
-def large_hours(events: DataFrame, keys: list[str], ts: str, hot_rows: int) -> DataFrame:
-    """Hours with more than ``hot_rows`` events, each with its seconds that alone have more."""
+def join_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which nulls are equal; the keys stay those of the left side."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def large_hours(events: DataFrame, keys: list[str], ts: str, tie: str, hot_rows: int) -> DataFrame:
+    """Hours with more than ``hot_rows`` events, each with its seconds that alone have more and their range of ids."""
     seconds = events.groupBy(*keys, F.date_trunc("second", F.col(ts)).alias("_second")).agg(
-        F.count(F.lit(1)).alias("_n"))
+        F.count(F.lit(1)).alias("_n"), F.min(tie).cast("double").alias("lo"), F.max(tie).cast("double").alias("hi"))
+    parts = F.ceil(F.col("_n") / F.lit(float(max(hot_rows, 1)))).cast("bigint")
+    hot = F.struct(F.col("_second").alias("second"), parts.alias("parts"), "lo", "hi")
     hours = seconds.groupBy(*keys, F.date_trunc("hour", "_second").alias("_hour")).agg(
-        F.sum("_n").alias("_n"), F.collect_list(F.when(F.col("_n") > hot_rows, F.col("_second"))).alias("_hot"))
+        F.sum("_n").alias("_n"), F.collect_list(F.when(F.col("_n") > hot_rows, hot)).alias("_hot"))
     return hours.filter(F.col("_n") > hot_rows).drop("_n")
 
 
 def with_pieces(events: DataFrame, keys: list[str], *, ts: str = "event_ts", tie: str = "event_id",
-                hot_rows: int = HOT_ROWS, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Add the piece columns; ordering by (``ts``, ``tie``) is the order of pieces, then the order inside them.
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add the piece columns; ordering by (``ts``, ``tie``, ``_spread``) is the order of pieces, then that inside them.
 
-    ``keys``, ``ts`` and ``tie`` must not be null, and ``tie`` must be unique within an instant.  ``_split`` tells
-    rows of a second that was cut by instant.
+    ``tie`` is a number; equal and null ones are ordered by a hash of the row.  Ids need not be dense: a hot second
+    is cut at equal steps between its lowest and highest id, which suits counted and hashed ids alike; rows without id
+    come first, cut at equal steps of their hash.  ``_split`` tells rows of a second that was cut by instant.
     """
     time = F.col(ts)
-    hourly = events.withColumn("_hour", F.date_trunc("hour", time))
-    marked = hourly.join(F.broadcast(large_hours(events, keys, ts, hot_rows)), [*keys, "_hour"], "left")
+    hourly = events.withColumns({"_hour": F.date_trunc("hour", time), "_spread": F.xxhash64(*[F.col(c) for c in events.columns])})
+    marked = join_nulls(hourly, large_hours(events, keys, ts, tie, hot_rows), [*keys, "_hour"], "left")
     second = F.date_trunc("second", time)
-    split = F.coalesce(F.array_contains("_hot", second), F.lit(False))
     sliced = marked.withColumns({
-        "_split": split, "_slice": F.when(F.col("_hot").isNull(), F.col("_hour")).otherwise(second),
-    }).drop("_hour", "_hot")
+        "_cut": F.try_element_at(F.filter("_hot", lambda h: h["second"].eqNullSafe(second)), F.lit(1)),
+        "_slice": F.when(F.col("_hot").isNull(), F.col("_hour")).otherwise(second),
+    }).drop("_hour", "_hot").withColumn("_split", F.col("_cut").isNotNull())
+    parts, low, high = (F.col(f"_cut.{c}") for c in ("parts", "lo", "hi"))
+    step = F.floor((F.col(tie).cast("double") - low) / (high - low + 1.0) * parts)
+    dealt = F.least(F.floor((F.col("_spread").cast("double") / 2.0**64 + 0.5) * parts), parts - 1) - parts
+    block = F.when(F.col(tie).isNull(), dealt).otherwise(F.least(step, parts - 1))
     return sliced.withColumns({
         "_instant": F.when(F.col("_split"), time).otherwise(F.col("_slice")),
-        "_block": F.when(F.col("_split"), F.floor(F.col(tie) / F.lit(block_ids))).otherwise(F.lit(0).cast("bigint")),
-    })
+        "_block": F.when(F.col("_split"), block).otherwise(F.lit(0).cast("bigint")),
+    }).drop("_cut")
 
 
 def running_sum(events: DataFrame, delta: str, out: str, *, keys: list[str], ts: str = "event_ts",
-                tie: str = "event_id", ties_share: bool = False, hot_rows: int = HOT_ROWS,
-                block_ids: int = BLOCK_IDS) -> DataFrame:
+                tie: str = "event_id", ties_share: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Running sum of ``delta`` per key in (``ts``, ``tie``) order.
 
     ``ties_share=False`` counts row by row (ROWS frame); ``ties_share=True`` gives all rows of an instant the sum
     through that instant (RANGE frame).  Events move in one shuffle, on the piece; the totals join on the same key.
     """
-    pieces = with_pieces(events, keys, ts=ts, tie=tie, hot_rows=hot_rows, block_ids=block_ids)
+    pieces = with_pieces(events, keys, ts=ts, tie=tie, hot_rows=hot_rows)
     totals = pieces.groupBy(*keys, *PIECE).agg(F.sum(delta).alias("_net"))
     earlier = W.partitionBy(*keys).orderBy(*PIECE).rowsBetween(W.unboundedPreceding, -1)
     through = W.partitionBy(*keys).orderBy("_slice", "_instant").rangeBetween(W.unboundedPreceding, 0)
@@ -73,10 +87,10 @@ def running_sum(events: DataFrame, delta: str, out: str, *, keys: list[str], ts:
         frame = inside.orderBy(ts).rangeBetween(W.unboundedPreceding, 0)
         value = F.when(F.col("_split"), F.col("_through")).otherwise(F.col("_before") + F.col("_inside"))
     else:
-        frame = inside.orderBy(ts, tie).rowsBetween(W.unboundedPreceding, 0)
+        frame = inside.orderBy(ts, tie, "_spread").rowsBetween(W.unboundedPreceding, 0)
         value = F.col("_before") + F.col("_inside")
     placed = pieces.repartition(*keys, *PIECE).withColumn("_inside", F.sum(delta).over(frame))
-    return placed.join(starts, [*keys, *PIECE]).select(*events.columns, value.alias(out))
+    return join_nulls(placed, starts, [*keys, *PIECE]).select(*events.columns, value.alias(out))
 
 
 def global_rank(ids: DataFrame, hashed: str, out: str = "_rank") -> DataFrame:

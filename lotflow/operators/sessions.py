@@ -15,11 +15,13 @@ def first_of_each(events: DataFrame) -> DataFrame:
     """One row per (session, type): the earliest; repeats come from retried sends.
 
     A min over a struct is combined before the shuffle, so a session repeated many times costs one row per task.
+    Events without a session id are no repeats of each other: all stay.
     """
     rest = [c for c in events.columns if c not in ("session_id", "event_type")]
     order = ["event_ts", "event_id", *[c for c in rest if c not in ("event_ts", "event_id")]]
-    kept = events.groupBy("session_id", "event_type").agg(F.min(F.struct(*order)).alias("_first"))
-    return kept.select("session_id", "event_type", "_first.*").select(*events.columns)
+    kept = events.filter("session_id is not null").groupBy("session_id", "event_type").agg(F.min(F.struct(*order)).alias("_first"))
+    first = kept.select("session_id", "event_type", "_first.*").select(*events.columns)
+    return first.unionByName(events.filter("session_id is null"))
 
 
 def pair_sessions(events: DataFrame) -> DataFrame:

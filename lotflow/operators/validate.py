@@ -74,6 +74,15 @@ def parse_strict(raw: DataFrame) -> DataFrame:
     return raw.withColumn("event_ts", strict_ts(F.col("timestamp")))
 
 
+def readable_ts(text: Column) -> Column:
+    """The exact layout, or any other ISO-8601 time with a zone."""
+    return F.coalesce(strict_ts(text), iso_ts(text))
+
+
+def parse_lenient(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("event_ts", readable_ts(F.col("timestamp")))
+
+
 def only_types(events: DataFrame, *types: str) -> DataFrame:
     return events.filter(F.col("event_type").isin(*(types or EVENT_TYPES)))
 
@@ -85,9 +94,9 @@ def drop_untimed(events: DataFrame) -> DataFrame:
 def known_lots(events: DataFrame, capacity: DataFrame) -> DataFrame:
     """Events of lots with a capacity; ``capacity`` is the lot dimension, one row per lot."""
     lots = capacity.filter(F.col("capacity") > 0).select("lot_id", "capacity")
-    return events.join(F.broadcast(lots), "lot_id")
+    return events.join(lots, "lot_id")
 
 
 def with_capacity(events: DataFrame, capacity: DataFrame) -> DataFrame:
     """All events, the capacity null where the lot is unknown."""
-    return events.join(F.broadcast(capacity.select("lot_id", "capacity")), "lot_id", "left")
+    return events.join(capacity.select("lot_id", "capacity"), "lot_id", "left")

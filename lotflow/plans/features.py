@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotflow.domain import HOLIDAYS, as_dates
@@ -11,7 +11,9 @@ from lotflow.operators.calendar import backfill_flags, calendar_of
 from lotflow.operators.grid import dense_grid
 from lotflow.operators.occupancy import window_state
 from lotflow.operators.validate import drop_untimed
-from lotflow.sources.events import union_sources, unify_historical, unify_realtime
+from lotflow.sources.events import LANDED, read_or_empty, scan_historical, union_sources, unify_historical, unify_realtime
+from lotflow.session import shared_dir
+from lotflow.sources.sinks import write_training_set
 
 FEATURE_TABLE = ["lot_id", "campus", "timestamp", "occupancy_now", "day_of_week", "hour_of_day", "is_holiday",
                  "is_weekend", "is_exam_week", "occupancy_plus_15m", "departures_in_15m"]
@@ -19,11 +21,28 @@ FEATURE_TABLE = ["lot_id", "campus", "timestamp", "occupancy_now", "day_of_week"
 
 def unified_log(historical: DataFrame, live: DataFrame) -> DataFrame:
     """Both logs in one layout; live events take their flags from the historical calendar."""
-    history = unify_historical(historical)
+    return _joined_logs(unify_historical(historical), live)
+
+
+def _joined_logs(history: DataFrame, live: DataFrame) -> DataFrame:
     filled = backfill_flags(unify_realtime(live), calendar_of(history))
     return drop_untimed(union_sources(history, filled))
 
 
+def stored_log(spark: SparkSession, historical: str, landed: str) -> DataFrame:
+    """The unified log of the converted export and the landed live events."""
+    return _joined_logs(scan_historical(spark, historical), read_or_empty(spark, landed, LANDED))
+
+
+def run_features(spark: SparkSession, historical: str, landed: str, out: str, holidays: list[str] = HOLIDAYS) -> None:
+    """From the stored logs to the stored feature table."""
+    cells = window_state(stored_log(spark, historical, landed))
+    path = shared_dir(spark, "cells")
+    cells.write.parquet(path)
+    # The log is read once for the windows (and the history once for its calendar).
+    write_training_set(features_of(spark.read.schema(cells.schema).parquet(path), holidays), out)
+
+
 def training_features(events: DataFrame, holidays: list[str] = HOLIDAYS) -> DataFrame:
     """One row per lot and 15-minute window with state, calendar and both labels.
 
@@ -35,7 +54,11 @@ def training_features(events: DataFrame, holidays: list[str] = HOLIDAYS) -> Data
     * Holiday and weekend come from the date; the exam flag is the window's last known one, carried over gaps,
       and null before the first.
     """
-    cells = window_state(events)
+    return features_of(window_state(events), holidays)
+
+
+def features_of(cells: DataFrame, holidays: list[str] = HOLIDAYS) -> DataFrame:
+    """The feature table from the windows' states; ``cells`` is read twice, so a job stores it first."""
     if "is_exam_week" not in cells.columns:
         cells = cells.withColumn("is_exam_week", F.lit(None).cast("boolean"))
     day = F.to_date("window_start")

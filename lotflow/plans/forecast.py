@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotflow.domain import HOLIDAYS, KEEP_PER_LOT, MODEL_FEATURES, SEMESTERS, as_dates
@@ -17,7 +17,7 @@ from lotflow.operators.calendar import semester_dates
 from lotflow.operators.merge import merge_forecast
 from lotflow.plans.poisson_trees import PoissonTrees, fit_poisson_trees
 from lotflow.schemas import FORECAST
-from lotflow.sources.versions import add_version, read_latest
+from lotflow.sources.versions import update
 
 LOTS = [f.removeprefix("lot_id_") for f in MODEL_FEATURES if f.startswith("lot_id_")]
 CAMPUSES = [f.removeprefix("campus_") for f in MODEL_FEATURES if f.startswith("campus_")]
@@ -130,4 +130,15 @@ def forecast_cycle(current: DataFrame, occupancy: PipelineModel, departures: Pip
                    **calendar) -> None:
     """One scheduled run: score, replace by (lot, target time), keep the newest runs per lot."""
     new = forecast(current, occupancy, departures, as_of, **calendar)
-    add_version(merge_forecast(read_latest(current.sparkSession, root, FORECAST), new, KEEP_PER_LOT), root)
+    update(current.sparkSession, root, FORECAST, lambda old: merge_forecast(old, new, KEEP_PER_LOT))
+
+
+def store_models(spark: SparkSession, occupancy: PipelineModel, departures: PoissonTrees, path: str) -> None:
+    occupancy.write().overwrite().save(f"{path}/occupancy")
+    departures.save(spark, f"{path}/departures")
+
+
+def run_forecast(spark: SparkSession, current: DataFrame, models: str, as_of: str, root: str, **calendar) -> None:
+    """The job of every 15 minutes: load both stored models, score the snapshot, merge the forecasts."""
+    occupancy = PipelineModel.load(f"{models}/occupancy")
+    forecast_cycle(current, occupancy, PoissonTrees.load(spark, f"{models}/departures"), as_of, root, **calendar)

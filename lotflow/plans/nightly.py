@@ -9,11 +9,11 @@ from lotflow.functions.timeparts import previous_local_day
 from lotflow.operators.hourly import hourly_metrics, peak_spikes
 from lotflow.operators.merge import merge_history
 from lotflow.operators.sessions import impute_departures
-from lotflow.operators.validate import drop_untimed, parse_strict
+from lotflow.operators.validate import drop_untimed, parse_lenient, readable_ts
 from lotflow.schemas import HISTORY
 from lotflow.sources.events import scan_clean_day, scan_day
 from lotflow.sources.sinks import write_clean
-from lotflow.sources.versions import add_version, read_latest
+from lotflow.sources.versions import update
 
 
 def day_to_process(spark: SparkSession, as_of: str) -> str:
@@ -24,17 +24,27 @@ def day_to_process(spark: SparkSession, as_of: str) -> str:
 
 def clean_log(raw: DataFrame) -> DataFrame:
     """Raw text events to a log with exactly one arrival and one departure per arrived session."""
-    timed = drop_untimed(parse_strict(raw))
+    timed = drop_untimed(parse_lenient(raw))
     if "event_id" not in timed.columns:
         timed = timed.withColumn("event_id", F.xxhash64("session_id", "event_type", "timestamp"))
     return impute_departures(timed)
 
 
-def run_clean(spark: SparkSession, landed: str, out: str, as_of: str) -> bool:
-    """Clean yesterday's events; False when there are none, which is no failure."""
-    raw = scan_day(spark, landed, day_to_process(spark, as_of))
+def untimed(raw: DataFrame) -> DataFrame:
+    """The rows that ``clean_log`` can't place in time, with the reason."""
+    return raw.filter(readable_ts(F.col("timestamp")).isNull()).withColumn("reason", F.lit("timestamp"))
+
+
+def run_clean(spark: SparkSession, landed: str, out: str, as_of: str, bad: str | None = None) -> bool:
+    """Clean yesterday's events; False when there are none, which is no failure.
+
+    Events without a readable time go to a folder of the day below ``bad`` (by default ``<out>-untimed``).
+    """
+    day = day_to_process(spark, as_of)
+    raw = scan_day(spark, landed, day)
     if raw.isEmpty():
         return False
+    untimed(raw).write.mode("overwrite").parquet(f"{bad or out.rstrip('/') + '-untimed'}/date={day}")
     write_clean(clean_log(raw), out)
     return True
 
@@ -54,5 +64,5 @@ def run_history(spark: SparkSession, clean: str, root: str, capacity: DataFrame,
     if events.isEmpty():
         return False
     new = stored_history(history_rows(events, capacity))
-    add_version(merge_history(read_latest(spark, root, HISTORY), new), root)
+    update(spark, root, HISTORY, lambda old: merge_history(old, new))
     return True

@@ -29,17 +29,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     All event times are UTC instants, so the session zone is pinned.  Adaptive execution coalesces small
     shuffle partitions and splits skewed join partitions.  Generated methods beyond 8,000 bytes are not compiled by
-    the JVM, so longer ones (the validation rules) run as separate operators instead.  A cluster keeps its own number
-    of shuffle partitions; a local master needs no more than it has cores.
+    the JVM, so longer ones (the validation rules) run as separate operators instead.  The number of shuffle partitions
+    is the session's own.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    if spark.sparkContext.master.startswith("local"):
-        cores = spark.sparkContext.defaultParallelism
-        if int(spark.conf.get("spark.sql.shuffle.partitions")) > cores:
-            spark.conf.set("spark.sql.shuffle.partitions", str(cores))
     return spark
 
 

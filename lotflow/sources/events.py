@@ -48,8 +48,8 @@ def has_day(events: DataFrame, day: str) -> DataFrame:
 
 
 def scan_realtime(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root`` with the declared schema; folder names are not columns here."""
-    return spark.read.option("recursiveFileLookup", "true").schema(WIRE).parquet(root)
+    """All files below ``root`` in the wire layout; the lot, which names a folder, is taken from there."""
+    return spark.read.schema(LANDED).parquet(root).select(*WIRE.fieldNames())
 
 
 def with_path_day(events: DataFrame, path: Column | None = None) -> DataFrame:
@@ -62,13 +62,20 @@ def scan_historical(spark: SparkSession, root: str) -> DataFrame:
     return unify_historical(spark.read.schema(schema).parquet(root))
 
 
+def _tie(rows: DataFrame, ts: str) -> Column:
+    """What orders events of one instant: their id, or a hash of the event where the log has none."""
+    if "event_id" in rows.columns:
+        return F.col("event_id")
+    return F.xxhash64("session_id", ts, "lot_id", "event_type", "student_id").alias("event_id")
+
+
 def unify_historical(rows: DataFrame) -> DataFrame:
     flags = [F.col(old).alias(new) for old, new in zip(FLAGS, FLAG_NAMES)]
     return rows.select(
         "session_id", F.col("timestamp").alias("event_ts"), standard_name(F.col("lot_id")).alias("lot_id"),
         standard_name(F.col("campus")).alias("campus"), standard_name(F.col("event_type")).alias("event_type"),
         F.col("student_id").cast("int").alias("student_id"), F.lit(None).cast("string").alias("plate_number"),
-        *flags, "date", *[c for c in ("event_id",) if c in rows.columns],
+        *flags, "date", _tie(rows, "timestamp"),
     )
 
 
@@ -79,8 +86,7 @@ def unify_realtime(rows: DataFrame) -> DataFrame:
         "session_id", ts.alias("event_ts"), standard_name(F.col("lot_id")).alias("lot_id"),
         standard_name(F.col("campus")).alias("campus"), standard_name(F.col("event_type")).alias("event_type"),
         F.col("student_id").try_cast("int").alias("student_id"), "plate_number",
-        *[F.lit(None).cast("boolean").alias(f) for f in FLAG_NAMES], F.to_date(ts).alias("date"),
-        *[c for c in ("event_id",) if c in rows.columns],
+        *[F.lit(None).cast("boolean").alias(f) for f in FLAG_NAMES], F.to_date(ts).alias("date"), _tie(rows, "timestamp"),
     )
 
 

@@ -1,49 +1,65 @@
 """Live jobs over a stream of event records.
 
-Each micro-batch goes through the same operators as the nightly jobs.  Keyed results are small tables kept as
-versions numbered by the batch id, so a batch that is run again after a failure changes nothing.
+Each micro-batch goes through the same operators as the nightly jobs.  Keyed results are small tables kept as versions
+that know the last batch of every stream, so a batch that is run again after a failure changes nothing, and a stream
+with a new checkpoint is another stream, whose batches all count.  Folders of rows are named by stream and batch.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lotflow.domain import CAMPUS_LOTS, KEEP_PER_LOT
-from lotflow.operators.merge import merge_current, merge_days
-from lotflow.operators.occupancy import day_runs, lot_runs
+from lotflow.operators.merge import add_counts, merge_current, merge_days
+from lotflow.operators.occupancy import day_runs, departures_per_window, lot_runs
 from lotflow.operators.serving import newest_per_lot, recent_events
 from lotflow.operators.validate import accepted, validate
 from lotflow.schemas import CURRENT, RECENT, WIRE
-from lotflow.sources.versions import expire, finished, read_latest, write_version
+from lotflow.sources.events import decode_events
+from lotflow.sources.versions import expire, read_small, update
 
-#: Stream records: wire fields and the position the stream gave them.
-RECORD = T.StructType([*WIRE.fields, T.StructField("event_id", T.LongType())])
-DELAY = "10 minutes"
+#: Stream records: wire fields, the position the stream gave them, and the text of a line that can't be read.
+RECORD = T.StructType([*WIRE.fields, T.StructField("event_id", T.LongType()), T.StructField("_corrupt", T.StringType())])
+#: Records as the stream hands them on: base64 text and their position.
+SENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("data", T.StringType())])
 
 DAYS = T.StructType([T.StructField("lot_id", T.StringType()), T.StructField("date", T.DateType()),
                      T.StructField("occupancy", T.LongType())])
+WINDOWS = T.StructType([T.StructField("lot_id", T.StringType()), T.StructField("window_start", T.TimestampType()),
+                        T.StructField("departures_in_15m", T.LongType())])
 COUNTS = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("processed", T.LongType()),
                        T.StructField("failed", T.LongType()), T.StructField("unknown_lot", T.LongType())])
+SEEN = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("event_type", T.StringType())])
+
+
+def _files(spark: SparkSession, schema: T.StructType, path: str, files_per_batch: int) -> DataFrame:
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+            .option("recursiveFileLookup", "true").option("columnNameOfCorruptRecord", "_corrupt").json(path))
 
 
 def read_records(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
-    """JSON files as a stream, oldest first."""
-    return (spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_batch)
-            .option("recursiveFileLookup", "true").json(path))
+    """JSON files as a stream, oldest first; a line that can't be read is kept whole in ``_corrupt``."""
+    return _files(spark, RECORD, path, files_per_batch)
+
+
+def read_sent(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
+    """Files of records with base64 data, decoded; an unreadable one is kept whole in ``_corrupt``."""
+    return decode_events(_files(spark, SENT, path, files_per_batch))
 
 
 def checked(records: DataFrame, as_of: str) -> DataFrame:
     return validate(records, as_of)
 
 
-def without_repeats(events: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Each (session, type) once; a record sent again within ``delay`` is dropped, a later one is behind the watermark."""
-    return events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["session_id", "event_type"])
+def without_repeats(events: DataFrame) -> DataFrame:
+    """Each (session, type) once, however late it comes or is sent again: the keys stay in the stream's state."""
+    return events.dropDuplicates(["session_id", "event_type"])
 
 
 def _trigger(every: str | None) -> dict:
@@ -56,61 +72,124 @@ def _start(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkp
             .trigger(**_trigger(every)).start())
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream got with its checkpoint; a new checkpoint makes a new stream."""
+    return json.loads(read_small(spark, f"{checkpoint}/metadata"))["id"]
+
+
+def _batch_folder(spark: SparkSession, root: str, checkpoint: str, batch_id: int) -> str:
+    return f"{root}/stream={stream_id(spark, checkpoint)}/batch={batch_id}"
+
+
+def _write_split(rows: DataFrame, good: str, bad: str) -> None:
+    rows.filter(F.col("reason").isNull()).drop("reason", "_corrupt").write.mode("overwrite").parquet(good)
+    rows.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(bad)
+
+
 def split_valid(records: DataFrame, as_of: str, good: str, bad: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Accepted events to ``good``, the others with their reason to ``bad``, a folder per batch.
+    """Accepted events to ``good``, the others with their reason (and the text, if unreadable) to ``bad``.
 
-    The batch is written once, by outcome; a repeated batch overwrites its own folders.
+    A folder per stream and batch; a repeated batch overwrites its own folders.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
-            rows.filter(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
-            rows.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{bad}/batch={batch_id}")
+            folder = lambda root: _batch_folder(batch.sparkSession, root, checkpoint, batch_id)
+            _write_split(rows, folder(good), folder(bad))
         finally:
             rows.unpersist()
 
     return _start(checked(records, as_of), on_batch, checkpoint, every)
 
 
-def _versioned(root: str, merge: Callable[[DataFrame, int], DataFrame]) -> Callable[[DataFrame, int], None]:
+Merge = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def _versioned(root: str, schema: T.StructType, checkpoint: str, merge: Merge) -> Callable[[DataFrame, int], None]:
+    """Apply each batch of the stream once to the stored table: ``merge(old, batch)``."""
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch_id not in finished(batch.sparkSession, root):
-            write_version(merge(batch, batch_id), root, batch_id)
-            expire(batch.sparkSession, root)
+        spark = batch.sparkSession
+        update(spark, root, schema, lambda old: merge(old, batch), (stream_id(spark, checkpoint), batch_id))
+        expire(spark, root)
 
     return on_batch
 
 
-def keep_current(events: DataFrame, capacity: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """The live snapshot: every batch is folded to one triple per lot and applied to the stored counts."""
+def into_current(capacity: DataFrame) -> Merge:
+    """Every batch is folded to one triple per lot and applied to the stored counts."""
+    return lambda old, batch: merge_current(old, lot_runs(batch, capacity), capacity)
 
-    def merge(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        old = read_latest(spark, root, CURRENT, before=batch_id)
-        return merge_current(old, lot_runs(batch, capacity), capacity)
 
-    return _start(events, _versioned(root, merge), checkpoint, every)
+def into_recent(k: int = KEEP_PER_LOT) -> Merge:
+    return lambda old, batch: newest_per_lot(old.unionByName(recent_events(batch, k)), "event_timestamp", k, "event_id")
 
 
-def keep_recent(events: DataFrame, root: str, checkpoint: str, k: int = KEEP_PER_LOT, every: str | None = None) -> StreamingQuery:
-    """The newest ``k`` events per lot."""
+def keep_current(events: DataFrame, capacity: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """The live snapshot."""
+    return _start(events, _versioned(root, CURRENT, checkpoint, into_current(capacity)), checkpoint, every)
 
-    def merge(batch: DataFrame, batch_id: int) -> DataFrame:
-        old = read_latest(batch.sparkSession, root, RECENT, before=batch_id)
-        return newest_per_lot(old.unionByName(recent_events(batch, k)), "event_timestamp", k, "event_id")
 
-    return _start(events, _versioned(root, merge), checkpoint, every)
+def keep_recent(events: DataFrame, root: str, checkpoint: str, k: int = KEEP_PER_LOT, every: str | None = None) -> StreamingQuery:
+    """The newest ``k`` events per lot."""
+    return _start(events, _versioned(root, RECENT, checkpoint, into_recent(k)), checkpoint, every)
 
 
 def keep_daily(events: DataFrame, capacity: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Counts that restart every day: the state is keyed by lot and date."""
+    merge = lambda old, batch: merge_days(old, day_runs(batch, capacity))
+    return _start(events, _versioned(root, DAYS, checkpoint, merge), checkpoint, every)
+
 
-    def merge(batch: DataFrame, batch_id: int) -> DataFrame:
-        old = read_latest(batch.sparkSession, root, DAYS, before=batch_id)
-        return merge_days(old, day_runs(batch, capacity))
+def keep_windows(events: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Departures per lot and 15-minute window; late ones are added to their window, open windows are there, too."""
+    merge = lambda old, batch: add_counts(
+        old, departures_per_window(batch), ["lot_id", "window_start"], "departures_in_15m")
+    return _start(events, _versioned(root, WINDOWS, checkpoint, merge), checkpoint, every)
 
-    return _start(events, _versioned(root, merge), checkpoint, every)
+
+def live(records: DataFrame, capacity: DataFrame, as_of: str, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """The whole live path in one stream: decoded records are checked, split, kept once and merged.
+
+    Below ``root``: ``bad`` (records with their reason and text, for a retry), ``landed`` (accepted records, as often as
+    they were sent), ``counts`` (per batch), and the tables ``seen`` (sessions and types counted so far), ``current`` and
+    ``recent``.  A record that is sent again counts once, in whatever batch or stream it comes.  Each table remembers
+    the batches that it holds, so a batch that failed half way is finished when it is run again: the events that are new
+    are written before any table changes and read from there.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stream = stream_id(spark, checkpoint)
+        folder = lambda kind: f"{root}/{kind}/stream={stream}/batch={batch_id}"
+        rows = batch.persist()
+        try:
+            _write_split(rows, folder("landed"), folder("bad"))
+            _write_counts(rows, folder("counts"), batch_id)
+            good = accepted(rows)
+            first = good.groupBy("session_id", "event_type").agg(F.min(F.struct("event_ts", "event_id")).alias("_first"))
+            first = first.select("session_id", "event_type", "_first.event_id")
+            once = good.dropDuplicates(["session_id", "event_type", "event_id"]).join(first, ["session_id", "event_type", "event_id"])
+            merge = lambda old: _remember(old, once, folder("new"))
+            update(spark, f"{root}/seen", SEEN, merge, (stream, batch_id))
+        finally:
+            rows.unpersist()
+        new = spark.read.schema(once.schema).parquet(folder("new"))
+        update(spark, f"{root}/current", CURRENT, lambda old: into_current(capacity)(old, new), (stream, batch_id))
+        update(spark, f"{root}/recent", RECENT, lambda old: into_recent()(old, new), (stream, batch_id))
+        for name in ("seen", "current", "recent"):
+            expire(spark, f"{root}/{name}")
+
+    return _start(checked(records, as_of), on_batch, checkpoint, every)
+
+
+def _remember(old: DataFrame, events: DataFrame, folder: str) -> DataFrame:
+    """The stored keys and those of ``events`` that are new, whose rows are written to ``folder`` first."""
+    key = ["session_id", "event_type"]
+    events.join(old, key, "left_anti").write.mode("overwrite").parquet(folder)
+    new = events.sparkSession.read.schema(events.schema).parquet(folder)
+    return old.unionByName(new.select(*key))
 
 
 def land(records: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -120,32 +199,26 @@ def land(records: DataFrame, path: str, checkpoint: str, every: str | None = Non
             .option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start())
 
 
-def departures_per_window(events: DataFrame, path: str, checkpoint: str, delay: str = DELAY, every: str | None = None) -> StreamingQuery:
-    """Departures per lot and 15-minute window, each window once, when the watermark has passed its end."""
-    left = events.filter(F.col("event_type") == "DEPARTURE").withWatermark("event_ts", delay)
-    counts = left.groupBy("lot_id", F.window("event_ts", "15 minutes").alias("w")).agg(
-        F.count(F.lit(1)).alias("departures_in_15m"))
-    flat = counts.select("lot_id", F.col("w.start").alias("window_start"), "departures_in_15m")
-    return (flat.writeStream.outputMode("append").format("parquet").option("path", path)
-            .option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start())
+def _write_counts(rows: DataFrame, folder: str, batch_id: int) -> None:
+    lots = [lot for campus in CAMPUS_LOTS.values() for lot in campus]
+    unknown = ~F.coalesce(F.col("lot_id").isin(lots), F.lit(False))
+    numbers = rows.agg(
+        F.lit(batch_id).cast("bigint").alias("batch_id"), F.count_if(F.col("reason").isNull()).alias("processed"),
+        F.count_if(F.col("reason").isNotNull()).alias("failed"), F.count_if(unknown).alias("unknown_lot"))
+    numbers.write.mode("overwrite").parquet(folder)
 
 
 def count_batches(records: DataFrame, as_of: str, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Per batch: accepted records, failed records and records of unknown lots, observed while the batch is landed."""
-    lots = [lot for campus in CAMPUS_LOTS.values() for lot in campus]
+    """Per batch: accepted records, failed records and records of unknown or missing lots, and the landed batch."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        seen = Observation(f"batch-{batch_id}")
-        unknown = ~F.col("lot_id").isin(lots)
-        observed = batch.observe(
-            seen, F.count_if(F.col("reason").isNull()).alias("processed"),
-            F.count_if(F.col("reason").isNotNull()).alias("failed"),
-            F.count_if(unknown).alias("unknown_lot"),
-        )
-        observed.write.mode("overwrite").parquet(f"{root}/landed/batch={batch_id}")
-        numbers = seen.get
-        row = [(batch_id, numbers["processed"], numbers["failed"], numbers["unknown_lot"])]
-        write_version(batch.sparkSession.createDataFrame(row, COUNTS), f"{root}/counts", batch_id)
+        rows = batch.persist()
+        try:
+            folder = lambda kind: _batch_folder(batch.sparkSession, f"{root}/{kind}", checkpoint, batch_id)
+            rows.write.mode("overwrite").parquet(folder("landed"))
+            _write_counts(rows, folder("counts"), batch_id)
+        finally:
+            rows.unpersist()
 
     return _start(checked(records, as_of), on_batch, checkpoint, every)
 

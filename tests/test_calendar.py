@@ -43,10 +43,3 @@ def test_sample_and_split_sizes(spark):
     assert C.sample_entities(rows, "student_id", 0.001).select("student_id").distinct().count() == 1
     sizes = C.split_population(rows, "student_id", 0.4).groupBy("population").count().collect()
     assert {r["population"]: r["count"] for r in sizes} == {1: 20, 2: 30}
-
-
-def test_weekend_slots(spark):
-    students = spark.createDataFrame([("1", "BURNABY"), ("1", "BURNABY"), ("2", "SURREY")], "student_id string, campus string")
-    rows = C.weekend_slots(students, "2024-01-01", "2024-01-31", "2024-01-13").collect()
-    assert sorted((r["student_id"], r["date"].day) for r in rows) == [("1", 6), ("1", 7), ("1", 13), ("2", 6), ("2", 7), ("2", 13)]
-    assert all(540 <= r["start_minute"] <= 870 and r["end_minute"] - r["start_minute"] == 120 for r in rows)

@@ -10,7 +10,7 @@ from lotflow.operators.hourly import hourly_metrics, peak_spikes
 from lotflow.operators.ordered import global_rank
 from lotflow.sources.events import capacity_table
 
-SMALL = {"hot_rows": 3, "block_ids": 4}
+SMALL = {"hot_rows": 3}
 SIZES = {"BURNABY": {"EAST": 4, "WEST": 2}}
 
 
@@ -33,7 +33,7 @@ def as_list(events):
     return [(r["event_id"], r["lot_id"], r["event_ts"], 1 if r["event_type"] == "ARRIVAL" else -1) for r in events.collect()]
 
 
-@pytest.mark.parametrize("limits", [{}, SMALL, {"hot_rows": 0, "block_ids": 1}])
+@pytest.mark.parametrize("limits", [{}, SMALL, {"hot_rows": 0}])
 def test_running_sum_by_row_and_by_instant(make_events, limits):
     events = make_events(random_log(1))
     log = sorted(as_list(events), key=lambda e: (e[2], e[0]))
@@ -48,7 +48,7 @@ def test_running_sum_by_row_and_by_instant(make_events, limits):
     assert all(r["current_occupancy"] == by_instant[r["lot_id"], r["event_ts"]] for r in shared)
 
 
-@pytest.mark.parametrize("limits", [{}, SMALL, {"hot_rows": 0, "block_ids": 1}])
+@pytest.mark.parametrize("limits", [{}, SMALL, {"hot_rows": 0}])
 def test_clamped_walk(spark, make_events, limits):
     events = make_events(random_log(2))
     walk, state, days = {}, {}, {}
@@ -66,6 +66,26 @@ def test_clamped_walk(spark, make_events, limits):
     assert {(r["lot_id"], r["date"]): r["occupancy"] for r in daily} == days
 
 
+@pytest.mark.parametrize("ids", ["dense", "hashed", "some null", "all null"])
+def test_no_row_is_lost_at_any_size(make_events, ids):
+    """Rows without lot, and ids that are null or hashed: as many rows, the same sums by instant, for every limit."""
+    from pyspark.sql import functions as F
+
+    new_id = {"dense": F.col("event_id"), "hashed": F.xxhash64("event_id"), "all null": F.lit(None).cast("bigint"),
+              "some null": F.when(F.col("event_id") % 10 > 0, F.col("event_id"))}[ids]
+    events = make_events(random_log(5)).withColumns({
+        "number": F.col("event_id"), "event_id": new_id, "lot_id": F.when(F.col("event_id") % 7 > 0, F.col("lot_id"))})
+    found = []
+    for limits in ({}, SMALL, {"hot_rows": 20}):
+        by_row = O.running_occupancy_rows(events, **limits)
+        assert by_row.count() == 400
+        last = {(r["lot_id"], r["date"]): r["n"] for r in by_row.groupBy("lot_id", "date").agg(F.count("number").alias("n")).collect()}
+        shared = {r["number"]: r["current_occupancy"] for r in O.daily_running_occupancy(events, **limits).collect()}
+        rows = {r["number"]: r["occupancy_now"] for r in by_row.collect()}
+        found.append((last, shared, rows))
+    assert found[0] == found[1] == found[2] and len(found[0][1]) == 400
+
+
 def test_hourly_metrics_against_a_loop(spark, make_events):
     events = make_events(random_log(3))
     log = [(r["session_id"], r["lot_id"], r["date"], r["event_ts"], r["event_type"]) for r in events.collect()]

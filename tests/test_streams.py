@@ -1,12 +1,13 @@
+import base64
 import json
 from pathlib import Path
 
 import pytest
 
-from lotflow.schemas import CURRENT
+from lotflow.schemas import CURRENT, RECENT
 from lotflow.session import shared_dir
 from lotflow.sources.events import capacity_table
-from lotflow.sources.versions import finished, read_latest
+from lotflow.sources.versions import finished, read_latest, update
 from lotflow.streaming import jobs as J
 
 AS_OF = "2024-01-11 00:00:00"
@@ -49,10 +50,72 @@ def test_state_is_carried_between_runs_and_batches_apply_once(spark, folder):
     assert occupancy(spark, root) == {"EAST": 1}
     run()
     assert occupancy(spark, root) == {"EAST": 1}
-    # A batch that is handed over again, as after a failure, finds its version and is not applied.
-    done = finished(spark, root)
-    merge = J._versioned(root, lambda batch, batch_id: pytest.fail("applied twice"))
-    merge(spark.range(1), done[-1])
+    # A batch that is handed over again, as after a failure, is known and not applied.
+    again = J._versioned(root, CURRENT, checkpoint, lambda old, batch: pytest.fail("applied twice"))
+    again(spark.range(1), 1)
+    assert len(finished(spark, root)) == 2
+
+
+def test_a_new_checkpoint_loses_and_repeats_nothing(spark, folder):
+    """The events of a new stream count, whatever its batches' numbers."""
+    root = shared_dir(spark, "current")
+    capacity = capacity_table(spark, SIZES | {"BURNABY": {"EAST": 50}})
+    put(folder, "1.json", [record(1, "a", "ARRIVAL", 0)])
+    J.keep_current(J.accepted_events(J.read_records(spark, str(folder)), AS_OF), capacity, root, shared_dir(spark, "first")).awaitTermination()
+    assert occupancy(spark, root) == {"EAST": 1}
+    (folder / "1.json").unlink()
+    put(folder, "2.json", [record(2, "b", "ARRIVAL", 1), record(3, "c", "ARRIVAL", 2)])
+    J.keep_current(J.accepted_events(J.read_records(spark, str(folder)), AS_OF), capacity, root, shared_dir(spark, "second")).awaitTermination()
+    assert occupancy(spark, root) == {"EAST": 3}
+
+
+def test_the_live_job_counts_each_session_once(spark, folder):
+    root = shared_dir(spark, "live")
+    capacity = capacity_table(spark, {"BURNABY": {"EAST": 50}})
+    sent = lambda r: {"event_id": r["event_id"], "data": base64.b64encode(json.dumps(r).encode()).decode()}
+
+    def run(checkpoint):
+        J.live(J.read_sent(spark, str(folder), files_per_batch=1), capacity, AS_OF, root, checkpoint).awaitTermination()
+
+    first, second = shared_dir(spark, "first"), shared_dir(spark, "second")
+    put(folder, "1.json", [sent(record(1, "a", "ARRIVAL", 0)), sent(record(1, "a", "ARRIVAL", 0)), {"event_id": 2, "data": "{not json"}])
+    put(folder, "2.json", [sent(record(1, "a", "ARRIVAL", 0)), sent(record(3, "b", "ARRIVAL", 30)), sent(record(4, "c", "LOST", 2))])
+    run(first)
+    assert occupancy(spark, f"{root}/current") == {"EAST": 2}
+    # The same files through a new checkpoint, and more arrivals, one of them late.
+    put(folder, "3.json", [sent(record(5, "d", "ARRIVAL", 1)), sent(record(6, "a", "DEPARTURE", 40))])
+    run(second)
+    assert occupancy(spark, f"{root}/current") == {"EAST": 2}
+    assert spark.read.parquet(f"{root}/landed").select("session_id").distinct().count() == 3
+    bad = {(r["reason"], r["_corrupt"]) for r in spark.read.parquet(f"{root}/bad").collect()}
+    assert bad == {("bad_json", "{not json"), ("event_type", None)}
+    recent = read_latest(spark, f"{root}/recent", RECENT).collect()
+    assert sorted(r["event_id"] for r in recent) == [1, 3, 5, 6]
+
+
+def test_two_writers_lose_nothing(spark):
+    root, schema = shared_dir(spark, "shared"), J.WINDOWS
+    row = lambda n: spark.createDataFrame([("EAST", None, n)], schema)
+    calls = []
+
+    def slow(old):
+        if not calls:
+            calls.append(1)
+            update(spark, root, schema, lambda o: o.unionByName(row(1)), ("b", 0))
+        return old.unionByName(row(2))
+
+    assert update(spark, root, schema, slow, ("a", 0)) == 1
+    assert sorted(r["departures_in_15m"] for r in read_latest(spark, root, schema).collect()) == [1, 2]
+    assert update(spark, root, schema, slow, ("b", 0)) is None and update(spark, root, schema, slow, ("a", 0)) is None
+
+
+def test_late_departures_reach_their_window(spark, folder):
+    root = shared_dir(spark, "windows")
+    put(folder, "1.json", [record(1, "a", "DEPARTURE", 50)])
+    put(folder, "2.json", [record(2, "b", "DEPARTURE", 1), record(3, "c", "DEPARTURE", 51)])
+    events = J.accepted_events(J.read_records(spark, str(folder), files_per_batch=1), AS_OF)
+    J.keep_windows(events, root, shared_dir(spark, "checkpoint")).awaitTermination()
+    assert {r["window_start"].minute: r["departures_in_15m"] for r in read_latest(spark, root, J.WINDOWS).collect()} == {0: 1, 45: 2}
 
 
 def test_repeated_records_count_once(spark, folder):
@@ -71,3 +134,11 @@ def test_bad_records_go_to_quarantine(spark, folder):
     J.split_valid(J.read_records(spark, str(folder)), AS_OF, good, bad, checkpoint).awaitTermination()
     assert spark.read.parquet(good).count() == 1
     assert {r["reason"] for r in spark.read.parquet(bad).collect()} == {"missing:session_id", "event_type"}
+
+
+def test_an_unreadable_line_keeps_its_text(spark, folder):
+    good, bad, checkpoint = (shared_dir(spark, x) for x in ("good", "bad", "checkpoint"))
+    (folder / "1.json").write_text('{not json\n' + json.dumps(record(1, "a", "ARRIVAL", 0)) + "\n")
+    J.split_valid(J.read_records(spark, str(folder)), AS_OF, good, bad, checkpoint).awaitTermination()
+    assert [(r["reason"], r["_corrupt"]) for r in spark.read.parquet(bad).collect()] == [("bad_json", "{not json")]
+    assert spark.read.parquet(good).count() == 1
