@@ -9,8 +9,14 @@ from lotflow.llm.common import prepare, stored
 from lotflow.session import shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+#: How the state is kept: on disk, with bounded memory, its changes rather than its files in the checkpoint, and without
+#: files allocated ahead, which would take megabytes for every partition of however little state.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def digest(text: Column) -> Column:
@@ -34,9 +40,9 @@ def keyed_state(stream: DataFrame, state: str, checkpoint: str) -> None:
         # A batch that is run again replaces its own folder.
         batch.write.mode("overwrite").parquet(f"{state}/batch={number}")
 
-    before = {name: spark.conf.get(name, None) for name in (PROVIDER, BOUNDED)}
-    spark.conf.set(PROVIDER, ROCKSDB)
-    spark.conf.set(BOUNDED, "true")
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         query = groups.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
             availableNow=True).start()
