@@ -33,7 +33,7 @@ class Tree:
     """
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
+        self.vectors, self.single = vectors, vectors.astype(np.float32)
         apart = _distances(vectors, vectors)
         n = len(vectors)
         rows = np.arange(n)
@@ -77,13 +77,12 @@ def linked_pairs(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarra
     p, q = np.zeros(1, np.int64), np.zeros(1, np.int64)
     for level in range(len(RADII)):
         if level:
-            # Children of the pairs that are left.
-            below_a, below_b = _children(a, level), _children(b, level)
-            p, q = _products(p, q, below_a, below_b)
+            p, q = _expanded(a, b, level, p, q, most)
         keep_p, keep_q = [p[:0]], [q[:0]]
-        for s in range(0, len(p), 1 << 20):
-            pp, qq = p[s : s + (1 << 20)], q[s : s + (1 << 20)]
-            apart = _paired(a.vectors, a.centres[level][pp], b.vectors, b.centres[level][qq])
+        for s in range(0, len(p), 1 << 15):
+            pp, qq = p[s : s + (1 << 15)], q[s : s + (1 << 15)]
+            dots = np.einsum("ij,ij->i", a.vectors[a.centres[level][pp]], b.vectors[b.centres[level][qq]])
+            apart = np.sqrt(np.maximum(2.0 - 2.0 * dots, 0.0))
             reach = a.radius[level][pp] + b.radius[level][qq]
             near = apart - reach <= most + SLACK
             whole = near & (apart + reach <= most - SLACK)
@@ -136,15 +135,24 @@ def _products(p, q, below_a, below_b) -> tuple[np.ndarray, np.ndarray]:
     return order_a[first_a[p][which] + place // nb[which]], order_b[first_b[q][which] + place % nb[which]]
 
 
-def _paired(x, rows_x, y, rows_y) -> np.ndarray:
-    """Distance of x[rows_x[i]] and y[rows_y[i]]; one matrix product where most pairs are asked for."""
-    if len(rows_x) * 4 > len(x) * len(y):
-        return _distances(x, y)[rows_x, rows_y]
-    dots = np.empty(len(rows_x))
-    for s in range(0, len(rows_x), 1 << 15):
-        e = s + (1 << 15)
-        dots[s:e] = np.einsum("ij,ij->i", x[rows_x[s:e]], y[rows_y[s:e]])
-    return np.sqrt(np.maximum(2.0 - 2.0 * dots, 0.0))
+def _expanded(a: Tree, b: Tree, level: int, p: np.ndarray, q: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The children of the pairs of nodes p, q of the level above that are not surely too far apart.
+
+    Where most pairs of children are asked for, one product of all centres in single precision, with room for its error,
+    sorts out most of them.
+    """
+    below_a, below_b = _children(a, level), _children(b, level)
+    total = int((np.diff(below_a[1])[p] * np.diff(below_b[1])[q]).sum())
+    if total * 4 < len(a.centres[level]) * len(b.centres[level]):
+        return _products(p, q, below_a, below_b)
+    reach = np.add.outer((most + a.radius[level]).astype(np.float32), b.radius[level].astype(np.float32))
+    dots = a.single[a.centres[level]] @ b.single[b.centres[level]].T
+    near = dots >= 1.0 - 0.5 * reach * reach - 1e-4
+    if total < near.size:
+        alive = np.zeros((len(a.centres[level - 1]), len(b.centres[level - 1])), bool)
+        alive[p, q] = True
+        near &= alive[a.parent[level]][:, b.parent[level]]
+    return np.nonzero(near)
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +263,7 @@ def _compare(cosine: float):
     return traverse
 
 
-def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = 1024, pivots: int = 1024,
+def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = 2048, pivots: int = 1024,
                            sample: int = 8192) -> DataFrame:
     """One row per input row: vec_id, n_links (other vectors linked directly), component_id, kept.
 
