@@ -164,8 +164,14 @@ class Field(NamedTuple):
     chain: float
 
 
+#: What speaks against a mention that no pattern has found: more than its look alone can outweigh, less than a
+#: labelled mention of the same entity.
+NONE_PRIOR = 5.0
+
+
 def unary_scores(field: Field, nodes: list[Node]) -> np.ndarray:
     out = np.tile(field.unary[-1], (len(nodes), 1))
+    out[:, 0] += NONE_PRIOR
     for k, node in enumerate(nodes):
         out[k] += field.unary[node.features].sum(axis=0)
         if node.label:
@@ -177,14 +183,14 @@ def unary_scores(field: Field, nodes: list[Node]) -> np.ndarray:
 def beliefs(field: Field, nodes: list[Node], rounds: int = 12) -> np.ndarray:
     """Log beliefs of each node's labels after loopy message passing.
 
-    Neighbours in the text are joined by chain edges; all mentions of an entity by skip edges to one hub, which has no
-    evidence of its own, so that a group of n mentions has n edges.  Equal entity labels add the edge's weight; two
+    Neighbours in the text are joined by chain edges; all mentions of an entity that a pattern has found at least once by
+    skip edges to one hub, which has no evidence of its own, so that a group of n mentions has n edges.  Equal entity labels add the edge's weight; two
     "none" add nothing, so unlabelled mentions never outvote a labelled one.
     """
     groups = defaultdict(list)
     for k, node in enumerate(nodes):
         groups[node.entity].append(k)
-    hubs = [members for members in groups.values() if len(members) > 1]
+    hubs = [members for members in groups.values() if len(members) > 1 and any(nodes[k].label for k in members)]
     n = len(nodes)
     a = [*range(n - 1), *[k for members in hubs for k in members]]
     b = [*range(1, n), *[n + h for h, members in enumerate(hubs) for _ in members]]
@@ -223,7 +229,7 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
 
 
 #: Agreeing pairs that the skip weight starts from: mentions of one entity are taken to be of one kind.
-PRIOR_PAIRS = 400
+PRIOR_PAIRS = 2000
 
 
 def train(rows: list[dict]) -> Field:
