@@ -37,6 +37,18 @@ def stored(df: DataFrame, purpose: str, compression: str = "zstd") -> DataFrame:
     return back
 
 
+def hash_sample(rows: DataFrame, sample: int, *columns: str, room: int = 4) -> DataFrame:
+    """At most ``sample`` rows, the first in the order of a hash of ``columns``.
+
+    Of many rows only a share of ``room`` times the sample is sorted at all, so what meets in one task doesn't grow with
+    the number of rows or tasks.
+    """
+    order = F.xxhash64(*columns)
+    share = room * sample / max(1, rows.count())
+    few = rows if share >= 1 else rows.filter(F.pmod(order, F.lit(1 << 31)) < int(share * (1 << 31)))
+    return few.orderBy(order, *columns).limit(sample)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that no result reads any more."""
     for table in tables:
@@ -90,7 +102,7 @@ _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
     """base ** 0 ... base ** (n - 1), modulo 2 ** 64."""
     if base not in _powers or len(_powers[base]) < n:
         steps = np.full(max(n, 1 << 20), base, np.uint64)
@@ -121,9 +133,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if not len(starts):
         return np.zeros(0, np.uint64), before
     with np.errstate(over="ignore"):
-        terms = _BYTE[_LOWER[data]] * _power(_BASE, len(data))
+        terms = _BYTE[_LOWER[data]] * power(_BASE, len(data))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-        hashes = (sums[ends] - sums[starts]) * _power(_INVERSE, len(data))[starts]
+        hashes = (sums[ends] - sums[starts]) * power(_INVERSE, len(data))[starts]
         return mixed(hashes), before
 
 

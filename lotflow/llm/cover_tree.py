@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotflow.llm.common import discard, prepare, stored
+from lotflow.llm.common import discard, hash_sample, prepare, stored
 from lotflow.llm.graph import components
 
 #: Radii of the nested levels of a block's tree, each half of the one above; unit vectors are at most 2 apart.
@@ -286,7 +286,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, block: int
     distinct = source.filter("vec_id is not null").dropDuplicates(["vec_id", "embedding"])
     n = distinct.count()
     wanted = max(1, min(pivots, n // (4 * block)))
-    chosen = distinct.filter("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample if wanted > 1 else 1)
+    chosen = hash_sample(distinct.filter("embedding is not null"), sample if wanted > 1 else 1, "vec_id")
     found: dict[int, list[np.ndarray]] = {}
     for u in _unit_rows(chosen.select("embedding").toArrow().column(0).combine_chunks())[1]:
         found.setdefault(len(u), []).append(u)

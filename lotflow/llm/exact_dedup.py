@@ -71,7 +71,8 @@ def exact_duplicates(spark: SparkSession, path: str, files_per_batch: int = 8) -
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
     keyed_state(stream, f"{root}/state", f"{root}/checkpoint")
     docs = spark.read.schema(schema).parquet(path)
-    return _decided(docs, latest_state(spark, f"{root}/state"))
+    # Stored, so that both sides of the joins with it are shuffled for them and a hot text's partition can be split.
+    return _decided(docs, stored(latest_state(spark, f"{root}/state"), "exact-state"))
 
 
 STATE = ("digest string, length int, group_size long, kept struct<doc_id: bigint, file: string, row: bigint>, batch int")

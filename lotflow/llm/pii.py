@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotflow.llm.common import prepare
+from lotflow.llm.common import hash_sample, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -278,11 +278,11 @@ def _train_rows(batches: Iterator[pa.RecordBatch]):
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def fit(docs: DataFrame, sample: int = 4000, nodes: int = 40_000) -> Field:
-    """Train on at most ``sample`` documents with a digit or an "@", in hash order, and at most ``nodes`` of their nodes."""
+def fit(docs: DataFrame, sample: int = 8000, nodes: int = 40_000) -> Field:
+    """Train on at most ``sample`` documents, in hash order, and at most ``nodes`` of their nodes."""
     prepare(docs.sparkSession)
-    text = F.col("text").cast("string").alias("text")
-    some = docs.select(F.xxhash64("text").alias("doc"), text).filter(F.col("text").rlike("[0-9@]")).orderBy("doc").limit(sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    some = hash_sample(rows, sample, "doc_id", "text", room=2).select(F.xxhash64("doc_id", "text").alias("doc"), "text")
     rows = some.mapInArrow(_train_rows, "doc long, place int, label int, entity string, features array<int>")
     return train(rows.orderBy("doc", "place").limit(nodes).toArrow().to_pylist())
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotflow.llm.common import flat_texts, mixed, prepare, word_hashes
+from lotflow.llm.common import flat_texts, hash_sample, mixed, prepare, word_hashes
 
 #: Columns of the term matrix: hashed runs of four character classes, hashed words, and steps of three shares.
 RUNS, WORDS, STEPS = 1024, 1024, 8
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, dims: int = 64,
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     # The documents are asked first whether they are there, so that all of the sample is of use.
     there = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hash_sample(there, sample, "doc_id")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     found = texts.select("label", "text").mapInArrow(_rows_of, "label int, terms binary").orderBy("terms", "label").limit(2 * sample).toArrow()
     if not found.num_rows:

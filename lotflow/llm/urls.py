@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotflow.llm.common import prepare, stored
+from lotflow.llm.common import hash_sample, prepare
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Above every key that begins with the same text.
@@ -111,7 +111,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", sample: in
     listed = listed.select(host_key(F.col("host")).alias("key"), "path", F.lit(0).cast("long").alias("salt"), F.lit(0).alias("is_page"),
                            F.lit(None).cast("long").alias("page_id"), "host", "verdict")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.select("key", "path", "salt").orderBy(F.xxhash64("salt"), "key", "path").limit(sample).toArrow().to_pylist()
+    found = hash_sample(rows.select("key", "path", "salt"), sample, "salt", "key", "path").toArrow().to_pylist()
     points = sorted((r["key"], r["path"], r["salt"]) for r in found)
     parts = 4 * tasks
     splits = sorted({points[k * len(points) // parts] for k in range(1, parts)}) if points else []
