@@ -370,7 +370,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     repeated ids do no harm.  No rows give no rows; other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Few words of a batch in a bucket would make as many entries of ids in use as words.
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     listed = source.mapInArrow(_dictionaries(path, buckets), "batch long, check long, bucket int, numbers binary, lengths binary, words binary")
     coded = stored(listed.groupBy("bucket").applyInArrow(_encode_bucket(path), _CODED), "bpe-codes", "none")
