@@ -100,10 +100,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     2 * rows minhashes.  With s the similarity, a pair is missed with a probability of about
     2 * (1 - s ** rows) ** collections: 3.6e-4 at 0.8 and 12 bands, 1.5e-4 at 0.85 and 10, falling fast above.
 
-    Equal sets become one class first.  In each table's group the smallest document is compared with all others; groups
-    whose members are then still in different components have the members outside their largest component compared
-    with those that the triangle inequality of the Jaccard distance does not rule out.  Links are confirmed on the
-    full sets (64-bit shingle hashes).
+    Equal sets become one class first.  A group of n documents isn't compared pair by pair: in the tables of bands of
+    equal places each document meets its group's first; in any table's group that is then in several components,
+    each meets the first of the largest component; and only where a group is in several components even
+    then, documents outside its largest one meet those that neither the sizes nor the triangle inequality of the Jaccard
+    distance (over the one that both have met) rules out.  So documents of one component need no
+    further links, and none between two components is lost.  Links are confirmed on the full sets (64-bit hashes).
 
     Null, empty and blank texts have no shingles: linked with nothing, kept.  Rows that share a doc_id count as one
     document.  A row without doc_id is a link's end for nobody; its component is that of equal sets, or null, and it
@@ -119,10 +121,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         F.min("doc_id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"))
     classes = stored(classes.filter("id is not null"), "classes")
 
-    left = classes.select("id", "right", F.posexplode("left").alias("i", "x"))
-    keys = left.select("id", "i", "x", F.posexplode("right").alias("j", "y")).select(
-        F.xxhash64("i", "j", "x", "y").alias("key"), "id")
-    groups = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
+    left = classes.select("id", "n_shingles", "right", F.posexplode("left").alias("i", "x"))
+    keys = left.select("id", "n_shingles", "i", "x", F.posexplode("right").alias("j", "y"))
+    # The lowest bit tells the tables of a left and a right band of the same place.
+    key = F.xxhash64("i", "j", "x", "y")
+    keys = keys.select((key - F.pmod(key, F.lit(2)) + (F.col("i") == F.col("j")).cast("long")).alias("key"), "id", F.col("n_shingles").alias("n"))
+    groups = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     members = stored(keys.join(groups, "key"), "members")
 
     ids = members.select("id").distinct()
@@ -130,41 +134,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
                   .mapInArrow(_setter(width), "id long, shingles array<long>"), "shingles")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        """The pairs with their similarity and whether it reaches the threshold."""
+        """The pairs (a, b) with their similarity and whether it reaches the threshold."""
         one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
         two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
-        n, m = F.size("s"), F.size("t")
-        rows = pairs.join(one, "a").join(two, "b").withColumn(
-            "both", F.when(100 * F.least(n, m) >= percent * F.greatest(n, m), F.size(F.array_intersect("s", "t"))))
-        union = n + m - F.col("both")
-        # Without a count of common shingles the sizes alone bound the similarity from above.
-        return rows.select("a", "b", F.coalesce(F.col("both") / union, F.lit(-1.0)).alias("jaccard"),
-                           F.coalesce(100 * F.col("both") >= percent * union, F.lit(False)).alias("linked"))
-
-    stars = members.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    checked = stored(compare(stars), "checked")
-    found = components(checked.filter("linked"))
-    links = checked.filter("linked").select("a", "b")
-
-    named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", "leader", F.coalesce("component", "id").alias("component"))
-    torn = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    far = (1.0 - percent / 100.0) + 1e-9
-    open_ = named.join(torn, "key", "left_semi").join(
-        checked.select(F.col("a").alias("id"), F.col("b").alias("leader"), "jaccard"), ["id", "leader"]).filter("id <> leader")
-    open_ = stored(open_.select("key", "id", "component", "jaccard"), "open")
-    largest = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("largest"))
-    outside = open_.join(largest, "key").filter("component <> largest")
-    x, y = outside.alias("x"), open_.join(largest, "key").alias("y")
-    # A negative similarity says that sizes ruled the leader out: no distance is known.
-    near = (F.col("x.jaccard") < 0) | (F.col("y.jaccard") < 0) | (F.abs(F.col("x.jaccard") - F.col("y.jaccard")) <= far)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & near
+        rows = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("s", "t")))
+        union = F.size("s") + F.size("t") - F.col("both")
+        return rows.select("a", "b", (F.col("both") / union).alias("jaccard"), (100 * F.col("both") >= percent * union).alias("linked"))
+
+    def fits(n, m):
+        """Sets of these sizes may be similar enough."""
+        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+    def as_links(found: DataFrame) -> DataFrame:
+        return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    def named(found: DataFrame) -> DataFrame:
+        return members.join(found.withColumnRenamed("node", "id"), "id", "left").select(
+            "key", "id", "n", F.coalesce("component", "id").alias("component"))
+
+    # First the tables of equal places: each document with its group's first.
+    some = members.filter("key % 2 <> 0 and id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    links = stored(compare(some).filter("linked").select("a", "b"), "links")
+    found = components(links)
+
+    # Then the groups of all tables that are still torn: each document with the first of the group's largest component.
+    parts = named(found).groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    lead = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("lead"), F.count(F.lit(1)).alias("parts"))
+    torn = stored(members.join(lead.filter("parts > 1"), "key").select("key", "id", "n", "lead"), "torn")
+    checked = stored(compare(torn.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()), "checked")
+    # What is known of the components stands for the links it came from.
+    old, found = found, components(as_links(found).unionAll(checked.filter("linked").select("a", "b")))
+    discard(old, links)
+
+    # At last the pairs of what is torn even now, unless sizes or the distances from the lead rule them out.
+    apart = checked.select(F.col("a").alias("id"), F.col("b").alias("lead"), (1 - F.col("jaccard")).alias("far"))
+    rows = torn.join(apart, ["id", "lead"], "left").join(found.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    lead = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+    open_ = stored(rows.join(lead.filter("parts > 1").drop("parts"), "key"), "open")
+    x, y = open_.filter("component <> largest").alias("x"), open_.alias("y")
+    most = (1.0 - percent / 100.0) + 1e-9
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+                  & fits(F.col("x.n"), F.col("y.n")) & (F.abs(F.col("x.far") - F.col("y.far")) <= most)
+                  & (F.col("x.far") > 0) & (F.col("y.far") > 0)
                   & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))))
     rest = rest.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
     more = stored(compare(rest).filter("linked").select("a", "b"), "more")
     if not more.isEmpty():
-        old, found = found, components(links.unionAll(more))
+        old, found = found, components(as_links(found).unionAll(more))
         discard(old)
     named_class = classes.select(*same, "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         *same, F.coalesce("component", "id").alias("component"))
@@ -172,5 +190,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     out = signed.join(named_class, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    discard(members, sets, checked, open_, more, found, classes)
+    discard(members, sets, torn, checked, open_, more, found, classes)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
