@@ -22,7 +22,7 @@ def boilerplate(docs: DataFrame, site: str, ratio: float, least: int) -> DataFra
     return frequent.filter(F.col("pages") > F.col("total") * ratio).select("site", "line")
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", ratio: float = 0.1, least: int = 4) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", ratio: float = 0.05, least: int = 4) -> DataFrame:
     """The documents, all columns, with their sites' boilerplate lines cut from ``text``, and ``n_lines`` and
     ``n_dropped``.
 

@@ -93,3 +93,11 @@ def test_odd_documents(spark, tmp_path):
             stage(spark, docs, SF).write.parquet(path)
             docs = spark.read.parquet(path)
         assert docs.count() <= 2 * len(rows)
+
+
+def test_a_footer_below_a_tenth_of_its_source_is_cut(spark):
+    """On 6 of 100 pages a line is boilerplate, on 5 it stays."""
+    text = lambda i: "\n".join([f"page {i}"] + ["footer"] * (i < 6) + ["Yes."] * (i < 5))
+    docs = spark.createDataFrame([(i, text(i), "en", "a", 0) for i in range(100)], SCHEMA)
+    found = [r["text"] for r in P.line_dedup(spark, docs, SF).collect()]
+    assert not any("footer" in t for t in found) and sum("Yes." in t for t in found) == 5
