@@ -5,7 +5,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lotflow.llm.chat import chat_windows, read_loss, read_turns
+from lotflow.llm.chat import chat_windows, read_loss, read_turns, windows_within_budget
 from lotflow.llm.registry import WORDS_SQL, query, table
 
 BUDGET, HISTORY = 1024, 256
@@ -71,3 +71,35 @@ def _(spark, sf_dir):
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     windows = chat_windows(turns.unionByName(probe), BUDGET, HISTORY)
     return windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(_read_back, _SCHEMA)
+
+
+def _escaped(column: str) -> str:
+    return f"replace(replace(replace({column}, '\\', '\\b'), '<', '\\l'), '#', '\\h')"
+
+
+@query("op7_chat_within_budget", f"""with recursive given as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+    sized as (select *, len({WORDS_SQL.format("text")}) + 4 as tokens, '<turn>' || {_escaped("role")} || '#' || {_escaped("text")} || '</turn>' || chr(10) as piece
+        from given),
+    placed as (select *, row_number() over w - 1 as place, sum(tokens) over w - tokens as before from sized
+        window w as (partition by conv_id order by turn nulls last, role, text rows unbounded preceding)),
+    heads as (select conv_id, tokens as head from placed where place = 0 and role = 'system'),
+    led as (select p.*, p.place > 0 and head is not null and head + tokens <= {BUDGET} as leads, case when leads then head else 0 end as extra,
+        least({HISTORY}, {BUDGET} - tokens - extra) as room from placed p left join heads h on p.conv_id = h.conv_id),
+    begun as (select l.conv_id, l.place, any_value(l.leads) as leads, any_value(l.before) as before, any_value(l.extra) as extra,
+        coalesce(min(k.place), l.place) as low, coalesce(min(k.before), any_value(l.before)) as low_before
+        from led l left join placed k on l.conv_id = k.conv_id and k.place < l.place and l.before - k.before <= l.room
+            and not (k.place = 0 and k.role = 'system') group by l.conv_id, l.place),
+    nexts as (select b.conv_id, b.place, any_value(b.leads) as leads, any_value(b.low) as low, greatest(b.place + 1, coalesce(max(k.place), 0) + 1) as after
+        from begun b left join placed k on b.conv_id = k.conv_id and k.place >= b.place
+            and k.before + k.tokens <= b.before + {BUDGET} - b.extra - (b.before - b.low_before) group by b.conv_id, b.place),
+    spans as (select conv_id, place, leads, low, after, 0 as number from nexts where place = 0
+        union all select n.conv_id, n.place, n.leads, n.low, n.after, s.number + 1 from spans s join nexts n on s.conv_id = n.conv_id and s.after = n.place)
+    select s.conv_id, cast(s.number as bigint) as "window", count(*) as n_turns, count(*) filter (p.place < s.place) as n_repeated,
+        cast(sum(p.tokens) as bigint) as n_tokens, sha256(string_agg(p.piece, '' order by p.place)) as text_sha256,
+        cast(coalesce(sum(length({_escaped("p.text")})) filter (p.role = 'assistant' and p.place >= s.place), 0) as bigint) as loss_chars
+    from spans s join placed p on s.conv_id = p.conv_id and ((p.place >= s.low and p.place < s.after) or (s.leads and p.place = 0)) group by s.conv_id, s.number""")
+def _(spark, sf_dir):
+    windows = windows_within_budget(table(spark, sf_dir, "conversations"), BUDGET, HISTORY)
+    learned = F.aggregate("loss", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return windows.select("conv_id", "window", F.regexp_count("text", F.lit("</turn>\n")).cast("long").alias("n_turns"), F.col("n_repeated").cast("long").alias("n_repeated"),
+                          "n_tokens", F.sha2("text", 256).alias("text_sha256"), learned.alias("loss_chars"))

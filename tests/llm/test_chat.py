@@ -5,7 +5,8 @@ from collections import defaultdict
 
 import pytest
 
-from lotflow.llm.chat import CLOSE, PIECE, TURN_TOKENS, chat_windows, read_loss, read_turns
+from lotflow.llm import chat
+from lotflow.llm.chat import CLOSE, PIECE, TURN_TOKENS, chat_windows, read_loss, read_turns, windows_within_budget
 
 ROLES = ["user", "assistant"]
 
@@ -64,3 +65,38 @@ def test_windows_against_a_loop(spark, budget, history):
 
 def test_no_rows(spark):
     assert chat_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def filled(turns, budget, history):
+    """(repeated, own) turn numbers of each window, turn by turn."""
+    sizes = [len(t.split()) + TURN_TOKENS for _, t in turns]
+    starts, system, k, out = [sum(sizes[:i]) for i in range(len(sizes))], turns[0][0] == "system", 0, []
+    while k < len(turns):
+        head = [0] if system and k > 0 and sizes[0] + sizes[k] <= budget else []
+        room = min(history, budget - sizes[k] - sum(sizes[i] for i in head))
+        past = [i for i in range(int(system), k) if starts[k] - starts[i] <= room]
+        own = [k]
+        while own[-1] + 1 < len(turns) and sum(sizes[i] for i in [*head, *past, *own, own[-1] + 1]) <= budget:
+            own.append(own[-1] + 1)
+        out.append((head + past, own))
+        k = own[-1] + 1
+    return out
+
+
+@pytest.mark.parametrize(("budget", "history", "cell"), [(50, 20, 64), (50, 20, 2), (1000, 0, 64), (40, 60, 1), (120, 30, 1)])
+def test_no_window_above_the_budget(spark, monkeypatch, budget, history, cell):
+    monkeypatch.setattr(chat, "CELL", cell)
+    rows = rows_of(budget) + [(60, t, "system" if t == 0 else ROLES[t % 2], "w " * (t * 7 % 40)) for t in range(300)]
+    found = defaultdict(list)
+    for r in windows_within_budget(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4), budget, history).collect():
+        found[r["conv_id"]].append(r)
+    want = ordered(rows)
+    assert set(found) == set(want)
+    for conv, turns in want.items():
+        listed, spans = sorted(found[conv], key=lambda r: r["window"]), filled(turns, budget, history)
+        assert [r["window"] for r in listed] == list(range(len(spans)))
+        for r, (repeated, own) in zip(listed, spans):
+            assert read_turns(r["text"]) == [turns[k] for k in repeated + own] and r["n_repeated"] == len(repeated)
+            assert read_loss(r["text"], r["loss"]) == [turns[k][1] for k in own if turns[k][0] == "assistant"]
+            size = sum(len(turns[k][1].split()) + TURN_TOKENS for k in repeated + own)
+            assert r["n_tokens"] == size and (size <= budget or (not repeated and len(own) == 1))
