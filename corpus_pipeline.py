@@ -30,10 +30,35 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """One row of equal doc_id and text, the least by its other columns; texts move only where hashes repeat."""
+    key = [F.col("doc_id").isNull().alias("__k0"), F.xxhash64("doc_id").alias("__k1"), F.xxhash64("text").alias("__k2")]
+    names = ["__k0", "__k1", "__k2"]
+    again = stored(docs.select(*key).groupBy(*names).count().filter("count > 1").select(*names), "repeated-rows")
+    if again.isEmpty():
+        return docs
+    keyed = docs.select("*", *key)
+    least = keyed.join(again, names, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("__least"))
+    return keyed.join(again, names, "left_anti").select(*docs.columns).unionByName(least.select("__least.*"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (five words, similarity 0.8)."""
-    dropped = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates (five words, similarity 0.8): of the smallest id, or without an id if none has one.
+
+    Rows without doc_id are compared like the others, by an id made of their text; of rows with equal id and text, null
+    ones included, one stays.
+    """
+    docs = _once(docs)
+    unnamed = docs.filter("doc_id is null").select(F.xxhash64("text").alias("doc_id")).distinct()
+    if unnamed.isEmpty():
+        dropped = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.withColumn("__id", F.coalesce("doc_id", F.xxhash64("text")))
+    found = near_duplicates(named.select(F.col("__id").alias("doc_id"), "text")).select("doc_id", "component_id").distinct()
+    found = found.join(unnamed.withColumn("unnamed", F.lit(1)), "doc_id", "left").withColumn("rank", F.struct(F.coalesce("unnamed", F.lit(0)), "doc_id"))
+    first = found.groupBy("component_id").agg(F.min("rank").alias("first"))
+    dropped = found.join(first, "component_id").filter("rank <> first").select(F.col("doc_id").alias("__id"))
+    return named.join(dropped, "__id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

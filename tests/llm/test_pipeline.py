@@ -101,3 +101,20 @@ def test_a_footer_below_a_tenth_of_its_source_is_cut(spark):
     docs = spark.createDataFrame([(i, text(i), "en", "a", 0) for i in range(100)], SCHEMA)
     found = [r["text"] for r in P.line_dedup(spark, docs, SF).collect()]
     assert not any("footer" in t for t in found) and sum("Yes." in t for t in found) == 5
+
+
+def test_copies_without_or_with_the_same_id(spark, tmp_path):
+    long = lambda word, n=60: " ".join(f"{word}{k}" for k in range(n))
+    rows = [(5, long("a")), (None, long("a")), (None, long("a") + " end"), (5, long("a")), (7, long("a") + " end"),
+            (None, long("b")), (None, long("b")), (None, long("b") + " end"), (9, long("c")), (9, long("c")), (None, long("d")),
+            (8, ""), (8, ""), (None, None), (None, None), (None, ""), (10, None), (11, long("e")), (11, long("f"))]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, t, "en", "ab"[k % 2], k) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(4).write.parquet(path)
+    found = P.near_dedup(spark, spark.read.parquet(path), SF)
+    assert found.columns == COLUMNS
+    kept = Counter((r["doc_id"], r["text"]) for r in found.collect())
+    b = {t for i, t in kept if i is None and (t or "").startswith("b")}
+    assert len(b) == 1 and b < {long("b"), long("b") + " end"}
+    want = [(5, long("a")), (None, b.pop()), (9, long("c")), (None, long("d")), (8, ""), (None, None), (None, ""), (10, None),
+            (11, long("e")), (11, long("f"))]
+    assert kept == Counter(want)
