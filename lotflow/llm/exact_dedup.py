@@ -57,7 +57,7 @@ def exact_duplicates(spark: SparkSession, path: str, files_per_batch: int = 8) -
 
     Texts are equal if identical byte by byte; a null text counts as empty.  Of equal texts the row with the largest
     doc_id stays.  Digests only find the hits: every row of a group of several is compared with the kept row's text in
-    full, and rows that differ from it are grouped by their texts instead.
+    full, and rows that differ from it, or whose kept row isn't found by its locator, are grouped by their texts instead.
 
     Rows without doc_id are never the kept one of a group that has another, and of several rows with the kept
     doc_id and text all count as kept.  No rows give no rows; columns other than doc_id and text are not read.
@@ -95,12 +95,14 @@ def _decided(docs: DataFrame, state: DataFrame) -> DataFrame:
     located = docs.select(text.alias("kept_text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     kept = located.join(hits, ["file", "row"]).select("digest", "length", "kept_text")
     key = ["digest", "length"]
-    same = F.col("kept_text").isNull() | (F.col("text") == F.col("kept_text"))
+    # Null where there was no text to compare with: rightly so in a group of one row only.
+    same = F.col("text") == F.col("kept_text")
     checked = stored(rows.join(kept, key, "left").select("doc_id", *key, same.alias("same")), "exact-checked")
     decided = checked.join(state.select(*key, "group_size", "keep_id"), key)
-    unequal = checked.filter("not same").select(*key).distinct()
+    lost = checked.filter("same is null").join(hits.select(*key), key, "left_semi")
+    unequal = checked.filter("not same").unionByName(lost).select(*key).distinct()
     if not unequal.isEmpty():
-        # Equal digests of different texts: these rows are grouped by the texts themselves.
+        # Equal digests of different texts, or a kept row not found again: these rows are grouped by the texts themselves.
         apart = rows.join(unequal, key, "left_semi")
         groups = apart.groupBy(*key, "text").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
         apart = apart.join(groups, [*key, "text"]).select("doc_id", *key, F.lit(False).alias("same"), "group_size", "keep_id")
