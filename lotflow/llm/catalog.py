@@ -1,4 +1,14 @@
 """Every query of this subpackage."""
 
-from lotflow.llm import query_bpe, query_chat, query_exact, query_mix, query_near_dup, query_pii, query_quality, query_web  # noqa: F401
+from lotflow.llm import (  # noqa: F401
+    query_bpe,
+    query_chat,
+    query_exact,
+    query_mix,
+    query_near_dup,
+    query_pii,
+    query_quality,
+    query_vectors,
+    query_web,
+)
 from lotflow.llm.registry import ORACLES, QUERIES  # noqa: F401
