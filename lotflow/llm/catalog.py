@@ -8,6 +8,7 @@ from lotflow.llm import (  # noqa: F401
     query_near_dup,
     query_pii,
     query_quality,
+    query_records,
     query_runs,
     query_vectors,
     query_web,

@@ -222,7 +222,7 @@ def _collapsed(words: list[bytes], runs: np.ndarray) -> bytes:
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
 
-def _search(least: int, times: int):
+def _search(least: int, times: int, most: int):
     def batch_of(ids, texts):
         numbers: dict[bytes, int] = {}
         coded = [np.array([numbers.setdefault(w, len(numbers)) for w in t], np.int64) for t in texts]
@@ -242,7 +242,7 @@ def _search(least: int, times: int):
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
                 # Without an argument, bytes are cut at these six characters.
                 words = (text.as_py() or b"").split()
-                if n and n + len(words) > BATCH_WORDS:
+                if n and n + len(words) > most:
                     yield batch_of(ids, texts)
                     ids, texts, n = [], [], 0
                 ids.append(name)
@@ -267,4 +267,4 @@ def periodic_runs(docs: DataFrame, least: int = 6, times: int = 4) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_search(least, times), "doc_id long, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string")
+    return rows.mapInArrow(_search(least, times, BATCH_WORDS), "doc_id long, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string")
