@@ -2,12 +2,15 @@
 
 A record is framed as: length of the data (unsigned 64 bits), masked checksum of these 8 bytes (32 bits), data, masked checksum of
 the data (32 bits), all little-endian; the checksum is CRC-32C, rotated right by 15 bits plus a constant.  The data are
-the doc_id (signed 64 bits), whether there is one (32 bits: 1 or 0) and the ids (unsigned 32 bits each).
+the doc_id (signed 64 bits), whether there is one (16 bits: 1 or 0), the bytes of an id (16 bits) and the ids (unsigned, of 2 bytes each
+if all of the vocabulary fit, else 4).
 """
 
 from __future__ import annotations
 
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,20 +21,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotflow.llm.bpe import _Dictionary, tokenizer
+from lotflow.llm.bpe import byte_of, cut_texts, span_hashes, tokenizer
 from lotflow.llm.common import flat_texts, prepare
 
 #: Fixed values of CRC-32C and of its mask.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 #: Bytes before and after a record's data, and of its data before the ids.
 HEAD, TAIL, NAME = 12, 4, 12
-#: Distinct words whose ids a task keeps at hand.
-WORDS_KEPT = 1 << 20
+#: Distinct words whose ids a worker keeps at hand.
+WORDS_KEPT = 3 << 19
 #: Bytes that a task gathers before it writes, and that it reads at once unless one record is longer.
 CHUNK = 1 << 22
 _BLOCK = 512
 
 
+@lru_cache(maxsize=2)
+def id_bytes(path: str) -> int:
+    return 2 if max(tokenizer(path).get_vocab().values()) < 1 << 16 else 4
+
+
 @lru_cache(maxsize=1)
 def _step_table() -> np.ndarray:
     """What two bytes do to a checksum."""
@@ -53,23 +61,22 @@ def _block_tables() -> list[np.ndarray]:
     return tables
 
 
-def checksums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def checksums(spans: list[bytes]) -> np.ndarray:
     """CRC-32C of spans of at least four bytes.
 
     Spans are padded on the left by zeros, which change nothing before the first byte that isn't one, and cut into blocks.  All
     blocks go through the table side by side; a span's blocks are then put together from the left.
     """
-    lengths = ends - starts
+    lengths = np.array([len(s) for s in spans], np.int64)
     blocks = -(-lengths // _BLOCK)
     first = np.cumsum(blocks) - blocks
-    padded = np.zeros(int(blocks.sum()) * _BLOCK, np.uint8)
     into = first * _BLOCK + blocks * _BLOCK - lengths
-    padded[np.arange(int(lengths.sum())) + np.repeat(into - (np.cumsum(lengths) - lengths), lengths)] = \
-        data[np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)]
+    zeros = bytes(_BLOCK)
+    padded = np.frombuffer(bytearray().join([x for s in spans for x in (zeros[: -len(s) % _BLOCK], s)]), np.uint8)
     # The checksum starts with all bits set, which is the same as turning the first four bytes around.
     for k in range(4):
         padded[into + k] ^= 0xFF
-    table, state = _step_table(), np.zeros(int(blocks.sum()), np.uint32)
+    table, state = _step_table(), np.zeros(len(padded) // _BLOCK, np.uint32)
     for pair in np.ascontiguousarray(padded.view("<u2").reshape(-1, _BLOCK // 2).T):
         state = (state >> 16) ^ table[(state ^ pair) & 0xFFFF]
     out, tables = state[first], _block_tables()
@@ -83,23 +90,21 @@ def checksums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out ^ np.uint32(0xFFFFFFFF)
 
 
+def _sealed(spans: list[bytes]) -> list[bytes]:
+    """The masked checksums as they are written."""
+    raw = masked(checksums(spans)).astype("<u4").tobytes() if spans else b""
+    return [raw[k : k + 4] for k in range(0, len(raw), 4)]
+
+
 def masked(checksum: np.ndarray) -> np.ndarray:
     return (checksum >> np.uint32(15) | checksum << np.uint32(17)) + np.uint32(MASK)
 
 
 def framed(records: list[bytes]) -> tuple[bytes, np.ndarray]:
     """The records in frames, one after the other, and where each frame ends."""
-    lengths = np.array([len(r) for r in records], np.int64)
-    ends = np.cumsum(lengths + HEAD + TAIL)
-    data_at = ends - TAIL - lengths
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    heads = lengths.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out[(data_at - HEAD)[:, None] + np.arange(8)] = heads
-    flat = np.frombuffer(b"".join(records), np.uint8)
-    out[np.arange(len(flat)) + np.repeat(data_at - (np.cumsum(lengths) - lengths), lengths)] = flat
-    for start, end in ((data_at - HEAD, data_at - 4), (data_at, ends - TAIL)):
-        out[end[:, None] + np.arange(4)] = masked(checksums(out, start, end)).astype("<u4").view(np.uint8).reshape(-1, 4)
-    return out.tobytes(), ends
+    heads = [len(r).to_bytes(8, "little") for r in records]
+    data = b"".join([x for parts in zip(heads, _sealed(heads), records, _sealed(records)) for x in parts])
+    return data, np.cumsum([len(r) + HEAD + TAIL for r in records], dtype=np.int64)
 
 
 class BadRecord(ValueError):
@@ -119,45 +124,98 @@ def frame_ends(data: bytes) -> np.ndarray:
 
 def unframed(data: bytes, ends: np.ndarray) -> list[bytes]:
     """The records of whole frames, checked."""
-    flat = np.frombuffer(data, np.uint8)
-    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-    lengths = ends - starts - HEAD - TAIL
-    heads = np.ascontiguousarray(flat[starts[:, None] + np.arange(8)]).view("<u8").reshape(-1)
-    if (lengths < 4).any() or (heads != lengths.astype(np.uint64)).any():
+    spans = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+    heads, records = [data[s : s + 8] for s, _ in spans], [data[s + HEAD : e - TAIL] for s, e in spans]
+    if any(len(r) < 4 or h != len(r).to_bytes(8, "little") for h, r in zip(heads, records)):
         raise BadRecord("a record has another length than the index says")
-    for start, end in ((starts, starts + 8), (starts + HEAD, ends - TAIL)):
-        found = np.ascontiguousarray(flat[end[:, None] + np.arange(4)]).view("<u4").reshape(-1)
-        if (found != masked(checksums(flat, start, end))).any():
-            raise BadRecord("a record or its length doesn't fit its checksum")
-    return [data[s + HEAD : e - TAIL] for s, e in zip(starts.tolist(), ends.tolist())]
+    if _sealed(heads) != [data[s + 8 : s + HEAD] for s, _ in spans] or _sealed(records) != [data[e - TAIL : e] for _, e in spans]:
+        raise BadRecord("a record or its length doesn't fit its checksum")
+    return records
 
 
 class Encoder:
-    """Texts as ids; distinct words are encoded once and kept, until there are too many."""
+    """Texts as bytes of ids; distinct words are encoded once and kept, until there are too many.
+
+    Words are looked up by a hash in a sorted array; a second hash tells words of one hash apart.  The few texts with such a
+    word, with characters that the cutter doesn't know or with the text of an added token go to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         self.path = path
+        self.width = id_bytes(path)
+        self.type = f"<u{self.width}"
+        self.array = {2: "H", 4: "I"}[self.width]
+        self.added = [t.content.encode() for t in tokenizer(path).get_added_tokens_decoder().values()]
+        self.shown = {b: c for c, b in byte_of().items()}
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.lengths, self.starts, self.flat = _Dictionary(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        if len(self.words.words) > WORDS_KEPT:
+        self.known, self.check, self.slot, self.coded = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def _as_bytes(self, ids: list[int]) -> bytes:
+        packed = array(self.array, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of single words, by the tokenizer's own merges."""
+        model, shown = tokenizer(self.path).model, self.shown
+        return [self._as_bytes([t.id for t in model.tokenize(w.decode("latin-1").translate(shown))]) for w in words]
+
+    def _numbers(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place in ``coded``, and which words have another word's hash."""
+        first, second = span_hashes(data, starts, ends)
+        distinct, place, which = np.unique(first, return_index=True, return_inverse=True)
+        odd = second[place][which] != second
+        at = np.searchsorted(self.known, distinct)
+        hit = np.zeros(len(distinct), bool)
+        inside = at < len(self.known)
+        hit[inside] = self.known[at[inside]] == distinct[inside]
+        fresh = np.flatnonzero(~hit)
+        slots = np.empty(len(distinct), np.int64)
+        slots[hit] = self.slot[at[hit]]
+        slots[fresh] = len(self.coded) + np.arange(len(fresh))
+        odd |= (hit & (self.check[np.minimum(at, len(self.check) - 1)] != second[place]))[which] if len(self.check) else False
+        self.coded += self._of_words([raw[s:e] for s, e in zip(starts[place[fresh]].tolist(), ends[place[fresh]].tolist())])
+        self.known = np.insert(self.known, at[fresh], distinct[fresh])
+        self.check = np.insert(self.check, at[fresh], second[place[fresh]])
+        self.slot = np.insert(self.slot, at[fresh], slots[fresh])
+        return slots[which], odd
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of flat texts, ``width`` bytes each."""
+        if len(self.coded) > WORDS_KEPT:
             self._forget()
-        texts = self.words.of_texts(data, offsets, self.path)
-        fresh = [w.decode() for w in self.words.words[len(self.lengths) :]]
-        if fresh:
-            found = [e.ids for e in tokenizer(self.path).encode_batch(fresh, add_special_tokens=False)]
-            lengths = np.array([len(f) for f in found], np.int64)
-            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
-            self.lengths = np.concatenate((self.lengths, lengths))
-            self.flat = np.concatenate((self.flat, np.array([i for f in found for i in f], np.uint32)))
-        out = []
-        for text in texts:
-            n = self.lengths[text]
-            out.append(self.flat[np.arange(n.sum()) + np.repeat(self.starts[text] - (np.cumsum(n) - n), n)])
-        return out
+        starts, odd = cut_texts(data, offsets)
+        raw = data.tobytes()
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                odd[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(content, at + 1)
+        numbers, alike = self._numbers(raw, starts, np.append(starts[1:], len(data)), data)
+        odd[np.searchsorted(offsets, starts[alike], "right") - 1] = True
+        bounds = np.searchsorted(starts, offsets).tolist()
+        coded, numbers = self.coded, numbers.tolist()
+        return [self._as_bytes(tokenizer(self.path).encode(raw[offsets[k] : offsets[k + 1]].decode(), add_special_tokens=False).ids) if odd[k]
+                else b"".join([coded[n] for n in numbers[bounds[k] : bounds[k + 1]]]) for k in range(len(odd))]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder stays for the tasks that follow."""
+    return Encoder(path)
+
+
+def _named(name: int | None, width: int) -> bytes:
+    return (name or 0).to_bytes(8, "little", signed=True) + int(name is not None).to_bytes(2, "little") + width.to_bytes(2, "little")
+
+
+def _contents(record: bytes) -> tuple[int | None, np.ndarray]:
+    """A record's doc_id and ids."""
+    name = int.from_bytes(record[:8], "little", signed=True) if record[8] else None
+    return name, np.frombuffer(record, f"<u{record[10]}", offset=NAME)
 
 
 _INDEX = "file string, offset long, bytes long, n_tokens long, doc_id long"
@@ -169,11 +227,10 @@ def _write(folder: str, path: str, end_id: int, file_bytes: int, chunk: int):
 
     A second attempt of a task writes files of other names.  Only those of the attempt that ended well get into the index.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = fs.FileSystem.from_uri(folder)
-        part, attempt, coder = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], Encoder(path)
+        part, attempt, coder = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], encoder(path)
+        width, end = coder.width, end_id.to_bytes(coder.width, "little")
         pending, names, out, file, at, n_files = [], [], None, "", 0, 0
 
         def flush():
@@ -185,7 +242,7 @@ def _write(folder: str, path: str, end_id: int, file_bytes: int, chunk: int):
             out.write(data)
             sizes = np.diff(ends, prepend=0)
             rows = pa.RecordBatch.from_arrays(
-                [pa.array([file] * len(ends)), pa.array(at + ends - sizes), pa.array(sizes), pa.array((sizes - HEAD - TAIL - NAME) // 4), pa.array(names, pa.int64())], schema=_INDEX_ARROW)
+                [pa.array([file] * len(ends)), pa.array(at + ends - sizes), pa.array(sizes), pa.array((sizes - HEAD - TAIL - NAME) // width), pa.array(names, pa.int64())], schema=_INDEX_ARROW)
             at += len(data)
             pending, names = [], []
             if at >= file_bytes:
@@ -197,9 +254,8 @@ def _write(folder: str, path: str, end_id: int, file_bytes: int, chunk: int):
         for batch in batches:
             for first, data, offsets in flat_texts(batch.column("text")):
                 ids = batch.column("doc_id").slice(first, len(offsets) - 1).to_pylist()
-                for name, tokens in zip(ids, coder.ids(data, offsets)):
-                    head = (name or 0).to_bytes(8, "little", signed=True) + int(name is not None).to_bytes(4, "little")
-                    pending.append(head + tokens.astype("<u4").tobytes() + end)
+                for name, tokens in zip(ids, coder.encode(data, offsets)):
+                    pending.append(_named(name, width) + tokens + end)
                     names.append(name)
                     size += len(pending[-1])
                     if size >= chunk:
@@ -274,9 +330,9 @@ def _read(folder: str, chunk: int):
                 source.seek(int(offsets[first]))
                 data = source.read(int(sizes[first:last].sum()))
                 records = unframed(data, np.cumsum(sizes[first:last]))
-                names = [int.from_bytes(r[:8], "little", signed=True) if r[8] else None for r in records]
+                names, ids = zip(*map(_contents, records))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(files[first:last]), pa.array(offsets[first:last]), pa.array(names, pa.int64()), pa.array([r[NAME:] for r in records], pa.binary())],
+                    [pa.array(files[first:last]), pa.array(offsets[first:last]), pa.array(names, pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())],
                     ["file", "offset", "doc_id", "tokens"])
                 first = last
         if source is not None:
@@ -325,9 +381,9 @@ def rebuilt_index(spark: SparkSession, folder: str, files: list[str]) -> DataFra
                     ends = frame_ends(left)
                     if len(ends):
                         records, sizes = unframed(left[: ends[-1]], ends), np.diff(ends, prepend=0)
-                        names = [int.from_bytes(r[:8], "little", signed=True) if r[8] else None for r in records]
+                        names, ids = zip(*map(_contents, records))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([file] * len(ends)), pa.array(at + ends - sizes), pa.array(sizes), pa.array((sizes - HEAD - TAIL - NAME) // 4), pa.array(names, pa.int64())],
+                            [pa.array([file] * len(ends)), pa.array(at + ends - sizes), pa.array(sizes), pa.array([len(i) for i in ids], pa.int64()), pa.array(names, pa.int64())],
                             schema=_INDEX_ARROW)
                         left, at = left[ends[-1] :], at + int(ends[-1])
                     if not more:
