@@ -32,6 +32,8 @@ HEAD, TAIL, NAME = 12, 4, 12
 WORDS_KEPT = 3 << 19
 #: Bytes that a task gathers before it writes, and that it reads at once unless one record is longer.
 CHUNK = 1 << 22
+#: Bytes of records that one task reads.
+READ = 1 << 25
 _BLOCK = 512
 
 
@@ -348,8 +350,10 @@ def read_records(index: DataFrame, folder: str, seed: int | None = None) -> Data
     tasks by the same order, and each is read by its offset.
     """
     order = ["file", "offset"] if seed is None else ["shuffle", "file", "offset"]
+    # The rows of the index are small: what tasks read decides how many there are.
+    tasks = -(-(index.agg(F.sum("bytes")).first()[0] or 1) // READ)
     keyed = index if seed is None else index.withColumn("shuffle", F.xxhash64(F.lit(seed), "file", "offset"))
-    dealt = keyed.select(*order, "bytes").repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = keyed.select(*order, "bytes").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     return dealt.select("file", "offset", "bytes").mapInArrow(_read(folder, CHUNK), "file string, offset long, doc_id long, tokens binary")
 
 
