@@ -8,7 +8,7 @@ from lotflow.fixtures import AS_OF, CALENDAR, HOLIDAYS
 from lotflow.plans import forecast as P
 from lotflow.plans.features import run_features
 from lotflow.schemas import FORECAST, WIRE
-from lotflow.session import shared_dir, use_checkpoints
+from lotflow.session import shared_dir
 from lotflow.sources import events as E
 from lotflow.sources import sinks as K
 from lotflow.sources.versions import read_latest
@@ -69,9 +69,8 @@ def _models(g):
     """Both models on the stored feature table, so that every round reads files and not the whole lineage."""
     key = (g.spark.sparkContext.applicationId, g.dir)
     if key not in _fitted:
-        use_checkpoints(g.spark)
         train, validation = P.split(g.stored("features"))
-        _fitted[key] = P.train_occupancy(train), P.train_departures(train), validation
+        _fitted[key] = *P.train_both(train), validation
     return _fitted[key]
 
 
@@ -157,7 +156,7 @@ def _(g):
         "departures": P.evaluate(departures, validation, "departures_in_15m", "departures_raw"),
     }
     learned = validation.groupBy().agg(F.count(F.lit(1)).alias("n_rows"), *[
-        F.lit(value).alias(f"{model}|{metric}") for model, found in scores.items() for metric, value in found.items()])
+        F.lit(found[metric]).alias(f"{model}|{metric}") for model, found in scores.items() for metric in ("rmse", "mae")])
     gap = F.abs(F.col("occupancy_plus_15m") - F.col("occupancy_now")).cast("double")
     naive = validation.agg(F.count(F.lit(1)).alias("n_rows"), F.sqrt(F.avg(gap * gap)).alias("no change|rmse"),
                            F.avg(gap).alias("no change|mae"))
@@ -171,3 +170,32 @@ def _(g):
     rows = long(learned).unionByName(long(naive))
     return rows.select("model", "metric", F.when(F.col("model") == "no change", F.col("value")).alias("value"),
                        (_finite("value") & (F.col("value") >= 0)).alias("finite"), "n_rows")
+
+
+@query("forecast_values")
+def _(g):
+    """The forecast as it is stored; what a model has learned can't be stated in SQL."""
+    occupancy, departures, _ = _models(g)
+    return P.forecast(g.stored("current"), occupancy, departures, AS_OF, **CALENDAR)
+
+
+@query("predictions")
+def _(g):
+    """What both models predict for the rows that they haven't learned from, beside what came."""
+    occupancy, departures, validation = _models(g)
+    scored = departures.transform(occupancy.transform(P.model_matrix(validation)))
+    return scored.select("lot_id", "timestamp", "occupancy_now", "occupancy_plus_15m", F.col("occupancy_raw").alias("predicted_occupancy"),
+                         "departures_in_15m", F.col("departures_raw").alias("predicted_departures"))
+
+
+@query("model_errors")
+def _(g):
+    """The errors on these rows, beside those of two plain guesses: no change, and the mean of the learned rows."""
+    occupancy, departures, validation = _models(g)
+    train, _ = P.split(g.stored("features"))
+    mean = train.select(F.avg("departures_in_15m").alias("m")).scalar()
+    scored = departures.transform(occupancy.transform(P.model_matrix(validation))).withColumn("mean", mean)
+    compared = [("occupancy", "learned", "occupancy_plus_15m", "occupancy_raw"), ("occupancy", "no change", "occupancy_plus_15m", "occupancy_now"),
+                ("departures", "learned", "departures_in_15m", "departures_raw"), ("departures", "mean", "departures_in_15m", "mean")]
+    rows = [(label, guess, *P.errors(scored, y, p).values()) for label, guess, y, p in compared]
+    return g.spark.createDataFrame(rows, "label string, guess string, rmse double, mae double, deviance double")

@@ -1,11 +1,12 @@
-"""Short-horizon forecasts with Spark ML: encode, split, train, score, store."""
+"""Short-horizon forecasts: encode, split, train, score, store."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from lotflow.functions.text import csv_row
 from lotflow.functions.timeparts import day_of_week, grid_floor, hour_of_day, in_days, is_weekend, shift
 from lotflow.operators.calendar import semester_dates
 from lotflow.operators.merge import merge_forecast
-from lotflow.plans.poisson_trees import PoissonTrees, fit_poisson_trees
+from lotflow.plans.boosted_trees import BoostedTrees, fit_trees
 from lotflow.schemas import FORECAST
 from lotflow.sources.versions import update
 
@@ -24,7 +25,7 @@ CAMPUSES = [f.removeprefix("campus_") for f in MODEL_FEATURES if f.startswith("c
 FLAGS = ("is_holiday", "is_weekend", "is_exam_week")
 
 # Settings of both boosted models.
-ROUNDS, DEPTH, STEP, SUBSAMPLE, MIN_CHILD = 100, 5, 0.2, 0.8, 6
+ROUNDS, DEPTH, STEP, GAMMA, SUBSAMPLE, MIN_CHILD = 100, 5, 0.2, 4.0, 0.8, 6.0
 
 
 def one_hot(rows: DataFrame) -> DataFrame:
@@ -58,19 +59,26 @@ def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=MODEL_FEATURES, outputCol="inputs")
 
 
-def train_occupancy(features: DataFrame, rounds: int = ROUNDS) -> PipelineModel:
-    """Boosted regression trees on squared error."""
-    trees = GBTRegressor(featuresCol="inputs", labelCol="occupancy_plus_15m", predictionCol="occupancy_raw",
-                         maxIter=rounds, maxDepth=DEPTH, stepSize=STEP, subsamplingRate=SUBSAMPLE,
-                         minInstancesPerNode=MIN_CHILD, seed=42, checkpointInterval=10)
-    return Pipeline(stages=[_assembler(), trees]).fit(model_matrix(features))
+def _train(features: DataFrame, label: str, prediction: str, objective: str, rounds: int) -> BoostedTrees:
+    return fit_trees(model_matrix(features), ["lot_id", "timestamp"], MODEL_FEATURES, label, prediction, objective=objective, rounds=rounds,
+                     depth=DEPTH, step=STEP, gamma=GAMMA, least=MIN_CHILD, subsample=SUBSAMPLE)
+
 
+def train_occupancy(features: DataFrame, rounds: int = ROUNDS) -> BoostedTrees:
+    """Boosted trees on squared error."""
+    return _train(features, "occupancy_plus_15m", "occupancy_raw", "squared", rounds)
 
-def train_departures(features: DataFrame, rounds: int = ROUNDS) -> PoissonTrees:
+
+def train_departures(features: DataFrame, rounds: int = ROUNDS) -> BoostedTrees:
     """Boosted trees on the Poisson likelihood, with the settings of the occupancy model."""
-    return fit_poisson_trees(model_matrix(features), ["lot_id", "timestamp"], MODEL_FEATURES, "departures_in_15m",
-                             "departures_raw", rounds=rounds, depth=DEPTH, step=STEP, subsample=SUBSAMPLE,
-                             min_rows=MIN_CHILD)
+    return _train(features, "departures_in_15m", "departures_raw", "poisson", rounds)
+
+
+def train_both(features: DataFrame, rounds: int = ROUNDS) -> tuple[BoostedTrees, BoostedTrees]:
+    """Both models; their jobs, which are many and short, run side by side."""
+    with ThreadPoolExecutor(2) as pool:
+        occupancy, departures = pool.submit(train_occupancy, features, rounds), pool.submit(train_departures, features, rounds)
+        return occupancy.result(), departures.result()
 
 
 def train_departures_linear(features: DataFrame) -> PipelineModel:
@@ -81,10 +89,16 @@ def train_departures_linear(features: DataFrame) -> PipelineModel:
     return Pipeline(stages=[_assembler(), poisson]).fit(model_matrix(features))
 
 
-def evaluate(model: PipelineModel | PoissonTrees, rows: DataFrame, label: str, prediction: str) -> dict[str, float]:
-    scored = model.transform(model_matrix(rows)).select(label, prediction)
-    return {m: RegressionEvaluator(labelCol=label, predictionCol=prediction, metricName=m).evaluate(scored)
-            for m in ("rmse", "mae")}
+def errors(rows: DataFrame, label: str, prediction: str) -> dict[str, float]:
+    """Root of the mean squared error, mean error, and mean Poisson deviance (of predictions above 0; else null)."""
+    y, mu = F.col(label).cast("double"), F.col(prediction).cast("double")
+    surprise = F.when(y > 0, y * F.log(F.try_divide(y, mu))).otherwise(0.0)
+    deviance = F.when(F.min(mu) > 0, F.avg(2 * (surprise - (y - mu))))
+    return rows.agg(F.sqrt(F.avg((y - mu) * (y - mu))).alias("rmse"), F.avg(F.abs(y - mu)).alias("mae"), deviance.alias("deviance")).first().asDict()
+
+
+def evaluate(model: PipelineModel | BoostedTrees, rows: DataFrame, label: str, prediction: str) -> dict[str, float]:
+    return errors(model.transform(model_matrix(rows)).select(label, prediction), label, prediction)
 
 
 def scoring_rows(current: DataFrame, as_of: str, semesters: list[tuple] = SEMESTERS,
@@ -119,26 +133,25 @@ def finish(scored: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def forecast(current: DataFrame, occupancy: PipelineModel, departures: PipelineModel | PoissonTrees, as_of: str, **calendar) -> DataFrame:
+def forecast(current: DataFrame, occupancy: BoostedTrees, departures: PipelineModel | BoostedTrees, as_of: str, **calendar) -> DataFrame:
     """Both predictions for every lot, 15 minutes ahead; one frame runs through both models, so rows keep their key."""
     rows = scoring_rows(current, as_of, **calendar)
-    with_occupancy = occupancy.transform(rows).drop("inputs")
-    return finish(departures.transform(with_occupancy), as_of)
+    return finish(departures.transform(occupancy.transform(rows)), as_of)
 
 
-def forecast_cycle(current: DataFrame, occupancy: PipelineModel, departures: PipelineModel | PoissonTrees, as_of: str, root: str,
+def forecast_cycle(current: DataFrame, occupancy: BoostedTrees, departures: PipelineModel | BoostedTrees, as_of: str, root: str,
                    **calendar) -> None:
     """One scheduled run: score, replace by (lot, target time), keep the newest runs per lot."""
     new = forecast(current, occupancy, departures, as_of, **calendar)
     update(current.sparkSession, root, FORECAST, lambda old: merge_forecast(old, new, KEEP_PER_LOT))
 
 
-def store_models(spark: SparkSession, occupancy: PipelineModel, departures: PoissonTrees, path: str) -> None:
-    occupancy.write().overwrite().save(f"{path}/occupancy")
+def store_models(spark: SparkSession, occupancy: BoostedTrees, departures: BoostedTrees, path: str) -> None:
+    occupancy.save(spark, f"{path}/occupancy")
     departures.save(spark, f"{path}/departures")
 
 
 def run_forecast(spark: SparkSession, current: DataFrame, models: str, as_of: str, root: str, **calendar) -> None:
     """The job of every 15 minutes: load both stored models, score the snapshot, merge the forecasts."""
-    occupancy = PipelineModel.load(f"{models}/occupancy")
-    forecast_cycle(current, occupancy, PoissonTrees.load(spark, f"{models}/departures"), as_of, root, **calendar)
+    occupancy, departures = (BoostedTrees.load(spark, f"{models}/{m}") for m in ("occupancy", "departures"))
+    forecast_cycle(current, occupancy, departures, as_of, root, **calendar)

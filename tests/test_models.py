@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from lotflow.domain import MODEL_FEATURES
 from lotflow.fixtures import CALENDAR
 from lotflow.plans import forecast as P
-from lotflow.plans.poisson_trees import PoissonTrees
+from lotflow.plans.boosted_trees import BoostedTrees
 from lotflow.schemas import FORECAST
 from lotflow.session import shared_dir
 from lotflow.sources.versions import read_latest
@@ -16,16 +16,19 @@ def test_fit_score_and_store(spark, given):
     train, validation = P.split(features)
     assert train.count() + validation.count() == features.count()
     assert 0.75 < train.count() / features.count() < 0.85
-    occupancy, departures = P.train_occupancy(train, rounds=3), P.train_departures(train, rounds=11)
+    occupancy, departures = P.train_both(train, rounds=25)
+    # Better than "no change" and than the mean count.
     fit = P.evaluate(occupancy, validation, "occupancy_plus_15m", "occupancy_raw")
-    spread = validation.select(F.stddev("occupancy_plus_15m")).first()[0]
-    assert fit["rmse"] < spread
+    naive = P.errors(validation, "occupancy_plus_15m", "occupancy_now")
+    assert fit["rmse"] < naive["rmse"]
     counts = P.evaluate(departures, validation, "departures_in_15m", "departures_raw")
-    assert counts["rmse"] < validation.select(F.stddev("departures_in_15m")).first()[0] * 1.05
+    mean = P.errors(validation.withColumn("m", F.lit(train.agg(F.avg("departures_in_15m")).first()[0])), "departures_in_15m", "m")
+    # So few departures hardly tell more than their mean; on sf0.01 the query model_errors shows the model below it.
+    assert counts["rmse"] < mean["rmse"] * 1.02 and counts["deviance"] < mean["deviance"] * 1.05
     kept = shared_dir(spark, "model")
-    departures.save(spark, kept)
-    departures = PoissonTrees.load(spark, kept)
-    assert P.evaluate(departures, validation, "departures_in_15m", "departures_raw") == counts
+    P.store_models(spark, occupancy, departures, kept)
+    again = BoostedTrees.load(spark, f"{kept}/departures")
+    assert P.evaluate(again, validation, "departures_in_15m", "departures_raw") == counts
     root = shared_dir(spark, "forecasts")
     for as_of in ("2024-01-30 00:02:00", "2024-01-30 00:14:00", "2024-01-30 00:15:00"):
         P.forecast_cycle(given.current, occupancy, departures, as_of, root, **CALENDAR)
@@ -45,12 +48,3 @@ def test_unknown_lot_is_zero_everywhere(spark):
 def test_scoring_rows_use_the_training_calendar(given):
     row = P.scoring_rows(given.current, "2024-01-15 10:00:00", **CALENDAR).first()
     assert (row["is_holiday"], row["is_weekend"], row["day_of_week"], row["hour_of_day"]) == (1, 0, 2, 10)
-
-
-def test_trees_find_a_rate_per_group(spark):
-    rows = spark.range(2000).select(
-        F.col("id"), (F.col("id") % 2).cast("double").alias("x"),
-        F.when(F.col("id") % 2 == 0, F.col("id") % 3).otherwise(4 + F.col("id") % 5).cast("bigint").alias("y"))
-    model = P.fit_poisson_trees(rows, ["id"], ["x"], "y", "mu", rounds=25, depth=2, step=0.4, subsample=1.0, min_rows=1)
-    found = {r["x"]: r["mu"] for r in model.transform(rows).groupBy("x").agg(F.avg("mu").alias("mu")).collect()}
-    assert abs(found[0.0] - 1.0) < 0.1 and abs(found[1.0] - 6.0) < 0.2
