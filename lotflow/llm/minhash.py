@@ -89,6 +89,33 @@ def _setter(width: int):
     return sets
 
 
+def _sharing_rare(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of ``docs`` (id, n, component) of different components that may reach ``percent``: no other pair does.
+
+    Each set's shingles are ordered from the rarest to the most frequent among ``docs``.  A set of n shingles that reaches the
+    threshold with a set that isn't larger has one in common with it among its first n - ceil(p n) + 1, and that one is among the
+    first m - ceil(2 p m / (1 + p)) + 1 of the other's m.  What stands before the first common one is lost to both, which the
+    sizes of what is left must allow for.  Edits make a shingle rare, so copies with many edits don't get as far as what
+    all copies share.
+    """
+    each = docs.join(sets, "id").select("id", "n", "component", F.explode("shingles").alias("shingle"))
+    counts = stored(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")), "shingle-counts")
+    n = F.col("n")
+    longer = n - F.expr(f"({percent} * n + 99) div 100") + 1
+    shorter = n - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1
+    # A shingle of one document is in no pair, but has its place in the order.
+    ordered = each.join(counts, "shingle").groupBy("id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("docs", "shingle"))).alias("s"))
+    rare = ordered.select("id", "n", "component", longer.alias("longer"), shorter.alias("shorter"), F.posexplode("s").alias("place", "s"))
+    rare = stored(rare.filter("place < longer and s.docs > 1").select(
+        "id", "n", "component", "place", F.col("s.shingle").alias("shingle"), (F.col("place") < F.col("shorter")).alias("early")), "rare-shingles")
+    x, y = rare.alias("x"), rare.filter("early").alias("y")
+    larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") > F.col("y.id")))
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & larger & (F.col("x.component") != F.col("y.component"))
+                   & (100 * F.col("y.n") >= percent * F.col("x.n")) & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n"))))
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 3, collections: int = 12) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -103,9 +130,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     Equal sets become one class first.  A group of n documents isn't compared pair by pair: in the tables of bands of
     equal places each document meets its group's first; in any table's group that is then in several components,
     each meets the first of the largest component; and only where a group is in several components even
-    then, documents outside its largest one meet those that neither the sizes nor the triangle inequality of the Jaccard
-    distance (over the one that both have met) rules out.  So documents of one component need no
-    further links, and none between two components is lost.  Links are confirmed on the full sets (64-bit hashes).
+    then, its documents meet those of other components that share a shingle so rare that similar sets must share one such
+    (``_sharing_rare``).  So documents of one component need no further links, and none between two components is lost.
+    Links are confirmed on the full sets (64-bit hashes).
 
     Null, empty and blank texts have no shingles: linked with nothing, kept.  Rows that share a doc_id count as one
     document.  A row without doc_id is a link's end for nobody; its component is that of equal sets, or null, and it
@@ -141,10 +168,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         union = F.size("s") + F.size("t") - F.col("both")
         return rows.select("a", "b", (F.col("both") / union).alias("jaccard"), (100 * F.col("both") >= percent * union).alias("linked"))
 
-    def fits(n, m):
-        """Sets of these sizes may be similar enough."""
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
     def as_links(found: DataFrame) -> DataFrame:
         return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
@@ -166,20 +189,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     old, found = found, components(as_links(found).unionAll(checked.filter("linked").select("a", "b")))
     discard(old, links)
 
-    # At last the pairs of what is torn even now, unless sizes or the distances from the lead rule them out.
-    apart = checked.select(F.col("a").alias("id"), F.col("b").alias("lead"), (1 - F.col("jaccard")).alias("far"))
-    rows = torn.join(apart, ["id", "lead"], "left").join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    lead = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
-    open_ = stored(rows.join(lead.filter("parts > 1").drop("parts"), "key"), "open")
-    x, y = open_.filter("component <> largest").alias("x"), open_.alias("y")
-    most = (1.0 - percent / 100.0) + 1e-9
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-                  & fits(F.col("x.n"), F.col("y.n")) & (F.abs(F.col("x.far") - F.col("y.far")) <= most)
-                  & (F.col("x.far") > 0) & (F.col("y.far") > 0)
-                  & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))))
-    rest = rest.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    # At last what is torn even now: pairs of different components that share one of their rarest shingles.
+    rows = torn.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    still = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+    open_ = stored(rows.join(still, "key").select("id", "n", "component").distinct(), "open")
+    rest = stored(_sharing_rare(open_, sets, percent), "rest")
     more = stored(compare(rest).filter("linked").select("a", "b"), "more")
     if not more.isEmpty():
         old, found = found, components(as_links(found).unionAll(more))
@@ -190,5 +204,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     out = signed.join(named_class, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    discard(members, sets, torn, checked, open_, more, found, classes)
+    discard(members, sets, torn, checked, open_, rest, more, found, classes)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
