@@ -11,22 +11,31 @@ from lotflow.sources.versions import read_latest
 from lotflow.streaming import jobs as J
 
 
-def day_files(g) -> str:
-    """Raw records as JSON, a folder per day, file times in day order so that the stream reads them in order."""
+#: Files of a batch of the live job: four batches in a month of records.
+LIVE_FILES = 64
+
+
+def _write_in_order(g, rows, path: str) -> None:
+    """JSON files, a folder per ``slot``, with file times in order of the slots so that a stream reads them in that order."""
+    rows.repartition("slot").sortWithinPartitions("slot", "event_id").write.partitionBy("slot").json(path)
+    jvm = g.spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(g.spark._jsc.hadoopConfiguration())
+    slots = sorted(s.getPath().toString() for s in fs.listStatus(root) if s.isDirectory())
+    for i, slot in enumerate(slots):
+        for part in fs.listStatus(jvm.Path(slot)):
+            fs.setTimes(part.getPath(), 1_700_000_000_000 + i * 60_000, -1)
 
-    def write(path: str) -> None:
-        day = F.coalesce(F.col("date"), F.lit("2024-01-01").cast("date"))
-        rows = g.raw.select(*WIRE.fieldNames(), "event_id", day.alias("day"))
-        rows.repartition("day").sortWithinPartitions("day", "event_id").write.partitionBy("day").json(path)
-        jvm = g.spark._jvm.org.apache.hadoop.fs
-        root = jvm.Path(path)
-        fs = root.getFileSystem(g.spark._jsc.hadoopConfiguration())
-        folders = sorted(s.getPath().toString() for s in fs.listStatus(root) if s.isDirectory())
-        for i, folder in enumerate(folders):
-            for part in fs.listStatus(jvm.Path(folder)):
-                fs.setTimes(part.getPath(), 1_700_000_000_000 + i * 60_000, -1)
 
-    return g.once("records", write)
+def _slot():
+    """A quarter of a day; records without a readable time go to their day's first."""
+    hour = F.coalesce(F.substring("timestamp", 12, 2).try_cast("int"), F.lit(0))
+    return F.concat_ws("-", F.date_format("date", "yyyyMMdd"), F.floor(hour / 6).cast("string"))
+
+
+def day_files(g) -> str:
+    """Raw records as JSON, a file per quarter of a day."""
+    return g.once("records", lambda path: _write_in_order(g, g.raw.select(*WIRE.fieldNames(), "event_id", _slot().alias("slot")), path))
 
 
 def _records(g):
@@ -44,9 +53,9 @@ def sent_files(g) -> str:
     def write(path: str) -> None:
         data = F.when(F.col("event_id") % 211 == 0, F.concat(F.lit("{not json "), F.col("event_id").cast("string"))).otherwise(
             encode_record(*WIRE.fieldNames()))
-        rows = g.raw.select("event_id", data.alias("data"))
-        again = rows.filter("event_id % 79 = 0").withColumn("part", F.lit("z"))
-        rows.withColumn("part", F.lit("a")).unionByName(again).write.partitionBy("part").json(path)
+        sent = F.when(F.col("event_id") % 79 == 0, F.array(F.lit("a"), F.lit("z"))).otherwise(F.array(F.lit("a")))
+        rows = g.raw.select("event_id", data.alias("data"), _slot().alias("at"), F.explode(sent).alias("part"))
+        _write_in_order(g, rows.select("event_id", "data", F.concat_ws("-", "at", "part").alias("slot")), path)
 
     return g.once("sent", write)
 
@@ -73,9 +82,9 @@ def _(g):
         sum(case when event_id % 211 = 0 or reason is not null then times else 0 end)::bigint, ''
         from (select *, case when event_id % 79 = 0 then 2 else 1 end as times from checked)""")
 def _(g):
-    """The one live job over all records as sent, in one batch; those sent again count once."""
+    """The live job over all records as sent, in several batches in order of time; those sent again count once."""
     root, checkpoint = _dirs(g, "live", "checkpoint")
-    records = J.read_sent(g.spark, sent_files(g), files_per_batch=10_000)
+    records = J.read_sent(g.spark, sent_files(g), files_per_batch=LIVE_FILES)
     J.live(records, g.capacity, AS_OF, root, checkpoint).awaitTermination()
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("c")
     current = read_latest(g.spark, f"{root}/current", CURRENT).select(

@@ -26,13 +26,20 @@ def _path(spark: SparkSession, name: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    fs, path = _path(spark, name)
+    return fs.exists(path)
+
+
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of what is directly below ``root``."""
+    fs, path = _path(spark, root)
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
 def finished(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the committed versions."""
-    fs, path = _path(spark, root)
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
+    return sorted(int(n.removeprefix("version-")) for n in folders(spark, root) if n.startswith("version-"))
 
 
 def read_version(spark: SparkSession, root: str, schema: T.StructType, version: int | None) -> DataFrame:

@@ -1,16 +1,18 @@
 """Live jobs over a stream of event records.
 
-Each micro-batch goes through the same operators as the nightly jobs.  Keyed results are small tables kept as versions
-that know the last batch of every stream, so a batch that is run again after a failure changes nothing, and a stream
-with a new checkpoint is another stream, whose batches all count.  Folders of rows are named by stream and batch.
+Each micro-batch goes through the same operators as the nightly jobs.  What grows with the history, the sessions counted so
+far, is keyed state on disk (RocksDB), of which a batch writes its changes.  Results of one row per lot are small tables kept
+as versions that know the last batch of every stream, so a batch that is run again after a failure changes nothing, and a
+stream with a new checkpoint is another stream, whose batches all count.  Folders of rows are named by stream and batch.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -22,7 +24,7 @@ from lotflow.operators.serving import newest_per_lot, recent_events
 from lotflow.operators.validate import accepted, validate
 from lotflow.schemas import CURRENT, RECENT, WIRE
 from lotflow.sources.events import decode_events
-from lotflow.sources.versions import expire, read_small, update
+from lotflow.sources.versions import exists, expire, folders, read_small, update
 
 #: Stream records: wire fields, the position the stream gave them, and the text of a line that can't be read.
 RECORD = T.StructType([*WIRE.fields, T.StructField("event_id", T.LongType()), T.StructField("_corrupt", T.StringType())])
@@ -35,7 +37,13 @@ WINDOWS = T.StructType([T.StructField("lot_id", T.StringType()), T.StructField("
                         T.StructField("departures_in_15m", T.LongType())])
 COUNTS = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("processed", T.LongType()),
                        T.StructField("failed", T.LongType()), T.StructField("unknown_lot", T.LongType())])
-SEEN = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("event_type", T.StringType())])
+#: What makes a record a repeat of another.
+ONCE = ["session_id", "event_type"]
+# State of streams on disk; a checkpoint holds the changes of a batch, not the whole state.
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def _files(spark: SparkSession, schema: T.StructType, path: str, files_per_batch: int) -> DataFrame:
@@ -58,8 +66,8 @@ def checked(records: DataFrame, as_of: str) -> DataFrame:
 
 
 def without_repeats(events: DataFrame) -> DataFrame:
-    """Each (session, type) once, however late it comes or is sent again: the keys stay in the stream's state."""
-    return events.dropDuplicates(["session_id", "event_type"])
+    """Each (session, type) once, however late it comes or is sent again: the keys stay in the stream's state on disk."""
+    return events.dropDuplicates(ONCE)
 
 
 def _trigger(every: str | None) -> dict:
@@ -67,9 +75,23 @@ def _trigger(every: str | None) -> dict:
     return {"processingTime": every} if every else {"availableNow": True}
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; the session's own settings come back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in STATE_ON_DISK}
+    for key, value in STATE_ON_DISK.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def _start(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
-    return (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-            .trigger(**_trigger(every)).start())
+    with state_on_disk(stream.sparkSession):
+        return (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+                .trigger(**_trigger(every)).start())
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -81,8 +103,10 @@ def _batch_folder(spark: SparkSession, root: str, checkpoint: str, batch_id: int
     return f"{root}/stream={stream_id(spark, checkpoint)}/batch={batch_id}"
 
 
-def _write_split(rows: DataFrame, good: str, bad: str) -> None:
-    rows.filter(F.col("reason").isNull()).drop("reason", "_corrupt").write.mode("overwrite").parquet(good)
+def _write_split(rows: DataFrame, good: str, bad: str, seen: Observation | None = None) -> None:
+    """Write accepted rows and the others; ``seen`` gets the numbers of all of them."""
+    every = rows if seen is None else rows.observe(seen, *_numbers())
+    every.filter(F.col("reason").isNull()).drop("reason", "_corrupt").write.mode("overwrite").parquet(good)
     rows.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(bad)
 
 
@@ -149,47 +173,70 @@ def keep_windows(events: DataFrame, root: str, checkpoint: str, every: str | Non
     return _start(events, _versioned(root, WINDOWS, checkpoint, merge), checkpoint, every)
 
 
-def live(records: DataFrame, capacity: DataFrame, as_of: str, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """The whole live path in one stream: decoded records are checked, split, kept once and merged.
+class LiveJob:
+    """The streams of one job."""
+
+    def __init__(self, *queries: StreamingQuery):
+        self.queries = queries
+
+    def awaitTermination(self) -> None:  # noqa: N802  as of a stream
+        for query in self.queries:
+            query.awaitTermination()
+
+    def stop(self) -> None:
+        for query in self.queries:
+            query.stop()
+
+
+def live(records: DataFrame, capacity: DataFrame, as_of: str, root: str, checkpoint: str, every: str | None = None) -> LiveJob:
+    """The whole live path: decoded records are checked, split, kept once and merged, by two streams over the same records.
 
-    Below ``root``: ``bad`` (records with their reason and text, for a retry), ``landed`` (accepted records, as often as
-    they were sent), ``counts`` (per batch), and the tables ``seen`` (sessions and types counted so far), ``current`` and
-    ``recent``.  A record that is sent again counts once, in whatever batch or stream it comes.  Each table remembers
-    the batches that it holds, so a batch that failed half way is finished when it is run again: the events that are new
-    are written before any table changes and read from there.
+    The first writes, below ``root``, ``bad`` (records with their reason and text, for a retry), ``landed`` (accepted records, as often as
+    they were sent) and ``counts`` (per batch).  The second lets each session and type through once and writes ``new`` (the records
+    that count), then merges them into the tables ``current`` and ``recent``.
+
+    A record that is sent again counts once, in whatever batch or stream it comes: the stream's keys are state on disk, and
+    those of other streams (with other checkpoints) are read from ``new``.  What a batch writes depends on its records
+    alone, not on the history.  Each table remembers the batches that it holds, and the rows of ``new`` are written once, so a
+    batch that failed half way is finished with the same rows when it is run again.  Of records of one session and type
+    that differ, the first to come counts (of one batch, any).
     """
+    rows = checked(records, as_of)
+    intake = _start(rows, _intake(root, f"{checkpoint}/intake"), f"{checkpoint}/intake", every)
+    once = without_repeats(accepted(rows))
+    return LiveJob(intake, _start(once, _count_once(capacity, root, f"{checkpoint}/once"), f"{checkpoint}/once", every))
+
 
+def _intake(root: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stream = stream_id(spark, checkpoint)
-        folder = lambda kind: f"{root}/{kind}/stream={stream}/batch={batch_id}"
-        rows = batch.persist()
+        folder = lambda kind: _batch_folder(batch.sparkSession, f"{root}/{kind}", checkpoint, batch_id)
+        rows, seen = batch.persist(), Observation()
         try:
-            _write_split(rows, folder("landed"), folder("bad"))
-            _write_counts(rows, folder("counts"), batch_id)
-            good = accepted(rows)
-            first = good.groupBy("session_id", "event_type").agg(F.min(F.struct("event_ts", "event_id")).alias("_first"))
-            first = first.select("session_id", "event_type", "_first.event_id")
-            once = good.dropDuplicates(["session_id", "event_type", "event_id"]).join(first, ["session_id", "event_type", "event_id"])
-            merge = lambda old: _remember(old, once, folder("new"))
-            update(spark, f"{root}/seen", SEEN, merge, (stream, batch_id))
+            _write_split(rows, folder("landed"), folder("bad"), seen)
+            _write_counts(batch.sparkSession, seen, folder("counts"), batch_id)
         finally:
             rows.unpersist()
-        new = spark.read.schema(once.schema).parquet(folder("new"))
+
+    return on_batch
+
+
+def _count_once(capacity: DataFrame, root: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark, stream = batch.sparkSession, stream_id(batch.sparkSession, checkpoint)
+        folder = f"{root}/new/stream={stream}/batch={batch_id}"
+        if not exists(spark, f"{folder}/_SUCCESS"):
+            others = [f"{root}/new/{name}" for name in folders(spark, f"{root}/new") if name != f"stream={stream}"]
+            if others:
+                known = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(*others).select(*ONCE)
+                batch = batch.join(known, ONCE, "left_anti")
+            batch.write.mode("overwrite").parquet(folder)
+        new = spark.read.schema(batch.schema).parquet(folder)
         update(spark, f"{root}/current", CURRENT, lambda old: into_current(capacity)(old, new), (stream, batch_id))
         update(spark, f"{root}/recent", RECENT, lambda old: into_recent()(old, new), (stream, batch_id))
-        for name in ("seen", "current", "recent"):
+        for name in ("current", "recent"):
             expire(spark, f"{root}/{name}")
 
-    return _start(checked(records, as_of), on_batch, checkpoint, every)
-
-
-def _remember(old: DataFrame, events: DataFrame, folder: str) -> DataFrame:
-    """The stored keys and those of ``events`` that are new, whose rows are written to ``folder`` first."""
-    key = ["session_id", "event_type"]
-    events.join(old, key, "left_anti").write.mode("overwrite").parquet(folder)
-    new = events.sparkSession.read.schema(events.schema).parquet(folder)
-    return old.unionByName(new.select(*key))
+    return on_batch
 
 
 def land(records: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -199,26 +246,31 @@ def land(records: DataFrame, path: str, checkpoint: str, every: str | None = Non
             .option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start())
 
 
-def _write_counts(rows: DataFrame, folder: str, batch_id: int) -> None:
+def _numbers() -> list[Column]:
+    """What is counted of a batch while it is written."""
     lots = [lot for campus in CAMPUS_LOTS.values() for lot in campus]
     unknown = ~F.coalesce(F.col("lot_id").isin(lots), F.lit(False))
-    numbers = rows.agg(
-        F.lit(batch_id).cast("bigint").alias("batch_id"), F.count_if(F.col("reason").isNull()).alias("processed"),
-        F.count_if(F.col("reason").isNotNull()).alias("failed"), F.count_if(unknown).alias("unknown_lot"))
-    numbers.write.mode("overwrite").parquet(folder)
+    return [F.count_if(F.col("reason").isNull()).alias("processed"), F.count_if(F.col("reason").isNotNull()).alias("failed"),
+            F.count_if(unknown).alias("unknown_lot")]
+
+
+def _write_counts(spark: SparkSession, seen: Observation, folder: str, batch_id: int) -> None:
+    found = seen.get
+    row = (batch_id, *(found.get(name) or 0 for name in ("processed", "failed", "unknown_lot")))
+    spark.createDataFrame([row], COUNTS).coalesce(1).write.mode("overwrite").parquet(folder)
 
 
 def count_batches(records: DataFrame, as_of: str, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Per batch: accepted records, failed records and records of unknown or missing lots, and the landed batch."""
+    """Per batch: accepted records, failed records and records of unknown or missing lots, and the landed batch.
+
+    The numbers are observed in the plan that writes the batch, so a batch is read once.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist()
-        try:
-            folder = lambda kind: _batch_folder(batch.sparkSession, f"{root}/{kind}", checkpoint, batch_id)
-            rows.write.mode("overwrite").parquet(folder("landed"))
-            _write_counts(rows, folder("counts"), batch_id)
-        finally:
-            rows.unpersist()
+        folder = lambda kind: _batch_folder(batch.sparkSession, f"{root}/{kind}", checkpoint, batch_id)
+        seen = Observation()
+        batch.observe(seen, *_numbers()).write.mode("overwrite").parquet(folder("landed"))
+        _write_counts(batch.sparkSession, seen, folder("counts"), batch_id)
 
     return _start(checked(records, as_of), on_batch, checkpoint, every)
 

@@ -93,6 +93,33 @@ def test_the_live_job_counts_each_session_once(spark, folder):
     assert sorted(r["event_id"] for r in recent) == [1, 3, 5, 6]
 
 
+def test_what_a_batch_writes_does_not_grow_with_the_history(spark, folder):
+    """A batch adds its own keys to the state on disk, and known ones count once, however many came before."""
+    root, checkpoint = shared_dir(spark, "live"), shared_dir(spark, "checkpoint")
+    capacity = capacity_table(spark, {"BURNABY": {"EAST": 50}})
+    sent = lambda r: {"event_id": r["event_id"], "data": base64.b64encode(json.dumps(r).encode()).decode()}
+    changes = {}
+
+    def run(name, records):
+        put(folder, name, [sent(r) for r in records])
+        before = {p for p in Path(checkpoint).rglob("*") if p.is_file()}
+        J.live(J.read_sent(spark, str(folder), files_per_batch=1), capacity, AS_OF, root, checkpoint).awaitTermination()
+        new = [p for p in Path(checkpoint).rglob("*") if p.is_file() and p not in before]
+        changes[name] = sum(p.stat().st_size for p in new if p.name.endswith(".changelog"))
+        assert not any(p.name.endswith((".delta", ".snapshot")) for p in new)
+
+    run("1.json", [record(i, f"s{i}", "ARRIVAL", i % 60) for i in range(3000)])
+    run("2.json", [record(5000, "x", "ARRIVAL", 59), record(7, "s7", "ARRIVAL", 7)])
+    assert 0 < changes["2.json"] < changes["1.json"] / 10
+    assert spark.read.parquet(f"{root}/new").count() == 3001
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+    # The rows of a batch that is run again are those of its first attempt.
+    (once,) = [q for q in (Path(root) / "new").iterdir() if q.name.startswith("stream=")]
+    again = J._count_once(capacity, root, f"{checkpoint}/once")
+    again(spark.read.parquet(str(once / "batch=1")).limit(0), 1)
+    assert spark.read.parquet(f"{root}/new").count() == 3001
+
+
 def test_two_writers_lose_nothing(spark):
     root, schema = shared_dir(spark, "shared"), J.WINDOWS
     row = lambda n: spark.createDataFrame([("EAST", None, n)], schema)
