@@ -394,12 +394,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, decoded) of every row of ``encoded(doc_id, ids)``: each id joined with its piece, in order.
 
-    No ids give an empty text, and ids outside the vocabulary add nothing.
+    No ids give an empty text, and ids outside the vocabulary add nothing.  Bytes that aren't whole characters, as where ids end
+    inside one, become U+FFFD, as the tokenizer has them.
     """
     spark = encoded.sparkSession
     row = F.monotonically_increasing_id()
     rows = stored(encoded.select(row.alias("row"), "doc_id", "ids"), "bpe-ids")
     each = rows.select("row", F.posexplode("ids").alias("place", "id")).join(F.broadcast(pieces(spark, path)), "id")
     spelled = each.groupBy("row").agg(_joined_pieces(F.collect_list(F.struct("place", "piece"))).alias("bytes"))
-    text = F.coalesce(F.decode("bytes", "utf-8"), F.lit(""))
+    text = F.coalesce(F.make_valid_utf8(F.col("bytes").cast("string")), F.lit(""))
     return rows.select("row", "doc_id").join(spelled, "row", "left").select("doc_id", text.alias("decoded"))

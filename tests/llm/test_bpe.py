@@ -30,3 +30,12 @@ def test_words_join_to_the_text():
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert encode_decode(empty, vocabulary()).count() == 0
+
+
+def test_ids_that_end_inside_a_character(spark):
+    path = vocabulary()
+    whole = [tokenizer(path).encode(t, add_special_tokens=False).ids for t in ("🙂", "a 漢字 🙂👩‍👩‍👧 é", "x🙂y")]
+    cut = [ids[a:b] for ids in whole for a in range(len(ids)) for b in range(a, len(ids) + 1)]
+    rows = spark.createDataFrame(list(enumerate(cut)), "doc_id long, ids array<int>")
+    found = {r["doc_id"]: r["decoded"] for r in decode(rows, path).collect()}
+    assert found == {k: tokenizer(path).decode(ids, skip_special_tokens=False) for k, ids in enumerate(cut)}
