@@ -6,7 +6,8 @@ from lotflow.llm.lines import without_boilerplate
 from lotflow.llm.registry import LOWER, UPPER, query, table
 from lotflow.llm.urls import judge
 
-RATIO, LEAST = 0.1, 4
+#: As the operator and the pipeline's stage have them.
+RATIO, LEAST = 0.05, 4
 
 
 def line_sql(docs: str = "documents") -> str:
