@@ -11,7 +11,7 @@ from lotflow.sources.versions import read_latest
 from lotflow.streaming import jobs as J
 
 
-#: Files of a batch of the live job: four batches in a month of records.
+#: Files of a batch: four batches in a month of records.
 LIVE_FILES = 64
 
 
@@ -39,7 +39,7 @@ def day_files(g) -> str:
 
 
 def _records(g):
-    return J.read_records(g.spark, day_files(g))
+    return J.read_records(g.spark, day_files(g), files_per_batch=LIVE_FILES // 2)
 
 
 def _dirs(g, *names: str) -> list[str]:
@@ -65,7 +65,7 @@ def sent_files(g) -> str:
         case when event_id % 79 = 0 then 2 else 1 end as times from checked) group by 1, 2""")
 def _(g):
     good, bad, checkpoint = _dirs(g, "good", "bad", "checkpoint")
-    J.split_valid(J.read_sent(g.spark, sent_files(g)), AS_OF, good, bad, checkpoint).awaitTermination()
+    J.split_valid(J.read_sent(g.spark, sent_files(g), LIVE_FILES), AS_OF, good, bad, checkpoint).awaitTermination()
     accepted = g.spark.read.parquet(good).select(F.lit("ok").alias("reason"), F.lit(None).cast("string").alias("text"))
     rejected = g.spark.read.parquet(bad).select("reason", F.col("_corrupt").alias("text"))
     return accepted.unionByName(rejected).groupBy("reason", "text").agg(F.count(F.lit(1)).alias("n"))
@@ -159,6 +159,6 @@ def _(g):
     from (select lot_id, event_id % 211 = 0 as bad, event_id % 211 <> 0 and reason is null as ok, case when event_id % 79 = 0 then 2 else 1 end as times from checked)""")
 def _(g):
     root, checkpoint = _dirs(g, "metrics", "checkpoint")
-    J.count_batches(J.read_sent(g.spark, sent_files(g)), AS_OF, root, checkpoint).awaitTermination()
+    J.count_batches(J.read_sent(g.spark, sent_files(g), LIVE_FILES), AS_OF, root, checkpoint).awaitTermination()
     batches = g.spark.read.schema(J.COUNTS).parquet(f"{root}/counts")
     return batches.agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"), F.sum("unknown_lot").alias("unknown_lot"))
