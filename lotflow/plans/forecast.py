@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lotflow.domain import HOLIDAYS, KEEP_PER_LOT, MODEL_FEATURES, SEMESTERS, as_dates
 from lotflow.functions.numbers import predicted_count, predicted_share
@@ -18,13 +21,14 @@ from lotflow.operators.calendar import semester_dates
 from lotflow.operators.merge import merge_forecast
 from lotflow.plans.boosted_trees import BoostedTrees, fit_trees
 from lotflow.schemas import FORECAST
-from lotflow.sources.versions import update
+from lotflow.sources.versions import read_latest, update
 
 LOTS = [f.removeprefix("lot_id_") for f in MODEL_FEATURES if f.startswith("lot_id_")]
 CAMPUSES = [f.removeprefix("campus_") for f in MODEL_FEATURES if f.startswith("campus_")]
 FLAGS = ("is_holiday", "is_weekend", "is_exam_week")
 
 # Settings of both boosted models.
+GRID = timedelta(minutes=15)
 ROUNDS, DEPTH, STEP, GAMMA, SUBSAMPLE, MIN_CHILD = 100, 5, 0.2, 4.0, 0.8, 6.0
 
 
@@ -155,3 +159,30 @@ def run_forecast(spark: SparkSession, current: DataFrame, models: str, as_of: st
     """The job of every 15 minutes: load both stored models, score the snapshot, merge the forecasts."""
     occupancy, departures = (BoostedTrees.load(spark, f"{models}/{m}") for m in ("occupancy", "departures"))
     forecast_cycle(current, occupancy, departures, as_of, root, **calendar)
+
+
+def due_times(last: datetime | None, now: datetime) -> list[datetime]:
+    """Grid times after the last run up to now; without a run before, the newest one."""
+    newest = now.replace(minute=now.minute // 15 * 15, second=0, microsecond=0)
+    if last is None:
+        return [newest]
+    return [last + GRID * k for k in range(1, max(0, (newest - last) // GRID) + 1)]
+
+
+def schedule_forecasts(spark: SparkSession, snapshot: Callable[[datetime], DataFrame], models: str, root: str, checkpoint: str,
+                       every: str = "15 minutes", clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc).replace(tzinfo=None),
+                       **calendar) -> StreamingQuery:
+    """Forecasts at every grid time: a stream of ticks, each of which makes the runs that are due by ``clock``.
+
+    What is due follows from the newest run that is stored, so runs missed while the job stood still are made up for, in order and
+    once, and a tick that is handed over again finds nothing to do.  ``snapshot(time)`` gives the live state to score.  Models are loaded once.
+    """
+    occupancy, departures = (BoostedTrees.load(spark, f"{models}/{m}") for m in ("occupancy", "departures"))
+
+    def on_tick(_: DataFrame, __: int) -> None:
+        last = read_latest(spark, root, FORECAST).agg(F.date_format(F.max("run_time"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+        for due in due_times(datetime.fromisoformat(last) if last else None, clock()):
+            forecast_cycle(snapshot(due), occupancy, departures, due.isoformat(" "), root, **calendar)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(on_tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
