@@ -23,7 +23,8 @@ def _(g):
     history = g.once("historical", lambda p: K.convert_export(E.read_export(g.spark, exported(g)), p))
     day = F.to_date(F.substring("timestamp", 1, 10))
     landed = g.once("landed-live", lambda p: K.write_landed(g.live.select(*WIRE.fieldNames()).withColumn("date", day), p))
-    out = g.once("feature-table", lambda p: run_features(g.spark, history, landed, p, HOLIDAYS))
+    out = shared_dir(g.spark, "feature-table")
+    run_features(g.spark, history, landed, out, HOLIDAYS)
     return g.spark.read.parquet(out)
 
 
