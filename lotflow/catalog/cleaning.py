@@ -99,9 +99,9 @@ def _(g):
     return old.unionByName(unify_realtime(g.live).select(*keep, F.lit("live").alias("source")))
 
 
-@query("event_delta", "select event_id, case when event_type = 'ARRIVAL' then 1 else -1 end as delta from pe")
+@query("event_delta", "select event_id, case event_type when 'ARRIVAL' then 1 when 'DEPARTURE' then -1 end as delta from ev")
 def _(g):
-    return g.pe.select("event_id", event_delta(F.col("event_type")).alias("delta"))
+    return g.ev.select("event_id", event_delta(F.col("event_type")).alias("delta"))
 
 
 @query("known_lots_only", "select event_id, n.lot_id, capacity from named n join capacity using (lot_id)")

@@ -169,9 +169,9 @@ def _(g):
     return g.spark.read.schema(", ".join(f"{n} bigint" for n in names)).csv(path)
 
 
-@query("dim_capacity", "select t.campus, t.lot_id, t.capacity, count(p.event_id) as n_events from capacity t left join pe p using (lot_id) group by all")
+@query("dim_capacity", "select t.campus, t.lot_id, t.capacity, count(p.event_id) as n_events from capacity t left join ev p using (lot_id) group by all")
 def _(g):
-    counts = g.pe.groupBy("lot_id").agg(F.count(F.lit(1)).alias("n_events"))
+    counts = g.ev.groupBy("lot_id").agg(F.count(F.lit(1)).alias("n_events"))
     return g.capacity.join(counts, "lot_id", "left").fillna(0, subset=["n_events"]).select("campus", "lot_id", "capacity", "n_events")
 
 

@@ -46,10 +46,9 @@ def over_capacity(features: DataFrame, capacity: DataFrame) -> DataFrame:
 
 
 def max_departures(features: DataFrame) -> DataFrame:
-    """Highest departure count per lot, and over all lots under ``ALL``."""
-    return features.rollup("lot_id").agg(F.max("departures_in_15m").alias("max_departures")).select(
-        F.coalesce("lot_id", F.lit("ALL")).alias("lot_id"), "max_departures"
-    )
+    """Highest departure count per lot, and over all lots under ``ALL``; rows without a lot stay under null."""
+    tops = features.rollup("lot_id").agg(F.max("departures_in_15m").alias("max_departures"), F.grouping("lot_id").alias("_all"))
+    return tops.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("lot_id")).alias("lot_id"), "max_departures")
 
 
 def flag_value_counts(features: DataFrame, flags: tuple[str, ...] = FLAGS) -> DataFrame:

@@ -4,8 +4,9 @@ A window over (lot, date) would sort a whole lot-day in one task.  Here each key
 
 * an hour of a key with at most ``hot_rows`` events is one piece;
 * a larger hour is cut into seconds, so a day has at most 86,400 of them;
-* a larger second is cut by instant (at most 10^6 microseconds) and by equal ranges of event ids, as many as the
-  second has times ``hot_rows`` events, so not even one instant holding a third of all rows lands in one task.
+* a larger second is cut by instant (at most 10^6 microseconds) and by event id, at ids that share its rows out evenly: as
+  many cuts as the second has times ``hot_rows`` events, so not even one instant holding a third of all rows lands in
+  one task.  An id that many rows share is itself cut by a hash of the row.
 
 Pieces are worked on in parallel; the totals of earlier pieces are added afterwards.  All joins take nulls for equal:
 rows with a null key, time or id are kept, in the order nulls first.
@@ -15,11 +16,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+#: Into how many shares the ids of a hot second are measured.
+QUANTILES = 128
 
 PIECE = ["_slice", "_instant", "_block"]
 
@@ -31,41 +34,74 @@ def join_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def large_hours(events: DataFrame, keys: list[str], ts: str, tie: str, hot_rows: int) -> DataFrame:
-    """Hours with more than ``hot_rows`` events, each with its seconds that alone have more and their range of ids."""
-    seconds = events.groupBy(*keys, F.date_trunc("second", F.col(ts)).alias("_second")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(tie).cast("double").alias("lo"), F.max(tie).cast("double").alias("hi"))
+def seconds_of(events: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """Events per key and second."""
+    return events.groupBy(*keys, F.date_trunc("second", F.col(ts)).alias("_second")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def large_hours(seconds: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """Hours with more than ``hot_rows`` events."""
+    hours = seconds.groupBy(*keys, F.date_trunc("hour", "_second").alias("_hour")).agg(F.sum("_n").alias("_n"))
+    return hours.filter(F.col("_n") > hot_rows).select(*keys, "_hour", F.lit(True).alias("_large"))
+
+
+def hot_seconds(events: DataFrame, seconds: DataFrame, keys: list[str], ts: str, tie: str, hot_rows: int) -> DataFrame:
+    """Seconds that alone have more than ``hot_rows`` events: the parts each is to be cut into and ``QUANTILES`` of its ids.
+
+    There is at most one such second per ``hot_rows`` events, so their keys are broadcast; where there is none, the
+    events are not read for it.
+    """
     parts = F.ceil(F.col("_n") / F.lit(float(max(hot_rows, 1)))).cast("bigint")
-    hot = F.struct(F.col("_second").alias("second"), parts.alias("parts"), "lo", "hi")
-    hours = seconds.groupBy(*keys, F.date_trunc("hour", "_second").alias("_hour")).agg(
-        F.sum("_n").alias("_n"), F.collect_list(F.when(F.col("_n") > hot_rows, hot)).alias("_hot"))
-    return hours.filter(F.col("_n") > hot_rows).drop("_n")
+    hot = seconds.filter(F.col("_n") > hot_rows).select(*keys, "_second", parts.alias("_parts"))
+    inside = join_nulls(events.select(*keys, tie, F.date_trunc("second", F.col(ts)).alias("_second")),
+                        F.broadcast(hot), [*keys, "_second"])
+    shares = [i / QUANTILES for i in range(QUANTILES + 1)]
+    return inside.groupBy(*keys, "_second").agg(
+        F.first("_parts").alias("_parts"), F.percentile_approx(tie, shares, 10_000).alias("_ids"))
+
+
+def _share_before(tie: Column, ids: Column, spread: Column) -> Column:
+    """About the share of a second's rows that come before a row, never falling in (``tie``, ``spread``) order.
+
+    ``ids`` are quantiles: between two of them the share rises evenly with the id, and over those that are one and the same
+    id (so many rows share it) with ``spread``.
+    """
+    count = F.size(ids)
+    placed = F.array_sort(F.array_append(ids, tie))
+    below = F.array_position(placed, tie) - 1
+    same = count + 1 - F.array_position(F.reverse(placed), tie) - below
+    low, high = (F.try_element_at(ids, i.cast("int")).cast("double") for i in (below, below + 1))
+    between = below - 1 + F.least((tie.cast("double") - low) / (high - low), F.lit(1.0))
+    rank = F.when(same > 0, below + spread * (same - 1)).when(below == 0, 0.0).when(below == count, count - 1.0).otherwise(between)
+    return rank / QUANTILES
 
 
 def with_pieces(events: DataFrame, keys: list[str], *, ts: str = "event_ts", tie: str = "event_id",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the piece columns; ordering by (``ts``, ``tie``, ``_spread``) is the order of pieces, then that inside them.
 
-    ``tie`` is a number; equal and null ones are ordered by a hash of the row.  Ids need not be dense: a hot second
-    is cut at equal steps between its lowest and highest id, which suits counted and hashed ids alike; rows without id
-    come first, cut at equal steps of their hash.  ``_split`` tells rows of a second that was cut by instant.
+    ``tie`` is a number; equal and null ones are ordered by a hash of the row.  A hot second is cut at quantiles of its
+    ids, so far ids and ids shared by many rows don't make its pieces uneven; rows without id come first, cut at equal steps
+    of their hash.  A piece has up to twice ``hot_rows`` events, or 2 in ``QUANTILES`` of its second if that is more; only rows
+    that are the same in every column are never parted.  ``_split`` tells rows of a second that was cut by instant.
     """
     time = F.col(ts)
-    hourly = events.withColumns({"_hour": F.date_trunc("hour", time), "_spread": F.xxhash64(*[F.col(c) for c in events.columns])})
-    marked = join_nulls(hourly, large_hours(events, keys, ts, tie, hot_rows), [*keys, "_hour"], "left")
-    second = F.date_trunc("second", time)
-    sliced = marked.withColumns({
-        "_cut": F.try_element_at(F.filter("_hot", lambda h: h["second"].eqNullSafe(second)), F.lit(1)),
-        "_slice": F.when(F.col("_hot").isNull(), F.col("_hour")).otherwise(second),
-    }).drop("_hour", "_hot").withColumn("_split", F.col("_cut").isNotNull())
-    parts, low, high = (F.col(f"_cut.{c}") for c in ("parts", "lo", "hi"))
-    step = F.floor((F.col(tie).cast("double") - low) / (high - low + 1.0) * parts)
-    dealt = F.least(F.floor((F.col("_spread").cast("double") / 2.0**64 + 0.5) * parts), parts - 1) - parts
-    block = F.when(F.col(tie).isNull(), dealt).otherwise(F.least(step, parts - 1))
-    return sliced.withColumns({
+    seconds = seconds_of(events, keys, ts)
+    timed = events.withColumns({
+        "_hour": F.date_trunc("hour", time), "_second": F.date_trunc("second", time),
+        "_spread": F.xxhash64(*[F.col(c) for c in events.columns])})
+    marked = join_nulls(timed, large_hours(seconds, keys, hot_rows), [*keys, "_hour"], "left")
+    cut = join_nulls(marked, hot_seconds(events, seconds, keys, ts, tie, hot_rows), [*keys, "_second"], "left")
+    parts, spread = F.col("_parts"), F.col("_spread").cast("double") / 2.0**64 + 0.5
+    part = lambda share: F.least(F.floor(share * parts), parts - 1)
+    block = F.when(F.col(tie).isNull(), part(spread) - parts).otherwise(part(_share_before(F.col(tie), F.col("_ids"), spread)))
+    return cut.withColumns({
+        "_slice": F.when(F.col("_large"), F.col("_second")).otherwise(F.col("_hour")),
+        "_split": parts.isNotNull(),
+    }).withColumns({
         "_instant": F.when(F.col("_split"), time).otherwise(F.col("_slice")),
         "_block": F.when(F.col("_split"), block).otherwise(F.lit(0).cast("bigint")),
-    }).drop("_cut")
+    }).drop("_hour", "_second", "_large", "_parts", "_ids")
 
 
 def running_sum(events: DataFrame, delta: str, out: str, *, keys: list[str], ts: str = "event_ts",

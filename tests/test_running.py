@@ -7,7 +7,7 @@ import pytest
 
 from lotflow.operators import occupancy as O
 from lotflow.operators.hourly import hourly_metrics, peak_spikes
-from lotflow.operators.ordered import global_rank
+from lotflow.operators.ordered import PIECE, global_rank, with_pieces
 from lotflow.sources.events import capacity_table
 
 SMALL = {"hot_rows": 3}
@@ -86,6 +86,29 @@ def test_no_row_is_lost_at_any_size(make_events, ids):
     assert found[0] == found[1] == found[2] and len(found[0][1]) == 400
 
 
+@pytest.mark.parametrize("ids", ["counted", "one far id", "one shared id", "half shared", "all null", "hashed"])
+def test_a_hot_instant_is_cut_evenly(spark, ids):
+    """2,000 events of one instant, cut at 100: no piece above twice the limit, and pieces follow the order of rows."""
+    from pyspark.sql import functions as F
+
+    n = F.col("id")
+    new_id = {"counted": n, "one far id": F.when(n == 7, 2**62).otherwise(n), "one shared id": F.lit(5).cast("bigint"),
+              "half shared": F.when(n % 2 == 0, 700).otherwise(n), "all null": F.lit(None).cast("bigint"),
+              "hashed": F.xxhash64("id")}[ids]
+    events = spark.range(2000).select(
+        F.lit("EAST").alias("lot_id"), F.lit("2024-01-10 10:00:00").cast("timestamp").alias("event_ts"),
+        new_id.cast("bigint").alias("event_id"), n.alias("number"))
+    rows = with_pieces(events, ["lot_id"], hot_rows=100).collect()
+    sizes = {}
+    for r in rows:
+        key = tuple(r[p] for p in PIECE)
+        sizes[key] = sizes.get(key, 0) + 1
+    assert len(rows) == 2000 and len(sizes) >= 10 and max(sizes.values()) <= 200
+    order = lambda r: (r["event_id"] is not None, r["event_id"] or 0, r["_spread"])
+    blocks = [r["_block"] for r in sorted(rows, key=order)]
+    assert blocks == sorted(blocks)
+
+
 def test_hourly_metrics_against_a_loop(spark, make_events):
     events = make_events(random_log(3))
     log = [(r["session_id"], r["lot_id"], r["date"], r["event_ts"], r["event_type"]) for r in events.collect()]
