@@ -150,8 +150,9 @@ def _(g):
     from valid where event_type = 'DEPARTURE' group by 1, 2""")
 def _(g):
     root, checkpoint = _dirs(g, "windows", "checkpoint")
-    J.keep_windows(J.accepted_events(_records(g), AS_OF), root, checkpoint).awaitTermination()
-    return read_latest(g.spark, root, J.WINDOWS)
+    J.count_windows(J.accepted_events(_records(g), AS_OF), root, checkpoint).awaitTermination()
+    J.reconcile_windows(g.spark, root)
+    return J.read_windows(g.spark, root)
 
 
 @query("batch_metrics", """select sum(times) filter (where ok)::bigint as processed, sum(times) filter (where not ok)::bigint as failed,

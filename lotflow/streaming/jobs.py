@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lotflow.domain import CAMPUS_LOTS, KEEP_PER_LOT
+from lotflow.domain import CAMPUS_LOTS, KEEP_PER_LOT, as_dates
 from lotflow.operators.merge import add_counts, merge_current, merge_days
 from lotflow.operators.occupancy import day_runs, departures_per_window, lot_runs
 from lotflow.operators.serving import newest_per_lot, recent_events
 from lotflow.operators.validate import accepted, validate
 from lotflow.schemas import CURRENT, RECENT, WIRE
-from lotflow.sources.events import decode_events
+from lotflow.sources.events import decode_events, read_or_empty
 from lotflow.sources.versions import exists, expire, folders, read_small, update
 
 #: Stream records: wire fields, the position the stream gave them, and the text of a line that can't be read.
@@ -166,13 +166,6 @@ def keep_daily(events: DataFrame, capacity: DataFrame, root: str, checkpoint: st
     return _start(events, _versioned(root, DAYS, checkpoint, merge), checkpoint, every)
 
 
-def keep_windows(events: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Departures per lot and 15-minute window; late ones are added to their window, open windows are there, too."""
-    merge = lambda old, batch: add_counts(
-        old, departures_per_window(batch), ["lot_id", "window_start"], "departures_in_15m")
-    return _start(events, _versioned(root, WINDOWS, checkpoint, merge), checkpoint, every)
-
-
 class LiveJob:
     """The streams of one job."""
 
@@ -246,6 +239,76 @@ def land(records: DataFrame, path: str, checkpoint: str, every: str | None = Non
             .option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start())
 
 
+def _by_date(rows: DataFrame, path: str, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Rows to Parquet folders by ``date``, each batch once."""
+    with state_on_disk(rows.sparkSession):
+        return (rows.writeStream.format("parquet").partitionBy("date").option("path", path)
+                .option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start())
+
+
+def close_windows(events: DataFrame, late: str) -> DataFrame:
+    """Departures per lot and 15-minute window as a stream: a window comes out once, and leaves the state, when no event is
+    older than ``late`` before the newest.  What comes even later isn't counted here."""
+    # Counted under a condition: a filter would be moved before the watermark, and arrivals would not move it on.
+    counted = events.withWatermark("event_ts", late).groupBy("lot_id", F.window("event_ts", "15 minutes").alias("w")).agg(
+        F.count_if(F.col("event_type") == "DEPARTURE").alias("departures_in_15m"))
+    start = F.col("w.start")
+    return counted.filter("departures_in_15m > 0").select("lot_id", start.alias("window_start"), "departures_in_15m", F.to_date(start).alias("date"))
+
+
+def count_windows(events: DataFrame, root: str, checkpoint: str, late: str = "1 hour", every: str | None = None) -> LiveJob:
+    """Departures per lot and 15-minute window, by two streams over the same events.
+
+    ``landed`` below ``root`` takes the departures by date, ``closed`` the windows that the watermark has passed (a file per
+    date and batch).  A batch writes its own rows and windows only; the state holds open windows.  ``reconcile_windows`` adds
+    the departures that came behind the watermark, ``read_windows`` gives all windows, the open ones included.
+    """
+    left = events.filter(F.col("event_type") == "DEPARTURE").select(
+        "lot_id", "event_ts", "event_type", F.to_date("event_ts").alias("date"))
+    landed = _by_date(left, f"{root}/landed", f"{checkpoint}/landed", every)
+    closed = close_windows(events, late).repartition("date")
+    return LiveJob(landed, _by_date(closed, f"{root}/closed", f"{checkpoint}/closed", every))
+
+
+def _window_parts(spark: SparkSession, root: str, days: list[str] | None = None) -> list[DataFrame]:
+    """Landed departures, closed windows and corrections of the given dates, or of all."""
+    dated = lambda schema: T.StructType([*schema.fields, T.StructField("date", T.DateType())])
+    landed = T.StructType([T.StructField("lot_id", T.StringType()), T.StructField("event_ts", T.TimestampType()),
+                           T.StructField("event_type", T.StringType())])
+    parts = [read_or_empty(spark, f"{root}/{name}", dated(schema))
+             for name, schema in (("landed", landed), ("closed", WINDOWS), ("corrections", WINDOWS))]
+    return parts if days is None else [p.filter(F.col("date").isin(as_dates(days))) for p in parts]
+
+
+def _last_closed(closed: DataFrame):
+    """The newest window that was closed; with it all before it were, of every lot."""
+    return closed.agg(F.max("window_start").alias("last")).scalar()
+
+
+def reconcile_windows(spark: SparkSession, root: str, days: list[str] | None = None) -> None:
+    """Store what closed windows of the given dates (or all) lack, since their departures came behind the watermark.
+
+    A date's corrections replace its earlier ones, so it may run again at any time; open windows are left to the stream.
+    """
+    landed, closed, _ = _window_parts(spark, root, days)
+    last = _last_closed(_window_parts(spark, root)[1])
+    true = departures_per_window(landed).filter(F.col("window_start") <= last)
+    stored = closed.withColumn("departures_in_15m", -F.col("departures_in_15m"))
+    lacking = add_counts(true, stored, ["lot_id", "window_start"], "departures_in_15m").filter("departures_in_15m <> 0")
+    (lacking.withColumn("date", F.to_date("window_start")).repartition("date").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{root}/corrections"))
+
+
+def read_windows(spark: SparkSession, root: str) -> DataFrame:
+    """Departures of all windows: closed ones as stored and corrected, open ones counted from what has landed since."""
+    landed, closed, corrections = _window_parts(spark, root)
+    last = _last_closed(closed)
+    recent = landed.filter(F.coalesce(F.col("date") >= F.to_date(last), F.lit(True)))
+    still_open = departures_per_window(recent).filter(F.coalesce(F.col("window_start") > last, F.lit(True)))
+    parts = closed.unionByName(corrections).select(*WINDOWS.fieldNames())
+    return add_counts(still_open, parts, ["lot_id", "window_start"], "departures_in_15m").select(*WINDOWS.fieldNames())
+
+
 def _numbers() -> list[Column]:
     """What is counted of a batch while it is written."""
     lots = [lot for campus in CAMPUS_LOTS.values() for lot in campus]

@@ -137,12 +137,38 @@ def test_two_writers_lose_nothing(spark):
 
 
 def test_late_departures_reach_their_window(spark, folder):
+    root, checkpoint = shared_dir(spark, "windows"), shared_dir(spark, "checkpoint")
+    found = lambda rows: {r["window_start"].minute: r["departures_in_15m"] for r in rows.collect()}
+    run = lambda: J.count_windows(J.accepted_events(J.read_records(spark, str(folder), files_per_batch=1), AS_OF), root, checkpoint, "0 minutes")
+    put(folder, "1.json", [record(1, "a", "DEPARTURE", 1), record(2, "b", "DEPARTURE", 20)])
+    put(folder, "2.json", [record(3, "c", "ARRIVAL", 50), record(4, "d", "DEPARTURE", 51)])
+    first = run()
+    first.awaitTermination()
+    assert found(spark.read.parquet(f"{root}/closed")) == {0: 1, 15: 1}
+    # Closed windows have left the state.
+    assert first.queries[1].lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    assert found(J.read_windows(spark, root)) == {0: 1, 15: 1, 45: 1}
+    # Departures of a closed window, of one that never had any, and of the open one.
+    put(folder, "3.json", [record(5, "e", "DEPARTURE", 2), record(6, "f", "DEPARTURE", 31), record(7, "g", "DEPARTURE", 52)])
+    run().awaitTermination()
+    for days in (["2024-01-10"], None, ["2024-01-09"]):
+        J.reconcile_windows(spark, root, days)
+        assert found(J.read_windows(spark, root)) == {0: 2, 15: 1, 30: 1, 45: 2}
+    # Windows after the last one closed are counted as they are read, not corrected.
+    assert found(spark.read.parquet(f"{root}/corrections")) == {0: 1}
+    put(folder, "4.json", [record(8, "h", "ARRIVAL", 0) | {"timestamp": "2024-01-10T11:30:00.000000Z"}])
+    run().awaitTermination()
+    assert found(spark.read.parquet(f"{root}/closed")) == {0: 1, 15: 1, 45: 2}
+    for _ in range(2):
+        J.reconcile_windows(spark, root)
+        assert found(J.read_windows(spark, root)) == {0: 2, 15: 1, 30: 1, 45: 2}
+    assert found(spark.read.parquet(f"{root}/corrections")) == {0: 1, 30: 1}
+
+
+def test_windows_without_any_record(spark, folder):
     root = shared_dir(spark, "windows")
-    put(folder, "1.json", [record(1, "a", "DEPARTURE", 50)])
-    put(folder, "2.json", [record(2, "b", "DEPARTURE", 1), record(3, "c", "DEPARTURE", 51)])
-    events = J.accepted_events(J.read_records(spark, str(folder), files_per_batch=1), AS_OF)
-    J.keep_windows(events, root, shared_dir(spark, "checkpoint")).awaitTermination()
-    assert {r["window_start"].minute: r["departures_in_15m"] for r in read_latest(spark, root, J.WINDOWS).collect()} == {0: 1, 45: 2}
+    J.reconcile_windows(spark, root)
+    assert J.read_windows(spark, root).isEmpty()
 
 
 def test_repeated_records_count_once(spark, folder):
