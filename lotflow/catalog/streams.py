@@ -8,6 +8,7 @@ from lotflow.functions.text import encode_record
 from lotflow.schemas import CURRENT, RECENT, WIRE
 from lotflow.session import shared_dir
 from lotflow.sources.versions import read_latest
+from lotflow.streaming import days as Y
 from lotflow.streaming import jobs as J
 
 
@@ -15,6 +16,10 @@ from lotflow.streaming import jobs as J
 LIVE_FILES = 64
 
 
+#: What the landed folders hold, whole.
+LANDED_TYPES = {"event_id": "bigint", **{c: "string" for c in WIRE.fieldNames()}, "date": "date"}
+
+
 def _write_in_order(g, rows, path: str) -> None:
     """JSON files, a folder per ``slot``, with file times in order of the slots so that a stream reads them in that order."""
     rows.repartition("slot").sortWithinPartitions("slot", "event_id").write.partitionBy("slot").json(path)
@@ -139,11 +144,27 @@ def _(g):
     return read_latest(g.spark, root, J.DAYS)
 
 
-@query("stream_land", "select session_id, timestamp, event_type, lot_id, campus from raw")
+@query("daily_close", """select l.lot_id, cast(l.d as varchar) as date, coalesce(o.occupancy, 0)::bigint as occupancy,
+    case when l.d < cast(l.newest as date) then 'true' else 'false' end as closed
+    from (select lot_id, newest, unnest(generate_series(start, cast(newest as date), interval 1 day))::date as d
+        from (select lot_id, min(date) as start, (select max(event_ts) from valid) as newest from valid group by 1)) l
+    left join (select lot_id, date as d, list_reduce(d, lambda a, x: greatest(0, least(capacity, a + x)), 0) as occupancy
+        from (select lot_id, date, list(case when event_type = 'ARRIVAL' then 1 else -1 end order by event_ts, event_id) as d from valid group by 1, 2)
+        join capacity using (lot_id)) o using (lot_id, d)""")
+def _(g):
+    """Days closed by timers: every lot has every day from its first to the newest event's, silent ones at 0."""
+    root, folding, closing = _dirs(g, "days", "fold", "close")
+    Y.fold_days(J.accepted_events(_records(g), AS_OF), g.capacity, root, folding).awaitTermination()
+    Y.close_days(g.spark, root, closing).awaitTermination()
+    return Y.read_days(g.spark, root)
+
+
+@query("stream_land", """select event_id, session_id, timestamp, event_type, lot_id, campus, student_id, plate_number,
+    cast(case when event_id % 83 > 0 then date end as varchar) as date from raw""")
 def _(g):
     path, checkpoint = _dirs(g, "landed", "checkpoint")
     J.land(_records(g), path, checkpoint).awaitTermination()
-    return g.spark.read.parquet(path).select("session_id", "timestamp", "event_type", "lot_id", "campus")
+    return g.spark.read.schema(", ".join(f"{c} {t}" for c, t in LANDED_TYPES.items())).parquet(path)
 
 
 @query("stream_window_15m", """select lot_id, time_bucket(interval 15 minutes, event_ts) as window_start, count(*) as departures_in_15m
