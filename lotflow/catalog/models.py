@@ -6,7 +6,7 @@ from lotflow.catalog.base import query
 from lotflow.catalog.storage import exported
 from lotflow.fixtures import AS_OF, CALENDAR, HOLIDAYS
 from lotflow.plans import forecast as P
-from lotflow.plans.features import run_features
+from lotflow.plans.features import run_features, run_features_of_days
 from lotflow.schemas import FORECAST, WIRE
 from lotflow.session import shared_dir
 from lotflow.sources import events as E
@@ -17,17 +17,33 @@ FEATURES_SQL = """select lot_id, campus, timestamp, occupancy_now, day_of_week,
     cast(is_weekend as varchar) as is_weekend, cast(is_exam_week as varchar) as is_exam_week, occupancy_plus_15m, departures_in_15m from features"""
 
 
-@query("training_features", FEATURES_SQL)
-def _(g):
-    """From the stored logs, which carry no event ids, to the stored feature table."""
+def stored_logs(g) -> tuple[str, str]:
+    """The folders of the converted export and of the landed live events."""
     history = g.once("historical", lambda p: K.convert_export(E.read_export(g.spark, exported(g)), p))
     day = F.to_date(F.substring("timestamp", 1, 10))
     landed = g.once("landed-live", lambda p: K.write_landed(g.live.select(*WIRE.fieldNames()).withColumn("date", day), p))
+    return history, landed
+
+
+@query("training_features", FEATURES_SQL)
+def _(g):
+    """From the stored logs, which carry no event ids, to the stored feature table."""
     out = shared_dir(g.spark, "feature-table")
-    run_features(g.spark, history, landed, out, HOLIDAYS)
+    run_features(g.spark, *stored_logs(g), out, HOLIDAYS)
     return g.spark.read.parquet(out)
 
 
+@query("nightly_features", FEATURES_SQL)
+def _(g):
+    """The same table, brought up to date history and all but two live days at first, then two single nights, then the first live day again."""
+    store, logs = shared_dir(g.spark, "features"), stored_logs(g)
+    dates = lambda log: [str(r["date"]) for r in log.select("date").distinct().orderBy("date").collect()]
+    live = dates(E.read_or_empty(g.spark, logs[1], E.LANDED))
+    for days in (sorted({*dates(g.historical), *live[:-2]}), live[-2:-1], live[-1:], live[:1]):
+        run_features_of_days(g.spark, *logs, store, days, HOLIDAYS)
+    return g.spark.read.parquet(f"{store}/features").drop("date")
+
+
 ONE_HOT_SQL = ", ".join([f"cast(lot_id = '{v}' as int) as lot_id_{v}" for v in P.LOTS]
                         + [f"cast(campus = '{v}' as int) as campus_{v}" for v in P.CAMPUSES])
 

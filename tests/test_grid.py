@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lotflow.operators import grid as G
 from lotflow.operators.occupancy import departures_per_window, window_state
-from lotflow.plans.features import training_features
+from lotflow.plans.features import features_from, features_of, training_features
 
 
 def test_small_feature_table(make_events):
@@ -46,6 +46,27 @@ def test_one_pass_grid_equals_the_single_steps(given):
     assert fast.exceptAll(slow.select(*fast.columns)).isEmpty()
 
 
+def test_features_from_a_date_on_are_those_of_all_cells(spark, make_events):
+    """Carried states, gaps of whole days, a null flag, and a lot that appears late."""
+    events = make_events([
+        ("a", "2024-01-10 08:00:00", "A", "EAST"), ("b", "2024-01-10 23:50:00", "A", "EAST"), ("c", "2024-01-10 09:00:00", "A", "SRYC"),
+        ("d", "2024-01-13 00:20:00", "A", "EAST"), ("a", "2024-01-14 00:00:00", "D", "EAST"), ("e", "2024-01-14 07:00:00", "A", "WEST"),
+    ]).withColumn("is_exam_week", F.when(F.col("session_id") == "b", True))
+    cells = window_state(events).withColumn("date", F.to_date("window_start"))
+    rows = lambda frame: sorted(map(tuple, frame.collect()), key=str)
+    for until in ("2024-01-13", "2024-01-14"):
+        stored = cells.filter(F.col("date") <= F.lit(until).cast("date"))
+        whole = features_of(stored.drop("date"))
+        for start in ("2024-01-10", "2024-01-13"):
+            since = whole.filter(F.col("timestamp") >= F.lit(start).cast("timestamp"))
+            # WEST is new on the 14th, so every row is written again.
+            wanted = whole if until == "2024-01-14" else since
+            assert rows(features_from(stored, start)) == rows(wanted)
+    later = cells.filter("lot_id <> 'WEST'")
+    assert rows(features_from(later, "2024-01-14")) == rows(
+        features_of(later.drop("date")).filter(F.col("timestamp") >= F.lit("2024-01-14").cast("timestamp")))
+
+
 def test_events_are_summed_before_they_move(given):
     plan = window_state(given.pe)._jdf.queryExecution().executedPlan().toString()
     before_shuffle = plan.split("Exchange hashpartitioning(lot_id")[-1]

@@ -16,7 +16,7 @@ session_pivot hourly_metrics window_state_15m null_counts correlation_matrix his
 daily_running_occupancy running_occupancy_rows forward_fill recent_events_topk forecast_retention clamped_occupancy
 current_occupancy merge_history merge_current save_forecast sample_rows round_predictions json_roundtrip occupancy_judgement
 display_text day_flags scan_day date_from_path csv_to_parquet decode_events write_clean stage_then_merge declare_table
-stream_validate stream_live batch_metrics stream_dedup stream_window_15m daily_close history_rollup training_features score_current""".split()
+stream_validate stream_live batch_metrics stream_dedup stream_window_15m daily_close history_rollup training_features nightly_features score_current""".split()
 FITTED = {"forecast", "forecast_cycle", "train_occupancy", "train_departures", "train_departures_linear", "evaluate", "forecast_values", "predictions", "model_errors"}
 NAMES = [n for n in QUERIES if n not in FITTED] if os.environ.get("LOTFLOW_ALL") else SPREAD
 
