@@ -36,21 +36,26 @@ def targets(sizes: DataFrame, weight: Column, share: tuple[int, int], epochs: in
 
 #: Prefixes of the seeded order; a source's rows of one prefix are ordered together.
 PREFIX = 3
+#: All rows of a place.
+ALL = 2**62
 
 
 def _ranked(docs: DataFrame, seed: str) -> DataFrame:
-    """The documents with their place in the seeded order."""
-    rank = F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    place = F.struct(rank.alias("rank"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"),
-                     F.xxhash64("text").alias("text"))
+    """The documents with their place in the seeded order; rows without doc_id are spread by their text."""
+    text = F.xxhash64("text")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\x1f"), text.cast("string")))
+    rank = F.md5(F.concat_ws("\x1f", F.lit(seed), named))
+    place = F.struct(rank.alias("rank"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), text.alias("text"))
     return docs.withColumn("_place", place)
 
 
 def plan(sized: DataFrame, weight: Column | None, share: tuple[int, int], epochs: int) -> DataFrame:
-    """One row per source: source, source_size, target, whole, and ``until``, the last place taken once more.
+    """One row per source: source, source_size, target, whole, ``until``, the last place taken once more, and ``copies``,
+    how many of that place's rows are.
 
-    ``sized(source, size, _place)``.  The prefix sums of the seeded order are taken in two steps: over the totals of
-    the first PREFIX hex digits, then within the one prefix where the rest of the target is met.
+    ``sized(source, size, _place)``.  Equal rows are counted first, so they meet nowhere.  The prefix sums of the seeded
+    order are taken in two steps: over the totals of the first PREFIX hex digits, then within the one prefix where the
+    rest of the target is met.
     """
     if weight is None:
         weight = F.element_at(F.array(F.lit(5), F.lit(2), F.lit(1)), (F.col("place") % 3 + 1).cast("int"))
@@ -63,24 +68,56 @@ def plan(sized: DataFrame, weight: Column | None, share: tuple[int, int], epochs
     so_far = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     spots = parts.withColumn("before", F.coalesce(F.sum("part").over(so_far), F.lit(0)))
     spots = spots.join(sources.select(F.col("source").alias("_s"), "rest"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    passed = spots.filter(F.col("before") + F.col("part") <= F.col("rest")).select("source", "end")
+    passed = spots.filter(F.col("before") + F.col("part") <= F.col("rest")).select("source", "end", F.lit(ALL).alias("copies"))
     met = spots.filter((F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("part"))).select(
         F.col("source").alias("_s"), F.col("prefix").alias("_p"), "before", "rest")
     inside = sized.withColumn("prefix", prefix).join(met, F.col("source").eqNullSafe(F.col("_s")) & (F.col("prefix") == F.col("_p")))
+    inside = inside.groupBy("source", "_place", "size", "before", "rest").agg(F.count(F.lit(1)).alias("n"))
     within = Window.partitionBy("source").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    fits = inside.filter(F.col("at") * 2 + F.col("size") <= F.col("rest") * 2).select("source", F.col("_place").alias("end"))
-    until = passed.unionAll(fits).groupBy(F.col("source").alias("_s")).agg(F.max("end").alias("until"))
-    out = sources.join(until, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "rest")
+    inside = inside.withColumn("at", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(within), F.lit(0)))
+    # Of n rows of a place, as many as have at least half of themselves before the rest ends.
+    half = F.col("rest") * 2 - (F.col("at") * 2 + F.col("size"))
+    fit = F.when(half < 0, 0).when(F.col("size") == 0, F.col("n")).otherwise(
+        F.least(F.col("n"), F.floor(half / F.greatest(F.col("size") * 2, F.lit(1))) + 1))
+    fits = inside.withColumn("fit", fit.cast("long")).filter("fit > 0").select(
+        "source", F.col("_place").alias("end"), F.when(F.col("fit") < F.col("n"), F.col("fit")).otherwise(F.lit(ALL)).alias("copies"))
+    last = passed.unionAll(fits).groupBy(F.col("source").alias("_s")).agg(F.max(F.struct("end", "copies")).alias("last"))
+    last = last.select("_s", F.col("last.end").alias("until"), F.col("last.copies").alias("copies"))
+    out = sources.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "rest")
     out = stored(out, "mix-plan")
     discard(parts, sources)
     return out
 
 
+def _first_copies(rows: DataFrame) -> DataFrame:
+    """Of each source's rows, all of one place, the first ``copies`` as they are stored.
+
+    The rows of a task are counted, then numbered only in the one task where the number is met.
+    """
+    task = F.shiftright("_at", 33)
+    counts = rows.groupBy("source", "copies", task.alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))).filter("before < copies")
+    counts = counts.select(F.col("source").alias("_s"), F.col("task").alias("_t"), "before", (F.col("before") + F.col("n") <= F.col("copies")).alias("all"))
+    near = rows.join(counts, F.col("source").eqNullSafe(F.col("_s")) & (task == F.col("_t")))
+    number = F.row_number().over(Window.partitionBy("source", "_t").orderBy("_at"))
+    some = near.filter("not all").withColumn("_number", number).filter("before + _number <= copies")
+    return near.filter("all").select(*rows.columns).unionAll(some.select(*rows.columns))
+
+
 def _times(rows: DataFrame, decided: DataFrame) -> DataFrame:
     named = decided.withColumnRenamed("source", "_source")
     more = F.coalesce(F.col("_place") <= F.col("until"), F.lit(False)).cast("long")
-    return rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("times", F.col("whole") + more)
+    out = rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("times", F.col("whole") + more)
+    if decided.filter(F.col("copies") < ALL).isEmpty():
+        return out
+    # Some of a place's equal rows are taken once more: these alone are numbered, in a stored table.
+    cut = F.coalesce((F.col("_place") == F.col("until")) & (F.col("copies") < ALL), F.lit(False))
+    equal = stored(out.filter(cut).withColumn("_at", F.monotonically_increasing_id()), "mix-equal-rows")
+    taken = _first_copies(equal).select(F.col("_at").alias("_taken"))
+    marked = equal.join(taken, F.col("_at") == F.col("_taken"), "left")
+    marked = marked.withColumn("times", F.when(F.col("_taken").isNull(), F.col("whole")).otherwise(F.col("times")))
+    return out.filter(~cut).unionByName(marked.drop("_at", "_taken"))
 
 
 def mix(docs: DataFrame, weight: Column | None = None, share: tuple[int, int] = (3, 2), epochs: int = 2, seed: str = "mix") -> DataFrame:
@@ -91,8 +128,9 @@ def mix(docs: DataFrame, weight: Column | None = None, share: tuple[int, int] =
     clamped source can't take goes to the others by weight until all fit.
 
     Each row is taken whole as often as the target holds its source whole; of the rest, rows are taken once more in a
-    seeded order (md5 of seed and doc_id, then text) while at least half of a row still fits, so that a source misses
-    its target by half a row at most.  Rows equal in id and text share one decision.
+    seeded order (md5 of seed and doc_id, or of a hash of the text where that is null, then text) while at least half of a
+    row still fits, so that a source misses its target by half a row at most.  Of rows equal in source, id and text, so
+    many are taken once more as fit; which of them is open, as nothing here tells them apart.
 
     Null texts and texts without words have size 0; a null source is a source.  If the share is above ``epochs``,
     every source is clamped.  No rows give no rows; other columns are ignored.

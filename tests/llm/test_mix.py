@@ -7,7 +7,9 @@ from collections import Counter
 
 import pytest
 
-from lotflow.llm.mixing import mix, mixed_documents
+from pyspark.sql import functions as F
+
+from lotflow.llm.mixing import PREFIX, _ranked, mix, mixed_documents
 
 
 def plain_targets(sizes, share=1.5, epochs=2):
@@ -69,6 +71,24 @@ def test_the_order_is_by_hash_and_whole(spark):
     assert all(found[i] == 3 for i in order)
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_part_of_equal_rows(spark, doc_id):
+    rows = [(doc_id, "a b c", "a")] * 100 + [(i, "w " * 1000, "z") for i in range(1000, 1001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    target = plain_targets({"a": 300, "z": 1000}, share=0.5)["a"]
+    found = mix(docs, share=(1, 2)).filter("size = 3").collect()
+    assert len(found) == 100 and abs(sum(r["taken"] for r in found) - target) <= 1.5
+    texts = Counter(r["text"] for r in mixed_documents(docs, share=(1, 2)).collect())
+    assert 3 * texts["a b c"] == sum(r["taken"] for r in found)
+
+
+def test_rows_without_id_are_spread(spark):
+    docs = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"), F.lit("s").alias("source"))
+    assert _ranked(docs, "mix").select(F.substring("_place.rank", 1, PREFIX)).distinct().count() > 800
+    taken = mix(docs, share=(1, 3)).agg(F.sum("taken")).first()[0]
+    assert abs(taken - 2000 / 3) <= 1
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(empty).count() == 0 and mixed_documents(empty).count() == 0
