@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +12,8 @@ from lotflow.operators.validate import known_lots, only_types
 
 #: Rows gathered into one array when a piece is folded.
 FOLD_ROWS = 100_000
+#: Runs unfolded in one array.
+BLOCK_ROWS = 512
 
 
 def with_delta(events: DataFrame) -> DataFrame:
@@ -118,87 +116,59 @@ def current_occupancy(events: DataFrame, capacity: DataFrame, **limits: int) ->
     return snapshot(lot_runs(events, capacity, **limits), capacity, apply_run(F.lit(0).cast("bigint")))
 
 
-def _segment_starts(keys: pd.DataFrame) -> np.ndarray:
-    """Whether a row's key differs from the one before; nulls are equal."""
-    changed = np.zeros(len(keys), bool)
-    for name in keys.columns:
-        codes = pd.factorize(keys[name], use_na_sentinel=False)[0]
-        changed[1:] |= codes[1:] != codes[:-1]
-    return changed
-
-
-def _scan(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Triples of the runs from each segment's begin through each row, doubling the reach step by step."""
-    s, lo, hi = s.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64)
-    rows = np.arange(len(s))
-    first = np.maximum.accumulate(np.where(begins, rows, 0))
-    reach = 1
-    while reach < len(s):
-        far = np.flatnonzero(rows - reach >= first)
-        if not len(far):
-            break
-        near = far - reach
-        lo2, hi2, s2 = lo[far], hi[far], s[far]
-        new_lo = np.maximum(lo2, np.minimum(hi2, lo[near] + s2))
-        new_hi = np.maximum(lo2, np.minimum(hi2, hi[near] + s2))
-        s[far], lo[far], hi[far] = s[near] + s2, new_lo, new_hi
-        reach *= 2
-    return s, lo, hi
-
-
-def _replay(out: str, group: list[str], after: bool):
-    """Go through sorted rows batch by batch, carrying one number; a new group starts from its ``_start``.
-
-    Within a batch the triples are combined for all rows at once, in as many array steps as the logarithm of
-    its size.
-    """
+def _held(run: Column, start: Column) -> Column:
+    """What a run makes of a count."""
+    return F.greatest(run["lo"], F.least(run["hi"], start + run["s"]))
+
+
+def _path(runs: Column, start: Column) -> Column:
+    """The count before the first of the runs, then the one after each."""
+    return F.aggregate(runs, F.array(start), lambda path, run: F.concat(path, F.array(_held(run, F.element_at(path, -1)))))
+
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, x = None, 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            begins = _segment_starts(batch[group])
-            first_key = tuple(None if pd.isna(v) else v for v in batch[group].iloc[0])
-            begins[0] = True
-            start = batch["_start"].to_numpy(np.int64).copy()
-            if first_key == last_key:
-                rest = np.flatnonzero(begins)
-                start[: rest[1] if len(rest) > 1 else len(batch)] = x
-            s, lo, hi = _scan(batch["s"].to_numpy(), batch["lo"].to_numpy(), batch["hi"].to_numpy(), begins)
-            values = np.maximum(lo, np.minimum(hi, start + s))
-            last_key, x = tuple(None if pd.isna(v) else v for v in batch[group].iloc[-1]), int(values[-1])
-            if not after:
-                values = np.where(begins, start, np.concatenate(([0], values[:-1])))
-            yield batch.assign(**{out: values})
-
-    return walk
-
-
-def _walk(rows: DataFrame, out: str, group: list[str], order: list[str], *, after: bool) -> DataFrame:
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + f", {out} bigint"
-    placed = rows.repartition(*group).sortWithinPartitions(*group, *order)
-    return placed.mapInPandas(_replay(out, group, after), schema)
+def _triples(entries: Column) -> Column:
+    return F.transform(entries, lambda e: F.struct(e["s"], e["lo"], e["hi"]))
+
+
+def _values(rows: DataFrame, starts: DataFrame, group: list[str], order: list[str], kept: list[str], out: str, *, after: bool) -> DataFrame:
+    """``kept`` columns of every run and, as ``out``, the count before it, or ``after`` it.
+
+    ``rows(group, order, s, lo, hi)`` are runs, ``starts(group, _start)`` the count at which each group begins.  A group is
+    cut into blocks of BLOCK_ROWS runs; a block is folded to one run, the blocks' runs give each block its start, and a
+    block's own runs unfold from there.  No array is longer than a block, or than the blocks of a group.
+    """
+    place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+    cut = rows.withColumn("_part", F.floor((place - 1) / BLOCK_ROWS))
+    entry = F.struct(*order, "s", "lo", "hi", *[c for c in kept if c not in [*order, *group]])
+    blocks = cut.groupBy(*group, "_part").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    triples = _triples(F.col("_entries"))
+    run = F.aggregate(F.slice(triples, 2, F.greatest(F.size(triples) - 1, F.lit(0))), triples[0], _then)
+    folded = blocks.select(*group, F.struct("_part", run.alias("run")).alias("block"))
+    ends = folded.groupBy(*group).agg(F.sort_array(F.collect_list("block")).alias("_blocks"))
+    ends = join_nulls(ends, starts, group)
+    path = _path(F.transform("_blocks", lambda b: b["run"]), F.col("_start"))
+    begun = ends.select(*group, F.posexplode(F.slice(path, F.lit(1), F.size("_blocks"))).alias("_part", "_start"))
+    placed = join_nulls(blocks, begun.withColumn("_part", F.col("_part").cast("bigint")), [*group, "_part"])
+    first = F.lit(2) if after else F.lit(1)
+    counts = F.slice(_path(triples, F.col("_start")), first, F.size("_entries"))
+    unfolded = placed.select(*group, F.inline(F.arrays_zip(F.col("_entries").alias("e"), counts.alias("x"))))
+    return unfolded.select(*group, *[F.col(f"e.{c}").alias(c) for c in kept if c not in group], F.col("x").alias(out))
 
 
 def clamped_occupancy(events: DataFrame, capacity: DataFrame, **limits: int) -> DataFrame:
     """The held count after every event, per lot, in (event_ts, event_id) order, starting empty.
 
-    Start values go down the levels: days of a lot (one row per day), pieces of a lot-day, events of a piece.
-    Each walk streams sorted rows and carries one number, so no group is held in memory; rows of a batch are handled as
-    arrays, not one by one.
+    Start values go down the levels: days of a lot (one row per day), pieces of a lot-day, events of a piece.  Every
+    level is a scan in blocks of BLOCK_ROWS runs (``_values``), so no group is held in one array.
     """
     steps = _steps(events, capacity, **limits)
-    pieces = _piece_runs(steps)
-    zero = F.lit(0).cast("bigint")
-    days = _walk(_day_runs(pieces).drop("last").withColumn("_start", zero), "_at_day", ["lot_id"], ["_day"], after=False)
-    dated = pieces.drop("last").withColumn("_day", F.to_date("_slice"))
-    day_start = days.select("lot_id", "_day", F.col("_at_day").alias("_start"))
-    starts = _walk(join_nulls(dated, day_start, ["lot_id", "_day"]), "_at_piece", ["lot_id", "_day"], PIECE, after=False)
-    piece_start = starts.select("lot_id", *PIECE, F.col("_at_piece").alias("_start"))
-    rows = join_nulls(steps.drop("_split"), piece_start, ["lot_id", *PIECE])
-    walked = _walk(rows, "occupancy", ["lot_id", *PIECE], ["event_ts", "event_id", "_spread"], after=True)
-    return walked.select("lot_id", "event_ts", "event_id", "occupancy")
+    pieces = _piece_runs(steps).drop("last").withColumn("_day", F.to_date("_slice"))
+    zero = capacity.select("lot_id", F.lit(0).cast("bigint").alias("_start"))
+    by_day = _day_runs(_piece_runs(steps)).drop("last")
+    days = _values(by_day, zero, ["lot_id"], ["_day"], ["lot_id", "_day"], "_start", after=False)
+    starts = _values(pieces, days, ["lot_id", "_day"], PIECE, ["lot_id", *PIECE], "_start", after=False).drop("_day")
+    return _values(steps, starts, ["lot_id", *PIECE], ["event_ts", "event_id", "_spread"],
+                   ["lot_id", "event_ts", "event_id"], "occupancy", after=True).drop(*PIECE)
 
 
 def day_runs(events: DataFrame, capacity: DataFrame, **limits: int) -> DataFrame:

@@ -49,7 +49,9 @@ def test_running_sum_by_row_and_by_instant(make_events, limits):
 
 
 @pytest.mark.parametrize("limits", [{}, SMALL, {"hot_rows": 0}])
-def test_clamped_walk(spark, make_events, limits):
+@pytest.mark.parametrize("block", [O.BLOCK_ROWS, 2])
+def test_clamped_walk(spark, make_events, monkeypatch, limits, block):
+    monkeypatch.setattr(O, "BLOCK_ROWS", block)
     events = make_events(random_log(2))
     walk, state, days = {}, {}, {}
     for i, lot, ts, d in sorted(as_list(events), key=lambda e: (e[2], e[0])):
