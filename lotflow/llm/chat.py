@@ -41,7 +41,7 @@ def ordered_turns(turns: DataFrame, tokens: Column | None = None) -> DataFrame:
     tasks.
     """
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "role"))
-    rows = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conversation"), "conv_id",
+    rows = turns.select(F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conversation"), "conv_id",
                         F.col("turn").cast("long").alias("turn"), role, text)
     rows = rows.withColumn("tokens", n_words(F.col("text")) + TURN_TOKENS if tokens is None else tokens)
     # Turns without a number come last.
@@ -92,7 +92,7 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, token
     assistant's turns in the window that is their own, so each is learned once.
 
     Null texts and roles are empty, turns without a number come last, ties are ordered by role and text, and repeated
-    rows are repeated turns.  Rows without conv_id are one conversation.  A conversation without rows has no window;
+    rows are repeated turns.  Rows without conv_id are one conversation, those with an empty one another.  A conversation without rows has no window;
     other columns are ignored.  Tokens are words plus TURN_TOKENS unless an expression is given.
     """
     prepare(turns.sparkSession)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -126,9 +128,7 @@ def nodes_of(text: str, base: list[Span]) -> list[Node]:
             features = _number_features(text, s.start + (s.kind == "phone"), s.end)
             nodes.append(Node(s.start, s.end, 1 + KINDS.index(s.kind), _entity(_digits(body)), features))
 
-    def free(start: int, end: int) -> bool:
-        return not any(s < end and start < e for s, e in _near(taken, start, end))
-
+    free = _free(taken)
     for m in _NUMBER.finditer(text):
         if m.end() - m.start() >= 7 and free(m.start(), m.end()):
             digits = _digits(m[0])
@@ -147,12 +147,17 @@ def nodes_of(text: str, base: list[Span]) -> list[Node]:
     return sorted(nodes)
 
 
-def _near(taken: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
-    """The taken spans that may touch [start, end): those that begin before its end, the last few of them."""
-    from bisect import bisect_left
+def _free(taken: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether [start, end) touches none of the taken spans, which may overlap: none of those that begin before its end
+    reaches beyond its start."""
+    starts = [s for s, _ in taken]
+    reach = list(accumulate((e for _, e in taken), max))
+
+    def free(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        return k == 0 or reach[k - 1] <= start
 
-    k = bisect_left(taken, (end, 0))
-    return taken[max(0, k - 8) : k]
+    return free
 
 
 class Field(NamedTuple):

@@ -5,7 +5,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lotflow.llm.chat import chat_windows, read_loss, read_turns, windows_within_budget
+from lotflow.llm.chat import read_loss, read_turns, windows_within_budget
 from lotflow.llm.registry import WORDS_SQL, query, table
 
 BUDGET, HISTORY = 1024, 256
@@ -43,42 +43,13 @@ def _read_back(batches):
         yield result()
 
 
-def _written(column: str) -> str:
-    """Code points of an escaped text."""
-    return f"(2 * length({column}) - length(translate({column}, '\\<#', '')))"
-
-
-@query("op7_budgeted_chat", f"""with given as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-        union all select -7, 0, 'user', '{PROBE}' union all select -7, 1, 'assistant', '{PROBE}'),
-    sized as (select *, len({WORDS_SQL.format("text")}) + 4 as tokens, 15 + {_written("role")} + {_written("text")} as chars from given),
-    placed as (select *, row_number() over w - 1 as place, sum(tokens) over w - tokens as before from sized
-        window w as (partition by conv_id order by turn nulls last, role, text rows unbounded preceding)),
-    spans as (select *, before // {BUDGET} as span, place = 0 and role = 'system' as system from placed),
-    starts as (select conv_id, span, min(before) as start from spans group by all),
-    pieces as (select conv_id, chars from spans
-        union all select t.conv_id, t.chars from spans t join starts s on t.conv_id = s.conv_id and s.span > t.span
-            and not t.system and s.start - t.before <= {HISTORY}
-        union all select t.conv_id, t.chars from spans t join starts s on t.conv_id = s.conv_id and s.span > 0 and t.system),
-    formatted as (select conv_id, sum(chars) as chars from pieces group by conv_id)
-    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
-        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-        sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
-        cast(any_value(f.chars) as bigint) as formatted_chars
-    from spans join formatted f using (conv_id) group by conv_id""")
-def _(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
-                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    windows = chat_windows(turns.unionByName(probe), BUDGET, HISTORY)
-    return windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(_read_back, _SCHEMA)
-
-
 def _escaped(column: str) -> str:
     return f"replace(replace(replace({column}, '\\', '\\b'), '<', '\\l'), '#', '\\h')"
 
 
-@query("op7_chat_within_budget", f"""with recursive given as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
-    sized as (select *, len({WORDS_SQL.format("text")}) + 4 as tokens, '<turn>' || {_escaped("role")} || '#' || {_escaped("text")} || '</turn>' || chr(10) as piece
+#: Over ``given(conv_id, turn, role, text)``: the turns with their place and tokens before them, and the span of each window, followed
+#: from the first turn of a conversation on.
+SPANS_SQL = f"""    sized as (select *, len({WORDS_SQL.format("text")}) + 4 as tokens, '<turn>' || {_escaped("role")} || '#' || {_escaped("text")} || '</turn>' || chr(10) as piece
         from given),
     placed as (select *, row_number() over w - 1 as place, sum(tokens) over w - tokens as before from sized
         window w as (partition by conv_id order by turn nulls last, role, text rows unbounded preceding)),
@@ -93,7 +64,29 @@ def _escaped(column: str) -> str:
         from begun b left join placed k on b.conv_id = k.conv_id and k.place >= b.place
             and k.before + k.tokens <= b.before + {BUDGET} - b.extra - (b.before - b.low_before) group by b.conv_id, b.place),
     spans as (select conv_id, place, leads, low, after, 0 as number from nexts where place = 0
-        union all select n.conv_id, n.place, n.leads, n.low, n.after, s.number + 1 from spans s join nexts n on s.conv_id = n.conv_id and s.after = n.place)
+        union all select n.conv_id, n.place, n.leads, n.low, n.after, s.number + 1 from spans s join nexts n on s.conv_id = n.conv_id and s.after = n.place)"""
+
+
+@query("op7_budgeted_chat", f"""with recursive given as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -7, 0, 'user', '{PROBE}' union all select -7, 1, 'assistant', '{PROBE}'),
+{SPANS_SQL},
+    formatted as (select s.conv_id, sum(length(p.piece)) as chars from spans s join placed p on s.conv_id = p.conv_id
+        and ((p.place >= s.low and p.place < s.after) or (s.leads and p.place = 0)) group by s.conv_id)
+    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
+        cast(any_value(f.chars) as bigint) as formatted_chars
+    from placed join formatted f using (conv_id) group by conv_id""")
+def _(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    windows = windows_within_budget(turns.unionByName(probe), BUDGET, HISTORY)
+    return windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(_read_back, _SCHEMA)
+
+
+@query("op7_chat_within_budget", f"""with recursive given as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+{SPANS_SQL}
     select s.conv_id, cast(s.number as bigint) as "window", count(*) as n_turns, count(*) filter (p.place < s.place) as n_repeated,
         cast(sum(p.tokens) as bigint) as n_tokens, sha256(string_agg(p.piece, '' order by p.place)) as text_sha256,
         cast(coalesce(sum(length({_escaped("p.text")})) filter (p.role = 'assistant' and p.place >= s.place), 0) as bigint) as loss_chars

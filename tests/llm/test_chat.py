@@ -67,6 +67,13 @@ def test_no_rows(spark):
     assert chat_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_no_conversation_id_is_not_an_empty_one(spark):
+    rows = [(None, 0, "user", "a"), ("", 0, "user", "b"), ("", 1, "assistant", "c")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    found = {r["conv_id"]: read_turns(r["text"]) for r in windows_within_budget(turns).collect()}
+    assert found == {None: [("user", "a")], "": [("user", "b"), ("assistant", "c")]}
+
+
 def filled(turns, budget, history):
     """(repeated, own) turn numbers of each window, turn by turn."""
     sizes = [len(t.split()) + TURN_TOKENS for _, t in turns]

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lotflow.llm.pii import KINDS, Span, all_spans, base_spans, find_pii, fit, passes_luhn, train
+from lotflow.llm.pii import KINDS, Span, all_spans, base_spans, find_pii, fit, nodes_of, passes_luhn, train
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -68,6 +68,14 @@ def test_an_untrained_field_labels_nothing_alone():
     assert all_spans("1234567 and 1234567", train([])) == ([], [])
 
 
+def test_mentions_stay_clear_of_overlapping_matches():
+    text = ".".join(["1.2.3.4"] * 12) + ".12345678@mail.example.com and 12345678"
+    base = base_spans(text)
+    assert len(base) > 9
+    free = [n for n in nodes_of(text, base) if not n.label]
+    assert [text[n.start : n.end] for n in free] == ["12345678"] and free[0].start > text.index("and")
+
+
 def test_rows(spark, field):
     rows = [(1, "x@y.zz"), (None, None), (2, ""), (2, "é x@y.zz"), (2, "é x@y.zz")]
     docs = spark.createDataFrame([(*r, 0, "b") for r in rows], "doc_id long, text string, start int, base string")
