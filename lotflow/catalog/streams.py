@@ -10,6 +10,7 @@ from lotflow.session import shared_dir
 from lotflow.sources.versions import read_latest
 from lotflow.streaming import days as Y
 from lotflow.streaming import jobs as J
+from lotflow.streaming.replay import failed_positions, send_again
 
 
 #: Files of a batch: four batches in a month of records.
@@ -101,6 +102,26 @@ def _(g):
     return current.unionByName(recent).unionByName(counts)
 
 
+@query("replay_failed", """select event_id, case when event_id % 211 = 0 then 'bad_json' else reason end as first_reasons,
+        case when event_id % 79 = 0 then 2 else 1 end as first_attempts, case when reason is not null and event_id % 211 = 0
+        then least('bad_json', reason) || ',' || greatest('bad_json', reason) else reason end as last_reasons,
+        case when reason is null then 1 else 0 end as counted from checked where event_id % 211 = 0 or reason is not null""")
+def _(g):
+    """Every position that failed in the live job, sent again whole: still failing or counted, and how often."""
+    root, again, first, second = _dirs(g, "live", "again", "first", "second")
+    J.live(J.read_sent(g.spark, sent_files(g), LIVE_FILES), g.capacity, AS_OF, root, first).awaitTermination()
+    listed = shared_dir(g.spark, "failed")
+    failed_positions(g.spark, root).write.parquet(listed)
+    failed = g.spark.read.parquet(listed)
+    whole = g.raw.select("event_id", encode_record(*WIRE.fieldNames()).alias("data"))
+    send_again(whole, failed, again)
+    J.live(J.read_sent(g.spark, again), g.capacity, AS_OF, root, second).awaitTermination()
+    still = failed_positions(g.spark, root).select("event_id", F.array_join("reasons", ",").alias("last_reasons"))
+    counted = g.spark.read.schema("event_id long").parquet(f"{root}/new").groupBy("event_id").agg(F.count(F.lit(1)).alias("counted"))
+    first_failed = failed.select("event_id", F.array_join("reasons", ",").alias("first_reasons"), F.col("attempts").alias("first_attempts"))
+    return first_failed.join(still, "event_id", "left").join(counted, "event_id", "left").fillna(0, ["counted"])
+
+
 CURRENT_SQL = """select lot_id, campus_name, capacity, current_occupancy, capacity - current_occupancy as free_spots,
     cast(current_occupancy as double) / cast(capacity as double) as occupancy_rate, last_updated_ts from (
     select s.lot_id, c.campus as campus_name, c.capacity, list_reduce(s.d, lambda a, x: greatest(0, least(c.capacity, a + x)), 0)
