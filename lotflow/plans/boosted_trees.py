@@ -5,22 +5,24 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotflow.session import shared_dir
 
-#: Rounds between writes of the running margins.
-CUT_EVERY = 10
+#: Rounds after which margins are made from these, no more from those before; rows of a block, but for the last batch of a task.
+CUT_EVERY, BLOCK_ROWS = 10, 65_536
 # The largest step of a count model on its log scale, the least gain of a split, the first prediction.
 MAX_STEP, LEAST_GAIN, START = 0.7, 1e-6, 0.5
 #: Splits whose gains differ by less than this share count as equal: the first one, by input and bin, is taken.
 SAME = 1e-9
-STATE = "bins binary, y double, id long, margin double"
+STATE = "bins binary, y binary, parts binary"
 SETTINGS = "inputs array<string>, prediction string, objective string, base double, depth int, trees string"
 
 
@@ -63,14 +65,15 @@ class Tree:
             if self.feature[n] >= 0 and self.feature[2 * n + 1] < 0 and self.feature[2 * n + 2] < 0 and self.gain[n] < gamma:
                 self.feature[n] = -1
 
-    def leaves(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        """The node in which each row of bins ends."""
-        feature, last = np.array(self.feature), np.array(self.bin)
-        node = np.zeros(len(bins), np.int64)
-        for _ in range(depth):
-            inner = np.flatnonzero(feature[node] >= 0)
-            own = node[inner]
-            node[inner] = 2 * own + 1 + (bins[inner, feature[own]] > last[own])
+    def leaves(self, bins: np.ndarray) -> np.ndarray:
+        """The node in which each row ends, given a line of ``bins`` per input."""
+        feature, rows = np.array(self.feature), np.arange(bins.shape[1])
+        inner, nodes = feature >= 0, np.arange(len(feature))
+        below = np.where(inner, [2 * nodes + 1, 2 * nodes + 2], nodes).T.reshape(-1)
+        place, last, flat = np.where(inner, feature, 0) * bins.shape[1], np.array(self.bin), bins.reshape(-1)
+        node = np.zeros(bins.shape[1], np.int64)
+        while inner[node].any():
+            node = below[2 * node + (flat[place[node] + rows] > last[node])]
         return node
 
 
@@ -137,68 +140,90 @@ def cut_points(rows: DataFrame, inputs: list[str], bins: int) -> list[list[float
     return [sorted(set(x for x in found[f"c{k}"] or [] if x is not None))[1:] for k in range(len(inputs))]
 
 
-def _binned(rows: DataFrame, key: list[str], inputs: list[str], label: str, cuts: list[list[float]], base: float) -> DataFrame:
-    """Each input as the number of cuts up to its value, one byte each; a null is in the first bin."""
-    values = F.array(*[F.col(f"`{c}`").cast("double") for c in inputs])
-    chosen = rows.select(values.alias("x"), F.col(f"`{label}`").cast("double").alias("y"), F.xxhash64(*[F.col(f"`{k}`") for k in key]).alias("id"))
-
-    def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cuts))
-            bins = np.stack([np.searchsorted(own, flat[:, k], "right") for k, own in enumerate(cuts)], axis=1).astype(np.uint8)
-            bins[np.isnan(flat)] = 0
-            yield pa.RecordBatch.from_arrays([_bytes(bins), batch.column("y"), batch.column("id"), pa.array(np.full(len(bins), base))],
-                                             ["bins", "y", "id", "margin"])
-
-    return chosen.filter("y is not null").mapInArrow(bin_rows, STATE)
-
-
-def _bytes(bins: np.ndarray) -> pa.Array:
-    """A matrix of bytes as one binary value a row."""
-    n, width = bins.shape
-    offsets = pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32).tobytes())
-    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(bins).tobytes())])
+@dataclass
+class Block:
+    """Rows of a task as arrays: each distinct row of bins once, one line of bytes per input, with its margin; for each row, which of
+    these it has (``own``) and its label; and for each round, as packed bits, whether a row takes part."""
 
+    bins: np.ndarray
+    margin: np.ndarray
+    own: np.ndarray
+    y: np.ndarray
+    parts: np.ndarray
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    @staticmethod
+    def of(row, width: int, base: float) -> Block:
+        rows = np.frombuffer(row["bins"], np.dtype((np.void, width)))
+        distinct, own = np.unique(rows, return_inverse=True)
+        parts = np.frombuffer(row["parts"], np.uint8).reshape(-1, (len(rows) + 7) // 8)
+        return Block(distinct.view(np.uint8).reshape(-1, width).T.copy(), np.full(len(distinct), base), own.reshape(-1).astype(np.int32),
+                     np.frombuffer(row["y"]), parts)
 
 
-def _margins(bins: np.ndarray, margin: np.ndarray, trees: list[Tree], depth: int) -> np.ndarray:
-    for tree in trees:
-        margin = margin + np.array(tree.value)[tree.leaves(bins, depth)]
-    return margin
+def _binned(rows: DataFrame, key: list[str], inputs: list[str], label: str, cuts: list[list[float]], rounds: int, subsample: float) -> DataFrame:
+    """Each input as the number of cuts up to its value, one byte each; a null is in the first bin.  A stored row is a block of rows."""
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in inputs])
+    row_id = F.xxhash64(*[F.col(f"`{k}`") for k in key])
+    parts = F.transform(F.sequence(F.lit(0), F.lit(max(0, rounds - 1))),
+                        lambda i: F.pmod(F.xxhash64(F.col("id"), i), F.lit(1000)) < round(subsample * 1000))
+    chosen = rows.select(values.alias("x"), F.col(f"`{label}`").cast("double").alias("y"), row_id.alias("id")).filter("y is not null")
 
+    def block(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        bins, y, taken = (np.concatenate(part) for part in zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()) for part in (bins, y, np.packbits(taken.T, axis=1))],
+                                          ["bins", "y", "parts"])
 
-def _moved(trees: list[Tree], depth: int, width: int):
-    """Rows with the margin that trees leave."""
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            margin = _margins(_matrix(batch.column("bins"), width), batch.column("margin").to_numpy(), trees, depth)
-            yield batch.set_column(3, "margin", pa.array(margin))
+            if not batch.num_rows:
+                continue
+            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cuts))
+            bins = np.stack([np.searchsorted(own, flat[:, k], "right") for k, own in enumerate(cuts)], axis=1).astype(np.uint8)
+            bins[np.isnan(flat)] = 0
+            taken = batch.column("parts").flatten().to_numpy(zero_copy_only=False).reshape(len(bins), -1)
+            held.append((bins, batch.column("y").to_numpy(), taken))
+            n += len(bins)
+            if n >= BLOCK_ROWS:
+                yield block(held)
+                held, n = [], 0
+        if n:
+            yield block(held)
+
+    return chosen.select("x", "y", parts.alias("parts")).mapInArrow(bin_rows, STATE)
+
+
+def _moved(trees: list[Tree]) -> Callable[[Block], Block]:
+    """A block with the margins that trees leave."""
+    def move(block: Block) -> Block:
+        margin = block.margin
+        for tree in trees:
+            margin = margin + np.array(tree.value)[tree.leaves(block.bins)]
+        return replace(block, margin=margin)
 
     return move
 
 
-def _histograms(trees: list[Tree], tree: Tree, nodes: list[int], objective: str, depth: int, width: int, size: int):
-    """A task's sums of gradients and hessians for each node that is open, input and bin in use."""
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = len(nodes), width, size
+def _sums(tree: Tree, nodes: list[int], objective: str, i: int, sizes: list[int]):
+    """A task's sums of gradients and hessians of the rows of round ``i``, for each node that is open, input and bin."""
+    def add(blocks: Iterator[Block]) -> Iterator[np.ndarray]:
+        firsts = np.cumsum([0, *sizes])
         at = np.full(len(tree.feature), -1)
         at[nodes] = np.arange(len(nodes))
-        sums = np.zeros((2, len(nodes) * width * size))
-        for batch in batches:
-            bins, y = _matrix(batch.column("bins"), width), batch.column("y").to_numpy()
-            g, h = OBJECTIVES[objective].slopes(_margins(bins, batch.column("margin").to_numpy(), trees, depth), y)
-            place = at[tree.leaves(bins, depth)]
-            used = place >= 0
-            cells = ((place[used, None] * width + np.arange(width)) * size + bins[used]).reshape(-1)
-            for k, x in enumerate((g, h)):
-                sums[k] += np.bincount(cells, np.repeat(x[used], width), shape[0] * width * size)
-        cells = np.flatnonzero(sums[1])
-        place, feature, own = np.unravel_index(cells, shape)
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in (place, feature, own)] + [pa.array(s[cells]) for s in sums],
-                                         ["place", "input", "bin", "g", "h"])
+        sums = np.zeros((2, len(nodes), firsts[-1]))
+        for block in blocks:
+            taken = np.unpackbits(block.parts[i], count=len(block.y)).view(bool)
+            own, y = block.own[taken], block.y[taken]
+            slopes = OBJECTIVES[objective].slopes(block.margin[own], y)
+            place = at[tree.leaves(block.bins)]
+            used = np.flatnonzero(place >= 0)
+            # Rows of the same bins are in the same node and cells: they are added up first.
+            added, place = [np.bincount(own, x, len(block.margin))[used] for x in slopes], place[used]
+            for f, size in enumerate(sizes):
+                cells = place * size + block.bins[f, used]
+                for k, x in enumerate(added):
+                    sums[k, :, firsts[f]:firsts[f + 1]] += np.bincount(cells, x, len(nodes) * size).reshape(-1, size)
+        yield sums
 
     return add
 
@@ -233,22 +258,20 @@ class _Splits:
         return float(gains[feature, last]), feature, last
 
 
-def _grow(state: DataFrame, new: list[Tree], part: Column, objective: str, cuts: list[list[float]], depth: int, step: float,
-          gamma: float, splits: _Splits) -> Tree:
-    """One tree on the rows of ``part``.
+def _grow(state: RDD, i: int, objective: str, cuts: list[list[float]], depth: int, step: float, gamma: float, splits: _Splits) -> Tree:
+    """One tree on the rows of round ``i``.
 
-    A task adds its rows up, as arrays, to one row for each (node, input, bin), whatever their number; these are added
-    up by key, and the driver gets at most 2 ** level x inputs x bins sums.
+    A task adds its rows up, as arrays, to one number for each (node, input, bin), whatever their number; these arrays are added
+    up in a tree of tasks, and the driver gets the root of their number at most, of 2 ** level x all bins sums each.
     """
-    tree, width, size = Tree.root(depth), len(cuts), max(map(len, cuts)) + 1
-    rows = state.filter(part).select("bins", "y", "margin")
+    tree, sizes = Tree.root(depth), [len(own) + 1 for own in cuts]
+    firsts = np.cumsum([0, *sizes])
     open_nodes = [0]
     for level in range(depth):
-        sums = rows.mapInArrow(_histograms(new, tree, open_nodes, objective, depth, width, size), "place int, input int, bin int, g double, h double")
-        g, h = np.zeros((len(open_nodes), width, size)), np.zeros((len(open_nodes), width, size))
-        found = sums.groupBy("place", "input", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-        cells = tuple(found.column(c).to_numpy() for c in ("place", "input", "bin"))
-        g[cells], h[cells] = found.column("g").to_numpy(), found.column("h").to_numpy()
+        sums = state.mapPartitions(_sums(tree, open_nodes, objective, i, sizes)).treeAggregate(0.0, add, add) + np.zeros((2, len(open_nodes), firsts[-1]))
+        g, h = np.zeros((2, len(open_nodes), len(cuts), max(sizes)))
+        for f, size in enumerate(sizes):
+            g[:, f, :size], h[:, f, :size] = sums[:, :, firsts[f]:firsts[f + 1]]
         split = []
         for k, n in enumerate(open_nodes):
             if not level:
@@ -277,27 +300,35 @@ def fit_trees(rows: DataFrame, key: list[str], inputs: list[str], label: str, pr
     A leaf's value is ``step`` times its Newton step, which is bounded for counts.  Whether a row takes part in a round follows
     from the hash of its ``key``.
 
-    Inputs are binned once, and the bins stored; margins are written again every few rounds, so a lost executor repeats few trees.
+    Inputs are binned once, and the bins stored as blocks of rows, which stay in the executors' memory (or on their disks) with the margins.
+    Each round makes the margins from those of some rounds before; what a lost executor held is made again from the stored blocks.
     Rows without a label are left out; a null input is smaller than any value.  Without rows, every tree is a leaf of value 0.
     """
     if not 2 <= bins <= 256:
         raise ValueError("an input has 2 to 256 bins")
-    kind, spark = OBJECTIVES[objective], rows.sparkSession
+    kind, spark, width = OBJECTIVES[objective], rows.sparkSession, len(inputs)
     model = BoostedTrees(inputs, prediction, objective, kind.start, depth)
     cuts = cut_points(rows, inputs, bins)
-    splits, new = _Splits(l2, least, kind.most), []
-
-    def kept(state: DataFrame) -> DataFrame:
-        path = shared_dir(spark, "margins")
-        state.write.parquet(path)
-        return spark.read.schema(state.schema).parquet(path)
-
-    state = kept(_binned(rows, key, inputs, label, cuts, kind.start))
-    for i in range(rounds):
-        part = F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) < round(subsample * 1000)
-        tree = _grow(state, new, part, objective, cuts, depth, step, gamma, splits)
-        model.trees.append(tree)
-        new.append(tree)
-        if len(new) == CUT_EVERY and i + 1 < rounds:
-            state, new = kept(state.mapInArrow(_moved(new, depth, len(inputs)), STATE)), []
+    splits, path = _Splits(l2, least, kind.most), shared_dir(spark, "bins")
+    _binned(rows, key, inputs, label, cuts, rounds, subsample).write.parquet(path)
+    stored = spark.read.schema(STATE).parquet(path)
+    state = start = stored.rdd.map(lambda row: Block.of(row, width, kind.start)).persist(StorageLevel.MEMORY_AND_DISK)
+    new, earlier = [], []
+    try:
+        for i in range(rounds):
+            tree = _grow(state, i, objective, cuts, depth, step, gamma, splits)
+            model.trees.append(tree)
+            new.append(tree)
+            # The blocks of this round are held by now; of those before it, only those at ``start`` are read again.
+            for held in earlier:
+                if held is not start:
+                    held.unpersist()
+            if i + 1 < rounds:
+                earlier = [start, state]
+                state = start.map(_moved(new)).persist(StorageLevel.MEMORY_AND_DISK)
+                if len(new) == CUT_EVERY:
+                    start, new = state, []
+    finally:
+        for held in {start, state, *earlier}:
+            held.unpersist()
     return model

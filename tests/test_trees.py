@@ -124,3 +124,18 @@ def test_rates_and_no_rows(spark):
     assert abs(found[0.0] - 1.0) < 0.1 and abs(found[1.0] - 6.0) < 0.2
     unlabelled = fit(rows.limit(5).withColumn("y", F.lit(None).cast("long")))
     assert {r["mu"] for r in unlabelled.transform(rows).collect()} == {B.START}
+
+
+def test_rows_are_stored_once_in_blocks(spark, monkeypatch):
+    """Blocks of rows, written once however many rounds; rows of the same bins are worked on once."""
+    folders, own = [], B.shared_dir
+    monkeypatch.setattr(B, "shared_dir", lambda *a: folders.append(own(*a)) or folders[-1])
+    monkeypatch.setattr(B, "CUT_EVERY", 2)
+    rows = spark.range(0, 4000, 1, 2).select("id", (F.col("id") % 2).alias("x"), (F.col("id") % 2 * 3 + F.col("id") % 3).alias("y"))
+    model = B.fit_trees(rows, ["id"], ["x"], "y", "p", rounds=7, depth=2, step=0.3, gamma=0.0, least=1.0, subsample=0.8)
+    (folder,) = folders
+    blocks = spark.read.schema(B.STATE).parquet(folder).collect()
+    assert len(blocks) == 2 and len(model.trees) == 7
+    block = B.Block.of(blocks[0], 1, 0.5)
+    assert block.bins.shape == (1, 2) and len(block.margin) == 2 and len(block.y) == 2000 and block.parts.shape == (7, 250)
+    assert sum(len(block.y) for block in (B.Block.of(b, 1, 0.5) for b in blocks)) == 4000
