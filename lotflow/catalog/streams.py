@@ -21,9 +21,13 @@ LIVE_FILES = 64
 LANDED_TYPES = {"event_id": "bigint", **{c: "string" for c in WIRE.fieldNames()}, "date": "date"}
 
 
-def _write_in_order(g, rows, path: str) -> None:
-    """JSON files, a folder per ``slot``, with file times in order of the slots so that a stream reads them in that order."""
-    rows.repartition("slot").sortWithinPartitions("slot", "event_id").write.partitionBy("slot").json(path)
+def _write_in_order(g, rows, path: str, *fields) -> None:
+    """Packed JSON files of ``fields``, a folder per ``slot``, with file times in order of the slots so that a stream reads them in that order.
+
+    ``fields`` are made of the rows once these are in their slots, so long texts are never moved.
+    """
+    placed = rows.repartition("slot").sortWithinPartitions("slot", "event_id")
+    placed.select(*fields, "slot").write.option("compression", "gzip").partitionBy("slot").json(path)
     jvm = g.spark._jvm.org.apache.hadoop.fs
     root = jvm.Path(path)
     fs = root.getFileSystem(g.spark._jsc.hadoopConfiguration())
@@ -41,7 +45,8 @@ def _slot():
 
 def day_files(g) -> str:
     """Raw records as JSON, a file per quarter of a day."""
-    return g.once("records", lambda path: _write_in_order(g, g.raw.select(*WIRE.fieldNames(), "event_id", _slot().alias("slot")), path))
+    return g.once("records", lambda path: _write_in_order(
+        g, g.raw.select(*WIRE.fieldNames(), "event_id", _slot().alias("slot")), path, *WIRE.fieldNames(), "event_id"))
 
 
 def _records(g):
@@ -60,8 +65,8 @@ def sent_files(g) -> str:
         data = F.when(F.col("event_id") % 211 == 0, F.concat(F.lit("{not json "), F.col("event_id").cast("string"))).otherwise(
             encode_record(*WIRE.fieldNames()))
         sent = F.when(F.col("event_id") % 79 == 0, F.array(F.lit("a"), F.lit("z"))).otherwise(F.array(F.lit("a")))
-        rows = g.raw.select("event_id", data.alias("data"), _slot().alias("at"), F.explode(sent).alias("part"))
-        _write_in_order(g, rows.select("event_id", "data", F.concat_ws("-", "at", "part").alias("slot")), path)
+        rows = g.raw.select("event_id", *WIRE.fieldNames(), _slot().alias("at"), F.explode(sent).alias("part"))
+        _write_in_order(g, rows.withColumn("slot", F.concat_ws("-", "at", "part")).drop("at", "part"), path, "event_id", data.alias("data"))
 
     return g.once("sent", write)
 
