@@ -120,7 +120,7 @@ def _(g):
     failed = g.spark.read.parquet(listed)
     whole = g.raw.select("event_id", encode_record(*WIRE.fieldNames()).alias("data"))
     send_again(whole, failed, again)
-    J.live(J.read_sent(g.spark, again), g.capacity, AS_OF, root, second).awaitTermination()
+    J.live(J.read_sent(g.spark, again, LIVE_FILES), g.capacity, AS_OF, root, second).awaitTermination()
     still = failed_positions(g.spark, root).select("event_id", F.array_join("reasons", ",").alias("last_reasons"))
     counted = g.spark.read.schema("event_id long").parquet(f"{root}/new").groupBy("event_id").agg(F.count(F.lit(1)).alias("counted"))
     first_failed = failed.select("event_id", F.array_join("reasons", ",").alias("first_reasons"), F.col("attempts").alias("first_attempts"))

@@ -31,6 +31,12 @@ def exists(spark: SparkSession, name: str) -> bool:
     return fs.exists(path)
 
 
+def make_folder(spark: SparkSession, name: str) -> None:
+    """The folder, if there is none yet."""
+    fs, path = _path(spark, name)
+    fs.mkdirs(path)
+
+
 def folders(spark: SparkSession, root: str) -> list[str]:
     """Names of what is directly below ``root``."""
     fs, path = _path(spark, root)

@@ -2,6 +2,7 @@
 
 import base64
 import json
+from pathlib import Path
 
 from lotflow.session import shared_dir
 from lotflow.sources.events import capacity_table
@@ -47,3 +48,27 @@ def test_two_of_ten_fail_and_each_counts_once(spark, tmp_path):
 
 def test_no_job_has_no_failed_position(spark):
     assert failed_positions(spark, shared_dir(spark, "none")).isEmpty()
+
+
+def test_records_are_decoded_once_and_landed_batches_followed(spark, tmp_path):
+    inbox, root, checkpoint = tmp_path / "in", shared_dir(spark, "live"), shared_dir(spark, "checkpoint")
+    inbox.mkdir()
+    for i in range(3):
+        lines = [{"event_id": i, "data": data(i)}, {"event_id": 0, "data": data(0)}, {"event_id": 10 + i, "data": "{broken"}]
+        (inbox / f"{i}.json").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    capacity = capacity_table(spark, {"BURNABY": {"EAST": 50}})
+    job = J.live(J.read_sent(spark, str(inbox), files_per_batch=1), capacity, AS_OF, root, checkpoint)
+    job.awaitTermination()
+    assert not any(query.isActive for query in job.queries)
+    # The second stream has read what the first one landed, and no record as sent.
+    read = "".join(p.read_text() for p in Path(f"{checkpoint}/once/sources/0").iterdir() if p.name.isdigit())
+    assert "/landed/stream=" in read and str(inbox) not in read
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{root}/new").collect()) == [0, 1, 2]
+    landed = lambda: sorted(r["event_id"] for r in spark.read.parquet(f"{root}/landed").select("event_id").collect())
+    assert landed() == [0, 0, 0, 0, 1, 2] and spark.read.parquet(f"{root}/bad").count() == 3
+    # A batch that has landed keeps its files when it is run again.
+    (stream,) = (Path(root) / "landed").iterdir()
+    assert sorted(p.name for p in stream.iterdir()) == ["batch=0", "batch=1", "batch=2"]
+    files = sorted(p.name for p in stream.rglob("*.parquet"))
+    J._intake(root, f"{checkpoint}/intake")(J.checked(J.decode_events(spark.createDataFrame([], J.SENT)), AS_OF), 1)
+    assert sorted(p.name for p in stream.rglob("*.parquet")) == files and landed() == [0, 0, 0, 0, 1, 2]
