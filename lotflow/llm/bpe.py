@@ -343,11 +343,17 @@ def byte_of() -> dict[str, int]:
 
 
 def pieces(spark, path: str) -> DataFrame:
-    """(id, piece): the bytes of every id of the vocabulary, in hexadecimal digits."""
-    loaded, code = tokenizer(path), byte_of()
-    added = {t.content for t in loaded.get_added_tokens_decoder().values()}
-    rows = [(i, (w.encode() if w in added else bytes(code[c] for c in w)).hex()) for w, i in loaded.get_vocab().items()]
-    return spark.createDataFrame(rows, "id int, piece string")
+    """(id, piece): the bytes of every id of the vocabulary, in hexadecimal digits; a task reads the vocabulary, not the driver."""
+    def spell(_):
+        loaded, code = tokenizer(path), byte_of()
+        added = {t.content for t in loaded.get_added_tokens_decoder().values()}
+        ids, words = [], []
+        for w, i in loaded.get_vocab().items():
+            ids.append(i)
+            words.append((w.encode() if w in added else bytes(code[c] for c in w)).hex())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(words, pa.string())], names=["id", "piece"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(spell, "id int, piece string")
 
 
 def _joined_pieces(entry: Column) -> Column:

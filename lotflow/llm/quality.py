@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +115,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _learner(dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row of all rows (label, terms) of a task: the latent basis, the rows' unit vectors in it, and their labels."""
+    def learn(batches):
+        labels, terms = [], []
+        for batch in batches:
+            labels.append(batch.column("label").to_numpy().astype(np.float64))
+            terms.append(np.frombuffer(b"".join(batch.column("terms").to_pylist()), np.float32).reshape(-1, TERMS))
+        if sum(map(len, labels)):
+            rows = np.concatenate(terms, dtype=np.float64)
+            basis = latent_basis(rows, dims)
+            found = basis, _unit(rows @ basis), np.concatenate(labels)
+            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes()], pa.binary()) for f in found], names=["basis", "vectors", "labels"])
+
+    return learn
+
+
 class Voter:
     """A fitted classifier: the latent basis and the labelled rows' unit vectors in it (bounded by ``sample``)."""
 
@@ -131,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, dims: int = 64,
     """Learn from at most ``sample`` labelled documents that are not held out, chosen in hash order of doc_id.
 
     ``labels(doc_id, quality)``: rows without id or label are ignored; of several labels of a document the lowest
-    counts.  The term matrix of the sample (sample x TERMS) is all that reaches the driver.
+    counts.  The term matrix of the sample (sample x TERMS) meets in one task; the basis and the sample's vectors in it
+    (dims numbers a row) are all that reaches the driver.
     """
     prepare(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id")))
@@ -140,12 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, dims: int = 64,
     there = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = hash_sample(there, sample, "doc_id")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = texts.select("label", "text").mapInArrow(_rows_of, "label int, terms binary").orderBy("terms", "label").limit(2 * sample).toArrow()
+    rows = texts.select("label", "text").mapInArrow(_rows_of, "label int, terms binary").orderBy("terms", "label").limit(2 * sample)
+    found = rows.coalesce(1).mapInArrow(_learner(dims), "basis binary, vectors binary, labels binary").toArrow()
     if not found.num_rows:
         return Voter(np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), k)
-    rows = np.frombuffer(b"".join(found.column("terms").to_pylist()), np.float32).reshape(-1, TERMS).astype(np.float64)
-    basis = latent_basis(rows, dims)
-    return Voter(basis, _unit(rows @ basis), found.column("label").to_numpy().astype(np.float64), k)
+    basis, vectors, labels = (np.frombuffer(column[0].as_buffer()) for column in found.columns)
+    return Voter(basis.reshape(TERMS, -1), vectors.reshape(len(labels), -1), labels, k)
 
 
 def score(docs: DataFrame, voter: Voter) -> DataFrame:

@@ -39,3 +39,12 @@ def test_ids_that_end_inside_a_character(spark):
     rows = spark.createDataFrame(list(enumerate(cut)), "doc_id long, ids array<int>")
     found = {r["doc_id"]: r["decoded"] for r in decode(rows, path).collect()}
     assert found == {k: tokenizer(path).decode(ids, skip_special_tokens=False) for k, ids in enumerate(cut)}
+
+
+def test_the_driver_does_not_load_the_vocabulary(spark):
+    path = vocabulary()
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    tokenizer.cache_clear()
+    coded = encode_decode(docs, path)
+    assert decode(coded.select("doc_id", "ids"), path).count() == coded.count() == 2
+    assert tokenizer.cache_info().currsize == 0
