@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings: cover trees of blocks, and a dual traversal of their nodes."""
+"""Near-duplicate embeddings: cells around pivots, cover trees of their blocks, and a dual traversal of the trees' nodes."""
 
 from __future__ import annotations
 
@@ -7,16 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotflow.llm.common import discard, hash_sample, prepare, stored
 from lotflow.llm.graph import components
+from lotflow.llm.vector_cells import BLOCKS, PRODUCTS, RADII, SLACK, Block, comparable_rows, net, read_blocks, rounding, to_block, to_cells, units
 
-#: Radii of the nested levels of a block's tree, each half of the one above; unit vectors are at most 2 apart.
-RADII = (2.0, 1.0, 0.5, 0.25, 0.125)
-#: Distances are trusted to this much when a bound excludes or includes a pair of nodes.
-SLACK = 1e-7
+#: Bytes of vectors that a task holds to compare others with, and that it reads beside them at once.
+HELD, BESIDE = 1 << 26, 1 << 24
+#: Pairs of vectors, compared or not, that make up a task at least and that make one of its own.
+LEAST_PAIRS, MOST_PAIRS = 10**7, 4 * 10**11
+#: Links for each vector of two blocks from which on their trees are traversed.
+DENSE = 64
+#: Trees that a task keeps, and vectors with their cells that wait to be compared.
+TREES, WAITING = 16, 1 << 22
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -172,172 +179,314 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def _unit_rows(vectors: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rows that can be compared, and their unit vectors in double precision."""
-    places, units = [], []
-    for k, v in enumerate(vectors.to_pylist()):
-        if not v or None in v:
-            continue
-        x = np.array(v, np.float64)
-        size = np.abs(x).max()
-        if not np.isfinite(size) or size == 0:
-            continue
-        x = x / size
-        places.append(k)
-        units.append(x / np.sqrt(x @ x))
-    return np.array(places, np.int64), units
-
-
-def _far_apart(sample: np.ndarray, n: int) -> np.ndarray:
-    """Farthest-first choice of n rows: any prefix is a net of its own radius."""
-    chosen = [0]
-    apart = _distances(sample[:1], sample)[0]
-    while len(chosen) < min(n, len(sample)) and apart.max() > 0:
-        chosen.append(int(apart.argmax()))
-        apart = np.minimum(apart, _distances(sample[chosen[-1]][None], sample)[0])
-    return sample[chosen]
-
-
-def _to_cells(pivots: dict[int, np.ndarray], cells: dict[int, int]):
-    """(vec_id, unit, dim, cell, ring): the nearest pivot of the same dimension, and the finest level that covers."""
-    def assign(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            places, units = _unit_rows(batch.column("embedding"))
-            if not len(places):
-                continue
-            ids = batch.column("vec_id").take(pa.array(places))
-            cell, ring = [], []
-            for u in units:
-                dots = pivots[len(u)] @ u if len(u) in pivots else np.zeros(1)
-                cell.append(cells.get(len(u), -len(u)) + int(dots.argmax()))
-                apart = math.sqrt(max(0.0, 2.0 - 2.0 * dots.max()))
-                ring.append(max(k for k, r in enumerate(RADII) if apart <= r + SLACK))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(u.tobytes() for u in units), pa.array([len(u) for u in units], pa.int32()),
-                 pa.array(cell, pa.int32()), pa.array(ring, pa.int32())],
-                names=["vec_id", "unit", "dim", "cell", "ring"])
-
-    return assign
-
-
-def _pack(key, pdf):
-    """One block: ids and unit vectors, its centre and covering radius."""
-    import pandas as pd
-
-    units = np.stack([np.frombuffer(u) for u in pdf["unit"]])
-    centre = units.mean(axis=0)
-    norm = np.sqrt(centre @ centre)
-    centre = centre / norm if norm > 0 else units[0]
-    return pd.DataFrame({
-        "block": [key[0]], "dim": [key[1]], "n": [len(units)], "low": [int(pdf["vec_id"].min())], "centre": [centre.tolist()], "radius": [float(_distances(centre[None], units).max())],
-        "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "units": [units.tobytes()]})
-
-
-def _compare(cosine: float):
-    def traverse(batches: Iterator[pa.RecordBatch]):
-        trees: dict[str, Tree] = {}
-
-        def tree(row: dict, side: str) -> Tree:
-            name = f"{row['dim']}/{row['block_' + side]}"
-            if name not in trees:
-                if len(trees) == 32:
-                    trees.pop(next(iter(trees)))
-                trees[name] = Tree(np.frombuffer(row[f"units_{side}"]).reshape(-1, row["dim"]))
-            return trees[name]
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                same = row["block_a"] == row["block_b"]
-                ids_a, ids_b = np.frombuffer(row["ids_a"], np.int64), np.frombuffer(row["ids_b"], np.int64)
-                count_a, count_b, x, y = linked_pairs(tree(row, "a"), tree(row, "b"), cosine, same)
-                node, root = _spanning(ids_a[x], ids_b[y])
-                ids = ids_a if same else np.concatenate((ids_a, ids_b))
-                counts = count_a if same else np.concatenate((count_a, count_b))
-                hit = counts > 0
-                roots = np.concatenate((ids[hit], root))
-                if len(roots):
-                    counts = np.concatenate((counts[hit], np.zeros(len(node), np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[hit], node))), pa.array(counts), pa.array(roots)],
-                                                     names=["vec_id", "n", "other"])
-
-    return traverse
-
-
-def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = 2048, pivots: int = 1024,
-                           sample: int = 8192) -> DataFrame:
+class _Met:
+    """What a task has found: links that connect what is linked, and blocks that are linked as a whole."""
+
+    def __init__(self):
+        self.a, self.b, self.n, self.whole = [], [], 0, {}
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.n += len(a)
+        if self.n > 1 << 20:
+            self.a, self.b = ([x] for x in self.spanning())
+            self.n = 0
+
+    def add_whole(self, block: Block, n: int, other: int) -> None:
+        before = self.whole.get(block.name, (0, other))
+        self.whole[block.name] = (before[0] + n, min(before[1], other))
+
+    def spanning(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        return _spanning(np.concatenate([none, *self.a]), np.concatenate([none, *self.b]))
+
+
+def _sure(dots: np.ndarray, cosine: float, raw_a, x: np.ndarray, raw_b, y: np.ndarray) -> np.ndarray:
+    """Which pairs are linked: by products in single precision, where these are too near by those in double precision."""
+    linked = dots >= cosine
+    for part in np.array_split(near := np.flatnonzero(np.abs(dots - cosine) <= rounding(raw_a.shape[1])), len(near) // (1 << 15) + 1):
+        linked[part] = np.einsum("ij,ij->i", units(raw_a[x[part]]), units(raw_b[y[part]])) >= cosine
+    return linked
+
+
+def _near(dots: np.ndarray, cosine: float, dim: int) -> np.ndarray:
+    return dots >= np.float32(cosine - rounding(dim))
+
+
+def _within_cell(a: Block, b: Block, cosine: float, met: _Met, trees: dict[str, Tree]) -> None:
+    """Links of two blocks of one cell, or of a block with itself.
+
+    Blocks whose farthest vectors are near enough are linked as wholes.  Others are compared by one product; where that
+    shows many links, their trees are traversed instead of listing them all.
+    """
+    same, most = a.name == b.name, math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
+    apart, reach = 0.0 if same else math.sqrt(max(0.0, 2.0 - 2.0 * float(a.centre @ b.centre))), a.radius + b.radius
+    if apart - reach > most + SLACK or same and len(a.ids) == 1:
+        return
+    if apart + reach <= most - SLACK:
+        met.add_whole(a, len(b.ids) - same, b.low)
+        if not same:
+            met.add_whole(b, len(a.ids), a.low)
+            met.add(np.array([a.low]), np.array([b.low]))
+        return
+    dots = a.single @ b.single.T
+    near = _near(dots, cosine, a.dim)
+    if same:
+        near = np.triu(near, 1)
+    if np.count_nonzero(near) > DENSE * (len(a.ids) + len(b.ids)):
+        count_a, count_b, x, y = linked_pairs(_tree(a, trees), _tree(b, trees), cosine, same)
+        a.links += count_a
+        if not same:
+            b.links += count_b
+    else:
+        x, y = np.divmod(at := np.flatnonzero(near.ravel()), len(b.ids))
+        linked = _sure(dots.ravel()[at], cosine, a.raw, x, b.raw, y)
+        x, y = x[linked], y[linked]
+        np.add.at(a.links, x, 1)
+        np.add.at(b.links, y, 1)
+    met.add(a.ids[x], b.ids[y])
+
+
+def _tree(block: Block, trees: dict[str, Tree]) -> Tree:
+    if block.name not in trees:
+        if len(trees) == TREES:
+            trees.pop(next(iter(trees)))
+        trees[block.name] = Tree(units(block.raw))
+    return trees[block.name]
+
+
+def _margins(raw: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How much larger each vector's product with its own pivot is than that with the other; a row's result depends on that row alone."""
+    parts = [slice(s, s + (1 << 15)) for s in range(0, len(raw), 1 << 15)]
+    return np.concatenate([np.zeros(0), *[(units(raw[p]) * (own[p].astype(np.float64) - other[p])).sum(axis=1) for p in parts]])
+
+
+class _Beside:
+    """Blocks of one vector length that a task compares with the cells that it holds.
+
+    Of two linked vectors x and y below pivots p and q, (x - y)(p - q) is at most the threshold times |p - q|, and it is the sum of
+    two margins: how much nearer x is to p than to q, and y to q than to p.  So the one with the smaller margin, by which the
+    link is counted, has at most half of that, and only such vectors are compared with the other's cell.
+    """
+
+    def __init__(self, blocks: list[Block], held: dict[int, list[Block]], cells: np.ndarray, pivots: np.ndarray, start: int, cosine: float, met: _Met):
+        self.blocks, self.held, self.cells, self.pivots, self.start, self.cosine, self.met = blocks, held, cells, pivots, start, cosine, met
+        self.most = math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
+        sizes = [len(a.ids) for a in blocks]
+        self.first = np.cumsum([0, *sizes])
+        self.cell = np.repeat([a.cell for a in blocks], sizes)
+        self.single, self.raw, self.ids = (np.concatenate([getattr(a, c) for a in blocks]) for c in ("single", "raw", "ids"))
+        self.links = np.zeros(len(self.ids), np.int64)
+
+    def compare(self) -> None:
+        centres, room, found, n = self.pivots[self.cells - self.start], rounding(self.pivots.shape[1]), [], 0
+        step = max(1, PRODUCTS // len(centres))
+        for first, a in zip(self.first, self.blocks):
+            own = self.pivots[a.cell - self.start]
+            half = 0.5 * self.most * np.sqrt(np.maximum(2.0 + 2.0 * room - 2.0 * (centres @ own), 0.0)) + 4.0 * room + SLACK
+            half = np.where(self.cells == a.cell, -np.inf, half).astype(np.float32)
+            for s in range(0, len(a.ids), step):
+                rows = a.single[s : s + step]
+                dots = rows @ centres.T
+                dots += half
+                at = np.flatnonzero((dots >= (rows @ own)[:, None]).ravel())
+                row, cell = np.divmod(at, len(centres))
+                found.append((row + first + s, cell, dots.ravel()[at] - half[cell]))
+                n += len(at)
+                if n > WAITING:
+                    self._meet(found)
+                    found, n = [], 0
+        if n:
+            self._meet(found)
+
+    def _meet(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Compare the rows found with the blocks of the cells they were found for."""
+        row, cell, dots = (np.concatenate(x) for x in zip(*found))
+        # Short numbers are sorted by their digits.
+        order = np.argsort(cell.astype(np.uint16) if len(self.cells) < 1 << 16 else cell, kind="stable")
+        row, cell, apart = row[order], cell[order], np.sqrt(np.maximum(2.0 - 2.0 * dots[order], 0.0))
+        reach = self.most + math.sqrt(2.0 * rounding(self.pivots.shape[1])) + SLACK
+        ends = np.flatnonzero(np.diff(cell, append=-1)) + 1
+        for s, e in zip(np.concatenate(([0], ends[:-1])), ends):
+            for b in self.held[int(self.cells[cell[s]])]:
+                rows = row[s:e][(apart[s:e] - reach <= b.farthest) & (apart[s:e] + reach >= b.nearest)]
+                step = max(1, PRODUCTS // len(b.ids))
+                for k in range(0, len(rows), step):
+                    self._link(rows[k : k + step], b)
+
+    def _link(self, rows: np.ndarray, b: Block) -> None:
+        dots = self.single[rows] @ b.single.T
+        # Mostly none is near.
+        if not _near(dots.max(), self.cosine, b.dim):
+            return
+        at = np.flatnonzero(_near(dots, self.cosine, b.dim).ravel())
+        x, y = np.divmod(at, len(b.ids))
+        x = rows[x]
+        linked = _sure(dots.ravel()[at], self.cosine, self.raw, x, b.raw, y)
+        x, y = x[linked], y[linked]
+        # The other vector's cell meets this one's, too: a link is counted by the vector with the smaller margin.
+        there = self.pivots[b.cell - self.start]
+        some, back = np.unique(x, return_inverse=True)
+        margin = _margins(self.raw[some], self.pivots[self.cell[some] - self.start], np.broadcast_to(there, (len(some), len(there))))[back]
+        pairs, back = np.unique(np.stack((y, self.cell[x])), axis=1, return_inverse=True)
+        other = _margins(b.raw[pairs[0]], np.broadcast_to(there, (pairs.shape[1], len(there))), self.pivots[pairs[1] - self.start])[back.ravel()]
+        mine = (margin < other) | (margin == other) & (self.cell[x] < b.cell)
+        x, y = x[mine], y[mine]
+        np.add.at(self.links, x, 1)
+        np.add.at(b.links, y, 1)
+        self.met.add(self.ids[x], b.ids[y])
+
+
+def _gathered(blocks: Iterator[Block]) -> Iterator[list[Block]]:
+    some, size = [], 0
+    for block in blocks:
+        some.append(block)
+        size += block.raw.nbytes
+        if size >= BESIDE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+_MET = "vec_id long, block string, n long, other long"
+
+
+def _rows(ids: np.ndarray, n: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.string()), pa.array(n, pa.int64()), pa.array(other, pa.int64())], ["vec_id", "block", "n", "other"])
+
+
+def _compare(folder: str, tasks: list[tuple[list[str], list[str]]], kind: str, nets: dict[int, np.ndarray], starts: dict[int, int], cosine: float):
+    """Links of the vectors in the files that a task holds with those in the files that it reads beside them, one batch after the other."""
+    def task(system, top: str, files: list[str], beside: list[str]) -> Iterator[pa.RecordBatch]:
+        read = lambda names: (b for f in names for b in read_blocks(system, f"{top}/{f}", kind))
+        held, met, trees = {}, _Met(), {}
+        for b in read(files):
+            held.setdefault(b.cell, []).append(b)
+        cells = {d: np.array(sorted(c for c, bs in held.items() if bs[0].dim == d and c >= 0)) for d in nets}
+        for some in _gathered(read(beside)):
+            for a in some:
+                for b in held.get(a.cell, ()):
+                    if a.name <= b.name:
+                        _within_cell(a, b, cosine, met, trees)
+            for d, pivots in nets.items():
+                if len(cells[d]) and (blocks := [a for a in some if a.dim == d and a.cell >= 0]):
+                    others = _Beside(blocks, held, cells[d], pivots, starts[d], cosine, met)
+                    others.compare()
+                    for a, first in zip(blocks, others.first):
+                        a.links += others.links[first : first + len(a.ids)]
+            yield from counted(some)
+        yield from counted([b for bs in held.values() for b in bs])
+        nodes, roots = met.spanning()
+        yield _rows(nodes, np.zeros(len(nodes), np.int64), roots)
+        whole = [(None, name, n, other) for name, (n, other) in met.whole.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*whole), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["vec_id", "block", "n", "other"]) if whole else _rows(nodes[:0], nodes[:0], nodes[:0])
+
+    def counted(blocks: list[Block]) -> Iterator[pa.RecordBatch]:
+        ids, links = np.concatenate([np.zeros(0, np.int64), *[b.ids for b in blocks]]), np.concatenate([np.zeros(0, np.int64), *[b.links for b in blocks]])
+        hit = links > 0
+        if hit.any():
+            yield _rows(ids[hit], links[hit], ids[hit])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(folder)
+        for k in (k for batch in batches for k in batch.column("id").to_pylist() if k < len(tasks)):
+            yield from task(system, top, *tasks[k])
+
+    return compare
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What holds for a block, for each of its vectors."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids = np.frombuffer(row["ids"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), row["n"])), pa.array(np.full(len(ids), row["other"]))], ["vec_id", "n", "other"])
+
+
+def _in_parts(files: list[tuple[str, int]], most: float) -> list[list[str]]:
+    """Files in their order, in parts of about ``most`` bytes."""
+    parts, size = [], most
+    for name, more in files:
+        if size >= most:
+            parts.append([])
+            size = 0
+        parts[-1].append(name)
+        size += more
+    return parts
+
+
+def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = 2048, pivots: int = 1 << 16,
+                           sample: int = 1 << 17, cell: int = 256) -> DataFrame:
     """One row per input row: vec_id, n_links (other vectors linked directly), component_id, kept.
 
     Two vectors are linked if their cosine in double precision is at least ``cosine``.  Null, empty or zero vectors,
     and those with a null or non-finite entry, are linked with nothing; so are vectors of different lengths.
 
-    The top of the tree are at most ``pivots`` vectors, chosen farthest-first among at most ``sample`` vectors in
-    hash order; every vector goes below its nearest pivot, into the finest of the nested balls around it that
-    holds it, and a ball's vectors are cut into blocks of about ``block``.  Blocks too far apart for their covering
-    radii are not compared, blocks near enough are linked as a whole, and the others meet in a dual traversal of
-    their cover trees (radii halve from level to level).  The result is exact whatever the pivots are.
-    How many blocks are excluded depends on the data: directions spread evenly over many dimensions are all at
-    about the same distance, and then only the nodes within the blocks are pruned.
+    The top of the tree are at most ``pivots`` vectors, one for each ``cell`` vectors of a small table and fewer in a large one,
+    of at most ``sample`` vectors in hash order, none nearer than the threshold to another; every vector goes below
+    its nearest pivot, in a cell of more than ``block`` vectors into the finest of the nested balls around it that holds it, and a
+    ball's vectors are cut into blocks of about ``block``.  Within a cell, blocks too far apart for their covering radii are not compared, blocks near enough are
+    linked as a whole, and the others are compared or meet in a dual traversal of their cover trees (radii halve from level to
+    level).  Across cells, a vector is compared with the cells that its margin between the pivots admits (``_Beside``).
+    The result is exact whatever the pivots are.  How much is compared depends on the data: of directions spread evenly over many
+    dimensions a vector meets a small share of the cells only, but its products with all pivots are looked at.
+
+    Vectors move once, into their blocks, with entries as given.  The blocks are stored, and tasks read what they compare from
+    there, so the shared folder must be one that pyarrow knows (mounted, HDFS, S3, GCS).
 
     Rows that share a vec_id are one vector if their entries agree, else each links for the id.  Without a vec_id, a
     row is compared with none.  No rows give no rows; other columns are ignored.
     """
     spark = prepare(vectors.sparkSession)
-    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    distinct = source.filter("vec_id is not null").dropDuplicates(["vec_id", "embedding"])
-    n = distinct.count()
-    wanted = max(1, min(pivots, n // (4 * block)))
-    chosen = hash_sample(distinct.filter("embedding is not null"), sample if wanted > 1 else 1, "vec_id")
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind, entries = ("<f4", "float") if single else ("<f8", "double")
+    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{entries}>").alias("embedding"))
+    known = source.filter("vec_id is not null and embedding is not null")
+    n, dim = known.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg(F.size("embedding")))).first()
+    width = (dim or 1.0) * (4 if single else 8)
+    wanted = max(1, min(pivots, n // cell, int(1.6 * n**0.6), int(BESIDE / (4 * (dim or 1.0)))))
+    block = min(block, max(256, n // 64), max(16, int((1 << 20) / width)))
     found: dict[int, list[np.ndarray]] = {}
-    for u in _unit_rows(chosen.select("embedding").toArrow().column(0).combine_chunks())[1]:
-        found.setdefault(len(u), []).append(u)
-    nets = {d: _far_apart(np.stack(us), max(1, wanted * len(us) // max(1, sum(map(len, found.values()))))) for d, us in found.items()}
+    chosen = hash_sample(known, min(sample, 2 * wanted) if wanted > 1 else 1, "vec_id").select("embedding").toArrow()
+    for _, raw in comparable_rows(chosen.column(0).combine_chunks()):
+        found[raw.shape[1]] = units(raw)
+    most = math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
+    nets = {d: net(us, max(1, wanted * len(us) // sum(map(len, found.values()))), most) for d, us in found.items()}
     starts, total = {}, 0
     for d in nets:
         starts[d], total = total, total + len(nets[d])
 
-    cells = distinct.mapInArrow(_to_cells(nets, starts), "vec_id long, unit binary, dim int, cell int, ring int")
-    cells = stored(cells, "cells")
-    # At most one row per pivot, level and vector length.
+    cells = stored(known.mapInArrow(to_cells(nets, starts), "vec_id long, raw binary, dim int, cell int, ring int, apart double"), "cells")
+    # At most one row per pivot, level and vector length.  A cell that is no larger than a block is one.
     nodes = ["cell", "ring", "dim"]
-    sizes = cells.groupBy(*nodes).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("parts")).cast("int")
-    placed = cells.join(sizes, nodes).withColumn("block", F.concat_ws("-", "cell", "ring", part))
-    blocks = stored(placed.groupBy("block", "dim").applyInPandas(
-        _pack, "block string, dim int, n long, low long, centre array<double>, radius double, ids binary, units binary"), "blocks")
-
-    head = blocks.select("block", "dim", "n", "low", "centre", "radius")
-    a, b = (head.select("dim", *[F.col(c).alias(f"{c}_{s}") for c in head.columns if c != "dim"]) for s in "ab")
-    dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    apart = F.when(F.col("block_a") == F.col("block_b"), 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * dot)))
-    most = math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
-    reach = F.col("radius_a") + F.col("radius_b")
-    pairs = a.join(b, "dim").filter("block_a <= block_b").withColumn("apart", apart).filter(F.col("apart") - reach <= most + SLACK)
-    pairs = stored(pairs.select("dim", "block_a", "block_b", "n_a", "n_b", "low_a", "low_b",
-                                (F.col("apart") + reach <= most - SLACK).alias("whole")), "block-pairs")
-
-    # Blocks whose farthest vectors are near enough: all their vectors are linked, and none has to be looked at.
-    whole = pairs.filter("whole")
-    sides = whole.select("dim", F.col("block_a").alias("block"), F.col("n_b").alias("n"), F.col("low_b").alias("other")).unionAll(
-        whole.filter("block_a < block_b").select("dim", "block_b", "n_a", "low_a"))
-    sides = sides.groupBy("dim", "block").agg(F.sum("n").alias("n"), F.min("other").alias("other"))
-    itself = whole.filter("block_a = block_b").select("dim", F.col("block_a").alias("block"), F.lit(1).alias("itself"))
-    met = placed.select("dim", "block", "vec_id").join(sides, ["dim", "block"]).join(itself, ["dim", "block"], "left")
-    met = met.select("vec_id", (F.col("n") - F.coalesce("itself", F.lit(0))).alias("n"), "other")
-    joined = whole.select(F.col("low_a").alias("vec_id"), F.lit(0).cast("long").alias("n"), F.col("low_b").alias("other"))
-
-    ship_a, ship_b = (blocks.select("dim", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "units")]) for s in "ab")
-    rows = pairs.filter("not whole").select("dim", "block_a", "block_b").join(ship_a, ["dim", "block_a"]).join(ship_b, ["dim", "block_b"])
-    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    try:
-        near = rows.mapInArrow(_compare(cosine), "vec_id long, n long, other long")
-        links = stored(near.unionAll(met).unionAll(joined), "links")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    counts = stored(cells.groupBy(*nodes).agg(F.count(F.lit(1)).alias("rows")), "cell-counts")
+    large = F.col("all") > block
+    sizes = counts.join(counts.groupBy("cell", "dim").agg(F.sum("rows").alias("all")), ["cell", "dim"]).select(
+        *nodes, F.when(large, F.col("ring")).otherwise(-1).alias("ball"), F.when(large, F.ceil(F.col("rows") / block)).otherwise(1).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id", "raw", F.lit(7)), F.col("parts")).cast("int").alias("part")
+    placed = cells.join(sizes, nodes).select("vec_id", "raw", "apart", "cell", F.col("ball").alias("ring"), part, "dim")
+    a_file = max(1, min(64, (sizes.select("cell", "ball", "dim", "parts").distinct().agg(F.sum("parts")).first()[0] or 0) // 64))
+    blocks = stored(placed.groupBy("cell", "ring", "part", "dim").applyInArrow(to_block(kind), BLOCKS), "blocks", "none", maxRecordsPerFile=a_file)
+    discard(cells, counts)
+
+    # Each task holds some files and compares them with others that it reads.
+    files = blocks.select("_metadata.file_name", (F.col("n") * F.col("dim") * (4 if single else 8)).alias("size")).groupBy("file_name").agg(F.sum("size"))
+    files = sorted(map(tuple, files.collect()))
+    held = _in_parts(files, HELD)
+    wanted = max(min(4 * spark.sparkContext.defaultParallelism, n * n // LEAST_PAIRS), n * n // MOST_PAIRS, 1)
+    beside = _in_parts(files, sum(size for _, size in files) * max(1, len(held)) / wanted)
+    tasks = [(h, b) for b in beside for h in held]
+    compared = spark.range(0, max(1, len(tasks)), 1, max(1, len(tasks))).mapInArrow(_compare(blocks.stored_at, tasks, kind, nets, starts, cosine), _MET)
+    met = stored(compared, "met")
+    whole = met.filter("block is not null").groupBy("block").agg(F.sum("n").alias("n"), F.min("other").alias("other"))
+    members = blocks.select("block", "ids").join(whole, "block").mapInArrow(_members, "vec_id long, n long, other long")
+    links = stored(met.filter("vec_id is not null").select("vec_id", "n", "other").unionAll(members), "links")
     named = components(links.filter("vec_id <> other").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy(F.col("vec_id").alias("node")).agg(F.sum("n").alias("n_links"))
     found_rows = stored(counts.join(named, "node", "full").withColumnRenamed("node", "vec_id"), "vector-links")
-    discard(cells, blocks, pairs, links, named)
+    discard(blocks, met, links, named)
     out = source.select("vec_id").join(found_rows, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

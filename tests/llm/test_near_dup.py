@@ -1,11 +1,17 @@
 """Near-duplicates against brute force."""
 
+import json
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from lotflow.llm import cover_tree
 from lotflow.llm.cover_tree import near_duplicate_vectors
 from lotflow.llm.graph import components
 from lotflow.llm.minhash import near_duplicates
@@ -117,9 +123,49 @@ def test_vectors_against_all_pairs(spark, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize(("cosine", "cell", "block"), [(0.95, 4, 2048), (0.95, 4, 8), (0.8, 2, 2048), (0.5, 8, 4)])
+def test_vectors_across_cells(spark, cosine, cell, block, monkeypatch):
+    draw = np.random.default_rng(cell)
+    rows = [draw.standard_normal(6) for _ in range(150)]
+    # Pairs halfway between cells, a group wider than a cell, tight groups, and vectors of a second length.
+    rows += [(rows[k] + rows[k + 1]) / 2 + 0.05 * draw.standard_normal(6) for k in range(0, 100, 2) for _ in range(2)]
+    rows += [rows[0] + 0.4 * draw.standard_normal(6) for _ in range(60)] + [rows[1] + 0.01 * draw.standard_normal(6) for _ in range(40)]
+    rows += [draw.standard_normal(3) for _ in range(60)]
+    rows = [(i, v.tolist()) for i, v in enumerate(rows)]
+    # Many tasks that hold little.
+    for name, value in {"HELD": 2000, "LEAST_PAIRS": 5000}.items():
+        monkeypatch.setattr(cover_tree, name, value)
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = near_duplicate_vectors(data, cosine, block=block, cell=cell).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == expected_vectors(rows, cosine)
+
+
 def test_vectors_empty_repeated_and_without_id(spark):
     schema = "vec_id long, embedding array<float>"
     assert near_duplicate_vectors(spark.createDataFrame([], schema)).count() == 0
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0])]
     found = near_duplicate_vectors(spark.createDataFrame(rows, schema)).collect()
     assert sorted(str(tuple(r)) for r in found) == sorted(map(str, [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)]))
+
+
+def test_vectors_move_once(tmp_path):
+    """The bytes that a query of its own shuffles, by Spark's event log: not more with every pair of blocks that may be near."""
+    script = f"""
+import numpy as np, pyarrow as pa, pyarrow.parquet as pq
+from pyspark.sql import SparkSession
+from lotflow.llm.cover_tree import near_duplicate_vectors
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.eventLog.enabled", "true").config(
+    "spark.eventLog.compress", "false").config("spark.eventLog.dir", {(tmp_path / "log").as_uri()!r}).config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).config(
+    "spark.sql.shuffle.partitions", "4").getOrCreate()
+rows = np.random.default_rng(1).standard_normal((6000, 64)).astype(np.float32)
+pq.write_table(pa.table({{"vec_id": range(len(rows)), "embedding": list(rows)}}), {str(tmp_path / "vectors.parquet")!r})
+assert near_duplicate_vectors(spark.read.parquet({str(tmp_path / "vectors.parquet")!r}), block=256).filter("kept").count() == len(rows)
+spark.stop()
+"""
+    (tmp_path / "log").mkdir()
+    paths = os.pathsep.join(filter(None, [str(Path(__file__).resolve().parents[2]), os.environ.get("PYTHONPATH")]))
+    subprocess.run([sys.executable, "-c", script], check=True, env=os.environ | {"PYTHONPATH": paths}, timeout=300)
+    events = [json.loads(line) for f in (tmp_path / "log").rglob("events_*") for line in f.open()]
+    ends = [e for e in events if e["Event"] == "SparkListenerTaskEnd"]
+    assert len(ends) > 10
+    assert sum(e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"] for e in ends) < 2 * 6000 * 64 * 4
