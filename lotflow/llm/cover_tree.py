@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lotflow.llm.common import discard, hash_sample, prepare, stored
 from lotflow.llm.graph import components
-from lotflow.llm.vector_cells import BLOCKS, PRODUCTS, RADII, SLACK, Block, comparable_rows, net, read_blocks, rounding, to_block, to_cells, units
+from lotflow.llm.vector_cells import BLOCKS, PRODUCTS, RADII, SLACK, Block, basis, comparable_rows, net, read_blocks, rounding, to_block, to_cells, units
 
 #: Bytes of vectors that a task holds to compare others with, and that it reads beside them at once.
 HELD, BESIDE = 1 << 26, 1 << 24
@@ -277,22 +277,26 @@ class _Beside:
         self.first = np.cumsum([0, *sizes])
         self.cell = np.repeat([a.cell for a in blocks], sizes)
         self.single, self.raw, self.ids = (np.concatenate([getattr(a, c) for a in blocks]) for c in ("single", "raw", "ids"))
+        self.outline = self.single if blocks[0].outline is blocks[0].single else np.concatenate([a.outline for a in blocks])
         self.links = np.zeros(len(self.ids), np.int64)
 
     def compare(self) -> None:
         centres, room, found, n = self.pivots[self.cells - self.start], rounding(self.pivots.shape[1]), [], 0
+        # One product gives how far a vector's margin is below what the cell admits: entries, one, and its own pivot's product; entries, bound, and minus one.
+        there = np.concatenate((centres, np.zeros((len(centres), 1), np.float32), np.full((len(centres), 1), -1.0, np.float32)), axis=1)
         step = max(1, PRODUCTS // len(centres))
         for first, a in zip(self.first, self.blocks):
             own = self.pivots[a.cell - self.start]
             half = 0.5 * self.most * np.sqrt(np.maximum(2.0 + 2.0 * room - 2.0 * (centres @ own), 0.0)) + 4.0 * room + SLACK
-            half = np.where(self.cells == a.cell, -np.inf, half).astype(np.float32)
+            # Not its own cell: no product of unit vectors makes up for this.
+            there[:, -2] = np.where(self.cells == a.cell, -8.0, half)
             for s in range(0, len(a.ids), step):
                 rows = a.single[s : s + step]
-                dots = rows @ centres.T
-                dots += half
-                at = np.flatnonzero((dots >= (rows @ own)[:, None]).ravel())
+                mine = rows @ own
+                below = np.concatenate((rows, np.ones((len(rows), 1), np.float32), mine[:, None]), axis=1) @ there.T
+                at = np.flatnonzero((below >= 0.0).ravel())
                 row, cell = np.divmod(at, len(centres))
-                found.append((row + first + s, cell, dots.ravel()[at] - half[cell]))
+                found.append((row + first + s, cell, below.ravel()[at] - there[cell, -2] + mine[row]))
                 n += len(at)
                 if n > WAITING:
                     self._meet(found)
@@ -316,15 +320,21 @@ class _Beside:
                     self._link(rows[k : k + step], b)
 
     def _link(self, rows: np.ndarray, b: Block) -> None:
-        dots = self.single[rows] @ b.single.T
+        dots, least = self.outline[rows] @ b.outline.T, self.cosine - 2.0 * rounding(b.dim)
         # Mostly none is near.
-        if not _near(dots.max(), self.cosine, b.dim):
+        if dots.max() < least:
             return
-        at = np.flatnonzero(_near(dots, self.cosine, b.dim).ravel())
-        x, y = np.divmod(at, len(b.ids))
-        x = rows[x]
-        linked = _sure(dots.ravel()[at], self.cosine, self.raw, x, b.raw, y)
+        x, y = np.divmod(np.flatnonzero((dots >= np.float32(least)).ravel()), len(b.ids))
+        if self.outline is not self.single:
+            dots = (self.single[rows] @ b.single.T)[x, y] if len(x) > dots.size // 32 else np.einsum("ij,ij->i", self.single[rows[x]], b.single[y])
+        else:
+            dots = dots[x, y]
+        x, near = rows[x], _near(dots, self.cosine, b.dim)
+        x, y = x[near], y[near]
+        linked = _sure(dots[near], self.cosine, self.raw, x, b.raw, y)
         x, y = x[linked], y[linked]
+        if not len(x):
+            return
         # The other vector's cell meets this one's, too: a link is counted by the vector with the smaller margin.
         there = self.pivots[b.cell - self.start]
         some, back = np.unique(x, return_inverse=True)
@@ -357,10 +367,11 @@ def _rows(ids: np.ndarray, n: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.string()), pa.array(n, pa.int64()), pa.array(other, pa.int64())], ["vec_id", "block", "n", "other"])
 
 
-def _compare(folder: str, tasks: list[tuple[list[str], list[str]]], kind: str, nets: dict[int, np.ndarray], starts: dict[int, int], cosine: float):
+def _compare(folder: str, tasks: list[tuple[list[str], list[str]]], kind: str, nets: dict[int, np.ndarray], starts: dict[int, int],
+             bases: dict[int, np.ndarray | None], cosine: float):
     """Links of the vectors in the files that a task holds with those in the files that it reads beside them, one batch after the other."""
     def task(system, top: str, files: list[str], beside: list[str]) -> Iterator[pa.RecordBatch]:
-        read = lambda names: (b for f in names for b in read_blocks(system, f"{top}/{f}", kind))
+        read = lambda names: (b for f in names for b in read_blocks(system, f"{top}/{f}", kind, bases))
         held, met, trees = {}, _Met(), {}
         for b in read(files):
             held.setdefault(b.cell, []).append(b)
@@ -446,7 +457,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, block: int
     known = source.filter("vec_id is not null and embedding is not null")
     n, dim = known.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg(F.size("embedding")))).first()
     width = (dim or 1.0) * (4 if single else 8)
-    wanted = max(1, min(pivots, n // cell, int(1.6 * n**0.6), int(BESIDE / (4 * (dim or 1.0)))))
+    wanted = max(1, min(pivots, n // cell, int(0.8 * n**0.6), int(BESIDE / (4 * (dim or 1.0)))))
     block = min(block, max(256, n // 64), max(16, int((1 << 20) / width)))
     found: dict[int, list[np.ndarray]] = {}
     chosen = hash_sample(known, min(sample, 2 * wanted) if wanted > 1 else 1, "vec_id").select("embedding").toArrow()
@@ -478,7 +489,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, block: int
     wanted = max(min(4 * spark.sparkContext.defaultParallelism, n * n // LEAST_PAIRS), n * n // MOST_PAIRS, 1)
     beside = _in_parts(files, sum(size for _, size in files) * max(1, len(held)) / wanted)
     tasks = [(h, b) for b in beside for h in held]
-    compared = spark.range(0, max(1, len(tasks)), 1, max(1, len(tasks))).mapInArrow(_compare(blocks.stored_at, tasks, kind, nets, starts, cosine), _MET)
+    compared = spark.range(0, max(1, len(tasks)), 1, max(1, len(tasks))).mapInArrow(
+        _compare(blocks.stored_at, tasks, kind, nets, starts, {d: basis(p) for d, p in nets.items()}, cosine), _MET)
     met = stored(compared, "met")
     whole = met.filter("block is not null").groupBy("block").agg(F.sum("n").alias("n"), F.min("other").alias("other"))
     members = blocks.select("block", "ids").join(whole, "block").mapInArrow(_members, "vec_id long, n long, other long")

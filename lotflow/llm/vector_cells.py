@@ -15,6 +15,8 @@ RADII = (2.0, 1.0, 0.5, 0.25, 0.125)
 SLACK = 1e-7
 #: Products of single precision that are worked on at once: what a core's cache holds.
 PRODUCTS = 1 << 18
+#: Directions of a vector's outline, and vectors that are worth one.
+OUTLINE, OUTLINED = 23, 48
 
 
 def rounding(dim: int) -> float:
@@ -70,6 +72,21 @@ def singles(raw: np.ndarray) -> np.ndarray:
     return units(raw).astype(np.float32)
 
 
+def basis(rows: np.ndarray) -> np.ndarray | None:
+    """The directions in which the unit rows differ most, side by side; none where a product of vectors is short anyway."""
+    if rows.shape[1] < OUTLINED:
+        return None
+    rows = rows.astype(np.float64)
+    return np.linalg.eigh(rows.T @ rows)[1][:, -OUTLINE:].astype(np.float32)
+
+
+def outlines(single: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """The vectors in these directions, and the length of what is left: the product of two outlines is at least that of the vectors."""
+    inside = single @ directions
+    left = np.maximum(1.0 - np.einsum("ij,ij->i", inside, inside), 0.0) + np.float32(rounding(single.shape[1]))
+    return np.concatenate((inside, np.sqrt(left, dtype=np.float32)[:, None]), axis=1)
+
+
 def nearest(unit: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's nearest pivot and the product with it in double precision, whatever rows it is asked with."""
     single, room, found = unit.astype(np.float32), np.float32(2 * rounding(unit.shape[1])), []
@@ -77,9 +94,9 @@ def nearest(unit: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for s in range(0, len(unit), 256):
         some, most = single[s : s + 256], best[s : s + 256]
         for first in range(0, len(pivots), PRODUCTS // 256):
-            dots = some @ pivots[first : first + PRODUCTS // 256].T
-            np.maximum(most, dots.max(axis=1), out=most)
-            row, pivot = np.divmod(at := np.flatnonzero((dots >= (most - room)[:, None]).ravel()), dots.shape[1])
+            dots = pivots[first : first + PRODUCTS // 256] @ some.T
+            np.maximum(most, dots.max(axis=0), out=most)
+            pivot, row = np.divmod(at := np.flatnonzero((dots >= most - room).ravel()), len(some))
             found.append((row + s, pivot + first, dots.ravel()[at]))
     row, pivot, dots = (np.concatenate(x) for x in zip(*found))
     near = dots >= best[row] - room
@@ -144,16 +161,18 @@ def to_block(kind: str):
 class Block:
     """A stored block as a task holds it."""
 
-    def __init__(self, row: dict, kind: str):
+    def __init__(self, row: dict, kind: str, bases: dict[int, np.ndarray | None]):
         self.name, self.cell, self.dim, self.low, self.radius = row["block"], row["cell"], row["dim"], row["low"], row["radius"]
         self.nearest, self.farthest, self.centre = row["nearest"], row["farthest"], np.array(row["centre"])
         self.ids, self.raw = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["raw"], kind).reshape(-1, row["dim"])
         self.single, self.links = singles(self.raw), np.zeros(len(self.ids), np.int64)
+        directions = bases.get(self.dim)
+        self.outline = self.single if directions is None else outlines(self.single, directions)
 
 
-def read_blocks(system, path: str, kind: str) -> Iterator[Block]:
+def read_blocks(system, path: str, kind: str, bases: dict[int, np.ndarray | None]) -> Iterator[Block]:
     """The blocks of one file."""
     with system.open_input_file(path) as source:
         for batch in pq.ParquetFile(source).iter_batches(16):
             for row in batch.to_pylist():
-                yield Block(row, kind)
+                yield Block(row, kind, bases)
