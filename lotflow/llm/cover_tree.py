@@ -16,8 +16,8 @@ from lotflow.llm.common import discard, hash_sample, prepare, stored
 from lotflow.llm.graph import components
 from lotflow.llm.vector_cells import BLOCKS, PRODUCTS, RADII, SLACK, Block, basis, comparable_rows, net, read_blocks, rounding, to_block, to_cells, units
 
-#: Bytes of vectors that a task holds to compare others with, and that it reads beside them at once.
-HELD, BESIDE = 1 << 26, 1 << 24
+#: Bytes of vectors that a task holds to compare others with, that it reads beside them at once, and of the pivots.
+HELD, BESIDE, PIVOTS = 1 << 26, 1 << 23, 1 << 24
 #: Pairs of vectors, compared or not, that make up a task at least and that make one of its own.
 LEAST_PAIRS, MOST_PAIRS = 10**7, 4 * 10**11
 #: Links for each vector of two blocks from which on their trees are traversed.
@@ -303,6 +303,8 @@ class _Beside:
                     found, n = [], 0
         if n:
             self._meet(found)
+        for first, a in zip(self.first, self.blocks):
+            a.links += self.links[first : first + len(a.ids)]
 
     def _meet(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """Compare the rows found with the blocks of the cells they were found for."""
@@ -383,11 +385,11 @@ def _compare(folder: str, tasks: list[tuple[list[str], list[str]]], kind: str, n
                         _within_cell(a, b, cosine, met, trees)
             for d, pivots in nets.items():
                 if len(cells[d]) and (blocks := [a for a in some if a.dim == d and a.cell >= 0]):
-                    others = _Beside(blocks, held, cells[d], pivots, starts[d], cosine, met)
-                    others.compare()
-                    for a, first in zip(blocks, others.first):
-                        a.links += others.links[first : first + len(a.ids)]
+                    _Beside(blocks, held, cells[d], pivots, starts[d], cosine, met).compare()
             yield from counted(some)
+            # The next ones are read before this list is let go.
+            some.clear()
+            a = blocks = None
         yield from counted([b for bs in held.values() for b in bs])
         nodes, roots = met.spanning()
         yield _rows(nodes, np.zeros(len(nodes), np.int64), roots)
@@ -457,7 +459,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, block: int
     known = source.filter("vec_id is not null and embedding is not null")
     n, dim = known.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg(F.size("embedding")))).first()
     width = (dim or 1.0) * (4 if single else 8)
-    wanted = max(1, min(pivots, n // cell, int(0.8 * n**0.6), int(BESIDE / (4 * (dim or 1.0)))))
+    wanted = max(1, min(pivots, n // cell, int(0.8 * n**0.6), int(PIVOTS / (4 * (dim or 1.0)))))
     block = min(block, max(256, n // 64), max(16, int((1 << 20) / width)))
     found: dict[int, list[np.ndarray]] = {}
     chosen = hash_sample(known, min(sample, 2 * wanted) if wanted > 1 else 1, "vec_id").select("embedding").toArrow()

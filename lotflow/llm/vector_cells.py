@@ -174,5 +174,5 @@ def read_blocks(system, path: str, kind: str, bases: dict[int, np.ndarray | None
     """The blocks of one file."""
     with system.open_input_file(path) as source:
         for batch in pq.ParquetFile(source).iter_batches(16):
-            for row in batch.to_pylist():
-                yield Block(row, kind, bases)
+            for row, raw in zip(batch.drop_columns(["raw"]).to_pylist(), batch.column("raw")):
+                yield Block(row | {"raw": raw.as_buffer()}, kind, bases)
